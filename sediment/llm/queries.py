@@ -27,6 +27,18 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_read(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), 4096, 1)
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sediment.llm.neardup import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "documents"), 75)
+
+
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sediment.llm.exactdedup import exact_groups
+
+    return exact_groups(_read(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sediment.llm.tokenfiles import shared_folder, token_file_digest, write_token_files
 
@@ -34,6 +46,31 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(manifest)
 
 
-QUERIES = {f.__name__: f for f in (op1_shards, op2_packing, op8_token_files)}
-
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_shards, op2_packing, op3_near_duplicates, op6_exact_dedup, op8_token_files)}
+
+SQL: dict[str, str] = {
+    "op3_near_duplicates": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS ws
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh
+  FROM w
+), s AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS shingle FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM sets JOIN least USING (doc_id)
+""",
+    "op6_exact_dedup": r"""
+WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
+FROM t WINDOW w AS (PARTITION BY text_sha256)
+""",
+}
