@@ -33,12 +33,25 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), 75)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sediment.llm.toxicity import fit_on, score_toxicity
+
+    docs = _read(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_on(docs, _read(spark, sf_dir, "labels")), 0.3)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sediment.llm.exactdedup import exact_groups
 
     return exact_groups(_read(spark, sf_dir, "documents"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sediment.llm.fingerprint import edited_fingerprints
+
+    return edited_fingerprints(_read(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sediment.llm.tokenfiles import shared_folder, token_file_digest, write_token_files
 
@@ -46,7 +59,14 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(manifest)
 
 
-QUERIES = {f.__name__: f for f in (op1_shards, op2_packing, op3_near_duplicates, op6_exact_dedup, op8_token_files)}
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sediment.llm.langid import fit_on, identify
+
+    docs = _read(spark, sf_dir, "documents")
+    return identify(docs, fit_on(docs))
+
+
+QUERIES = {f.__name__: f for f in (op1_shards, op2_packing, op3_near_duplicates, op5_toxicity, op6_exact_dedup, op7_fingerprints, op8_token_files, op10_language)}
 
 SQL: dict[str, str] = {
     "op3_near_duplicates": r"""
