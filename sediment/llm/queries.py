@@ -9,7 +9,8 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_path(name: str) -> str:
+    """A public tokenizer file, where every executor has the package that holds them."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -24,7 +25,7 @@ def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sediment.llm.packing import pack_documents
 
-    return pack_documents(_read(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), 4096, 1)
+    return pack_documents(_read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 4096, 1)
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +34,12 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), 75)
 
 
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sediment.llm.pii import with_surrogates
+
+    return with_surrogates(_read(spark, sf_dir, "documents"), b"a key of the corpus owner")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sediment.llm.toxicity import fit_on, score_toxicity
 
@@ -55,10 +62,24 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sediment.llm.tokenfiles import shared_folder, token_file_digest, write_token_files
 
-    manifest = write_token_files(_read(spark, sf_dir, "documents"), shared_folder(spark), _tokenizer("byte_bpe_50k.json"), 0)
+    manifest = write_token_files(_read(spark, sf_dir, "documents"), shared_folder(spark), tokenizer_path("byte_bpe_50k.json"), 0)
     return token_file_digest(manifest)
 
 
+#: Target shares of the tokens of good and of poor documents (labels.quality 1 and 0).
+MIXTURE = {"1": 0.96, "0": 0.04}
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from sediment.llm.mixing import fit_rates
+
+    found = fit_rates(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), MIXTURE, "quality", keep=("source",))
+    low, high = (F.col("posteriors")[k] for k in range(2))
+    return found.rows.select("doc_id", "source", "n_tokens", low.alias("p_poor"), high.alias("p_good"), "rate", "copies")
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sediment.llm.langid import fit_on, identify
 
@@ -66,7 +87,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, fit_on(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_shards, op2_packing, op3_near_duplicates, op5_toxicity, op6_exact_dedup, op7_fingerprints, op8_token_files, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_shards, op2_packing, op3_near_duplicates, op4_surrogates, op5_toxicity, op6_exact_dedup, op7_fingerprints, op8_token_files, op9_mixing, op10_language)}
 
 SQL: dict[str, str] = {
     "op3_near_duplicates": r"""
