@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from sediment.llm.common import cut
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _forest(edges: DataFrame) -> bool:
+    """Whether every vertex with an edge hangs on one root, which itself hangs on none (edges are distinct)."""
+    parents = edges.groupBy("u").count().filter("count > 1").isEmpty()
+    return parents and edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -18,21 +20,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     A large-star step hangs each vertex's larger neighbours on its least one, a small-star step the smaller ones; the
     minimum of a neighbourhood is aggregated before it is joined back, so a vertex with very many neighbours is never
-    gathered in one place. Each step's edges are written down.
+    gathered in one place. Each step's edges are written down. The steps end when the edges are stars.
     """
     pairs = edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     now = cut(pairs.distinct(), "edges")
-    state = _state(now)
-    while state[0]:
+    while not _forest(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = cut(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct(), "large")
         least = cut(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         hung = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = cut(hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small")
-        before, state = state, _state(now)
-        if state == before:
-            break
     rooted = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
     roots = rooted.select(F.col("component").alias("id"), "component").distinct()
     return rooted.unionByName(roots)

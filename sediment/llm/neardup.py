@@ -4,8 +4,8 @@ and connected components of the confirmed links.
 Documents with equal shingle sets form a class with one representative from the start, so copies never meet in pairs.
 Within a bucket of a band no pairs are listed either. All members are compared with a few pivots; a member that is
 linked leaves its bucket's open question, a pivot has met all others and is done with the bucket. Buckets whose
-members ended in one component are settled, small ones compare the rest pair by pair, and large ones go on with four
-times the pivots. So two linked representatives that share a bucket are always either compared or already in one
+members ended in one component are settled, small ones compare the rest pair by pair, and large ones go on with the
+members outside their largest component as pivots, or with more of both kinds while these are many. So two linked representatives that share a bucket are always either compared or already in one
 component.
 """
 
@@ -164,18 +164,30 @@ def _links(pairs: DataFrame, features: DataFrame, sets: DataFrame, percent: int)
     return cut(whole.mapInArrow(_confirmed(percent), "a long, b long"), "links")
 
 
-def _components(reps: DataFrame, links: DataFrame) -> DataFrame:
-    """``id, component`` of every representative."""
-    found = connected_components(links)
-    return cut(reps.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "components")
+def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``id, component`` of what is linked to another one so far: the labels, with those merged that new links join."""
+    if labels is None:
+        return cut(connected_components(links), "labels")
+    ends = links
+    for end in ("a", "b"):
+        named = labels.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
+        ends = ends.join(named, end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
+    found = cut(connected_components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "merged")
+    moved = labels.join(found.select(F.col("id").alias("component"), F.col("component").alias("root")), "component", "left")
+    moved = moved.select("id", F.coalesce("root", "component").alias("component"))
+    fresh = found.join(labels.select("id"), "id", "left_anti").select("id", "component")
+    return cut(moved.unionByName(fresh), "labels")
 
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """``bucket, id, component, size`` of the buckets whose members are in several components."""
-    named = cut(members.join(labels, "id").select("bucket", "id", "component"), "members")
-    several = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"))
-    several = cut(several.filter("low != high").select("bucket", "size"), "open")
-    return cut(named.join(several, "bucket"), "members")
+    """``bucket, id, component, size, outliers`` of the buckets whose members are in several components; ``outlier``
+    says that the member is not in the bucket's largest one, ``outliers`` how many are not."""
+    named = members.join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    parts = named.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    several = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("top"))
+    several = several.filter("k > 1").select("bucket", "size", F.col("top.component").alias("largest"), (F.col("size") - F.col("top.n")).alias("outliers"))
+    found = named.join(cut(several, "open"), "bucket").withColumn("outlier", F.col("component") != F.col("largest"))
+    return cut(found.drop("largest"), "members")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,34 +212,34 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     buckets = features.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("id"))
     shared = cut(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("pivot")).filter("n > 1").drop("n"), "buckets")
     members = cut(buckets.join(shared, "bucket").select("bucket", "id", "pivot"), "members")
-    reps = classes.select("id").distinct()
     candidates = cut(members.select("id").distinct(), "candidates")
     sets = cut(_texts(chosen, candidates).mapInArrow(_sets, "id long, shingles binary"), "sets")
 
     pairs = members.filter("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    links = _links(pairs, features, sets, percent)
+    labels = _merged(None, _links(pairs, features, sets, percent))
     rest = members.filter("id != pivot").select("bucket", "id")
-    strata = 1
+    strata = 8
     while True:
-        labels = _components(reps, links)
         rest = _open(rest, labels)
         if rest.isEmpty():
             break
-        one = rest.select("bucket", F.col("id").alias("a"), F.col("component").alias("ca"), "size")
-        small = one.filter(F.col("size") <= SMALL).join(rest.select("bucket", F.col("id").alias("b"), F.col("component").alias("cb")), "bucket").filter("a < b and ca != cb")
+        one = rest.filter(F.col("size") <= SMALL).select("bucket", F.col("id").alias("a"), F.col("component").alias("ca"))
+        small = one.join(rest.select("bucket", F.col("id").alias("b"), F.col("component").alias("cb")), "bucket").filter("a < b and ca != cb")
         large = rest.filter(F.col("size") > SMALL)
-        # of some components and of some parts of each, so that a few outliers beside a large component come first
-        parts = [F.expr("pmod(xxhash64(component), 4)").alias("_some"), F.expr(f"pmod(xxhash64(id), {strata})").alias("_part")]
-        chosen_pivots = large.groupBy("bucket", *parts).agg(F.min(F.struct("id", "component")).alias("p"))
-        chosen_pivots = cut(chosen_pivots.select("bucket", F.col("p.id").alias("a"), F.col("p.component").alias("ca")), "pivots")
-        met = large.join(chosen_pivots, "bucket").filter("id != a and component != ca")
+        # all outliers if they are few, which settles the bucket, else some members of the largest component, to which
+        # most outliers have a link, and some outliers
+        every = large.filter(F.col("outliers") <= SMALL).filter("outlier").select("bucket", "id", "component")
+        some = large.filter(F.col("outliers") > SMALL).groupBy("bucket", "outlier", F.expr(f"pmod(xxhash64(id), {strata})").alias("_part"))
+        some = some.agg(F.min(F.struct("id", "component")).alias("p")).select("bucket", "p.id", "p.component")
+        pivots = cut(every.unionByName(some).select("bucket", F.col("id").alias("a"), F.col("component").alias("ca")), "pivots")
+        met = large.join(pivots, "bucket").filter("id != a and component != ca")
         pairs = small.select("a", "b").unionByName(met.select("a", F.col("id").alias("b")))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = cut(links.unionByName(_links(pairs, features, sets, percent)), "alllinks")
-        rest = cut(large.join(chosen_pivots.select("bucket", F.col("a").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id"), "rest")
+        labels = _merged(labels, _links(pairs, features, sets, percent))
+        rest = large.join(pivots.select("bucket", F.col("a").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id")
         strata *= 4
 
-    named = cut(classes.join(labels, "id").select("set_key", "component"), "named")
+    named = cut(classes.join(labels, "id", "left").select("set_key", F.coalesce("component", "id").alias("component")), "named")
     return rows.join(named, "set_key", "left").select(
         "doc_id",
         "n_shingles",
