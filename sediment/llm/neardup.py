@@ -5,7 +5,7 @@ Documents with equal shingle sets form a class with one representative from the
 Within a bucket of a band no pairs are listed either. All members are compared with a few pivots; a member that is
 linked leaves its bucket's open question, a pivot has met all others and is done with the bucket. Buckets whose
 members ended in one component are settled, small ones compare the rest pair by pair, and large ones go on with the
-members outside their largest component as pivots, or with more of both kinds while these are many. So two linked representatives that share a bucket are always either compared or already in one
+members outside their largest component as pivots or, while these are many, with more of the others. So two linked representatives that share a bucket are always either compared or already in one
 component.
 """
 
@@ -226,10 +226,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
         one = rest.filter(F.col("size") <= SMALL).select("bucket", F.col("id").alias("a"), F.col("component").alias("ca"))
         small = one.join(rest.select("bucket", F.col("id").alias("b"), F.col("component").alias("cb")), "bucket").filter("a < b and ca != cb")
         large = rest.filter(F.col("size") > SMALL)
-        # all outliers if they are few, which settles the bucket, else some members of the largest component, to which
-        # most outliers have a link, and some outliers
-        every = large.filter(F.col("outliers") <= SMALL).filter("outlier").select("bucket", "id", "component")
-        some = large.filter(F.col("outliers") > SMALL).groupBy("bucket", "outlier", F.expr(f"pmod(xxhash64(id), {strata})").alias("_part"))
+        # all outliers if they are few, which settles the bucket; else, beside a large component, some members of it, to
+        # which most outliers have a link; else some of all members
+        every = large.filter((F.col("outliers") <= SMALL) & F.col("outlier")).select("bucket", "id", "component")
+        many = large.filter((F.col("outliers") > SMALL) & ((2 * F.col("outliers") > F.col("size")) | ~F.col("outlier")))
+        some = many.groupBy("bucket", F.expr(f"pmod(xxhash64(id), {strata})").alias("_part"))
         some = some.agg(F.min(F.struct("id", "component")).alias("p")).select("bucket", "p.id", "p.component")
         pivots = cut(every.unionByName(some).select("bucket", F.col("id").alias("a"), F.col("component").alias("ca")), "pivots")
         met = large.join(pivots, "bucket").filter("id != a and component != ca")
