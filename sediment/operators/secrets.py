@@ -75,12 +75,19 @@ def _finding(kind: Column, severity: Column, category: str, value: Column) -> Co
     return F.struct(kind.alias("type"), severity.alias("severity"), F.lit(category).alias("category"), value.alias("_value"))
 
 
+def _each(values: Column, kind: Column, severity: Column, category: str) -> Column:
+    return F.transform(values, lambda v: _finding(kind, severity, category, v))
+
+
 def line_findings(lines: DataFrame, keys: tuple[str, ...] = ("path",), config: Column | None = None) -> DataFrame:
     """The key columns, ``line, type, severity, category, message`` of the credentials and addresses in lines (``line``,
     ``text``). All rules look at a line in one projection; equal findings of one line count once. Values never come
     out."""
     text, config = F.col("text"), F.lit(False) if config is None else config
-    found = [F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda v, n=name, s=severity: _finding(F.lit(n), F.lit(s), "Secrets", v)) for name, severity, p in RAW_RULES]
+    found = []
+    for name, severity, pattern in RAW_RULES:
+        kind = (F.lit(name), F.lit(severity), "Secrets")
+        found.append(_each(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), *kind))
     # of each pair the key, and the value in double, in single or without quotes
     pairs = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(KEY_VALUE), F.lit(k)).alias(f"g{k}") for k in (1, 4, 5, 6)])
 
