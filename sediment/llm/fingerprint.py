@@ -19,20 +19,47 @@ from sediment.llm.common import shuffle_partitions
 WIDE, WIDE_BITS, SIGNED, SIGNED_BITS = 16, 32, 64, 16
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def lanes(text: Column) -> Column:
     """The fingerprint of a text (not null) as an array of WIDE + SIGNED longs, each below its modulus."""
-    digests = F.transform(F.split(text, "\n"), lambda p: F.sha2(p, 256))
-    signs = F.transform(digests, lambda d: F.xxhash64(d, F.lit(-1)))
+    zero, low = F.lit(0).cast("long"), F.lit(2**WIDE_BITS - 1)
+
+    def wide(digests: Column) -> Column:
+        """Two lanes of each of WIDE / 2 hashes of a paragraph."""
+
+        def pair(i: Column) -> Column:
+            hashes = F.transform(digests, lambda d: F.xxhash64(d, i))
+            lower = lambda h: F.aggregate(h, zero, lambda a, x: a + x.bitwiseAND(low))
+            upper = lambda h: F.aggregate(h, zero, lambda a, x: a + F.shiftrightunsigned(x, WIDE_BITS))
+            return _let(hashes, lambda h: F.array(F.pmod(lower(h), F.lit(2**WIDE_BITS)), F.pmod(upper(h), F.lit(2**WIDE_BITS))))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(WIDE // 2 - 1)), pair))
+
+    def ones(signs: Column) -> Column:
+        """How many paragraphs have +1 in each lane. Four lanes are counted in one sum while a count fits 16 bits."""
+        fields = F.lit(0x0001000100010001)
+
+        def four(k: int) -> Column:
+            total = F.aggregate(signs, zero, lambda a, s: a + F.shiftrightunsigned(s, k).bitwiseAND(fields))
+            return _let(total, lambda t: F.array(*[F.shiftrightunsigned(t, 16 * f).bitwiseAND(F.lit(0xFFFF)) for f in range(SIGNED // 16)]))
+
+        def one(i: Column) -> Column:
+            return F.aggregate(signs, zero, lambda a, s: a + F.getbit(s, (i % 4) * 16 + F.floor(i / 4).cast("int")))
+
+        packed = F.flatten(F.array(*[four(k) for k in range(16)]))
+        return F.when(F.size(signs) < 32768, packed).otherwise(F.transform(F.sequence(F.lit(0), F.lit(SIGNED - 1)), one))
 
-    def wide(i: Column) -> Column:
-        total = F.aggregate(digests, F.lit(0).cast("long"), lambda a, d: a + F.xxhash64(d, i).bitwiseAND(F.lit(2**WIDE_BITS - 1)))
-        return F.pmod(total, F.lit(2**WIDE_BITS))
+    def signed(signs: Column) -> Column:
+        return F.transform(ones(signs), lambda n: F.pmod(2 * n - F.size(signs), F.lit(2**SIGNED_BITS)).cast("long"))
 
-    def signed(i: Column) -> Column:
-        ones = F.aggregate(signs, F.lit(0).cast("long"), lambda a, s: a + F.getbit(s, i))
-        return F.pmod(2 * ones - F.size(signs), F.lit(2**SIGNED_BITS)).cast("long")
+    def both(digests: Column) -> Column:
+        return F.concat(wide(digests), _let(F.transform(digests, lambda d: F.xxhash64(d, F.lit(-1))), signed))
 
-    return F.concat(F.transform(F.sequence(F.lit(0), F.lit(WIDE - 1)), wide), F.transform(F.sequence(F.lit(0), F.lit(SIGNED - 1)), signed))
+    return _let(F.transform(F.split(text, "\n"), lambda p: F.sha2(p, 256)), both)
 
 
 def added(x: Column, y: Column, sign: int = 1) -> Column:
