@@ -1,0 +1,260 @@
+"""Database entities that sources declare: tables, columns, relations, merged by name.
+
+Each dialect is a projection of matches to rows ``ord, path, entity, at, kind, name, type, is_pk, target, symbol, label,
+comment``; ``ord`` is the dialect's place, as the first declaration of a name counts.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from sediment.functions.text import capitalized, group, singulars
+from sediment.operators.lines import explode_lines
+from sediment.operators.structure import members
+
+ONE_MANY, MANY_ONE, MANY_MANY, ONE_ONE = "||--o{", "}o--||", "}o--o{", "||--||"
+#: Scalar types of schema languages.
+PRISMA_SCALARS = ("String", "Boolean", "Int", "BigInt", "Float", "Decimal", "DateTime", "Json", "Bytes")
+SHARP_SCALARS = ("string", "int", "long", "bool", "double", "decimal", "float", "DateTime", "DateTimeOffset", "Guid", "byte", "short", "char", "byte[]")
+SCRIPT_SCALARS = ("string", "number", "boolean", "Date", "any", "unknown", "bigint")
+
+
+def _column(rows: DataFrame, order: int, entity: Column, name: Column, kind: Column, pk: Column) -> DataFrame:
+    none = F.lit(None).cast("string")
+    return rows.select(F.lit(order).alias("ord"), "path", entity.alias("entity"), F.col("at").cast("int").alias("at"), F.lit("column").alias("kind"), name.alias("name"), kind.alias("type"), F.coalesce(pk, F.lit(False)).alias("is_pk"), none.alias("target"), none.alias("symbol"), none.alias("label"), none.alias("comment"))
+
+
+def _relation(rows: DataFrame, order: int, entity: Column, target: Column, symbol: Column, label: Column, comment: Column | None = None) -> DataFrame:
+    none = F.lit(None).cast("string")
+    return rows.select(F.lit(order).alias("ord"), "path", entity.alias("entity"), F.col("at").cast("int").alias("at"), F.lit("relation").alias("kind"), none.alias("name"), none.alias("type"), F.lit(False).alias("is_pk"), target.alias("target"), symbol.alias("symbol"), label.alias("label"), (comment if comment is not None else none).alias("comment"))
+
+
+def _blocks(files: DataFrame, pattern: str) -> DataFrame:
+    """``path, entity, at, text`` of the lines within blocks: group 1 of ``pattern`` is the name, group 2 the body."""
+    pair = F.arrays_zip(F.regexp_extract_all("content", F.lit(pattern), F.lit(1)).alias("n"), F.regexp_extract_all("content", F.lit(pattern), F.lit(2)).alias("b"))
+    blocks = files.select("path", F.explode(pair).alias("p")).select("path", F.col("p.n").alias("entity"), F.col("p.b").alias("content"))
+    return explode_lines(blocks, "content", ("path", "entity")).withColumnRenamed("line", "at")
+
+
+_DEEP = r"(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*"
+
+
+def prisma(files: DataFrame, order: int) -> DataFrame:
+    rows = _blocks(files.filter(F.col("ext") == ".prisma"), rf"(?m)^\s*model\s+(\w+)\s*\{{({_DEEP})\}}")
+    text, field = F.trim("text"), r"^(\w+)\s+(\w+)(\[\])?(\?)?(.*)$"
+    rows = rows.filter(text.rlike(field) & ~text.startswith("//"))
+    kind = F.regexp_extract(text, field, 2)
+    many = F.regexp_extract(text, field, 3) == "[]"
+    plain = rows.filter(kind.isin(*PRISMA_SCALARS))
+    other = rows.filter(~kind.isin(*PRISMA_SCALARS))
+    e, name = F.col("entity"), F.regexp_extract(text, field, 1)
+    return _column(plain, order, e, name, kind, text.contains("@id")).unionByName(_relation(other, order, e, kind, F.when(many, ONE_MANY).otherwise(MANY_ONE), name))
+
+
+def ddl(files: DataFrame, order: int) -> DataFrame:
+    """CREATE TABLE statements: columns, inline and table keys, table-level and inline references."""
+    clean = F.regexp_replace(F.regexp_replace("content", r"--[^\n]*", ""), r"(?s)/\*.*?\*/", "")
+    pattern = r"""(?is)create\s+table\s+(?:if\s+not\s+exists\s+)?[`"\[]?(?:\w+[`"\]]?\.[`"\[]?)?(\w+)[`"\]]?\s*\(((?:[^()]|\((?:[^()]|\([^()]*\))*\))*)\)"""
+    pair = F.arrays_zip(F.regexp_extract_all(clean, F.lit(pattern), F.lit(1)).alias("n"), F.regexp_extract_all(clean, F.lit(pattern), F.lit(2)).alias("b"))
+    tables = files.filter(F.col("ext") == ".sql").select("path", F.explode(pair).alias("p")).select("path", F.col("p.n").alias("entity"), F.col("p.b").alias("body"))
+    # commas within parentheses are no separators
+    parts = tables.select("path", "entity", "body", F.posexplode(F.split(F.regexp_replace("body", r",(?=[^()]*\))", "\u0001"), ",")).alias("at", "text"))
+    parts = parts.withColumn("text", F.regexp_replace(F.regexp_replace("text", "\u0001", ","), r"^\s+|\s+$", ""))
+    text = F.col("text")
+    constraint = text.rlike(r"(?i)^(constraint|primary\s+key|foreign\s+key|unique|check|index|key)\b")
+    column = r"""(?s)^[`"\[]?(\w+)[`"\]]?\s+(\w+(?:\s*\([^)]*\))?)(.*)$"""
+    keys = F.regexp_extract("body", r"(?i)primary\s+key\s*\(([^)]*)\)", 1)
+    name = F.regexp_extract(text, column, 1)
+    is_key = text.rlike(r"(?i)\bprimary\s+key\b") | F.array_contains(F.transform(F.split(keys, ","), lambda k: F.regexp_replace(k, r"[\s`\"\[\]]", "")), name)
+    cols = parts.filter(~constraint & text.rlike(column))
+    refs = r"""(?is)references\s+[`"\[]?(\w+)[`"\]]?"""
+    label = F.coalesce(group(text, r"(?is)foreign\s+key\s*\(\s*[`\"\[]?(\w+)", 1), F.regexp_extract(text, column, 1))
+    return _column(cols, order, F.col("entity"), name, F.regexp_extract(text, column, 2), is_key).unionByName(_relation(parts.filter(text.rlike(refs)), order, F.col("entity"), F.regexp_extract(text, refs, 1), F.lit(MANY_ONE), label))
+
+
+def python_models(files: DataFrame, order: int) -> DataFrame:
+    """SQLAlchemy and Django classes: the assignments and annotations in the body of a class that is a model by its base,
+    by its table name or by its file's name."""
+    pattern = r"(?m)^class\s+(\w+)\s*(?:\([^)]*\))?:[^\n]*\n((?:(?:[ \t]+[^\n]*|[ \t]*)(?:\n|\z))*)"
+    heads = F.regexp_extract_all("content", F.lit(r"(?m)^class\s+\w+\s*(\([^)]*\))?:"), F.lit(1))
+    pair = F.arrays_zip(F.regexp_extract_all("content", F.lit(pattern), F.lit(1)).alias("n"), F.regexp_extract_all("content", F.lit(pattern), F.lit(2)).alias("b"), heads.alias("h"))
+    found = files.filter(F.col("ext") == ".py").select("path", "name", F.explode(pair).alias("p"))
+    model = F.col("p.h").rlike(r"\b(Base|Model|DeclarativeBase|AbstractUser)\b") | F.col("p.b").contains("__tablename__") | F.lower("name").contains("model")
+    rows = explode_lines(found.filter(model).select("path", F.col("p.n").alias("entity"), F.col("p.b").alias("content")), "content", ("path", "entity")).withColumnRenamed("line", "at")
+    text, e = F.col("text"), F.col("entity")
+    name = F.regexp_extract(text, r"^\s+(\w+)\s*[:=]", 1)
+    rows = rows.filter(text.rlike(r"^\s+\w+\s*[:=]"))
+    to = r"""(?:relationship|ForeignKey|ManyToManyField|OneToOneField)\(\s*['"]?([\w.]+)"""
+    mapped = r"""Mapped\[(?:Optional\[)?(?:([Ll]ist|[Ss]et|Sequence)\[)?['"]?(\w+)"""
+    related = text.rlike(r"\brelationship\(")
+    many = text.rlike(r"Mapped\[(?:[Ll]ist|[Ss]et|Sequence)\[") | (name.endswith("s") & ~text.contains("uselist=False"))
+    symbol = F.when(text.contains("uselist=False"), ONE_ONE).when(many, ONE_MANY).otherwise(MANY_ONE)
+    target = F.coalesce(group(text, r"""relationship\(\s*['"](\w+)""", 1), group(text, mapped, 2))
+    out = _relation(rows.filter(related), order, e, target, symbol, name)
+    key = text.rlike(r"\bForeignKey\(")
+    out = out.unionByName(_relation(rows.filter(key & ~related), order, e, F.regexp_extract(F.regexp_extract(text, to, 1), r"^(?:.*?\.)??(\w+)(?:\.\w+)?$", 1), F.lit(MANY_ONE), name))
+    out = out.unionByName(_relation(rows.filter(text.rlike(r"\bManyToManyField\(")), order, e, F.regexp_extract(text, to, 1), F.lit(MANY_MANY), name))
+    out = out.unionByName(_relation(rows.filter(text.rlike(r"\bOneToOneField\(")), order, e, F.regexp_extract(text, to, 1), F.lit(ONE_ONE), name))
+    column = rows.filter(~related & text.rlike(r"(\b(Column|mapped_column)\(|Mapped\[|\b\w+Field\()") & ~text.rlike(r"\b(ManyToMany|OneToOne)Field\("))
+    kind = F.coalesce(group(text, r"\b(?:Column|mapped_column)\(\s*(?:['\"]\w+['\"]\s*,\s*)?(?!ForeignKey)(\w+)", 1), group(text, mapped, 2), group(text, r"\b(\w+Field)\(", 1), F.lit("Column"))
+    return out.unionByName(_column(column, order, e, name, kind, text.rlike(r"primary_key\s*=\s*True")))
+
+
+def annotated(files: DataFrame, language: str, order: int) -> DataFrame:
+    """Entities of Java, C# and TypeScript classes by annotations and member types; the annotations of a member stand on
+    its line or the one above."""
+    rows = members(files, language).filter(~F.col("is_header")).withColumn("at", F.col("line"))
+    note, text, e = F.concat_ws(" ", "before", "text"), F.col("text"), F.col("name")
+    if language == "script":
+        field = r"^\s*(?:@\w+\([^)]*\)\s*)*(\w+)[?!]?\s*:\s*([\w<>\[\]]+)"
+        name, kind = F.regexp_extract(text, field, 1), F.regexp_extract(text, field, 2)
+        link = r"@(OneToMany|ManyToOne|ManyToMany|OneToOne)\(\s*\(?\w*\)?\s*=>\s*(\w+)"
+        rows = rows.filter(text.rlike(field))
+        related = rows.filter(note.rlike(link))
+        which = F.regexp_extract(note, link, 1)
+        symbol = F.when(which == "OneToMany", ONE_MANY).when(which == "ManyToOne", MANY_ONE).when(which == "ManyToMany", MANY_MANY).otherwise(ONE_ONE)
+        columns = rows.filter(note.rlike(r"@(Primary)?(Generated)?Column") & ~note.rlike(link))
+        return _relation(related, order, e, F.regexp_extract(note, link, 2), symbol, name).unionByName(_column(columns, order, e, name, kind, note.rlike(r"@Primary")))
+    if language == "java":
+        field = r"(?:private|protected|public)?\s*([\w<>\[\], ]+?)\s+(\w+)\s*(?:=[^;]*)?;"
+        rows = rows.filter(text.rlike(rf"^\s*(?:@\w+(?:\([^)]*\))?\s*)*{field}") & ~note.rlike("@Transient"))
+        entity = files.filter(F.col("ext") == ".java").filter(F.col("content").rlike(r"@(?:\w+\.)*(Entity|Table|Document)\b|@(?:Id|Column)\b")).select("path")
+        rows = rows.join(entity, "path", "left_semi")
+        kind, name = F.regexp_extract(text, field, 1), F.regexp_extract(text, field, 2)
+        related = note.rlike(r"@(ManyToOne|OneToOne|OneToMany|ManyToMany)")
+        symbol = F.when(note.rlike(r"@(OneToMany|ManyToMany)"), ONE_MANY).otherwise(MANY_ONE)
+        pk, target = note.rlike(r"@Id\b"), F.coalesce(group(kind, r"<(?:\w+,\s*)?(\w+)>", 1), kind)
+        return _relation(rows.filter(related), order, e, target, symbol, name).unionByName(_column(rows.filter(~related), order, e, name, kind, pk))
+    field = r"public\s+(?:virtual\s+|required\s+)*([\w<>\[\]?]+)\s+(\w+)\s*\{\s*get"
+    hinted = files.filter(F.lower("name").rlike(r"model|entity|controller|context") | F.exists("folders", lambda p: F.lower(p).rlike("model|entit|domain"))).select("path")
+    rows = rows.filter(text.rlike(field)).join(hinted, "path", "left_semi")
+    kind, name = F.regexp_replace(F.regexp_extract(text, field, 1), r"\?$", ""), F.regexp_extract(text, field, 2)
+    many, foreign = kind.rlike(r"^(I?Collection|I?List|IEnumerable|HashSet|DbSet)<"), note.rlike(r"\[ForeignKey")
+    plain = kind.isin(*SHARP_SCALARS)
+    target = F.when(many, F.regexp_extract(kind, r"<(\w+)>", 1)).when(foreign & plain, F.regexp_extract(note, r"""\[ForeignKey\(\s*(?:nameof\()?['"]?(\w+)""", 1)).otherwise(kind)
+    label = F.when(foreign, "FK").otherwise(name)
+    symbol = F.when(many, ONE_MANY).otherwise(MANY_ONE)
+    return _relation(rows.filter(many | foreign | ~plain), order, e, target, symbol, label).unionByName(_column(rows.filter(plain), order, e, name, kind, note.rlike(r"\[Key\]")))
+
+
+def eloquent(files: DataFrame, order: int) -> DataFrame:
+    rows = files.filter((F.col("ext") == ".php") & F.col("content").rlike(r"class\s+\w+\s+extends\s+[\w\\]*(Model|Authenticatable)"))
+    entity = F.regexp_extract("content", r"class\s+(\w+)\s+extends", 1)
+    filled = F.regexp_extract_all(F.regexp_extract("content", r"(?s)\$fillable\s*=\s*\[(.*?)\]", 1), F.lit(r"['\"](\w+)['\"]"), F.lit(1))
+    columns = rows.select("path", entity.alias("e"), F.posexplode(filled).alias("at", "n"))
+    link = r"(?s)function\s+(\w+)\s*\([^)]*\)[^{]*\{[^}]*?->\s*(\w+)\(\s*([\w\\]+)::class"
+    each = [F.regexp_extract_all("content", F.lit(link), F.lit(k)).alias(n) for k, n in ((1, "label"), (2, "how"), (3, "to"))]
+    links = rows.select("path", entity.alias("e"), F.posexplode(F.arrays_zip(*each)).alias("at", "p")).filter(F.col("p.how").isin("hasOne", "hasMany", "belongsTo", "belongsToMany", "morphOne", "morphMany", "morphTo", "morphToMany", "morphedByMany", "hasOneThrough", "hasManyThrough"))
+    symbol = F.when(F.col("p.how").contains("Many"), ONE_MANY).when(F.col("p.how").startswith("belongs"), MANY_ONE).otherwise(ONE_ONE)
+    return _column(columns, order, F.col("e"), F.col("n"), F.lit("string"), F.lit(False)).unionByName(_relation(links, order, F.col("e"), F.element_at(F.split("p.to", r"\\"), -1), symbol, F.col("p.label")))
+
+
+def script_schemas(files: DataFrame, order: int) -> DataFrame:
+    """Mongoose schemas (only beside a package.json that names mongoose), Sequelize definitions, Drizzle tables, and
+    interfaces and types of files named for them."""
+    scripts = files.filter(F.col("ext").isin(".js", ".ts", ".jsx", ".tsx", ".mjs"))
+    mongoose = files.filter((F.col("name") == "package.json") & F.col("content").contains("mongoose")).limit(1).select(F.lit(1).alias("_one"))
+    gated = scripts.withColumn("_one", F.lit(1)).join(F.broadcast(mongoose), "_one", "left_semi").drop("_one")
+    inferred = F.lit("inferred from controller/collection")
+    bodies = _blocks(gated, rf"(?:const|let|var)\s+(\w+?)(?:Schema)?\s*=\s*new\s+(?:mongoose\.)?Schema\(\s*\{{({_DEEP})\}}")
+    text, field = F.trim("text"), r"^(\w+)\s*:\s*(.+)$"
+    bodies = bodies.filter(text.rlike(field))
+    e, name, value = capitalized(F.col("entity")), F.regexp_extract(text, field, 1), F.regexp_extract(text, field, 2)
+    ref = r"""ref:\s*['"](\w+)"""
+    kind = F.coalesce(group(value, r"type:\s*(?:\[?\s*)?(?:Schema\.Types\.|mongoose\.Schema\.Types\.)?(\w+)", 1), group(value, r"^(\w+)", 1), F.lit("Object"))
+    out = _relation(bodies.filter(value.rlike(ref)), order, e, F.regexp_extract(value, ref, 1), F.when(value.startswith("["), ONE_MANY).otherwise(MANY_ONE), name, inferred)
+    out = out.unionByName(_column(bodies.filter(~value.rlike(ref)), order, e, name, F.when(F.length(kind) > 24, "Object").otherwise(kind), name == "_id"))
+    defined = _blocks(scripts, rf"""\.define\(\s*['"](\w+)['"]\s*,\s*\{{({_DEEP})\}}""").filter(text.rlike(field))
+    out = out.unionByName(_column(defined, order + 1, F.col("entity"), name, F.coalesce(group(value, r"DataTypes\.(\w+)", 1), F.lit("Field")), text.rlike(r"primaryKey:\s*true")))
+    ties = r"\b(\w+)\.(hasMany|hasOne|belongsTo|belongsToMany)\(\s*(?:models\.)?(\w+)"
+    tied = explode_lines(scripts).withColumnRenamed("line", "at").filter(F.col("text").rlike(ties))
+    how = F.regexp_extract("text", ties, 2)
+    symbol = F.when(how == "belongsToMany", MANY_MANY).when(how == "hasMany", ONE_MANY).when(how == "belongsTo", MANY_ONE).otherwise(ONE_ONE)
+    out = out.unionByName(_relation(tied, order + 1, F.regexp_extract("text", ties, 1), F.regexp_extract("text", ties, 3), symbol, how))
+    drizzle = _blocks(scripts, rf"""(?:pg|mysql|sqlite)Table\(\s*['"](\w+)['"]\s*,\s*\{{({_DEEP})\}}""").filter(text.rlike(field))
+    out = out.unionByName(_column(drizzle, order + 2, F.col("entity"), name, F.regexp_extract(value, r"^(\w+)", 1), value.contains(".primaryKey(")))
+    to = r"\.references\(\s*\(\)\s*=>\s*(\w+)\."
+    out = out.unionByName(_relation(drizzle.filter(value.rlike(to)), order + 2, F.col("entity"), F.regexp_extract(value, to, 1), F.lit(MANY_ONE), name))
+    typed = _blocks(files.filter((F.col("ext") == ".ts") & F.lower("name").rlike("model|type|interface")), rf"(?:interface|type)\s+(\w+)\s*(?:extends\s+[\w, ]+)?=?\s*\{{({_DEEP})\}}")
+    member = r"^(?:readonly\s+)?(\w+)\??\s*:\s*([^;,]+)"
+    typed = typed.filter(text.rlike(member))
+    name, kind = F.regexp_extract(text, member, 1), F.trim(F.regexp_extract(text, member, 2))
+    item = F.coalesce(group(kind, r"^(\w+)\[\]", 1), group(kind, r"^Array<(\w+)>", 1))
+    listed = item.isNotNull() & ~item.isin(*SCRIPT_SCALARS)
+    pointer = group(name, r"^(\w+?)(?:Id|_id)$", 1)
+    out = out.unionByName(_column(typed.filter(~listed), order + 3, F.col("entity"), name, kind, name == "id"))
+    out = out.unionByName(_relation(typed.filter(listed), order + 3, F.col("entity"), item, F.lit(ONE_MANY), name, inferred))
+    return out.unionByName(_relation(typed.filter(pointer.isNotNull()), order + 3, F.col("entity"), capitalized(pointer), F.lit(MANY_ONE), name, inferred))
+
+
+def firestore(files: DataFrame, order: int) -> DataFrame:
+    """Collections that code names, only where a ``firebaseConfig.ts`` exists."""
+    gate = files.filter(F.col("name") == "firebaseConfig.ts").limit(1).select(F.lit(1).alias("_one"))
+    scripts = files.filter(F.col("ext").isin(".ts", ".tsx", ".js", ".jsx")).withColumn("_one", F.lit(1)).join(F.broadcast(gate), "_one", "left_semi")
+    nested = r"""collection\(\s*\w+\s*,\s*['"](\w+)['"]\s*,\s*[^,()]+,\s*['"](\w+)['"]"""
+    each = F.arrays_zip(*[F.regexp_extract_all("content", F.lit(nested), F.lit(k)).alias(n) for k, n in ((1, "a"), (2, "b"))])
+    links = scripts.select("path", F.posexplode(each).alias("at", "p"))
+    names = scripts.select("path", F.posexplode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"""(?:collection|doc)\(\s*\w+\s*,\s*['"](\w+)['"]"""), F.lit(1)))).alias("at", "n"))
+    return _column(names, order, F.col("n"), F.lit("id"), F.lit("string"), F.lit(True)).unionByName(_relation(links, order, F.col("p.a"), F.col("p.b"), F.lit(ONE_MANY), F.col("p.b")))
+
+
+def declared(files: DataFrame) -> DataFrame:
+    """The rows of all dialects, in their fixed order."""
+    parts = [
+        python_models(files, 0),
+        prisma(files, 1),
+        ddl(files, 2),
+        script_schemas(files, 3),
+        firestore(files, 7),
+        annotated(files, "script", 8),
+        annotated(files, "csharp", 9),
+        annotated(files, "java", 10),
+        eloquent(files, 11),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def merged(rows: DataFrame) -> DataFrame:
+    """``ord, name, columns, relations`` of each entity: distinct columns by name and type and distinct relations by
+    target, type and label in the order of their first declaration; a relation with a comment replaces one without."""
+    place = F.struct("ord", "path", "at")
+    first = rows.groupBy(F.col("entity").alias("name")).agg(F.min(place).alias("_first"))
+    cols = rows.filter("kind = 'column'").groupBy("entity", "name", "type").agg(F.min(place).alias("p"), F.max("is_pk").alias("is_pk"))
+    cols = cols.groupBy("entity").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "name", "type", "is_pk"))), lambda c: F.struct(c["name"].alias("name"), c["type"].alias("type"), c["is_pk"].alias("is_pk"))).alias("columns"))
+    rels = rows.filter("kind = 'relation'").groupBy("entity", "target", "symbol", "label").agg(F.min(place).alias("p"), F.max("comment").alias("comment"))
+    rels = rels.groupBy("entity").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "target", "symbol", "label", "comment"))), lambda r: F.struct(*[r[c].alias(c) for c in ("target", "symbol", "label", "comment")])).alias("relations"))
+    out = first.join(cols.withColumnRenamed("entity", "name"), "name", "left").join(rels.withColumnRenamed("entity", "name"), "name", "left")
+    empty = {c: f.dataType for c, f in ((n, out.schema[n]) for n in ("columns", "relations"))}
+    out = out.select("_first", "name", *[F.coalesce(c, F.array().cast(t)).alias(c) for c, t in empty.items()])
+    from pyspark.sql.window import Window
+
+    return out.withColumn("ord", F.row_number().over(Window.orderBy("_first", "name"))).select("ord", "name", "columns", "relations")  # entities of one repository
+
+
+def resolved_targets(entities: DataFrame) -> DataFrame:
+    """``name, symbol, label, target, resolved``: each relation's target as a known entity's name: namespaces stripped,
+    then the target and the label as they stand, with capitals, in lower and upper case and in the singular, exact names
+    before any case; null if none is known."""
+    links = entities.select("name", F.posexplode("relations").alias("_at", "r")).select("name", "_at", "r.symbol", "r.label", "r.target")
+    bare = F.regexp_replace(F.element_at(F.split("target", r"[.\\]"), -1), "::class$", "")
+    forms = lambda c: F.flatten(F.transform(singulars(c), lambda w: F.array(w, capitalized(w), F.lower(w), F.upper(w))))
+    options = links.select("name", "_at", F.posexplode(F.concat(forms(bare), forms(F.coalesce("label", F.lit(""))))).alias("_n", "form"))
+    known = entities.select(F.col("name").alias("resolved"))
+    exact = options.join(known, F.col("form") == F.col("resolved")).select("name", "_at", F.lit(0).alias("_loose"), "_n", "resolved")
+    loose = options.join(known, F.lower("form") == F.lower("resolved")).select("name", "_at", F.lit(1).alias("_loose"), "_n", "resolved")
+    best = exact.unionByName(loose).groupBy("name", "_at").agg(F.min(F.struct("_loose", "_n", "resolved")).alias("b"))
+    return links.join(best.select("name", "_at", "b.resolved"), ["name", "_at"], "left").drop("_at")
+
+
+def dictionary(entities: DataFrame) -> DataFrame:
+    """``ord, at, Table, Type, Name, Details``: columns, then relations, of each table."""
+    cols = entities.select("ord", F.posexplode("columns").alias("at", "c"), F.col("name").alias("Table"))
+    cols = cols.select("ord", "at", "Table", F.lit("Column").alias("Type"), F.col("c.name").alias("Name"), F.concat("c.type", F.when(F.col("c.is_pk"), " PK").otherwise("")).alias("Details"))
+    rels = entities.select("ord", F.posexplode("relations").alias("at", "r"), F.col("name").alias("Table"))
+    note = F.when(F.col("r.comment").isNotNull(), F.concat(F.lit(" | "), F.col("r.comment"))).otherwise("")
+    rels = rels.select("ord", (F.col("at") + 10_000).alias("at"), "Table", F.lit("Relationship").alias("Type"), F.col("r.label").alias("Name"), F.concat("r.symbol", F.lit(" -> "), "r.target", note).alias("Details"))
+    return cols.unionByName(rels).orderBy("ord", "at")
