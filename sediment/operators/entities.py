@@ -121,7 +121,7 @@ def annotated(files: DataFrame, language: str, order: int) -> DataFrame:
         rows = rows.filter(text.rlike(rf"^\s*(?:@\w+(?:\([^)]*\))?\s*)*{field}") & ~note.rlike("@Transient"))
         entity = files.filter(F.col("ext") == ".java").filter(F.col("content").rlike(r"@(?:\w+\.)*(Entity|Table|Document)\b|@(?:Id|Column)\b")).select("path")
         rows = rows.join(entity, "path", "left_semi")
-        kind, name = F.regexp_extract(text, field, 1), F.regexp_extract(text, field, 2)
+        kind, name = F.regexp_replace(F.regexp_extract(text, field, 1), r"^\s*(?:(?:private|protected|public|static|final)\s+)*", ""), F.regexp_extract(text, field, 2)
         related = note.rlike(r"@(ManyToOne|OneToOne|OneToMany|ManyToMany)")
         symbol = F.when(note.rlike(r"@(OneToMany|ManyToMany)"), ONE_MANY).otherwise(MANY_ONE)
         pk, target = note.rlike(r"@Id\b"), F.coalesce(group(kind, r"<(?:\w+,\s*)?(\w+)>", 1), kind)

@@ -38,7 +38,7 @@ class Engine:
 
     @cached_property
     def resolved(self) -> DataFrame:
-        return entities.resolved_targets(self.entities)
+        return entities.resolved_targets(self.entities).persist()
 
     @cached_property
     def routes(self) -> DataFrame:
@@ -46,7 +46,7 @@ class Engine:
 
     @cached_property
     def contracts(self) -> DataFrame:
-        return routes.contracts(self.routes, self.entities.select("ord", F.col("name").alias("entity")))
+        return routes.contracts(self.routes, self.entities.select("ord", F.col("name").alias("entity"))).persist()
 
     @cached_property
     def todos(self) -> DataFrame:
@@ -69,7 +69,8 @@ class Engine:
 
     @cached_property
     def graph(self) -> tuple[DataFrame, DataFrame]:
-        return asg.build(self.classes, self.entities, self.resolved, self.contracts)
+        vertices, edges = asg.build(self.classes, self.entities, self.resolved, self.contracts)
+        return vertices.persist(), edges.persist()
 
     @cached_property
     def requirements(self) -> DataFrame:

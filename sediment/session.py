@@ -12,6 +12,7 @@ def session(app: str = "sediment", master: str | None = None, **conf: str) -> Sp
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.maxPlanStringLength": "200000",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     } | {k.replace("__", "."): v for k, v in conf.items()}
     builder = SparkSession.builder.appName(app).config(map=settings)

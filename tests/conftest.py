@@ -5,6 +5,6 @@ import pytest
 def spark():
     from sediment.session import session
 
-    s = session("tests", "local[4]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false")
+    s = session("tests", "local[4]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false", spark__driver__memory="4g", spark__ui__showConsoleProgress="false")
     s.sparkContext.setLogLevel("ERROR")
     return s
