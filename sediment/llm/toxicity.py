@@ -26,6 +26,8 @@ ORDERS, BITS = (4, 5, 6), 20
 ROWS, FEATURES = 6000, 5000
 #: Labelled texts an n-gram must occur in, smoothing of the counts, strength of the L2 penalty.
 SUPPORT, SMOOTH, PENALTY = 3, 1.0, 1e-3
+#: Standard deviations by which a count must be off for an n-gram to have a weight: few of a million are by chance.
+FAR = 4.5
 THRESHOLD = 0.3
 
 
@@ -81,7 +83,7 @@ def fit(texts: list[str], toxic: list[int], steps: int = 300) -> Model:
     far = (p - (p + q) * n / (n + m)) / np.sqrt((p + q) * n * m / (n + m) ** 2 + 1e-9)
     far[(p + q) < SUPPORT] = 0
     chosen = np.sort(np.argsort(-np.abs(far), kind="stable")[:FEATURES])
-    chosen = chosen[np.abs(far[chosen]) > 3]
+    chosen = chosen[np.abs(far[chosen]) > FAR]
     if not len(chosen):
         return Model(weights, float(np.log(prior / (1 - prior))))
     wanted = np.zeros(len(ratio), bool)

@@ -41,12 +41,13 @@ def test_language_of_odd_rows(docs, odd, nothing):
     assert alone == pytest.approx(langid.predictions(["Ein Text", "The other thing", "x" * 900], model)[1][1])
 
 
-def test_toxicity_on_held_out_rows(docs, labels, odd, nothing):
+def test_toxicity_on_held_out_rows(spark, odd, nothing):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.fit_on(docs, labels)
     rows = toxicity.score_toxicity(docs, model).join(labels, "doc_id").filter("held_out").collect()
     toxic, clean = ([r["score"] for r in rows if r["toxic"] == k] for k in (1, 0))
-    assert np.mean([a > b for a in toxic for b in clean]) > 0.85
-    assert np.mean([s >= 0.3 for s in clean]) < 0.06
+    assert np.mean([a > b for a in toxic for b in clean]) > 0.95
+    assert np.mean([s >= 0.3 for s in toxic]) > 0.85 and np.mean([s >= 0.3 for s in clean]) < 0.03
     assert len(toxicity.score_toxicity(odd, model).collect()) == len(ROWS) and toxicity.score_toxicity(nothing, model).count() == 0
     assert toxicity.fit([], []).bias == 0 and toxicity.scores([None, ""], toxicity.fit(["a"], [1])).tolist() == [0.75, 0.75]
 
