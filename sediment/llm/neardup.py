@@ -33,6 +33,9 @@ SMALL = 32
 #: Candidate documents of up to this number are broadcast as ids (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
+#: Bytes of the pivots' signatures or sets that are broadcast at most.
+BROADCAST_BYTES = 16_000_000
+
 _rng = np.random.default_rng(20)
 _LETTER = _rng.integers(0, 2**64, 256, np.uint64) | np.uint64(1)
 _PLACE = _rng.integers(0, 2**64, WORDS, np.uint64) | np.uint64(1)
@@ -153,14 +156,23 @@ def _confirmed(percent: int):
     return run
 
 
+def _of_pivots(pairs: DataFrame, table: DataFrame, weight: str) -> DataFrame:
+    """The rows of ``table`` for the pivots ``a`` of the pairs: broadcast if their column ``weight`` is small in all, so
+    that no pair carries a copy of it through a shuffle; joined by a shuffle if not."""
+    few = cut(table.join(pairs.select("a").distinct(), "a", "left_semi"), "pivotrows")
+    size = few.agg(F.sum(F.octet_length(weight))).first()[0] or 0
+    return F.broadcast(few) if size <= BROADCAST_BYTES else few
+
+
 def _links(pairs: DataFrame, features: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links, by signatures first and by whole sets then."""
+    """The pairs (pivot a, member b) that are links, by signatures first and by whole sets then."""
+    pairs = cut(pairs, "pairs")
     sig = features.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("signature").alias("sb"))
     sig_a = features.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("signature").alias("sa"))
-    both = pairs.join(sig, "b").join(sig_a, "a").select("a", "b", "na", "nb", "sa", "sb")
+    both = pairs.join(sig, "b").join(_of_pivots(pairs, sig_a, "sa"), "a").select("a", "b", "na", "nb", "sa", "sb")
     likely = cut(both.mapInArrow(_likely, "a long, b long"), "likely")
     whole = likely.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    whole = whole.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").select("a", "b", "x", "y")
+    whole = whole.join(_of_pivots(likely, sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "x"), "a").select("a", "b", "x", "y")
     return cut(whole.mapInArrow(_confirmed(percent), "a long, b long"), "links")
 
 
@@ -218,7 +230,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     pairs = members.filter("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     labels = _merged(None, _links(pairs, features, sets, percent))
     rest = members.filter("id != pivot").select("bucket", "id")
-    strata = 8
+    strata = 1
     while True:
         rest = _open(rest, labels)
         if rest.isEmpty():
@@ -235,7 +247,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
         pivots = cut(every.unionByName(some).select("bucket", F.col("id").alias("a"), F.col("component").alias("ca")), "pivots")
         met = large.join(pivots, "bucket").filter("id != a and component != ca")
         pairs = small.select("a", "b").unionByName(met.select("a", F.col("id").alias("b")))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = pairs.distinct()
         labels = _merged(labels, _links(pairs, features, sets, percent))
         rest = large.join(pivots.select("bucket", F.col("a").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id")
         strata *= 4
