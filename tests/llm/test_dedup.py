@@ -176,3 +176,20 @@ def test_edited_texts(odd):
         assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
         if not k:
             assert r["fingerprint"] == r["edited_fingerprint"] and r["near_edited"] == 1
+
+
+def test_fingerprints_measure_texts_without_line_breaks(spark):
+    """Three quarters of an edited text are unchanged, and nothing of the next text is in it."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    han = lambda: "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(600))
+    rows = [(i, " ".join(word() for _ in range(200)) if i < 20 else han()) for i in range(24)]
+    got = edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = [r for r in got if r["doc_id"] != 19]  # gets a quarter of its characters in Han ones, which are more pieces
+    assert len(got) == 23 and all(0.5 < r["near_edited"] < 0.95 and r["near_next"] < 0.25 for r in got)
+    assert abs(sum(r["near_edited"] for r in got) / 23 - 0.75) < 0.06
+    x, y = ("one two three four", "one two three five")
+    a, b, c, d = spark.range(1).select(lanes(F.lit(f"{x}\n{y}")), added(lanes(F.lit(x)), lanes(F.lit(y))), lanes(F.lit(x)), added(lanes(F.lit(f"{x}\n{y}")), lanes(F.lit(y)), -1)).first()
+    assert a == b and c == d and sum(v if v < 2**15 else v - 2**16 for v in c[WIDE:]) % 2 == 0 and any(c[WIDE:])
