@@ -13,7 +13,7 @@ import hashlib
 import hmac
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,6 +28,7 @@ BROADCAST_REDRAWN = 100_000
 TITLES = {
     "F": ("Mrs", "Ms", "Miss", "Madam", "Frau", "Señora", "Señorita", "Sra", "Madame", "Mme", "Mlle", "Mademoiselle", "Госпожа", "Г-жа", "Κυρία"),
     "M": ("Mr", "Mister", "Sir", "Herr", "Señor", "Sr", "Monsieur", "Господин", "Г-н", "Κύριος"),
+    "U": ("Dr", "Dra", "Prof", "Doctor", "Professor"),
 }
 SYLLABLES = {
     "latin": ("ba", "be", "bo", "da", "de", "do", "fa", "fi", "ga", "ka", "ke", "la", "le", "li", "ma", "me", "mi", "na", "ne", "no", "ra", "re", "ri", "sa", "se", "ta", "te", "to", "va", "vi"),
@@ -40,9 +41,13 @@ ENDINGS = {
     "greek": {"F": "λινα", "M": "ρος", "U": "σεν"},
 }
 
-_GENDER = {t.lower(): g for g, ts in TITLES.items() for t in ts}
+_GENDER = {t.casefold(): g for g, ts in TITLES.items() for t in ts}
 _TITLE = "|".join(sorted((re.escape(t) for ts in TITLES.values() for t in ts), key=len, reverse=True))
 _NAME = r"[^\W\d_](?:[^\W\d_]|['’-](?=[^\W\d_]))+"
+_ONE_TITLE = re.compile(_TITLE, re.IGNORECASE)
+_POSSESSIVE = re.compile(r"['’]s$", re.IGNORECASE)
+_WORDS = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+_PART = re.compile(r"[^\W\d_]+")
 _FOUND = re.compile(
     r"(?P<email>(?<![\w.+-])[\w.+-]+@(?:[\w-]+\.)+[^\W\d_]{2,})"
     r"|(?P<secret>\b(?:token|secret|password|passwd|api[_-]?key)\b\s*[=:]\s*[\"']?(?P<value>[A-Za-z0-9+/_-]{16,})[\"']?)"
@@ -50,16 +55,24 @@ _FOUND = re.compile(
     r"|(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}|\d{2,4}(?:[ .-]\d{2,4}){1,3})|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}-\d{3}-\d{4})(?!\w))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<card>(?<![\w.])\d{4}(?:[ -]?\d{4}){3}(?!\w))"
-    rf"|(?P<person>\b(?P<title>{_TITLE})\.?[  ](?P<names>{_NAME}(?:[  ]{_NAME}){{0,2}}))",
+    rf"|(?P<person>\b(?P<titles>(?:{_TITLE})\.?[  ](?:(?:{_TITLE})\.?[  ])*)(?P<names>{_NAME}(?:[  ]{_NAME}){{0,2}}))",
     re.IGNORECASE,
 )
-#: Texts without any of these, and without a digit, have no entity.
-_HINTS = ("@", *sorted({v for t in (*_GENDER, "token", "secret", "password", "passwd", "api") for v in (t, t.capitalize(), t.upper()) if v != "sr"}))
-_DIGIT = re.compile(r"[0-9]")
+#: Texts without any of these, case folded, and without a digit or @, have no entity. A title is followed by one of three.
+_HINTS = tuple(sorted({t.casefold() + e for t in _GENDER for e in (".", " ", "\u00a0")} | {"token", "secret", "password", "passwd", "api"}))
+_DIGIT = re.compile(r"[\d@]")
+
+
+def _folded(text: str) -> str:
+    """Case folded as far as _FOUND ignores case: it takes both Turkish i for i."""
+    return text.casefold().replace("ı", "i").replace("\u0307", "")
 
 
 def _hinted(text: str) -> bool:
-    return bool(_DIGIT.search(text)) or any(h in text for h in _HINTS)
+    if _DIGIT.search(text):
+        return True
+    folded = _folded(text)
+    return any(h in folded for h in _HINTS)
 
 
 def _script(word: str) -> str:
@@ -79,7 +92,8 @@ class Span:
 
 def detect(text: str | None) -> list[Span]:
     """The entities of a text in order, without overlap. A name is an entity a word, as first names and surnames occur
-    alone too; its kind holds gender (by the title) and script."""
+    alone too; its kind holds gender (by the title) and script. A word that is named behind a title is an entity wherever else the
+    text has it capitalised, of the kind of its first naming; a title without gender takes that of another naming."""
     out: list[Span] = []
     if not text or not _hinted(text):
         return out
@@ -88,7 +102,8 @@ def detect(text: str | None) -> list[Span]:
         pos = m.end()
         kind = m.lastgroup if m.lastgroup in ("email", "ip", "phone", "ssn", "card") else "secret" if m["secret"] else "person"
         if kind == "person":
-            gender = _GENDER[m["title"].lower()]
+            titles = (_GENDER[t[0].casefold()] for t in _ONE_TITLE.finditer(_folded(m["titles"])))
+            gender = next((g for g in titles if g != "U"), "U")
             words = list(re.finditer(_NAME, m["names"]))
             taken = []
             for w in words:  # capitalised words only
@@ -98,8 +113,8 @@ def detect(text: str | None) -> list[Span]:
             pos = m.start("names") + (taken[-1].end() if taken else 0)
             for k, w in enumerate(taken):
                 role = f"given_{gender}" if k < len(taken) - 1 else "surname"
-                at = m.start("names") + w.start()
-                out.append(Span(at, at + len(w[0]), f"{role}_{_script(w[0])}", w[0], w[0].lower()))
+                at, name = m.start("names") + w.start(), _POSSESSIVE.sub("", w[0])
+                out.append(Span(at, at + len(name), f"{role}_{_script(name)}", name, name.lower()))
             continue
         a, b = m.span("value") if kind == "secret" else m.span(kind)
         one = text[a:b]
@@ -109,7 +124,37 @@ def detect(text: str | None) -> list[Span]:
         if kind.startswith("phone") and (code := re.match(r"\+\d+", one)):
             kind += f"c{len(code[0]) - 1}"  # the country code stays
         out.append(Span(a, b, kind, one, canonical))
-    return out
+    return _with_mentions(text, out)
+
+
+def _with_mentions(text: str, spans: list[Span]) -> list[Span]:
+    """``spans`` and the other capitalised mentions of the words that are named in them, in order."""
+    gendered: dict[str, str] = {}
+    for s in spans:
+        if s.kind.startswith(("given_F", "given_M")):
+            gendered.setdefault(s.canonical, s.kind)
+    spans = [replace(s, kind=gendered.get(s.canonical, s.kind)) if s.kind.startswith("given_U") else s for s in spans]
+    named: dict[str, str] = {}
+    for s in spans:
+        if s.kind.startswith(("given_", "surname_")):
+            named.setdefault(s.canonical, s.kind)
+    if not named:
+        return spans
+    found, k = [], 0
+    for m in _WORDS.finditer(text):
+        parts, i = list(_PART.finditer(m[0])), 0
+        while i < len(parts):
+            for j in range(len(parts), i, -1):  # the longest run of parts that is a name
+                a, b = m.start() + parts[i].start(), m.start() + parts[j - 1].end()
+                if text[a].isupper() and text[a:b].lower() in named:
+                    while k < len(spans) and spans[k].end <= a:
+                        k += 1
+                    if k == len(spans) or spans[k].start >= b:
+                        found.append(Span(a, b, named[text[a:b].lower()], text[a:b], text[a:b].lower()))
+                    i = j - 1
+                    break
+            i += 1
+    return sorted(spans + found, key=lambda s: s.start)
 
 
 class _Draw:
