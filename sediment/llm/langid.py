@@ -3,7 +3,9 @@
 A text is the mean of the embeddings of its subwords (byte n-grams of lower-cased letters that see word ends); a
 linear softmax reads the language off this mean. Both are trained together by stochastic gradient descent in numpy
 on a bounded sample of labelled rows. A temperature fitted on rows kept aside makes the score a probability, and texts
-are rejected whose score is lower than nearly all right ones of those rows had. As the mean is linear, prediction adds
+are rejected whose score is lower than nearly all right ones of about their length had among those rows, whole or in
+stretches: a short text is held to what a stretch tells, so that of a few words in a language that was not learned many
+pass. A model of one language scores each text 1 and rejects none that has a letter. As the mean is linear, prediction adds
 up one small vector a subword.
 """
 
@@ -27,6 +29,8 @@ ROWS_PER_LANGUAGE, LANGUAGES = 600, 200
 #: Share of right predictions on the rows kept aside that may be rejected.
 REJECTED = 0.001
 UNDETERMINED = "und"
+#: Lengths in code points that texts are held to one threshold below; stretches to train and to calibrate on.
+LENGTHS, STRETCHES, CALIBRATED = (20, 50, 150, 600), (12, 30, 80), (12, 30, 80, 300)
 
 
 @dataclass
@@ -35,7 +39,7 @@ class Model:
     scores: np.ndarray  # bucket x language: embedding times softmax weights
     bias: np.ndarray
     temperature: float
-    threshold: float
+    thresholds: np.ndarray  # one for each range of lengths
 
 
 def _means(texts: list[str], table: np.ndarray) -> np.ndarray:
@@ -57,11 +61,11 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def _pieces(texts: list[str], labels: np.ndarray, rng) -> tuple[list[str], np.ndarray]:
+def _pieces(texts: list[str], labels: np.ndarray, rng, stretches: tuple[int, ...] = STRETCHES) -> tuple[list[str], np.ndarray]:
     """The texts and, of each, some short stretches anywhere in it: short texts must be told as well."""
     out, of = list(texts), list(labels)
     for t, y in zip(texts, labels, strict=True):
-        for n in (12, 30, 80):
+        for n in stretches:
             at = int(rng.integers(0, max(1, len(t) - n)))
             if any(c.isalpha() for c in t[at : at + n]):
                 out.append(t[at : at + n])
@@ -105,17 +109,25 @@ def fit(texts: list[str], languages: list[str], epochs: int = 4, seed: int = 1)
             b -= rate * 0.1 * g
             # each embedding's step is scaled as if the text had but its distinct subwords once
             table[ids] -= (rate * np.minimum(1, share * len(ids))[:, None]) * up[None]
-    model = Model(names, (table @ w).astype(np.float32), b, 1.0, 0.0)
-    held, right = _pieces([texts[i] for i in aside], y[aside], rng)
+    model = Model(names, (table @ w).astype(np.float32), b, 1.0, np.zeros(len(LENGTHS) + 1))
+    held, right = _pieces([texts[i] for i in aside], y[aside], rng, CALIBRATED)
     z = _logits(held, model)
     fits = [(-np.log(_softmax(z / t)[np.arange(len(right)), right] + 1e-12).mean(), t) for t in 2.0 ** np.arange(-5, 3.1, 0.25)]
     model.temperature = float(min(fits)[1])
     p = _softmax(z / model.temperature)
-    good = p.max(axis=1)[p.argmax(axis=1) == right]
-    model.threshold = float(min(np.quantile(good, REJECTED) if len(good) else 0.0, 1.5 / max(2, len(names)) if len(names) > 1 else 0.0))
+    right_ones, at = p.argmax(axis=1) == right, _lengths(held)
+    for k in range(len(LENGTHS) + 1 if len(names) > 1 else 0):
+        good = p.max(axis=1)[right_ones & (at == k)]
+        # no row of this length: as strict as for the next shorter
+        model.thresholds[k] = np.quantile(good, REJECTED) if len(good) else model.thresholds[k - 1] if k else 0.0
     return model
 
 
+def _lengths(texts: list[str | None]) -> np.ndarray:
+    """The range of lengths that each text is in."""
+    return np.searchsorted(LENGTHS, [len(t or "") for t in texts], side="right")
+
+
 def _logits(texts: list[str], model: Model) -> np.ndarray:
     return _means(texts, model.scores) + model.bias
 
@@ -152,14 +164,14 @@ def predictions(texts: list[str | None], model: Model | None) -> tuple[list[str]
     blank = np.array([not t or not any(c.isalpha() for c in t) for t in texts], bool)
     score = np.where(blank, 0.0, p.max(axis=1))
     names = [UNDETERMINED if x else model.languages[k] for x, k in zip(blank.tolist(), p.argmax(axis=1).tolist(), strict=True)]
-    return names, score, blank | (score < model.threshold)
+    return names, score, blank | (score < model.thresholds[_lengths(texts)])
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, lang_pred, score, rejected`` for every row of ``docs``, from its whole text alone.
 
     A null text or one without a letter is ``und``, scored 0 and rejected, and so is every text without a model (no
-    labelled row to learn from); a text whose score is below the calibrated threshold keeps its prediction and is
+    labelled row to learn from); a text whose score is below the threshold calibrated for its length keeps its prediction and is
     marked as rejected. Repeated rows are predicted each for itself, a null id is never held out, other columns are
     ignored, an empty table gives an empty result.
     """
