@@ -102,7 +102,8 @@ def locations(files: DataFrame, found: DataFrame, depth: int = 6, most: int = 32
 
 
 def products(files: DataFrame) -> DataFrame:
-    """``path, id, title, status, owner, target_release, applies_to, requirement_ids, sections, questions, problem`` of
+    """``path, id, title, status, owner, target_release, applies_to, requirement_ids, sections, questions, problem,
+    schema_version, names_requirements`` (whether the last list is there, if empty) of
     the documents under ``.bck-nd/product``: front matter, and sections by their headings (fenced code apart)."""
     within = files.filter(F.col("path").rlike(r"(^|/)\.bck-nd/product/[^/]+\.(md|markdown)$"))
     front, body = F.regexp_extract("content", r"(?s)\A---\n(.*?)\n---\n", 1), F.regexp_replace("content", r"(?s)\A---\n.*?\n---\n", "")
@@ -121,7 +122,7 @@ def products(files: DataFrame) -> DataFrame:
     title = lambda n: F.regexp_extract("content", r"(?m)^#\s+(.+)$", n)
     problem = F.when(front == "", "MISSING_FRONT_MATTER").when(F.octet_length("content") > FILE_BYTES, "TOO_LARGE").when(F.size(F.array_distinct(names)) < F.size(names), "DUPLICATE_SECTION")
     usable = F.when(F.size(F.array_distinct(names)) == F.size(names), sections)
-    return within.select("path", key("id").alias("id"), F.coalesce(key("title"), title(1)).alias("title"), F.upper(F.coalesce(key("status"), F.lit(""))).alias("status"), key("owner").alias("owner"), key("target_release").alias("target_release"), listed("applies_to").alias("applies_to"), listed("requirement_ids").alias("requirement_ids"), usable.alias("sections"), _items(_section(bare, "Open Questions|Preguntas Abiertas")).alias("questions"), problem.alias("problem"))
+    return within.select("path", key("id").alias("id"), F.coalesce(key("title"), title(1)).alias("title"), F.upper(F.coalesce(key("status"), F.lit(""))).alias("status"), key("owner").alias("owner"), key("target_release").alias("target_release"), listed("applies_to").alias("applies_to"), listed("requirement_ids").alias("requirement_ids"), usable.alias("sections"), _items(_section(bare, "Open Questions|Preguntas Abiertas")).alias("questions"), problem.alias("problem"), key("schema_version").alias("schema_version"), front.rlike(r"(?m)^requirement_ids:").alias("names_requirements"))
 
 
 _DIAGNOSTIC = "code string, severity string, message string, path string, field string, reference string"
@@ -137,10 +138,18 @@ def escapes(path: Column) -> Column:
     return path.rlike(r"^([A-Za-z]:|[\\/]|[a-z][a-z0-9+.-]*://)") | (depth["least"] < 0)
 
 
-def product_diagnostics(docs: DataFrame, specs: DataFrame, available: bool = True) -> DataFrame:
+def _resolved(path: Column) -> Column:
+    """A path that doesn't escape, without empty, ``.`` and ``..`` parts (the root: empty)."""
+    parts = F.filter(F.split(F.regexp_replace(path, r"\\", "/"), "/"), lambda p: ~p.isin("", "."))
+    up = lambda a: F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))
+    return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), lambda a, p: F.when(p == "..", up(a)).otherwise(F.concat(a, F.array(p)))), "/")
+
+
+def product_diagnostics(docs: DataFrame, specs: DataFrame, available: bool = True, files: DataFrame | None = None) -> DataFrame:
     """The findings on product documents (see _DIAGNOSTIC), each once: their form, unknown or missing fields, sections
     and placeholders, paths, references to requirements that don't exist, requirements that none refers to, and ids that
-    occur twice. Without readable requirements, references are not checked."""
+    occur twice. Without readable requirements, references are not checked for being there; without ``files``, paths are
+    not either."""
 
     def rule(rows: DataFrame, code: str, severity: str, message: Column | str, field: str | None = None, reference: Column | None = None) -> DataFrame:
         text = message if isinstance(message, Column) else F.lit(message)
@@ -156,9 +165,25 @@ def product_diagnostics(docs: DataFrame, specs: DataFrame, available: bool = Tru
     out.append(rule(gone, "MISSING_SECTION", "WARNING", F.concat(F.lit("no section "), "s"), None, F.col("s")))
     blank = docs.select("path", F.explode("sections").alias("s", "body")).filter(F.trim("body").rlike(r"(?i)^(|todo.*|tbd.*|<.*>|\.\.\.)$"))
     out.append(rule(blank, "PLACEHOLDER_SECTION", "WARNING", F.concat(F.lit("nothing said in "), "s"), None, F.col("s")))
-    out.append(rule(docs.filter(F.size("questions") > 0), "OPEN_QUESTIONS", "INFO", F.concat(F.size("questions").cast("string"), F.lit(" open questions"))))
+    asked, n = docs.filter(F.size("questions") > 0), F.concat(F.size("questions").cast("string"), F.lit(" open questions"))
+    out.append(rule(asked.filter(F.col("status").isin("APPROVED", "SHIPPED")), "OPEN_QUESTIONS_BLOCKING", "ERROR", n))
+    out.append(rule(asked.filter(F.col("status").isin("DRAFT", "REVIEW")), "OPEN_QUESTIONS_PRESENT", "WARNING", n))
+    given = docs.filter(F.trim("id") != "")
+    out.append(rule(given.filter(~F.trim("id").rlike(r"\A[A-Za-z0-9][A-Za-z0-9_-]*\z")), "ID_INVALID", "ERROR", "id has an invalid format", "id", F.col("id")))
+    out.append(rule(docs.filter("schema_version is null"), "MISSING_SCHEMA_VERSION", "ERROR", "schema_version is missing", "schema_version"))
+    out.append(rule(docs.filter("trim(schema_version) <> '1'"), "SCHEMA_UNSUPPORTED", "ERROR", "schema_version is not 1", "schema_version", F.col("schema_version")))
+    out.append(rule(docs.filter(F.size("applies_to") == 0), "MISSING_APPLIES_TO", "ERROR", "applies_to is missing", "applies_to"))
+    out.append(rule(docs.filter("not names_requirements"), "MISSING_REQUIREMENT_IDS", "ERROR", "requirement_ids is missing", "requirement_ids"))
     out.append(rule(docs.withColumn("p", F.explode("applies_to")).filter(escapes(F.col("p"))), "EXTERNAL_PATH", "ERROR", "path leaves the repository", "applies_to", F.col("p")))
     refs = docs.select("path", F.explode("requirement_ids").alias("ref")).withColumn("key", F.lower("ref"))
+    well_formed = F.trim("ref").rlike(r"\A[A-Za-z0-9][A-Za-z0-9_.-]*\z")
+    out.append(rule(refs.filter(~well_formed), "REQUIREMENT_ID_INVALID", "ERROR", "a requirement id has an invalid format", "requirement_ids", F.lit("<invalid-requirement-id>")))
+    refs = refs.filter(well_formed)
+    if files is not None:
+        parts = F.split("path", "/")
+        there = files.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("key")).distinct()
+        wanted = docs.select("path", F.explode("applies_to").alias("p")).filter(~escapes(F.col("p"))).withColumn("key", _resolved(F.col("p"))).filter("key <> ''")
+        out.append(rule(wanted.join(there, "key", "left_anti"), "APPLIES_TO_MISSING", "WARNING", "path does not exist", "applies_to", F.col("key")))
     if available:
         known = specs.select(F.lower("id").alias("key"))
         out.append(rule(relational.missing(refs, "key", known), "MISSING_REQUIREMENT", "ERROR", "requirement does not exist", "requirement_ids", F.col("ref")))

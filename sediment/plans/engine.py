@@ -83,7 +83,7 @@ class Engine:
     @cached_property
     def product_diagnostics(self) -> DataFrame:
         readable = documents.requirements(self.files).filter("problem is not null").isEmpty()
-        return documents.product_diagnostics(self.products, self.requirements, readable)
+        return documents.product_diagnostics(self.products, self.requirements, readable, self.files)
 
     def blast_radius(self, path: str) -> DataFrame:
         return graph.blast_radius(self.edges, path)

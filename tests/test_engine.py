@@ -95,3 +95,17 @@ def test_tree_and_context(engine):
     assert lines[0].endswith(".bck-nd/") and lines[-1].startswith("└── ")
     text = engine.context()
     assert "hunter2" not in text and "erDiagram" in text and "classDiagram" in text and text == engine.context()
+
+
+def test_product_rules_that_decide_validity(spark):
+    head = "---\nid: {}\ntitle: T\nstatus: {}\nowner: o\nschema_version: {}\napplies_to: [./src/, src/x/../a.py, src/none.py]\nrequirement_ids: [{}]\n---\n## Open Questions\n\n- when\n"
+    files = {"src/a.py": "x = 1\n", **{f".bck-nd/product/{n}.md": head.format(*v) for n, v in {"a": ("PRD-1", "APPROVED", 1, ""), "b": ("PRD 2", "DRAFT", 2, "US/1")}.items()}}
+    files[".bck-nd/product/c.md"] = "---\nid: PRD-3\ntitle: T\nstatus: DRAFT\n---\n## Problem\n\nx\n"
+    e = Engine.of(spark, files)
+    got = {(r["path"][-4], r["code"], r["severity"], r["reference"]) for r in e.product_diagnostics.collect()}
+    late = {("a", "OPEN_QUESTIONS_BLOCKING", "ERROR", None), ("b", "OPEN_QUESTIONS_PRESENT", "WARNING", None), ("b", "ID_INVALID", "ERROR", "PRD 2"), ("b", "SCHEMA_UNSUPPORTED", "ERROR", "2")}
+    late |= {("b", "REQUIREMENT_ID_INVALID", "ERROR", "<invalid-requirement-id>"), *((d, "APPLIES_TO_MISSING", "WARNING", "src/none.py") for d in "ab")}
+    late |= {("c", f"MISSING_{f}", "ERROR", None) for f in ("SCHEMA_VERSION", "APPLIES_TO", "REQUIREMENT_IDS")}
+    names = {c for _, c, _, _ in late}
+    assert {g for g in got if g[1] in names} == late
+    assert not any(r["valid"] for r in e.analyses()["product_report"]().collect())
