@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sediment.llm.common import cut
+from sediment.llm.common import cut, kept_rows
 from sediment.llm.exactdedup import exact_groups
 from sediment.llm.langid import fit_on, keep_identified
 from sediment.llm.mixing import mix
@@ -17,12 +17,6 @@ from sediment.llm.packing import pack_documents
 from sediment.llm.queries import MIXTURE, tokenizer_path
 
 
-def _kept(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id was kept."""
-    ids = cut(decided.filter("kept").select("doc_id").distinct(), "kept")
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-
-
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents whose language the model rejects."""
     return keep_identified(docs, fit_on(docs))
@@ -30,12 +24,12 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    return _kept(docs, exact_groups(docs))
+    return kept_rows(docs, exact_groups(docs))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of 75 percent or more connect."""
-    return _kept(docs, near_duplicates(docs, 75))
+    return kept_rows(docs, near_duplicates(docs, 75))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

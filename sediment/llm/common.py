@@ -44,6 +44,59 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that cut lineage as ``cut`` does and are deleted at the end of the ``with`` block, or earlier by ``drop``.
+    What is used after the block must be written elsewhere before it ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.n, self.paths = spark, new_path(spark, "scratch"), 0, {}
+
+    def cut(self, df: DataFrame, tag: str) -> DataFrame:
+        self.n += 1
+        path = f"{self.root}/{self.n:04d}-{tag}"
+        df.write.parquet(path)
+        found = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(found)] = (found, path)
+        return found
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables of this scratch folder that no later query reads."""
+        for t in tables:
+            delete(self.spark, self.paths.pop(id(t))[1])
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        delete(self.spark, self.root)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system, if it is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Ids of dropped documents that are broadcast at most (8 bytes each); more are told apart by a shuffle join.
+BROADCAST_IDS = 2_000_000
+
+
+def kept_rows(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose id has a kept row in ``decided`` (``doc_id, kept``). Ids that
+    are not in ``decided`` stay.
+
+    The ids to drop are broadcast where their number allows it, so that no text is moved; more of them are joined by a
+    shuffle. A null id is an id of its own.
+    """
+    gone = decided.groupBy("doc_id").agg(F.max("kept").alias("_any")).filter(~F.col("_any")).select(F.col("doc_id").alias("_gone"))
+    gone = cut(gone, "dropped")
+    few = gone.count() <= BROADCAST_IDS
+    null_gone = few and not gone.filter("_gone is null").isEmpty()
+    match = docs[id_col].cast("long") == gone["_gone"] if few else docs[id_col].cast("long").eqNullSafe(gone["_gone"])
+    kept = docs.join(F.broadcast(gone) if few else gone, match, "left_anti")
+    return kept.filter(F.col(id_col).isNotNull()) if null_gone else kept
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sediment.llm.common import cut
+from sediment.llm.common import cut as written
 
 
 def _forest(edges: DataFrame) -> bool:
@@ -14,13 +16,13 @@ def _forest(edges: DataFrame) -> bool:
     return parents and edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, cut: Callable[[DataFrame, str], DataFrame] = written) -> DataFrame:
     """``id, component`` of every vertex that ``edges`` (columns ``a``, ``b``: longs) link to another one; component is
     the smallest id that it reaches. Loops and null ends are ignored, repeated edges count once.
 
     A large-star step hangs each vertex's larger neighbours on its least one, a small-star step the smaller ones; the
     minimum of a neighbourhood is aggregated before it is joined back, so a vertex with very many neighbours is never
-    gathered in one place. Each step's edges are written down. The steps end when the edges are stars.
+    gathered in one place. Each step's edges are written down with ``cut``. The steps end when the edges are stars.
     """
     pairs = edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     now = cut(pairs.distinct(), "edges")

@@ -2,11 +2,12 @@
 and connected components of the confirmed links.
 
 Documents with equal shingle sets form a class with one representative from the start, so copies never meet in pairs.
-Within a bucket of a band no pairs are listed either. All members are compared with a few pivots; a member that is
-linked leaves its bucket's open question, a pivot has met all others and is done with the bucket. Buckets whose
-members ended in one component are settled, small ones compare the rest pair by pair, and large ones go on with the
-members outside their largest component as pivots or, while these are many, with more of the others. So two linked representatives that share a bucket are always either compared or already in one
-component.
+Within a bucket of a band no pairs are listed at first either: all members are compared with the most central one, then
+with the most central one outside the bucket's largest component, as long as such rounds find links. What is open after
+that - buckets whose members are in several components - meets in a join on the bucket that only yields pairs of
+different components whose long one-bit signatures allow a link, each pair in the first band that it shares. All that is
+yielded is confirmed on whole sets. So two linked representatives that share a bucket are always either compared or
+already in one component.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sediment.llm.common import cut, slices
+from sediment.llm.common import BROADCAST_IDS, Scratch, slices
+from sediment.llm.common import cut as written
 from sediment.llm.components import connected_components
 
 #: Words of a shingle; bands and minima of a band. At a similarity of 0.75 a link shares no bucket with a probability
@@ -28,10 +30,14 @@ WORDS, BANDS, ROWS = 5, 40, 4
 MINIMA = BANDS * ROWS
 #: Share of equal minima from which sets are compared: 0.55 lies 5.8 standard deviations under 0.75.
 SURE = 0.55
-#: Open buckets of at most so many members compare them pair by pair.
-SMALL = 32
-#: Candidate documents of up to this number are broadcast as ids (8 bytes each); more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Bits of the signatures of open documents, and equal bits from which sets are compared: at a similarity of 0.75 a
+#: share of 0.875 is expected, 5.5 standard deviations more.
+BITS = 2048
+EQUAL_BITS = int(BITS * 0.875 - 5.5 * (BITS * 0.875 * 0.125) ** 0.5)
+#: Rounds with one more pivot a bucket go on while a pair in so many is a link.
+WORTH = 64
+#: Members of an open bucket that one task compares with the others.
+SALT = 4096
 
 #: Bytes of the pivots' signatures or sets that are broadcast at most.
 BROADCAST_BYTES = 16_000_000
@@ -39,8 +45,7 @@ BROADCAST_BYTES = 16_000_000
 _rng = np.random.default_rng(20)
 _LETTER = _rng.integers(0, 2**64, 256, np.uint64) | np.uint64(1)
 _PLACE = _rng.integers(0, 2**64, WORDS, np.uint64) | np.uint64(1)
-_A = _rng.integers(0, 2**32, MINIMA, np.uint32) | np.uint32(1)
-_B = _rng.integers(0, 2**32, MINIMA, np.uint32)
+_A, _B = (_rng.integers(0, 2**64, MINIMA + BITS, np.uint64) for _ in range(2))
 _BAND = _rng.integers(0, 2**64, (BANDS, ROWS), np.uint64) | np.uint64(1)
 _STEP = np.uint64(0x5851F42D4C957F2D)
 _POWERS = np.cumprod(np.full(4096, _STEP, np.uint64))
@@ -89,18 +94,28 @@ def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(_mixed(total))
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
-    """MINIMA minima, each of the images of the set under a universal hash (a x + b, modulo 2 ** 32)."""
-    x, out = (shingles >> np.uint64(32)).astype(np.uint32), np.full(MINIMA, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(x), 512):
-        np.minimum(out, (np.multiply.outer(_A, x[at : at + 512]) + _B[:, None]).min(axis=1), out=out)
-    return out
+def minima(shingles: np.ndarray, first: int = 0, n: int = MINIMA) -> np.ndarray:
+    """``n`` minima, each of the images of the set under another universal hash: multiply-shift, the upper half of
+    a x + b modulo 2 ** 64 for random a and b and the 32-bit x of a shingle."""
+    x, out = shingles >> np.uint64(32), np.full(n, 2**64 - 1, np.uint64)
+    a, b = _A[first : first + n], _B[first : first + n]
+    step = max(1, 65536 // n)
+    for at in range(0, len(x), step):
+        np.minimum(out, (np.multiply.outer(a, x[at : at + step]) + b[:, None]).min(axis=1), out=out)
+    return (out >> np.uint64(32)).astype(np.uint32)
+
+
+def bit_signature(shingles: np.ndarray) -> np.ndarray:
+    """One bit of each of BITS further minima, as longs: two sets agree in a bit with a probability of (1 + J) / 2."""
+    low = (minima(shingles, MINIMA, BITS) & np.uint32(1)).astype(np.uint8)
+    return np.packbits(low).view(np.int64)
 
 
 def band_keys(found: np.ndarray) -> np.ndarray:
     return _mixed((found.reshape(BANDS, ROWS).astype(np.uint64) * _BAND).sum(axis=1) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
+_BIT_COLUMNS = [f"b{k}" for k in range(BITS // 64)]
 _FEATURES = "doc_id long, n_shingles long, set_key binary, bands array<long>, signature binary"
 
 
@@ -129,6 +144,14 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["id", "shingles"])
 
 
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``id, shingles`` with the bit signature in place of the set."""
+    for batch in batches:
+        if batch.num_rows:
+            found = np.array([bit_signature(np.frombuffer(x.as_buffer(), np.uint64)) for x in batch.column(1)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c) for c in np.ascontiguousarray(found.T)]], ["id", *_BIT_COLUMNS])
+
+
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose set sizes and signatures allow the similarity."""
     for batch in batches:
@@ -156,7 +179,7 @@ def _confirmed(percent: int):
     return run
 
 
-def _of_pivots(pairs: DataFrame, table: DataFrame, weight: str) -> DataFrame:
+def _of_pivots(pairs: DataFrame, table: DataFrame, weight: str, cut) -> DataFrame:
     """The rows of ``table`` for the pivots ``a`` of the pairs: broadcast if their column ``weight`` is small in all, so
     that no pair carries a copy of it through a shuffle; joined by a shuffle if not."""
     few = cut(table.join(pairs.select("a").distinct(), "a", "left_semi"), "pivotrows")
@@ -164,42 +187,74 @@ def _of_pivots(pairs: DataFrame, table: DataFrame, weight: str) -> DataFrame:
     return F.broadcast(few) if size <= BROADCAST_BYTES else few
 
 
-def _links(pairs: DataFrame, features: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (pivot a, member b) that are links, by signatures first and by whole sets then."""
-    pairs = cut(pairs, "pairs")
-    sig = features.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("signature").alias("sb"))
-    sig_a = features.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("signature").alias("sa"))
-    both = pairs.join(sig, "b").join(_of_pivots(pairs, sig_a, "sa"), "a").select("a", "b", "na", "nb", "sa", "sb")
-    likely = cut(both.mapInArrow(_likely, "a long, b long"), "likely")
+def _verified(pairs: DataFrame, features: DataFrame, cut) -> DataFrame:
+    """The pairs (pivot a, member b) whose sizes and signatures allow a link."""
+    sig = features.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("signature").alias("sb"))
+    sig_a = features.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("signature").alias("sa"))
+    both = pairs.join(sig, "b").join(_of_pivots(pairs, sig_a, "sa", cut), "a").select("a", "b", "na", "nb", "sa", "sb")
+    return cut(both.mapInArrow(_likely, "a long, b long"), "likely")
+
+
+def _links(likely: DataFrame, sets: DataFrame, percent: int, cut) -> DataFrame:
+    """The pairs that are links, by their whole sets."""
     whole = likely.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    whole = whole.join(_of_pivots(likely, sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "x"), "a").select("a", "b", "x", "y")
+    whole = whole.join(_of_pivots(likely, sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "x", cut), "a").select("a", "b", "x", "y")
     return cut(whole.mapInArrow(_confirmed(percent), "a long, b long"), "links")
 
 
-def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+def _merged(labels: DataFrame | None, links: DataFrame, cut) -> DataFrame:
     """``id, component`` of what is linked to another one so far: the labels, with those merged that new links join."""
     if labels is None:
-        return cut(connected_components(links), "labels")
+        return cut(connected_components(links, cut), "labels")
     ends = links
     for end in ("a", "b"):
         named = labels.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
         ends = ends.join(named, end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
-    found = cut(connected_components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "merged")
+    found = cut(connected_components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")), cut), "merged")
     moved = labels.join(found.select(F.col("id").alias("component"), F.col("component").alias("root")), "component", "left")
     moved = moved.select("id", F.coalesce("root", "component").alias("component"))
     fresh = found.join(labels.select("id"), "id", "left_anti").select("id", "component")
     return cut(moved.unionByName(fresh), "labels")
 
 
-def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """``bucket, id, component, size, outliers`` of the buckets whose members are in several components; ``outlier``
-    says that the member is not in the bucket's largest one, ``outliers`` how many are not."""
-    named = members.join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+_MEMBER = ["bucket", "band", "id", "weight"]
+
+
+def _open(members: DataFrame, labels: DataFrame, cut) -> DataFrame:
+    """The members of buckets with several components, with their ``component``, the bucket's ``size`` and whether they
+    are an ``outlier``: not in its largest component."""
+    named = cut(members.join(labels, "id", "left").select(*_MEMBER, F.coalesce("component", "id").alias("component")), "named")
     parts = named.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     several = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("top"))
-    several = several.filter("k > 1").select("bucket", "size", F.col("top.component").alias("largest"), (F.col("size") - F.col("top.n")).alias("outliers"))
-    found = named.join(cut(several, "open"), "bucket").withColumn("outlier", F.col("component") != F.col("largest"))
-    return cut(found.drop("largest"), "members")
+    several = several.filter("k > 1").select("bucket", "size", F.col("top.component").alias("largest"))
+    found = named.join(cut(several, "several"), "bucket").withColumn("outlier", F.col("component") != F.col("largest"))
+    return cut(found.drop("largest"), "open")
+
+
+def _central(members: DataFrame, cut) -> DataFrame:
+    """``bucket, a``: the member of each bucket that shares most buckets with most others."""
+    best = members.groupBy("bucket").agg(F.min(F.struct((-F.col("weight")).alias("w"), "id")).alias("m"))
+    return cut(best.select("bucket", F.col("m.id").alias("a")), "pivots")
+
+
+def _likely_in_buckets(members: DataFrame, features: DataFrame, sets: DataFrame, cut) -> DataFrame:
+    """The pairs of open buckets' members in different components whose sizes and bit signatures allow a link, each
+    once. The members of a large bucket are dealt into parts, each of which meets the whole bucket in a task."""
+    ids = members.select("id").distinct()
+    bits = cut(sets.join(ids, "id", "left_semi").mapInArrow(_bits, "id long, " + ", ".join(f"{c} long" for c in _BIT_COLUMNS)), "bits")
+    profile = features.select("id", "n_shingles", "bands").join(bits, "id")
+    parts = F.ceil(F.col("size") / F.lit(SALT)).cast("int")
+    wide = cut(members.select("bucket", "band", "id", "component", parts.alias("parts")).join(profile, "id"), "wide")
+    x = wide.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).alias("x")
+    y = wide.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
+    on = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.id") < F.col("y.id"))
+    on &= F.col("x.component") != F.col("y.component")
+    low, high = F.least("x.n_shingles", "y.n_shingles"), F.greatest("x.n_shingles", "y.n_shingles")
+    unequal = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in _BIT_COLUMNS), F.lit(0))
+    on &= (100 * low >= 75 * high) & (unequal <= BITS - EQUAL_BITS)
+    # bands have keys of their own, so two members share an earlier bucket if their first keys overlap
+    on &= ~F.arrays_overlap(F.slice("x.bands", F.lit(1), F.col("x.band")), F.slice("y.bands", F.lit(1), F.col("x.band")))
+    return cut(x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "likely")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,56 +264,57 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     or its whole sequence if it has fewer words. Documents are linked when 100 x intersection >= ``percent`` x union
     (75 or more, for which the bands are laid out), confirmed on whole sets; ``component_id`` is the smallest id that
     links reach, and a row is kept if that is its own. A null, empty or blank text has no shingles and no links. Rows
-    that share an id are one document; rows with a null id are not linked (component null) and kept. Other columns are
-    ignored; an empty table gives an empty result.
+    that share an id are one document, with the links of all of them; rows with a null id are not linked (component
+    null) and kept. Other columns are ignored; an empty table gives an empty result.
     """
     if percent < 75:
         raise ValueError("the bands are laid out for similarities of 75 percent or more")
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = cut(chosen.mapInArrow(_features, _FEATURES), "features")
-    linked = rows.filter("doc_id is not null and set_key is not null")
-    classes = cut(linked.groupBy("set_key").agg(F.min("doc_id").alias("id")), "classes")
-    features = cut(
-        linked.join(classes, "set_key").filter("doc_id = id").select("doc_id", "n_shingles", "signature", "bands").dropDuplicates(["doc_id", "signature"]), "classfeatures"
-    )
-    buckets = features.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("id"))
-    shared = cut(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("pivot")).filter("n > 1").drop("n"), "buckets")
-    members = cut(buckets.join(shared, "bucket").select("bucket", "id", "pivot"), "members")
-    candidates = cut(members.select("id").distinct(), "candidates")
-    sets = cut(_texts(chosen, candidates).mapInArrow(_sets, "id long, shingles binary"), "sets")
-
-    pairs = members.filter("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    labels = _merged(None, _links(pairs, features, sets, percent))
-    rest = members.filter("id != pivot").select("bucket", "id")
-    strata = 1
-    while True:
-        rest = _open(rest, labels)
-        if rest.isEmpty():
-            break
-        one = rest.filter(F.col("size") <= SMALL).select("bucket", F.col("id").alias("a"), F.col("component").alias("ca"))
-        small = one.join(rest.select("bucket", F.col("id").alias("b"), F.col("component").alias("cb")), "bucket").filter("a < b and ca != cb")
-        large = rest.filter(F.col("size") > SMALL)
-        # all outliers if they are few, which settles the bucket; else, beside a large component, some members of it, to
-        # which most outliers have a link; else some of all members
-        every = large.filter((F.col("outliers") <= SMALL) & F.col("outlier")).select("bucket", "id", "component")
-        many = large.filter((F.col("outliers") > SMALL) & ((2 * F.col("outliers") > F.col("size")) | ~F.col("outlier")))
-        some = many.groupBy("bucket", F.expr(f"pmod(xxhash64(id), {strata})").alias("_part"))
-        some = some.agg(F.min(F.struct("id", "component")).alias("p")).select("bucket", "p.id", "p.component")
-        pivots = cut(every.unionByName(some).select("bucket", F.col("id").alias("a"), F.col("component").alias("ca")), "pivots")
-        met = large.join(pivots, "bucket").filter("id != a and component != ca")
-        pairs = small.select("a", "b").unionByName(met.select("a", F.col("id").alias("b")))
-        pairs = pairs.distinct()
-        labels = _merged(labels, _links(pairs, features, sets, percent))
-        rest = large.join(pivots.select("bucket", F.col("a").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id")
-        strata *= 4
-
-    named = cut(classes.join(labels, "id", "left").select("set_key", F.coalesce("component", "id").alias("component")), "named")
-    return rows.join(named, "set_key", "left").select(
-        "doc_id",
-        "n_shingles",
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
-        F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept"),
-    )
+    with Scratch(docs.sparkSession) as scratch:
+        cut = scratch.cut
+        rows = cut(chosen.mapInArrow(_features, _FEATURES), "features")
+        linked = rows.filter("doc_id is not null and set_key is not null")
+        classes = cut(linked.groupBy("set_key").agg(F.min("doc_id").alias("id")), "classes")
+        firsts = linked.join(classes, "set_key").filter("doc_id = id").select("id", "n_shingles", "signature", "bands")
+        features = cut(firsts.dropDuplicates(["id", "signature"]), "classfeatures")
+        repeated = linked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+        owners = linked.select("doc_id", "set_key").join(repeated, "doc_id").join(classes, "set_key").filter("doc_id != id")
+        owners = cut(owners.select(F.col("doc_id").alias("a"), F.col("id").alias("b")), "owners")
+
+        buckets = features.select("id", F.posexplode("bands").alias("band", "bucket"))
+        shared = cut(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
+        sized = cut(buckets.join(shared, "bucket"), "sized")
+        weights = cut(sized.groupBy("id").agg(F.sum("n").alias("weight")), "weights")
+        members = cut(sized.join(weights, "id").select(*_MEMBER), "members")
+        scratch.drop(sized)
+        sets = cut(_texts(chosen, weights).mapInArrow(_sets, "id long, shingles binary"), "sets")
+
+        labels, pivots = None, _central(members, cut)
+        met = members.join(pivots, "bucket").filter("id != a")
+        while True:
+            pairs = cut(met.select("a", F.col("id").alias("b")).distinct(), "pairs")
+            links = _links(_verified(pairs, features, cut), sets, percent, cut)
+            labels = _merged(labels, links if labels is not None else links.unionByName(owners), cut)
+            # a pivot has met all others of its bucket and is done with it
+            rest = _open(members.join(pivots.select("bucket", F.col("a").alias("id")), ["bucket", "id"], "left_anti"), labels, cut)
+            if rest.isEmpty() or WORTH * links.count() < pairs.count():
+                break
+            members = rest.select(*_MEMBER)
+            pivots = _central(rest.filter("outlier"), cut)
+            named = rest.select("bucket", F.col("id").alias("a"), F.col("component").alias("ca")).join(pivots, ["bucket", "a"])
+            met = rest.join(named, "bucket").filter("component != ca")
+        if not rest.isEmpty():
+            labels = _merged(labels, _links(_likely_in_buckets(rest, features, sets, cut), sets, percent, cut), cut)
+
+        named = cut(classes.join(labels, "id", "left").select("set_key", F.coalesce("component", "id").alias("component")), "named")
+        own = F.coalesce("component", "doc_id")
+        found = rows.join(named, "set_key", "left").select(
+            "doc_id",
+            "n_shingles",
+            F.when(F.col("doc_id").isNotNull(), own).alias("component_id"),
+            F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"),
+        )
+        return written(found, "near")
 
 
 def _texts(chosen: DataFrame, candidates: DataFrame) -> DataFrame:
