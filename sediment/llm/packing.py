@@ -2,8 +2,10 @@
 
 Every input partition packs its own pieces by best fit, longest first. Bins that no other open bin can still fill are
 done; the others become items themselves and are merged over ever fewer partitions in repeated best-fit rounds, until
-one partition has seen all of them or nothing fits any more. Texts and ids stay where they were read: what moves is a
-few numbers for each open bin.
+one partition has seen all of them or nothing fits any more. Where rounds over several partitions have stopped to help,
+the root of the tree packs classes of equally full bins: it sees only how many there are of each size, so it works on
+all of them at once, and bins take the places of their class by rank. So the end is the same at every size: no two open
+bins fit together. Texts and ids stay where they were read: what moves is a few numbers for each open bin.
 """
 
 from __future__ import annotations
@@ -16,12 +18,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sediment.llm.common import cut, slices
 from sediment.llm.tokens import encoder
 
 #: Pieces that a partition packs at a time, and open bins that one task of a later round takes.
 BLOCK, ITEMS_PER_TASK = 200_000, 50_000
+#: Share of the bins that a round over several tasks may leave for another one to follow; then the root packs the rest.
+WORTH = 0.98
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,6 +105,58 @@ def _merger(capacity: int, level: int):
     return merge
 
 
+def best_fit_classes(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
+    """Best fit of items of which only the number of each size is known, longest first: rows ``held, first, n, bin,
+    offset``, by which the items ``first`` to ``first + n - 1`` of size ``held`` go to the bins ``bin`` to
+    ``bin + n - 1`` at ``offset``. Bins that are filled alike are one entry, so the work depends on the number of sizes."""
+    rooms: dict[int, list[tuple[int, list[tuple[int, int, int]]]]] = {}  # free room: (bins, (size, first item, offset) of each place)
+    present, full = 0, []
+    for size in sorted(counts, reverse=True):
+        first, left = 0, counts[size]
+        while left:
+            fits = present >> size
+            room, n, places = capacity, left, []
+            if fits:
+                room = size + (fits & -fits).bit_length() - 1
+                n, places = rooms[room].pop()
+            have, deep = n, room // size  # the fullest bin that takes an item takes the next one, too
+            n, deep = (min(n, left // deep), deep) if left >= deep else (1, left)
+            if fits:
+                if n < have:
+                    rooms[room].append((have - n, [(s, f + n, o) for s, f, o in places]))
+                if not rooms[room]:
+                    present &= ~(1 << room)
+            places = [*places, *((size, first + k * n, capacity - room + k * size) for k in range(deep))]
+            if room == deep * size:
+                full.append((n, places))
+            else:
+                rooms.setdefault(room - deep * size, []).append((n, places))
+                present |= 1 << (room - deep * size)
+            first, left = first + deep * n, left - deep * n
+    out, made = [], 0
+    for n, places in [*full, *(g for gs in rooms.values() for g in gs)]:
+        out += [(s, f, n, made, o) for s, f, o in places]
+        made += n
+    return out
+
+
+def _by_classes(items: DataFrame, capacity: int, level: int) -> DataFrame:
+    """``bin, parent, base`` of all items, by best fit of their classes. What reaches the driver is a count a size; an
+    item's rank in its class comes from the class's counts by partition."""
+    spark = items.sparkSession
+    dealt = cut(items.select("bin", "held", F.spark_partition_id().alias("part")), "items")
+    counts = cut(dealt.groupBy("part", "held").agg(F.count(F.lit(1)).alias("n")), "counts")
+    before = Window.partitionBy("held").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    starts = counts.select("part", "held", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    sizes = {r["held"]: r["n"] for r in counts.groupBy("held").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
+    places = spark.createDataFrame(best_fit_classes(sizes, capacity), "held long, first long, n long, number long, base long")
+    rank = F.row_number().over(Window.partitionBy("part", "held").orderBy("bin")) - 1
+    ranked = dealt.withColumn("rank", rank).join(starts, ["part", "held"]).select("bin", "held", (F.col("rank") + F.col("start")).alias("rank"))
+    # some entries a size
+    found = ranked.join(F.broadcast(places), "held").filter((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n")))
+    return found.select("bin", (F.col("number") + F.col("rank") - F.col("first") + F.lit(level << 56)).alias("parent"), "base")
+
+
 def _mergeable(open_bins: DataFrame, capacity: int) -> DataFrame | None:
     """The open bins that some other open bin can still fill; None if there is none. The emptiest one stays, as it is
     what the others are measured by; the others are done."""
@@ -130,11 +187,15 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id
     while True:
         items = _mergeable(open_bins, capacity)
         n = items.count() if items is not None else 0
-        tasks = -(-n // ITEMS_PER_TASK)
-        if not n or last is not None and n > 0.98 * last:
+        if not n:
             break
-        merged = cut(items.repartition(tasks).mapInPandas(_merger(capacity, level), _OPEN), f"round{level}")
-        step = merged.select("bin", "parent", "base")
+        tasks = -(-n // ITEMS_PER_TASK)
+        root = tasks == 1 or last is not None and n > WORTH * last
+        if tasks > 1 and root:
+            step = cut(_by_classes(items, capacity, level), "root")
+        else:
+            merged = cut(items.repartition(tasks).mapInPandas(_merger(capacity, level), _OPEN), f"round{level}")
+            step = merged.select("bin", "parent", "base")
         if placed is None:
             placed = step
         else:
@@ -142,7 +203,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id
             placed = placed.join(later, "parent", "left").select(
                 "bin", F.coalesce("_parent", "parent").alias("parent"), (F.col("base") + F.coalesce("_base", F.lit(0))).alias("base")
             )
-        if tasks == 1:
+        if root:
             break
         open_bins = merged.filter((F.col("base") == 0) & (F.col("held") < capacity)).select(F.col("parent").alias("bin"), "held")
         level, last = level + 1, n

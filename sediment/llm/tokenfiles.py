@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import struct
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -145,7 +146,10 @@ def _writer(folder: str, tokenizer: str, end_id: int, width: int):
                     tokens += len(ids) // 4 + 1
         if out:
             out.close()
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "uri": [uri], "docs": [len(out.docs)], "tokens": [tokens]})
+            ids = [d[0] for d in out.docs if d[0] is not None]
+            ends = pa.array([min(ids, default=None)], pa.int64()), pa.array([max(ids, default=None)], pa.int64())
+            columns = [pa.array([part], pa.int32()), pa.array([uri]), *ends, pa.array([len(out.docs)], pa.int64()), pa.array([tokens], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "uri", "first_id", "last_id", "docs", "tokens"])
 
     return write
 
@@ -153,21 +157,24 @@ def _writer(folder: str, tokenizer: str, end_id: int, width: int):
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, width: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the ids of every whole text (null: empty) and ``end_id`` after it, in ascending id order over all files.
 
-    Returns the manifest, a row a file: ``part, uri, docs, tokens``. Null ids come first, rows with equal ids follow
+    Returns the manifest, a row a file: ``part, uri, first_id, last_id, docs, tokens``. Null ids come first, rows with equal ids follow
     each other in the order of their texts, an empty table gives no file. Other columns are ignored. ``folder`` is a
     URI that executors and readers share; ``tokenizer`` the path of a tokenizers file that every executor has.
     """
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ordered = chosen.repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    return cut(ordered.mapInArrow(_writer(folder, tokenizer, end_id, width), "part int, uri string, docs long, tokens long"), "manifest")
+    return cut(ordered.mapInArrow(_writer(folder, tokenizer, end_id, width), "part int, uri string, first_id long, last_id long, docs long, tokens long"), "manifest")
 
 
 def _reader(wanted: Sequence[int] | None):
     only = None if wanted is None else set(wanted)
+    ordered = sorted(only or ())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, uri in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for part, uri, low, high in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if only is not None and (low is None or bisect_left(ordered, low) == bisect_right(ordered, high)):
+                    continue
                 file, start, rows, held = TokenFile(uri), 0, [], 0
                 for position, (doc, tokens, _, _) in enumerate(file.docs):
                     if only is None or doc in only:
@@ -186,8 +193,8 @@ def _reader(wanted: Sequence[int] | None):
 
 def read_token_files(manifest: DataFrame, doc_ids: Sequence[int] | None = None) -> DataFrame:
     """``part, doc_id, start, n_tokens, ids`` (binary) of the documents in the manifest's files, or of ``doc_ids``
-    alone; ``start`` counts the ids of all documents before, over all files."""
-    files = manifest.select("part", "uri").repartition(max(1, min(manifest.count(), 4 * shuffle_partitions(manifest.sparkSession))), "part")
+    alone, for which only the files are opened whose range of ids has one; ``start`` counts the ids of all documents before, over all files."""
+    files = manifest.select("part", "uri", "first_id", "last_id").repartition(max(1, min(manifest.count(), 4 * shuffle_partitions(manifest.sparkSession))), "part")
     rows = files.mapInArrow(_reader(doc_ids), "part int, doc_id long, local long, n_tokens long, ids binary")
     # a row a file
     return rows.join(F.broadcast(bases(manifest, "part", "tokens")), "part").select(

@@ -12,6 +12,7 @@ import json
 import os
 import re
 import struct
+import sys
 import unicodedata
 
 #: A unit boundary: a space before a visible character.
@@ -21,6 +22,9 @@ _RUN = re.compile(r" \s| $")
 #: Letters, digits and white space here are the same to Python and to the tokenizers.
 _LATIN = re.compile(r"[\x00-\x1b\x20-\x7e\xa1-\xac\xae-ɏ]*")
 
+#: Bytes that a dictionary takes for an entry beside key and value; characters of a unit that is remembered at most.
+ENTRY, LONGEST = 104, 64
+
 
 def _byte_letters() -> dict[int, str]:
     """The printable stand-in of each byte in a byte-level vocabulary: itself where it is printable, else the next
@@ -38,39 +42,47 @@ def _packed(ids: list[int]) -> bytes:
 
 
 class _Known(dict):
-    """What has been encoded so far, ``memory`` keys at most; a missing key is encoded when it is asked for. A full
-    table stays as it is, as the frequent keys came early, until so much was missing that the texts have changed."""
+    """What has been encoded so far, about ``memory`` bytes at most; a missing key is encoded when it is asked for. A
+    full table stays as it is, as the frequent keys came early, until so much was missing that the texts have changed.
+    Long keys are not remembered."""
 
     def __init__(self, encode, memory: int):
         super().__init__()
-        self.encode, self.memory, self.missed = encode, memory, 0
+        self.encode, self.memory, self.held, self.missed = encode, memory, 0, 0
 
     def __missing__(self, unit: str) -> bytes:
         found = self.encode(unit)
-        if len(self) < self.memory:
+        if len(unit) > LONGEST:
+            return found
+        size = sys.getsizeof(unit) + sys.getsizeof(found) + ENTRY
+        if self.held + size <= self.memory:
             self[unit] = found
+            self.held += size
         else:
             self.missed += 1
-            if self.missed > 4 * self.memory:
+            if self.missed > 4 * len(self):
                 self.clear()
-                self.missed = 0
+                self.held = self.missed = 0
         return found
 
 
 class UnitEncoder:
     """``ids(texts)`` gives each text's ids as little-endian unsigned 32-bit integers in one bytes object.
 
-    Strings of special tokens in a text are ordinary text. ``memory`` bounds the remembered units.
+    A text that holds the string of an added token goes through the whole pipeline in one piece. ``memory`` bounds the
+    bytes of the remembered units.
     """
 
-    def __init__(self, path: str, memory: int = 600_000):
+    def __init__(self, path: str, memory: int = 128_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             parts = json.load(f)
+        added = [(t["content"], t.get("normalized", False)) for t in parts.get("added_tokens", [])]
+        # a token that is sought in normalized text may differ in case from what the text has
+        self.added = re.compile("|".join(f"(?i:{re.escape(t)})" if loose else re.escape(t) for t, loose in added)) if added else None
         self.lower = "Lowercase" in json.dumps(parts["normalizer"] or {})
         words = re.search(r'"Regex": "(\'s[^"]*)"', json.dumps(parts["pre_tokenizer"], ensure_ascii=False))
         kind = parts["pre_tokenizer"]["type"]
@@ -81,9 +93,9 @@ class UnitEncoder:
             self.words = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|{letter}+|{digit}|(?:{rest})+")
         else:
             self.words = None  # another pipeline: units go through all of it
-        self.pieces = _Known(self._piece, memory)
-        self.first = _Known(self._unit, memory // 4)
-        self.inner = _Known(lambda unit: self._unit(" " + unit), memory)
+        self.pieces = _Known(self._piece, memory * 3 // 8)
+        self.first = _Known(self._unit, memory // 16)
+        self.inner = _Known(lambda unit: self._unit(" " + unit), memory * 9 // 16)
 
     def _piece(self, word: str) -> bytes:
         mapped = word if word.isascii() and word.isalpha() else word.encode().decode("latin-1").translate(_LETTERS)
@@ -106,6 +118,9 @@ class UnitEncoder:
         first, inner, out = self.first, self.inner, []
         for t in texts:
             t = t or ""
+            if self.added and self.added.search(t):
+                out.append(self._whole(t))
+                continue
             if self.lower and t.isascii():
                 t = t.lower()
             units = _CUT.split(t) if _RUN.search(t) else t.split(" ")
@@ -118,7 +133,8 @@ _encoders: dict[str, UnitEncoder] = {}
 
 
 def encoder(path: str) -> UnitEncoder:
-    """One encoder for each Python worker, which keeps what it remembers from task to task."""
+    """The encoder of a Python worker, which keeps what it remembers from task to task; one tokenizer at a time."""
     if path not in _encoders:
+        _encoders.clear()
         _encoders[path] = UnitEncoder(path)
     return _encoders[path]

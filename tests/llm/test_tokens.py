@@ -5,7 +5,8 @@ import public_tokenizers as P
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from sediment.llm.packing import best_fit, pack_documents
+from sediment.llm import packing
+from sediment.llm.packing import best_fit, best_fit_classes, pack_documents
 from sediment.llm.tokenfiles import TokenFile, TokenFileWriter, read_token_files, token_file_digest, write_token_files
 from sediment.llm.tokens import UnitEncoder
 from tokenizers import Tokenizer
@@ -17,14 +18,18 @@ FILES = ("word_bpe_49k.json", "byte_bpe_50k.json")
 
 def whole(name, texts):
     t = Tokenizer.from_file(P.path(name))
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
-ENCODERS = {f: UnitEncoder(P.path(f), 50) for f in FILES}
+ENCODERS = {f: UnitEncoder(P.path(f), 12_000) for f in FILES}
 WHOLE = {f: Tokenizer.from_file(P.path(f)) for f in FILES}
-for _t in WHOLE.values():
-    _t.encode_special_tokens = True
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_strings_of_special_tokens(name):
+    texts = ["hello <|endoftext|> world", "a<|endoftext|>b <|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext|> <|endoftext|>", "<|endo ftext|>"]
+    assert ENCODERS[name].ids(texts) == [np.array(WHOLE[name].encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert 50256 in np.frombuffer(ENCODERS[FILES[1]].ids(texts[:1])[0], "<u4")
 
 
 @pytest.mark.parametrize("name", FILES)
@@ -45,6 +50,37 @@ def test_best_fit_fills_bins_without_gaps(sizes):
     assert sum(2 * h <= 64 for h in held) <= 1  # two half-empty bins would have been one
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 64), max_size=200))
+def test_best_fit_of_classes_is_best_fit(sizes):
+    counts = {n: sizes.count(n) for n in sizes}
+    rows = best_fit_classes(counts, 64)
+    bins = {}
+    for held, first, n, number, offset in rows:
+        for k in range(n):
+            bins.setdefault(number + k, []).append((offset, held, first + k))
+    assert sorted((h, i) for b in bins.values() for _, h, i in b) == sorted((n, i) for n in counts for i in range(counts[n]))
+    for b in bins.values():
+        b.sort()
+        assert [o for o, _, _ in b] == [sum(h for _, h, _ in b[:k]) for k in range(len(b))] and sum(h for _, h, _ in b) <= 64
+    assert sorted(sum(h for _, h, _ in b) for b in bins.values()) == sorted(best_fit(np.array(sizes, np.int64), 64)[2].tolist())
+
+
+def test_packing_over_many_tasks_ends_as_over_one(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(16)
+    monkeypatch.setattr(packing, "ITEMS_PER_TASK", 5)
+    rows = pack_documents(docs, P.path(FILES[0]), 4096, 1).collect()
+    held, placed = {}, {}
+    for r in rows:
+        held[r["sequence_id"]] = held.get(r["sequence_id"], 0) + r["length"]
+        placed.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for inside in placed.values():
+        inside.sort()
+        assert [o for o, _ in inside] == [sum(n for _, n in inside[:k]) for k in range(len(inside))]
+    low = sorted(held.values())
+    assert max(low) <= 4096 and low[0] + low[1] > 4096  # no two fit together
+
+
 def test_packing(spark, odd, nothing):
     rows = pack_documents(odd, P.path(FILES[0]), 64, 1).collect()
     ids = whole(FILES[0], [t for _, t in ROWS])
