@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sediment.llm.common import cut
+from sediment.llm.common import BROADCAST_IDS, cut, kept_rows
 
 #: Bins of each statistic; smoothing of the counts; share of the strongest domain's evidence that the others keep.
 BINS, SMOOTH, FLOOR = 32, 1.0, 1e-6
@@ -83,6 +83,7 @@ class Mixture:
     targets: dict[str, float]
     expected: dict[str, float]
     steps: int
+    converged: bool
 
 
 def fit_rates(
@@ -95,6 +96,7 @@ def fit_rates(
     repeat: bool = True,
     seed: int = 0,
     keep: tuple[str, ...] = (),
+    steps: int = STEPS,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> Mixture:
@@ -105,17 +107,22 @@ def fit_rates(
     that asks no domain for more tokens than it has. ``copies`` draws each document's
     number of copies from its rate by a hash of its id and ``seed`` (``repeat`` False: 1 at most), so that the expected
     number is the rate. A null text has no tokens; a null id is drawn like any other; rows that repeat an id are
-    weighed each for itself; an empty table gives an empty result; other columns are ignored except ``keep``.
+    weighed each for itself; an empty table gives an empty result; other columns are ignored except ``keep``, which must
+    not be named like a column of the result. The fit ends when each domain has its target within CLOSE, or after
+    ``steps`` steps; ``Mixture.converged`` says which.
     """
+    if clash := {"doc_id", "n_tokens", "posteriors", "rate", "copies"} & set(keep):
+        raise ValueError(f"columns of the result: {sorted(clash)}")
     domains = sorted(weights)
     share = {d: weights[d] / sum(weights.values()) for d in domains}
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     stats = statistics(text)
     names = list(stats)
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), *keep, tokens(text).alias("n_tokens"), *[v.alias(k) for k, v in stats.items()])
+    kept = F.struct(*keep) if keep else F.struct(F.lit(0).alias("none"))
+    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), kept.alias("_keep"), tokens(text).alias("n_tokens"), *[v.alias(k) for k, v in stats.items()])
     rows = cut(chosen, "statistics")
     table = classifier(rows, labels.select(F.col(id_col).cast("long").alias("doc_id"), label_col), domains, names, label_col)
-    rows = rows.select("doc_id", *keep, "n_tokens", _posteriors(table, names, len(domains)).alias("posteriors"), F.lit(1.0).alias("rate"))
+    rows = rows.select("doc_id", "_keep", "n_tokens", _posteriors(table, names, len(domains)).alias("posteriors"), F.lit(1.0).alias("rate"))
     rows = cut(rows, "posteriors")
 
     def sums(frame: DataFrame) -> list[float]:
@@ -138,7 +145,12 @@ def fit_rates(
         return now.withColumn("rate", rate)
 
     expected = mass
-    while taken < STEPS and any(abs(e - t) > CLOSE * max(t, 1.0) for e, t in zip(expected, targets, strict=True)):
+
+
+    def close() -> bool:
+        return all(abs(e - t) <= CLOSE * max(t, 1.0) for e, t in zip(expected, targets, strict=True))
+
+    while taken < steps and not close():
         # in units of each domain's own tokens the least squares have steps of length 1
         gradients.append([(e - t) / s for e, t, s in zip(expected, targets, scale, strict=True)])
         taken += 1
@@ -148,14 +160,22 @@ def fit_rates(
     chance = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     copies = (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")).cast("int")
     final = stepped().withColumn("copies", copies if repeat else F.least(copies, F.lit(1)))
-    return Mixture(final, dict(zip(domains, targets, strict=True)), dict(zip(domains, expected, strict=True)), taken)
+    final = final.select("doc_id", *[F.col(f"_keep.{c}") for c in keep], "n_tokens", "posteriors", "rate", "copies")
+    return Mixture(final, dict(zip(domains, targets, strict=True)), dict(zip(domains, expected, strict=True)), taken, close())
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs``, with all their columns, as often as ``fit_rates`` draws them."""
-    drawn = fit_rates(docs, labels, weights, id_col=id_col, **options).rows.filter("copies > 0")
-    drawn = cut(drawn.groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")), "drawn")
-    joined = docs.join(drawn, F.col(id_col).cast("long").eqNullSafe(F.col("_id")))
-    if options.get("repeat", True):
-        joined = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return joined.select(*[docs[c] for c in docs.columns])
+    """The rows of ``docs``, with all their columns, as often as ``fit_rates`` draws them (of rows that share an id all as
+    often as the one drawn most; a null id is an id of its own). Null texts have no tokens, so their rates stay at 1 and
+    their rows stay; an empty table gives an empty result.
+
+    Ids to drop, or numbers of copies, are broadcast where their number allows it; more are joined by a shuffle."""
+    drawn = fit_rates(docs, labels, weights, id_col=id_col, **options).rows
+    if not options.get("repeat", True):
+        return kept_rows(docs, drawn.select("doc_id", (F.col("copies") > 0).alias("kept")), id_col)
+    drawn = cut(drawn.groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).filter("_copies != 1"), "drawn")
+    few = drawn.count() <= BROADCAST_IDS
+    joined = docs.join(F.broadcast(drawn) if few else drawn, docs[id_col].cast("long").eqNullSafe(drawn["_id"]), "left")
+    copies = F.coalesce(drawn["_copies"], F.lit(1))
+    again = F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>"))
+    return joined.select(*[docs[c] for c in docs.columns], F.explode(again).alias("_sediment_copy")).drop("_sediment_copy")
