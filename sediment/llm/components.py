@@ -12,8 +12,9 @@ from sediment.llm.common import cut as written
 
 def _forest(edges: DataFrame) -> bool:
     """Whether every vertex with an edge hangs on one root, which itself hangs on none (edges are distinct)."""
-    parents = edges.groupBy("u").count().filter("count > 1").isEmpty()
-    return parents and edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
+    parents = edges.groupBy("u").count().filter("count > 1").select("u")
+    chained = edges.select("u").join(edges.select(F.col("v").alias("u")), "u", "left_semi")
+    return parents.unionByName(chained).isEmpty()
 
 
 def connected_components(edges: DataFrame, cut: Callable[[DataFrame, str], DataFrame] = written) -> DataFrame:
@@ -28,9 +29,9 @@ def connected_components(edges: DataFrame, cut: Callable[[DataFrame, str], DataF
     now = cut(pairs.distinct(), "edges")
     while not _forest(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = cut(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct(), "large")
-        least = cut(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = cut(hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small")
     rooted = now.select(F.col("u").alias("id"), F.col("v").alias("component"))

@@ -116,7 +116,7 @@ def band_keys(found: np.ndarray) -> np.ndarray:
 
 
 _BIT_COLUMNS = [f"b{k}" for k in range(BITS // 64)]
-_FEATURES = "doc_id long, n_shingles long, set_key binary, bands array<long>, signature binary"
+_FEATURES = "doc_id long, tag long, n_shingles long, set_key binary, bands array<long>, signature binary"
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +133,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 bands.append(band_keys(m))
                 signatures.append((m >> np.uint32(24) ^ m & np.uint32(0xFF)).astype(np.uint8).tobytes())
-            columns = [part.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(signatures, pa.binary())]
+            columns = [part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(signatures, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _FEATURES.split(", ")])
 
 
@@ -227,7 +227,7 @@ def _open(members: DataFrame, labels: DataFrame, cut) -> DataFrame:
     parts = named.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     several = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("top"))
     several = several.filter("k > 1").select("bucket", "size", F.col("top.component").alias("largest"))
-    found = named.join(cut(several, "several"), "bucket").withColumn("outlier", F.col("component") != F.col("largest"))
+    found = named.join(several, "bucket").withColumn("outlier", F.col("component") != F.col("largest"))
     return cut(found.drop("largest"), "open")
 
 
@@ -240,11 +240,13 @@ def _central(members: DataFrame, cut) -> DataFrame:
 def _likely_in_buckets(members: DataFrame, features: DataFrame, sets: DataFrame, cut) -> DataFrame:
     """The pairs of open buckets' members in different components whose sizes and bit signatures allow a link, each
     once. The members of a large bucket are dealt into parts, each of which meets the whole bucket in a task."""
-    ids = members.select("id").distinct()
-    bits = cut(sets.join(ids, "id", "left_semi").mapInArrow(_bits, "id long, " + ", ".join(f"{c} long" for c in _BIT_COLUMNS)), "bits")
-    profile = features.select("id", "n_shingles", "bands").join(bits, "id")
+    own = members.groupBy("id").agg(F.collect_list(F.struct("band", "bucket")).alias("own"))  # BANDS at most
+    bits = sets.join(own.select("id"), "id", "left_semi").mapInArrow(_bits, "id long, " + ", ".join(f"{c} long" for c in _BIT_COLUMNS))
+    profile = cut(features.select("id", "n_shingles").join(bits, "id").join(own, "id"), "profiles")
     parts = F.ceil(F.col("size") / F.lit(SALT)).cast("int")
-    wide = cut(members.select("bucket", "band", "id", "component", parts.alias("parts")).join(profile, "id"), "wide")
+    earlier = F.transform(F.filter("own", lambda o: o["band"] < F.col("band")), lambda o: o["bucket"])
+    wide = members.select("bucket", "band", "id", "component", parts.alias("parts")).join(profile, "id")
+    wide = cut(wide.withColumn("earlier", earlier).drop("own", "band"), "wide")
     x = wide.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).alias("x")
     y = wide.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
     on = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.id") < F.col("y.id"))
@@ -252,8 +254,7 @@ def _likely_in_buckets(members: DataFrame, features: DataFrame, sets: DataFrame,
     low, high = F.least("x.n_shingles", "y.n_shingles"), F.greatest("x.n_shingles", "y.n_shingles")
     unequal = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in _BIT_COLUMNS), F.lit(0))
     on &= (100 * low >= 75 * high) & (unequal <= BITS - EQUAL_BITS)
-    # bands have keys of their own, so two members share an earlier bucket if their first keys overlap
-    on &= ~F.arrays_overlap(F.slice("x.bands", F.lit(1), F.col("x.band")), F.slice("y.bands", F.lit(1), F.col("x.band")))
+    on &= ~F.arrays_overlap("x.earlier", "y.earlier")
     return cut(x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "likely")
 
 
@@ -272,18 +273,21 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     with Scratch(docs.sparkSession) as scratch:
         cut = scratch.cut
-        rows = cut(chosen.mapInArrow(_features, _FEATURES), "features")
+        rows = cut(chosen.withColumn("tag", F.monotonically_increasing_id()).mapInArrow(_features, _FEATURES), "features")
         linked = rows.filter("doc_id is not null and set_key is not null")
-        classes = cut(linked.groupBy("set_key").agg(F.min("doc_id").alias("id")), "classes")
-        firsts = linked.join(classes, "set_key").filter("doc_id = id").select("id", "n_shingles", "signature", "bands")
-        features = cut(firsts.dropDuplicates(["id", "signature"]), "classfeatures")
+        first = F.min(F.struct(F.col("doc_id").alias("id"), "tag")).alias("f")
+        classes = cut(linked.groupBy("set_key").agg(first).select("set_key", "f.id", F.col("f.tag").alias("first")), "classes")
+        # copies leave, by a broadcast where their number allows it, so that no signature is moved
+        copies = cut(linked.select("tag", "set_key").join(classes, "set_key").filter("tag != first").select("tag"), "copies")
+        few = copies.count() <= BROADCAST_IDS
+        features = linked.join(F.broadcast(copies) if few else copies, "tag", "left_anti").select(F.col("doc_id").alias("id"), "n_shingles", "signature", "bands")
         repeated = linked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
         owners = linked.select("doc_id", "set_key").join(repeated, "doc_id").join(classes, "set_key").filter("doc_id != id")
         owners = cut(owners.select(F.col("doc_id").alias("a"), F.col("id").alias("b")), "owners")
 
         buckets = features.select("id", F.posexplode("bands").alias("band", "bucket"))
         shared = cut(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
-        sized = cut(buckets.join(shared, "bucket"), "sized")
+        sized = cut(buckets.join(F.broadcast(shared) if shared.count() <= BROADCAST_IDS else shared, "bucket"), "sized")
         weights = cut(sized.groupBy("id").agg(F.sum("n").alias("weight")), "weights")
         members = cut(sized.join(weights, "id").select(*_MEMBER), "members")
         scratch.drop(sized)
