@@ -1,6 +1,6 @@
 """Language identification by averaged hashed subword embeddings and a linear softmax, with calibrated rejection.
 
-A text is the mean of the embeddings of its subwords (byte n-grams of lower-cased letters that see word ends); a
+A text is the mean of the embeddings of its subwords (character n-grams of lower-cased letters that see word ends); a
 linear softmax reads the language off this mean. Both are trained together by stochastic gradient descent in numpy
 on a bounded sample of labelled rows. A temperature fitted on rows kept aside makes the score a probability, and texts
 are rejected whose score is lower than nearly all right ones of about their length had among those rows, whole or in

@@ -6,24 +6,26 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Bytes that stand between two texts, and every ASCII byte that is no letter: n-grams see word ends alike.
-_PLAIN = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
+#: What an ASCII character counts as: letters as they are, all others as a blank, so that n-grams see word ends alike.
+_PLAIN = np.array([c if 97 <= c <= 122 else 32 for c in range(128)], np.uint32)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def joined(texts: list[str | None], gap: int) -> tuple[np.ndarray, np.ndarray]:
-    """The lower-cased bytes of all texts, each after one space and before ``gap`` spaces, and where each begins."""
-    parts = [b" " + (t or "").lower().encode("utf-8", "replace").translate(_PLAIN) + b" " * gap for t in texts]
+    """The lower-cased characters (code points) of all texts, each after one blank and before ``gap`` blanks, and where
+    each begins."""
+    parts = [" " + (t or "").lower() + " " * gap for t in texts]
     starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-    return np.frombuffer(b"".join(parts), np.uint8), starts
+    data = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), "<u4")
+    return np.where(data < 128, _PLAIN[data & 127], data).astype(np.uint64), starts
 
 
 def buckets(data: np.ndarray, order: int, bits: int) -> np.ndarray:
-    """The bucket of the n-gram of ``order`` bytes (8 at most) that begins at each byte but the last ones."""
+    """The bucket of the n-gram of ``order`` characters that begins at each character but the last ones."""
     n = max(0, len(data) - order + 1)
     key = np.zeros(n, np.uint64)
     for k in range(order):
-        key = (key << np.uint64(8)) | data[k : k + n]
+        key = key * np.uint64(0x100000001B3) + data[k : k + n]
     key = (key + np.uint64(order)) * _MIX
     return ((key ^ (key >> np.uint64(29))) * _MIX >> np.uint64(64 - bits)).astype(np.int32)
 
