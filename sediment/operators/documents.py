@@ -12,9 +12,13 @@ from sediment.operators import relational
 #: Statuses, limits, section names.
 STORY_STATUS = ("TODO", "IN_PROGRESS", "TESTING", "DONE", "BLOCKED")
 PRODUCT_STATUS = ("DRAFT", "REVIEW", "APPROVED", "SHIPPED", "ARCHIVED")
-FILE_BYTES, FILES, TOTAL_BYTES = 1 << 20, 512, 8 << 20
-SECTIONS = ("Problem", "Goals", "Non-Goals", "Users", "Requirements", "Success Metrics", "Risks", "Dependencies", "Open Questions")
-GLOBAL_CODES = ("REQUIREMENTS_UNAVAILABLE", "ORPHAN_REQUIREMENT", "DUPLICATE_PRODUCT_ID")
+FILE_BYTES, FILES, TOTAL_BYTES, PRODUCT_FILES = 1 << 20, 512, 8 << 20, 128
+SECTIONS = ("Problem Statement", "Target Users", "Goals", "Non-Goals", "Success Metrics", "Scope", "Risks", "Rollout Plan", "Open Questions")
+NO_QUESTIONS = ("none", "n/a", "na", "no open questions")
+#: Codes that stay whatever part of a repository is looked at.
+GLOBAL_CODES = ("PRD_PARSE_ERROR", "PRD_ID_DUPLICATE", "PRD_REQUIREMENT_ORPHAN", "PRD_APPLIES_TO_INVALID", "PRD_COLLECTION_LIMIT")
+#: The folder of a repository that holds requirements and product documents, if nothing else is said.
+HOME = ".project"
 STORY = "struct<id:string,title:string,role:string,want:string,benefit:string,status:string>"
 SPEC = (
     f"story {STORY}, id string, title string, role string, want string, benefit string, status string, "
@@ -42,14 +46,27 @@ def _numbered(items: Column, prefix: str) -> Column:
     return F.transform(items, lambda x, i: F.struct(F.coalesce(group(x, own, 1), F.format_string(f"{prefix}%02d", i + 1)).alias("id"), F.coalesce(group(x, own, 2), x).alias("description")))
 
 
-def requirements(files: DataFrame) -> DataFrame:
+def _within(files: DataFrame, home: str, part: str, kinds: str) -> DataFrame:
+    return files.filter(F.col("path").rlike(rf"(^|/)\Q{home}\E/{part}/[^/]+\.({kinds})$"))
+
+
+def _limited(rows: DataFrame, root: Column, most: int) -> DataFrame:
+    """``rows`` (path, content, ...) with ``_over``: whether the collection under its ``root`` has more than ``most``
+    files or TOTAL_BYTES up to this one, by path. A collection is one folder of one repository."""
+    order = Window.partitionBy(root).orderBy("path")
+    held = F.sum(F.octet_length("content")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("_over", (F.row_number().over(order) > most) | (held > TOTAL_BYTES))
+
+
+def requirements(files: DataFrame, home: str = HOME) -> DataFrame:
     """``path, id, title, role, want, benefit, status, business_rules, acceptance_criteria, open_questions, problem`` of
-    the specifications under ``.bck-nd/requirements`` (JSON, or Markdown in English or Spanish); ``problem`` says why one
-    can't be read."""
-    within = files.filter(F.col("path").rlike(r"(^|/)\.bck-nd/requirements/[^/]+\.(json|md|markdown)$"))
+    the specifications under ``home``/requirements (JSON, or Markdown in English or Spanish); ``problem`` says why one
+    can't be read, or that its collection exceeds a limit."""
+    within = _within(files, home, "requirements", "json|md|markdown")
+    within = _limited(within, F.regexp_extract("path", r"^(.*)/[^/]+$", 1), FILES)
     js = within.filter(F.col("ext") == ".json").withColumn("x", F.from_json("content", SPEC, {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"}))
     one = lambda c: F.coalesce(F.col(f"x.story.{c}"), F.col(f"x.{c}"))
-    bad = F.when(F.col("x").isNull() | F.col("x._corrupt").isNotNull() | F.trim("content").startswith("["), "INVALID_JSON").when(one("id").isNull(), "MISSING_ID").when(F.octet_length("content") > FILE_BYTES, "TOO_LARGE")
+    bad = F.when(F.col("x").isNull() | F.col("x._corrupt").isNotNull() | F.trim("content").startswith("["), "INVALID_JSON").when(one("id").isNull(), "MISSING_ID").when(F.octet_length("content") > FILE_BYTES, "TOO_LARGE").when(F.col("_over"), "COLLECTION_LIMIT")
     criteria = "array<struct<id:string,given:string,when:string,then:string>>"
     rules = "array<struct<id:string,description:string>>"
     out = js.select("path", *[one(c).alias(c) for c in ("id", "title", "role", "want", "benefit")], _status(one("status")).alias("status"), F.coalesce("x.business_rules", F.array().cast(rules)).alias("business_rules"), F.coalesce("x.acceptance_criteria", F.array().cast(criteria)).alias("acceptance_criteria"), F.coalesce("x.open_questions", F.array().cast("array<string>")).alias("open_questions"), bad.alias("problem"))
@@ -58,10 +75,12 @@ def requirements(files: DataFrame) -> DataFrame:
     field = lambda names: group(text, rf"(?im)^\s*[-*]?\s*\**(?:{names})\**\s*:\s*\**\s*(.+)$", 1)
     given = r"(?is)(?:given|dado)\b\**:?\s*(.*?),?\s*(?:when|cuando)\b\**:?\s*(.*?),?\s*(?:then|entonces)\b\**:?\s*(.*)$"
     accepted = F.transform(_numbered(_items(_section(text, "Acceptance Criteria|Criterios de Aceptaci[oó]n")), "AC"), lambda a: F.struct(a["id"].alias("id"), *[F.trim(F.regexp_extract(a["description"], given, k)).alias(n) for k, n in ((1, "given"), (2, "when"), (3, "then"))]))
+    # a field says more than the heading
+    own, title = F.trim(F.coalesce(field("ID|Story ID|Identificador"), group(text, head, 1))), F.trim(F.coalesce(field("Title|T[ií]tulo"), F.regexp_extract(text, head, 3)))
     parsed = md.select(
-        "path", group(text, head, 1).alias("id"), F.trim(F.regexp_extract(text, head, 3)).alias("title"), field("Role|Rol|As a|Como").alias("role"), field("Want|I want|Quiero").alias("want"), field("Benefit|So that|Beneficio|Para").alias("benefit"),
-        _status(F.regexp_extract(text, head, 2)).alias("status"), _numbered(_items(_section(text, "Business Rules|Reglas de Negocio")), "BR").cast(rules).alias("business_rules"), accepted.cast(criteria).alias("acceptance_criteria"),
-        _items(_section(text, "Open Questions|Preguntas Abiertas")).alias("open_questions"), F.when(group(text, head, 1).isNull(), "MISSING_ID").when(F.octet_length(text) > FILE_BYTES, "TOO_LARGE").alias("problem"),
+        "path", own.alias("id"), title.alias("title"), field("Role|As a|Como").alias("role"), field("Want|I want|Quiero|Deseo").alias("want"), field("Benefit|So that|Para|Para que").alias("benefit"),
+        _status(F.coalesce(field("Status|Estado"), F.regexp_extract(text, head, 2))).alias("status"), _numbered(_items(_section(text, "Business Rules|Reglas de Negocio")), "BR").cast(rules).alias("business_rules"), accepted.cast(criteria).alias("acceptance_criteria"),
+        _items(_section(text, "Open Questions|Preguntas Abiertas")).alias("open_questions"), F.when(own.isNull(), "MISSING_ID").when(F.octet_length(text) > FILE_BYTES, "TOO_LARGE").when(F.col("_over"), "COLLECTION_LIMIT").alias("problem"),
     )
     return out.unionByName(parsed)
 
@@ -91,21 +110,21 @@ def story(specs: DataFrame, wanted: str) -> DataFrame:
     return specs.withColumn("_rank", rank).filter("_rank is not null").orderBy("_rank", "path").limit(1).drop("_rank")
 
 
-def locations(files: DataFrame, found: DataFrame, depth: int = 6, most: int = 32) -> DataFrame:
+def locations(found: DataFrame, depth: int = 6, most: int = 32, home: str = HOME) -> DataFrame:
     """``root, stories, ids, truncated`` of the collections in a repository, down to ``depth`` folders; the first
     ``most`` are listed."""
-    root = F.regexp_extract("path", r"^(.*?)/?\.bck-nd/requirements/", 1)
+    root = F.regexp_extract("path", rf"^(.*?)/?\Q{home}\E/requirements/", 1)
     near = found.withColumn("root", root).filter(F.when(F.col("root") == "", 0).otherwise(F.size(F.split("root", "/"))) <= depth)
     rows = near.groupBy("root").agg(F.count(F.lit(1)).alias("stories"), F.array_sort(F.collect_set(F.lower("id"))).alias("ids"))
     order = Window.orderBy("root")  # a row a collection
     return rows.withColumns({"_n": F.row_number().over(order), "_all": F.count(F.lit(1)).over(Window.partitionBy())}).filter(F.col("_n") <= most).select("root", "stories", "ids", (F.col("_all") > most).alias("truncated"))
 
 
-def products(files: DataFrame) -> DataFrame:
+def products(files: DataFrame, home: str = HOME) -> DataFrame:
     """``path, id, title, status, owner, target_release, applies_to, requirement_ids, sections, questions, problem,
     schema_version, names_requirements`` (whether the last list is there, if empty) of
-    the documents under ``.bck-nd/product``: front matter, and sections by their headings (fenced code apart)."""
-    within = files.filter(F.col("path").rlike(r"(^|/)\.bck-nd/product/[^/]+\.(md|markdown)$"))
+    the documents under ``home``/product: front matter, and sections by their headings (fenced code apart)."""
+    within = _limited(_within(files, home, "product", "md|markdown"), F.regexp_extract("path", r"^(.*)/[^/]+$", 1), PRODUCT_FILES)
     front, body = F.regexp_extract("content", r"(?s)\A---\n(.*?)\n---\n", 1), F.regexp_replace("content", r"(?s)\A---\n.*?\n---\n", "")
     bare = F.regexp_replace(body, r"(?ms)^```.*?^```\s*$", "")
     key = lambda k: F.regexp_replace(group(front, rf"(?m)^{k}:\s*(\S.*)$", 1), r"""^["']|["']$""", "")
@@ -120,22 +139,35 @@ def products(files: DataFrame) -> DataFrame:
     bodies = F.transform(F.slice(F.split(bare, r"(?m)^##\s+.*$"), 2, 1 << 20), lambda b: F.trim(F.regexp_replace(b, r"^\s+|\s+$", "")))
     sections = F.map_from_entries(F.arrays_zip(names.alias("k"), bodies.alias("v")))
     title = lambda n: F.regexp_extract("content", r"(?m)^#\s+(.+)$", n)
-    problem = F.when(front == "", "MISSING_FRONT_MATTER").when(F.octet_length("content") > FILE_BYTES, "TOO_LARGE").when(F.size(F.array_distinct(names)) < F.size(names), "DUPLICATE_SECTION")
+    keys = F.regexp_extract_all(front, F.lit(r"(?m)^([A-Za-z_]\w*)\s*:"), F.lit(1))
+    problem = (
+        F.when(F.octet_length("content") > FILE_BYTES, "PRD_SOURCE_TOO_LARGE")
+        .when(F.col("_over"), "PRD_COLLECTION_LIMIT")
+        .when(front == "", "PRD_PARSE_ERROR")
+        .when(front.rlike(r"(?m)^[^#'\"]*(?::|-)\s+[*&][A-Za-z_]"), "PRD_YAML_ALIAS_UNSUPPORTED")
+        .when(F.size(F.array_distinct(F.transform(keys, F.lower))) < F.size(keys), "PRD_YAML_DUPLICATE_KEY")
+        .when(F.size(F.array_distinct(names)) < F.size(names), "PRD_PARSE_ERROR")
+    )
     usable = F.when(F.size(F.array_distinct(names)) == F.size(names), sections)
-    return within.select("path", key("id").alias("id"), F.coalesce(key("title"), title(1)).alias("title"), F.upper(F.coalesce(key("status"), F.lit(""))).alias("status"), key("owner").alias("owner"), key("target_release").alias("target_release"), listed("applies_to").alias("applies_to"), listed("requirement_ids").alias("requirement_ids"), usable.alias("sections"), _items(_section(bare, "Open Questions|Preguntas Abiertas")).alias("questions"), problem.alias("problem"), key("schema_version").alias("schema_version"), front.rlike(r"(?m)^requirement_ids:").alias("names_requirements"))
+    return within.select("path", key("id").alias("id"), F.coalesce(key("title"), title(1)).alias("title"), F.upper(F.coalesce(key("status"), F.lit(""))).alias("status"), key("owner").alias("owner"), key("target_release").alias("target_release"), listed("applies_to").alias("applies_to"), listed("requirement_ids").alias("requirement_ids"), usable.alias("sections"), F.filter(_items(_section(bare, "Open Questions|Preguntas Abiertas")), lambda q: ~F.lower(F.regexp_replace(F.trim(q), r"\.$", "")).isin(*NO_QUESTIONS)).alias("questions"), problem.alias("problem"), key("schema_version").alias("schema_version"), front.rlike(r"(?m)^requirement_ids:").alias("names_requirements"))
+
+
+_DIAGNOSTIC = "code string, severity string, message string, path string, field string, section string, reference string, ord array<int>"
 
 
-_DIAGNOSTIC = "code string, severity string, message string, path string, field string, reference string"
+def external(path: Column) -> Column:
+    """Whether a path is absolute, has a drive, or is an address."""
+    return path.rlike(r"^([\\/]|[A-Za-z][A-Za-z0-9+.-]*:)") | path.contains("\0")
 
 
 def escapes(path: Column) -> Column:
-    """Whether a path leaves its root, is absolute, or is an address."""
+    """Whether a path leaves its root or does not lie under one."""
     depth = F.aggregate(
         F.split(F.regexp_replace(path, r"\\", "/"), "/"),
         F.struct(F.lit(0).alias("at"), F.lit(0).alias("least")),
         lambda a, p: F.struct((a["at"] + F.when(p == "..", -1).when(p.isin("", "."), 0).otherwise(1)).alias("at"), F.least(a["least"], a["at"] + F.when(p == "..", -1).when(p.isin("", "."), 0).otherwise(1)).alias("least")),
     )
-    return path.rlike(r"^([A-Za-z]:|[\\/]|[a-z][a-z0-9+.-]*://)") | (depth["least"] < 0)
+    return external(path) | (depth["least"] < 0)
 
 
 def _resolved(path: Column) -> Column:
@@ -146,58 +178,77 @@ def _resolved(path: Column) -> Column:
 
 
 def product_diagnostics(docs: DataFrame, specs: DataFrame, available: bool = True, files: DataFrame | None = None) -> DataFrame:
-    """The findings on product documents (see _DIAGNOSTIC), each once: their form, unknown or missing fields, sections
-    and placeholders, paths, references to requirements that don't exist, requirements that none refers to, and ids that
-    occur twice. Without readable requirements, references are not checked for being there; without ``files``, paths are
-    not either."""
-
-    def rule(rows: DataFrame, code: str, severity: str, message: Column | str, field: str | None = None, reference: Column | None = None) -> DataFrame:
-        text = message if isinstance(message, Column) else F.lit(message)
+    """The findings on product documents (see _DIAGNOSTIC), each once; ``ord`` says in which order a document has them.
+    A document that can't be read has that finding alone. Incomplete sections are errors from the review on, open
+    questions from the approval on. Without readable requirements, references are not checked for being there; without
+    ``files``, paths are not either. Orphans have no document: their path is the requirement's."""
+    out: list[DataFrame] = []
+
+    def rule(rows: DataFrame, code: Column | str, severity: Column | str, message: Column | str, field: str | None = None, reference: Column | None = None, section: Column | None = None, at: Column | None = None) -> None:
+        lit = lambda x: x if isinstance(x, Column) else F.lit(x)
         none = F.lit(None).cast("string")
-        return rows.select(F.lit(code).alias("code"), F.lit(severity).alias("severity"), text.alias("message"), "path", (F.lit(field) if field else none).cast("string").alias("field"), (reference if reference is not None else none).cast("string").alias("reference"))
-
-    out = [rule(docs.filter("problem is not null"), "INVALID_DOCUMENT", "ERROR", F.col("problem"))]
-    for f in ("id", "title", "owner"):
-        out.append(rule(docs.filter(F.col(f).isNull() | (F.trim(F.col(f)) == "")), f"MISSING_{f.upper()}", "WARNING" if f == "owner" else "ERROR", f"{f} is missing", f))
-    out.append(rule(docs.filter(~F.col("status").isin(*PRODUCT_STATUS)), "INVALID_STATUS", "ERROR", "status is not known", "status", F.col("status")))
-    held = F.map_keys(F.coalesce("sections", F.create_map().cast("map<string,string>")))
-    gone = docs.withColumn("s", F.explode(F.array_except(F.array(*[F.lit(s) for s in SECTIONS]), held)))
-    out.append(rule(gone, "MISSING_SECTION", "WARNING", F.concat(F.lit("no section "), "s"), None, F.col("s")))
-    blank = docs.select("path", F.explode("sections").alias("s", "body")).filter(F.trim("body").rlike(r"(?i)^(|todo.*|tbd.*|<.*>|\.\.\.)$"))
-    out.append(rule(blank, "PLACEHOLDER_SECTION", "WARNING", F.concat(F.lit("nothing said in "), "s"), None, F.col("s")))
-    asked, n = docs.filter(F.size("questions") > 0), F.concat(F.size("questions").cast("string"), F.lit(" open questions"))
-    out.append(rule(asked.filter(F.col("status").isin("APPROVED", "SHIPPED")), "OPEN_QUESTIONS_BLOCKING", "ERROR", n))
-    out.append(rule(asked.filter(F.col("status").isin("DRAFT", "REVIEW")), "OPEN_QUESTIONS_PRESENT", "WARNING", n))
-    given = docs.filter(F.trim("id") != "")
-    out.append(rule(given.filter(~F.trim("id").rlike(r"\A[A-Za-z0-9][A-Za-z0-9_-]*\z")), "ID_INVALID", "ERROR", "id has an invalid format", "id", F.col("id")))
-    out.append(rule(docs.filter("schema_version is null"), "MISSING_SCHEMA_VERSION", "ERROR", "schema_version is missing", "schema_version"))
-    out.append(rule(docs.filter("trim(schema_version) <> '1'"), "SCHEMA_UNSUPPORTED", "ERROR", "schema_version is not 1", "schema_version", F.col("schema_version")))
-    out.append(rule(docs.filter(F.size("applies_to") == 0), "MISSING_APPLIES_TO", "ERROR", "applies_to is missing", "applies_to"))
-    out.append(rule(docs.filter("not names_requirements"), "MISSING_REQUIREMENT_IDS", "ERROR", "requirement_ids is missing", "requirement_ids"))
-    out.append(rule(docs.withColumn("p", F.explode("applies_to")).filter(escapes(F.col("p"))), "EXTERNAL_PATH", "ERROR", "path leaves the repository", "applies_to", F.col("p")))
-    refs = docs.select("path", F.explode("requirement_ids").alias("ref")).withColumn("key", F.lower("ref"))
-    well_formed = F.trim("ref").rlike(r"\A[A-Za-z0-9][A-Za-z0-9_.-]*\z")
-    out.append(rule(refs.filter(~well_formed), "REQUIREMENT_ID_INVALID", "ERROR", "a requirement id has an invalid format", "requirement_ids", F.lit("<invalid-requirement-id>")))
+        order = F.array(F.lit(len(out)), F.coalesce(at, F.lit(0)).cast("int") if at is not None else F.lit(0))
+        out.append(rows.select(lit(code).alias("code"), lit(severity).alias("severity"), lit(message).alias("message"), "path", lit(field).cast("string").alias("field"), (section if section is not None else none).cast("string").alias("section"), (reference if reference is not None else none).cast("string").alias("reference"), order.alias("ord")))
+
+    blank = lambda c: F.col(c).isNull() | (F.trim(F.col(c)) == "")
+    missing = lambda rows, f: rule(rows, "PRD_METADATA_MISSING", "ERROR", f"Required metadata field '{f}' is missing or empty.", f)
+    rule(docs.filter("problem is not null"), F.col("problem"), "ERROR", "The document can't be read.")
+    docs = docs.filter("problem is null")
+    rule(docs.filter(blank("id")), "PRD_ID_MISSING", "ERROR", "PRD ID is required.", "id")
+    rule(docs.filter(~blank("id") & ~F.trim("id").rlike(r"\A[A-Za-z0-9][A-Za-z0-9_-]*\z")), "PRD_ID_INVALID", "ERROR", "The ID has an invalid format.", "id", F.col("id"))
+    missing(docs.filter(blank("schema_version")), "schema_version")
+    rule(docs.filter("trim(schema_version) <> '1' and trim(schema_version) <> ''"), "PRD_SCHEMA_UNSUPPORTED", "ERROR", "schema_version is not 1.", "schema_version", F.col("schema_version"))
+    missing(docs.filter(blank("title")), "title")
+    missing(docs.filter(blank("status")), "status")
+    rule(docs.filter(~blank("status") & ~F.col("status").isin(*PRODUCT_STATUS)), "PRD_STATUS_INVALID", "ERROR", "The status is not known.", "status", F.col("status"))
+    missing(docs.filter(F.size("applies_to") == 0), "applies_to")
+    missing(docs.filter(~F.col("names_requirements")), "requirement_ids")
+    strict = F.when(F.col("status").isin("REVIEW", "APPROVED", "SHIPPED"), "ERROR").otherwise("WARNING")
+    named = F.map_from_entries(F.transform(F.map_entries(F.coalesce("sections", F.create_map().cast("map<string,string>"))), lambda e: F.struct(F.lower(F.trim(e["key"])), e["value"])))
+    asked = docs.select("path", "status", "questions", named.alias("_held"), F.posexplode(F.array(*[F.lit(s) for s in SECTIONS])).alias("_at", "_section"))
+    asked = asked.withColumn("_body", F.col("_held")[F.lower("_section")])
+    rule(asked.filter("_body is null"), "PRD_SECTION_MISSING", strict, F.concat(F.lit("Required section '"), "_section", F.lit("' is missing.")), None, None, F.col("_section"), F.col("_at"))
+    empty = (F.trim("_body") == "") | F.col("_body").rlike(r"\b(TODO|TBD)\b") | F.col("_body").rlike(r"(?im)^\s*(?:[-*+]\s+)?describe(?:\s+.*|\s*\.{3})\s*$")
+    unsaid = (F.col("_section") == "Open Questions") & (F.size("questions") == 0)
+    rule(asked.filter(empty & ~unsaid), "PRD_SECTION_PLACEHOLDER", strict, F.concat(F.lit("Required section '"), "_section", F.lit("' says nothing yet.")), None, None, F.col("_section"), F.col("_at"))
+    open_ = docs.filter(F.size("questions") > 0)
+    rule(open_.filter(F.col("status").isin("APPROVED", "SHIPPED")), "PRD_OPEN_QUESTIONS_BLOCKING", "ERROR", "This status can't retain open questions.", None, None, F.lit("Open Questions"))
+    rule(open_.filter(F.col("status").isin("DRAFT", "REVIEW")), "PRD_OPEN_QUESTIONS_PRESENT", "WARNING", "The document has open questions.", None, None, F.lit("Open Questions"))
+    refs = docs.select("path", F.posexplode("requirement_ids").alias("_at", "ref")).withColumns({"ref": F.trim("ref"), "key": F.lower(F.trim("ref"))})
+    well_formed = F.col("ref").rlike(r"\A[A-Za-z0-9][A-Za-z0-9_.-]*\z")
+    rule(refs.filter(~well_formed), "PRD_REQUIREMENT_ID_INVALID", "ERROR", "A referenced requirement ID has an invalid format.", "requirement_ids", F.lit("<invalid-requirement-id>"), None, F.col("_at"))
     refs = refs.filter(well_formed)
+    if available:
+        known = specs.select(F.lower("id").alias("key"))
+        rule(relational.missing(refs, "key", known), "PRD_REQUIREMENT_MISSING", "ERROR", "The referenced requirement does not exist.", "requirement_ids", F.col("ref"), None, F.col("_at"))
+    paths = docs.select("path", F.posexplode("applies_to").alias("_at", "_p")).withColumn("_p", F.regexp_replace(F.trim("_p"), r"\\", "/"))
+    rule(paths.filter(escapes(F.col("_p"))), "PRD_APPLIES_TO_INVALID", "ERROR", "The path leaves the project.", "applies_to", F.when(external(F.col("_p")), "<outside-project>").otherwise(F.col("_p")), None, F.col("_at"))
     if files is not None:
         parts = F.split("path", "/")
         there = files.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("key")).distinct()
-        wanted = docs.select("path", F.explode("applies_to").alias("p")).filter(~escapes(F.col("p"))).withColumn("key", _resolved(F.col("p"))).filter("key <> ''")
-        out.append(rule(wanted.join(there, "key", "left_anti"), "APPLIES_TO_MISSING", "WARNING", "path does not exist", "applies_to", F.col("key")))
+        wanted = paths.filter(~escapes(F.col("_p"))).withColumn("key", _resolved(F.col("_p"))).filter("key <> ''")
+        rule(wanted.join(there, "key", "left_anti"), "PRD_APPLIES_TO_MISSING", "WARNING", "The path does not exist.", "applies_to", F.col("_p"), None, F.col("_at"))
+    twice = relational.duplicates(docs.filter(~blank("id")).withColumn("_own", F.lower(F.trim("id"))), F.col("_own"), "path")
+    rule(twice, "PRD_ID_DUPLICATE", "ERROR", "The ID occurs before.", "id", F.col("first_id"))
     if available:
-        known = specs.select(F.lower("id").alias("key"))
-        out.append(rule(relational.missing(refs, "key", known), "MISSING_REQUIREMENT", "ERROR", "requirement does not exist", "requirement_ids", F.col("ref")))
         some = docs.limit(1).select(F.lit(1).alias("_one"))
         orphans = relational.missing(specs.select("path", "id", F.lower("id").alias("key")), "key", refs.select("key")).withColumn("_one", F.lit(1)).join(F.broadcast(some), "_one", "left_semi")
-        out.append(rule(orphans, "ORPHAN_REQUIREMENT", "INFO", "no product document refers to it", None, F.col("id")))
+        rule(orphans, "PRD_REQUIREMENT_ORPHAN", "WARNING", "No product document refers to the requirement.", "requirement_ids", F.col("id"))
     else:
-        out.append(rule(docs, "REQUIREMENTS_UNAVAILABLE", "WARNING", "requirements can't be read"))
-    twice = relational.duplicates(docs.filter("id is not null"), F.lower("id"), "path")
-    out.append(rule(twice, "DUPLICATE_PRODUCT_ID", "ERROR", "id occurs before", "id", F.col("first_id")))
+        rule(docs, "PRD_REQUIREMENTS_UNAVAILABLE", "WARNING", "Requirements can't be read.")
     all_ = out[0]
     for o in out[1:]:
         all_ = all_.unionByName(o)
-    return all_.dropDuplicates(["code", "severity", "path", "field", "reference", "message"])
+    keys = ["code", "severity", "path", "field", "section", "reference"]
+    return all_.groupBy(*keys).agg(F.min(F.struct("ord", "message")).alias("m")).select("code", "severity", "m.message", "path", "field", "section", "reference", "m.ord")
+
+
+def scoped_diagnostics(found: DataFrame, docs: DataFrame, target: str) -> DataFrame:
+    """The findings that concern ``target``: those of documents whose scope meets it, those without a document, and the
+    codes that concern the whole collection."""
+    outside = docs.join(in_scope(docs, target).select("path"), "path", "left_anti").select("path")
+    inside = found.filter(~F.col("code").isin(*GLOBAL_CODES)).join(outside, "path", "left_anti")
+    return found.filter(F.col("code").isin(*GLOBAL_CODES)).unionByName(inside.select(*found.columns))
 
 
 def severity_rank(c: str = "severity") -> Column:
@@ -205,9 +256,9 @@ def severity_rank(c: str = "severity") -> Column:
 
 
 def report(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``path, id, errors, warnings, infos, valid, first_error`` of each document."""
+    """``path, id, errors, warnings, infos, valid, first_error`` of each document; the first error by ``ord``."""
     n = lambda s: F.coalesce(F.sum(F.when(F.col("severity") == s, 1)), F.lit(0)).cast("long")
-    counts = found.groupBy("path").agg(n("ERROR").alias("errors"), n("WARNING").alias("warnings"), n("INFO").alias("infos"), F.min(F.when(F.col("severity") == "ERROR", F.col("code"))).alias("first_error"))
+    counts = found.groupBy("path").agg(n("ERROR").alias("errors"), n("WARNING").alias("warnings"), n("INFO").alias("infos"), F.min_by("code", F.when(F.col("severity") == "ERROR", F.struct("ord", "code"))).alias("first_error"))
     rows = docs.select("path", "id").join(counts, "path", "left").na.fill(0, ["errors", "warnings", "infos"])
     return rows.withColumn("valid", F.col("errors") == 0)
 

@@ -37,7 +37,12 @@ def _blocks(files: DataFrame, pattern: str) -> DataFrame:
     return explode_lines(blocks, "content", ("path", "entity")).withColumnRenamed("line", "at")
 
 
-_DEEP = r"(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*"
+def _nested(levels: int) -> str:
+    """A pattern of text in balanced braces, so many levels deep; possessive, so that long bodies cost no stack."""
+    return r"[^{}]*+" if levels == 0 else rf"(?:[^{{}}]++|\{{{_nested(levels - 1)}\}})*+"
+
+
+_DEEP = _nested(16)
 
 
 def prisma(files: DataFrame, order: int) -> DataFrame:

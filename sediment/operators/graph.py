@@ -6,36 +6,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sediment.shared import cut
+
 KINDS = ("CLASS", "INTERFACE", "ENTITY", "ENDPOINT", "MODULE", "PACKAGE", "SERVICE")
 EDGE_KINDS = ("INHERITS", "IMPLEMENTS", "HAS_ONE", "HAS_MANY", "BELONGS_TO", "MANY_TO_MANY", "DEPENDS_ON", "CALLS", "ROUTES_TO")
 
 
-def reach(edges: DataFrame, starts: DataFrame, max_depth: int = 100) -> DataFrame:
+def reach(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
     """``start, vertex, depth`` of what follows ``edges`` (src, dst) from ``starts`` (start), the start itself left out,
-    at the least depth. A frontier moves on by joins until it finds nothing new; each step is checkpointed where the
-    session has a folder for that."""
-    spark = edges.sparkSession
-
-    def kept(df: DataFrame) -> DataFrame:
-        return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.persist()
-
-    if spark.sparkContext.getConf().get("spark.checkpoint.dir") and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
-    links = edges.select("src", "dst").distinct()
-    frontier = starts.select("start", F.col("start").alias("vertex")).distinct()
-    seen = kept(frontier.withColumn("depth", F.lit(0)))
-    frontier = seen.drop("depth")
-    for depth in range(1, max_depth + 1):
+    at the least depth. A frontier moves on by joins until it finds nothing new, or for ``max_depth`` steps; each step
+    is written down, so a lost executor costs no earlier step."""
+    links = cut(edges.select("src", "dst").distinct(), "links")
+    frontier = cut(starts.select("start", F.col("start").alias("vertex"), F.lit(0).alias("depth")).distinct(), "starts")
+    seen, depth = frontier, 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         found = frontier.join(links, frontier["vertex"] == links["src"]).select("start", F.col("dst").alias("vertex")).distinct()
-        found = kept(found.join(seen, ["start", "vertex"], "left_anti"))
-        if found.isEmpty():
+        frontier = cut(found.join(seen, ["start", "vertex"], "left_anti").withColumn("depth", F.lit(depth)), f"hop{depth}")
+        if frontier.isEmpty():
             break
-        seen = kept(seen.unionByName(found.withColumn("depth", F.lit(depth))))
-        frontier = found
+        seen = seen.unionByName(frontier)
     return seen.filter("depth > 0")
 
 
-def blast_radius(edges: DataFrame, changed: str, max_depth: int = 100) -> DataFrame:
+def blast_radius(edges: DataFrame, changed: str, max_depth: int | None = None) -> DataFrame:
     """``vertex, depth`` of the files that import the changed one, directly or not, nearest first."""
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     start = edges.sparkSession.range(1).select(F.lit(changed).alias("start"))

@@ -6,12 +6,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def within_budget(rows: DataFrame, group: list[str], order: list, size: str, budget: int) -> DataFrame:
-    """The longest prefix of each group, in ``order``, whose sizes add up to ``budget`` at most, with ``running``. The
-    groups are what a budget is drawn up for (a section, a language), so a group is ranked in one place."""
-    frame = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("running", F.sum(size).over(frame)).filter(F.col("running") <= budget)
+from sediment.shared import cut
+
+#: Passages that are compared with every text at a time.
+SHORT = 1000
+
+
+def within_budget(rows: DataFrame, group: list[str], order: list[str], size: str, budget: int) -> DataFrame:
+    """The longest prefix of each group, in ascending ``order`` (columns), whose sizes add up to ``budget`` at most, with
+    ``running``. Rows are dealt into ranges of group and order; sums of whole ranges (a row a range and group) give each
+    range its start, so a large group is not sorted in one place."""
+    spark = rows.sparkSession
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = cut(rows.repartitionByRange(n, *group, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    totals = dealt.groupBy("_part", *group).agg(F.sum(size).alias("_sum"))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("_part", *group, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    same = dealt["_part"] == starts["_part"]
+    for g in group:
+        same = same & dealt[g].eqNullSafe(starts[g])
+    frame = Window.partitionBy(dealt["_part"], *[dealt[g] for g in group]).orderBy(*[dealt[c] for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    found = dealt.join(starts, same).select(*[dealt[c] for c in rows.columns], (F.sum(dealt[size]).over(frame) + F.col("_start")).alias("running"))
+    return found.filter(F.col("running") <= budget)
 
 
 def top_per_group(rows: DataFrame, group: list[str], order: list, n: int) -> DataFrame:
@@ -70,7 +86,7 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: str = "path", cheap: tupl
 def first_contained(texts: DataFrame, passages: DataFrame, key: str, text: str, item: str, passage: str, words: int = 5) -> DataFrame:
     """``key, item``: of the passages that a text contains, the least item. Texts and passages meet on a hash of whole
     words within the passage, so only a text with these words in a row is compared; passages with too few words for
-    that are compared with every text, which their bounded number (a broadcast of 1000 at most) allows."""
+    that are compared with every text, in blocks of SHORT passages."""
     def parts(c: Column) -> Column:
         return F.filter(F.split(c, r"\s+"), lambda w: w != "")
 
@@ -83,10 +99,10 @@ def first_contained(texts: DataFrame, passages: DataFrame, key: str, text: str,
     met = rows.select(key, F.explode(hashes).alias("_at")).join(anchored.select(item, "_at"), "_at").select(key, item).distinct()
     whole = met.join(texts.select(key, text), key).join(passages.select(item, passage), item).filter(F.col(text).contains(F.col(passage)))
     found = whole.select(key, item)
-    if not (few := short.limit(1001)).isEmpty():
-        if few.count() > 1000:
-            raise ValueError("more than 1000 passages are too short to be joined by their words")
-        found = found.unionByName(texts.join(F.broadcast(short), F.col(text).contains(F.col(passage))).select(key, item))
+    blocks = -(-short.count() // SHORT)
+    for block in range(blocks):
+        part = short if blocks == 1 else short.filter(F.pmod(F.xxhash64(item, passage), F.lit(blocks)) == block)
+        found = found.unionByName(texts.join(F.broadcast(part), F.col(text).contains(F.col(passage))).select(key, item))
     return found.groupBy(key).agg(F.min(item).alias(item))
 
 

@@ -34,6 +34,12 @@ BEARER = r"(?i)\b(bearer\s+)([A-Za-z0-9._~+/=-]{16,})"
 PEM = r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|\z)"
 PEM_HEADER = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
 IPV4 = r"\b([0-9]{1,3}(?:\.[0-9]{1,3}){3})\b"
+#: What a line must hold for any of the rules to find something in it.
+HINT = (
+    r"(?i)AKIA|ASIA|gh[pousr]_|glpat-|[sr]k_(?:live|test)_|whsec_|sk-|SG\.|SK[0-9a-f]{8}|xox[abprs]-|npm_|-us[0-9]|eyJ|"
+    + KEY_WORDS
+    + r"|://[^\s/]*@|bearer\s|PRIVATE KEY|[0-9]\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]"
+)
 ENV_READS = ("os.getenv", "os.environ", "getenv", "process.env", "System.getenv", "$_ENV", "$_SERVER")
 SCANNED = (".py", ".js", ".ts", ".json", ".yml", ".yaml", ".xml", ".sh", ".go", ".rs", ".cs", ".java", ".php", ".rb")
 CONFIG_NAMES = (".env", ".env.local")
@@ -79,11 +85,10 @@ def _each(values: Column, kind: Column, severity: Column, category: str) -> Colu
     return F.transform(values, lambda v: _finding(kind, severity, category, v))
 
 
-def line_findings(lines: DataFrame, keys: tuple[str, ...] = ("path",), config: Column | None = None) -> DataFrame:
-    """The key columns, ``line, type, severity, category, message`` of the credentials and addresses in lines (``line``,
-    ``text``). All rules look at a line in one projection; equal findings of one line count once. Values never come
-    out."""
-    text, config = F.col("text"), F.lit(False) if config is None else config
+def findings_of(text: Column, config: Column | None = None) -> Column:
+    """The distinct findings of a line as an array of structs ``type, severity, category, _value`` (the value must not
+    come out); empty where the line is not worth scanning. One look for any hint spares most lines the rules."""
+    config = F.lit(False) if config is None else config
     found = []
     for name, severity, pattern in RAW_RULES:
         kind = (F.lit(name), F.lit(severity), "Secrets")
@@ -102,8 +107,15 @@ def line_findings(lines: DataFrame, keys: tuple[str, ...] = ("path",), config: C
     found.append(F.transform(F.regexp_extract_all(text, F.lit(PEM_HEADER), F.lit(0)), lambda v: _finding(F.lit("Private Key"), F.lit("CRITICAL"), "Secrets", v)))
     public = F.filter(F.regexp_extract_all(text, F.lit(IPV4), F.lit(1)), lambda v: ~v.startswith("127.") & (v != "0.0.0.0"))
     found.append(F.transform(public, lambda v: _finding(F.lit("Hardcoded IP"), F.lit("WARNING"), "Config", v)))
-    kept = F.filter(F.array_distinct(F.concat(*found)), lambda f: f["_value"] != MARK)
-    rows = lines.filter(guarded(text)).select(*keys, "line", F.explode(kept).alias("f"))
+    every = F.filter(F.array_distinct(F.concat(*found)), lambda f: f["_value"] != MARK)
+    return F.when(guarded(text) & text.rlike(HINT), every)
+
+
+def line_findings(lines: DataFrame, keys: tuple[str, ...] = ("path",), config: Column | None = None) -> DataFrame:
+    """The key columns, ``line, type, severity, category, message`` of the credentials and addresses in lines (``line``,
+    ``text``). All rules look at a line in one projection; equal findings of one line count once. Values never come
+    out."""
+    rows = lines.select(*keys, "line", F.explode(findings_of(F.col("text"), config)).alias("f"))
     return rows.select(*keys, "line", "f.type", "f.severity", "f.category", F.lit(f"Match: {MARK}").alias("message"))
 
 

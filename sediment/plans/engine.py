@@ -14,15 +14,16 @@ from sediment.sources.repo import IGNORED, from_rows, read_repo
 
 
 class Engine:
-    """``Engine(spark, root)`` or ``Engine.of(spark, {path: content})``; each analysis is a DataFrame."""
+    """``Engine(spark, root)`` or ``Engine.of(spark, {path: content})``; each analysis is a DataFrame. ``home`` is the
+    folder of requirements and product documents."""
 
-    def __init__(self, spark: SparkSession, root: str | None = None, max_depth: int | None = 10, files: DataFrame | None = None):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, root: str | None = None, max_depth: int | None = 10, files: DataFrame | None = None, home: str = documents.HOME):
+        self.spark, self.home = spark, home
         self.files = (read_repo(spark, root, max_depth) if files is None else files).persist()
 
     @classmethod
-    def of(cls, spark: SparkSession, rows: dict[str, str]) -> Engine:
-        return cls(spark, files=from_rows(spark, rows))
+    def of(cls, spark: SparkSession, rows: dict[str, str], home: str = documents.HOME) -> Engine:
+        return cls(spark, files=from_rows(spark, rows), home=home)
 
     @cached_property
     def edges(self) -> DataFrame:
@@ -74,15 +75,15 @@ class Engine:
 
     @cached_property
     def requirements(self) -> DataFrame:
-        return documents.collection(documents.requirements(self.files))
+        return documents.collection(documents.requirements(self.files, self.home))
 
     @cached_property
     def products(self) -> DataFrame:
-        return documents.products(self.files)
+        return documents.products(self.files, self.home)
 
     @cached_property
     def product_diagnostics(self) -> DataFrame:
-        readable = documents.requirements(self.files).filter("problem is not null").isEmpty()
+        readable = documents.requirements(self.files, self.home).filter("problem is not null").isEmpty()
         return documents.product_diagnostics(self.products, self.requirements, readable, self.files)
 
     def blast_radius(self, path: str) -> DataFrame:

@@ -103,27 +103,28 @@ def audit_risk_summary(spark, sf_dir):
     return secrets.risk_summary(document_findings(spark, sf_dir), ("source",))
 
 
-@query(f"""WITH {_FINDINGS}, c AS (SELECT lang, {_RISK} FROM g GROUP BY lang),
+@query(f"""WITH {_FINDINGS}, c AS (SELECT lang, {_RISK} FROM g GROUP BY lang), every AS (SELECT DISTINCT lang FROM lines),
 m AS (SELECT lang, {_MARKED} AS type FROM lines), d AS (SELECT lang, sum(CASE WHEN type IN ('SECRET', 'CONTACT') THEN 1 ELSE 0 END) AS bugs, sum(CASE WHEN type IN ('LICENSE', 'ADDRESS') THEN 1 ELSE 0 END) AS todos FROM m WHERE type IS NOT NULL GROUP BY lang),
-s AS (SELECT lang, greatest(0, least(100, 100 - 25 * critical - 10 * (high + warning) - 3 * bugs - todos)) AS score FROM c JOIN d USING (lang))
+s AS (SELECT every.lang, greatest(0, least(100, 100 - 25 * coalesce(critical, 0) - 10 * (coalesce(high, 0) + coalesce(warning, 0)) - 3 * coalesce(bugs, 0) - coalesce(todos, 0))) AS score
+  FROM every LEFT JOIN c ON c.lang IS NOT DISTINCT FROM every.lang LEFT JOIN d ON d.lang IS NOT DISTINCT FROM every.lang)
 SELECT lang, CAST(score AS BIGINT) AS score, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS grade FROM s""")
 def health_by_language(spark, sf_dir):
-    """Score and grade for each language from its findings and markers."""
-    risks = secrets.risk_summary(document_findings(spark, sf_dir), ("lang",))
-    hit = debt.first_marker(F.trim("text"), DOCUMENT_MARKERS)
-    found = document_lines(spark, sf_dir).select("lang", hit.alias("h")).filter("h is not null")
-    n = lambda *t: F.sum(F.when(F.col("h.type").isin(*t), 1).otherwise(0)).cast("long")
-    marks = found.groupBy("lang").agg(n("SECRET", "CONTACT").alias("bugs"), n("LICENSE", "ADDRESS").alias("todos"))
-    rows = risks.join(marks, "lang").withColumn("score", secrets.health_score())
+    """Score and grade for each language from its findings and markers, in one pass over the lines; a language without
+    any has 100."""
+    hit = debt.first_marker(F.trim("text"), DOCUMENT_MARKERS)["type"]
+    severities = F.transform(secrets.findings_of(F.col("text")), lambda f: f["severity"])
+    lines = document_lines(spark, sf_dir).select("lang", hit.alias("type"), severities.alias("s"))
+    marked = lambda *t: F.coalesce(F.count(F.when(F.col("type").isin(*t), 1)), F.lit(0))
+    found = lambda s: F.coalesce(F.sum(F.size(F.filter("s", lambda x: x == s))), F.lit(0))
+    counts = {"critical": found("CRITICAL"), "high": found("HIGH"), "warning": found("WARNING"), "bugs": marked("SECRET", "CONTACT"), "todos": marked("LICENSE", "ADDRESS")}
+    rows = lines.groupBy("lang").agg(*[c.cast("long").alias(n) for n, c in counts.items()]).withColumn("score", secrets.health_score())
     return rows.select("lang", "score", secrets.health_grade(F.col("score")).alias("grade"))
 
 
-@query(r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '(token\s*=\s*)"[^"]+"', '\1"***REDACTED***"', 'g'), '\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b', '***REDACTED***', 'g')) AS redacted_sha256 FROM documents""")
+@query(r"""SELECT doc_id, sha256(regexp_replace(text, '(token\s*=\s*)"[^"\r\n]+"', '\1"***REDACTED***"', 'g')) AS redacted_sha256 FROM documents""")
 def redaction(spark, sf_dir):
-    """Texts with tokens and addresses as a mark, by digest."""
-    text = F.regexp_replace("text", r'(token\s*=\s*)"[^"]+"', f'$1"{secrets.MARK}"')
-    text = F.regexp_replace(text, r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b", secrets.MARK)
-    return read(spark, sf_dir, "documents").select("doc_id", F.sha2(text, 256).alias("redacted_sha256"))
+    """Texts with their credentials as a mark, by digest; of all rules, the documents' data meet those for tokens."""
+    return read(spark, sf_dir, "documents").select("doc_id", F.sha2(secrets.redacted(F.col("text")), 256).alias("redacted_sha256"))
 
 
 @query("""WITH f AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS first_id FROM documents)
@@ -205,15 +206,15 @@ def link_neighbourhood(spark, sf_dir):
     return graph.reach(both, start, 4).select("vertex", "depth")
 
 
-@query(r"""WITH known AS (SELECT DISTINCT regexp_replace(url, '[?#].*$', '') AS target FROM pages WHERE page_id % 2 = 0),
+@query(r"""WITH known AS (SELECT DISTINCT regexp_replace(url, '[?#].*$', '') AS target FROM pages ),
 c AS (SELECT page_id, 0 AS pos, url AS target FROM pages UNION ALL SELECT page_id, 1, regexp_replace(url, '#.*$', '') FROM pages UNION ALL SELECT page_id, 2, regexp_replace(url, '[?#].*$', '') FROM pages),
 h AS (SELECT page_id, target, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS n FROM c JOIN known USING (target))
 SELECT page_id, target FROM h WHERE n = 1""")
 def resolved_urls(spark, sf_dir):
-    """Each address resolved to the first of its forms (as is, without fragment, without query) that even pages have."""
+    """Each address resolved to the first of its forms (as is, without fragment, without query) that a page has bare."""
     pages = read(spark, sf_dir, "pages")
     bare = lambda p: F.regexp_replace("url", p, "")
-    known = pages.filter("page_id % 2 = 0").select(bare("[?#].*$").alias("target"))
+    known = pages.select(bare("[?#].*$").alias("target"))
     return imports.first_candidate(pages, ["page_id"], F.array("url", bare("#.*$"), bare("[?#].*$")), known, "target")
 
 
@@ -373,21 +374,24 @@ def path_classes(spark, sf_dir):
 
 
 @query("SELECT lang, array_to_string(list_sort(list(DISTINCT source || ' -> ' || lang)), ' ; ') AS topology FROM documents GROUP BY lang")
-def topology(spark, sf_dir):
+def source_languages(spark, sf_dir):
     """Sorted distinct edges as one line for each language."""
     edge = F.concat("source", F.lit(" -> "), "lang")
     return read(spark, sf_dir, "documents").groupBy("lang").agg(F.array_join(F.array_sort(F.collect_set(edge)), " ; ").alias("topology"))
 
 
 @query("""SELECT a.s_suppkey AS left_key, b.s_suppkey AS right_key FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey AND abs(a.s_acctbal - b.s_acctbal) < 500""")
-def scope_overlap(spark, sf_dir):
-    """Suppliers of one nation whose balances are near."""
+def near_balances(spark, sf_dir):
+    """Suppliers of one nation whose balances are near: they meet in a band of balances or the next one."""
+    band = F.floor(F.col("s_acctbal") / 500)
     s = read(spark, sf_dir, "supplier")
-    a, b = (s.select("s_nationkey", F.col("s_suppkey").alias(f"{n}_key"), F.col("s_acctbal").alias(f"{n}_bal")) for n in ("left", "right"))
-    return a.join(b, "s_nationkey").filter((F.col("left_key") < F.col("right_key")) & (F.abs(F.col("left_bal") - F.col("right_bal")) < 500)).select("left_key", "right_key")
+    a, b = (s.select("s_nationkey", band.alias("band"), F.col("s_suppkey").alias(f"{n}_key"), F.col("s_acctbal").alias(f"{n}_bal")) for n in ("left", "right"))
+    b = b.withColumn("band", F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])))
+    near = (F.col("left_key") < F.col("right_key")) & (F.abs(F.col("left_bal") - F.col("right_bal")) < 500)
+    return a.join(b, ["s_nationkey", "band"]).filter(near).select("left_key", "right_key")
 
 
-@query()
+@query(SQL["hourly_events"])
 def event_stream(spark, sf_dir):
     """Events as a stream: windowed sums with a watermark."""
     from sediment.streaming.changes import windowed_batch
@@ -395,9 +399,11 @@ def event_stream(spark, sf_dir):
     return windowed_batch(spark, f"{sf_dir}/events.parquet")
 
 
-@query()
-def data_dictionary(spark, sf_dir):
-    """Columns and types of all tables."""
-    names = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
-    rows = [(t, "column", f.name, f.dataType.simpleString()) for t in names for f in read(spark, sf_dir, t).schema.fields]
-    return spark.createDataFrame(rows, "`table` string, kind string, name string, details string")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+@query("SELECT table_name AS \"table\", column_name AS name FROM duckdb_columns() WHERE table_name IN (" + ", ".join(f"'{t}'" for t in TABLES) + ")")
+def table_columns(spark, sf_dir):
+    """Columns of all tables."""
+    rows = [(t, f.name) for t in TABLES for f in read(spark, sf_dir, t).schema.fields]
+    return spark.createDataFrame(rows, "`table` string, name string")

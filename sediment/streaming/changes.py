@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sediment.shared import new_path
+
 
 def windowed(events: DataFrame, when: str = "ts", what: str = "event_type", value: str = "value", length: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """``started, event_type, n, total`` of a stream or table of events, by window; a stream drops what comes later
@@ -19,24 +20,23 @@ def windowed(events: DataFrame, when: str = "ts", what: str = "event_type", valu
 
 
 def windowed_batch(spark: SparkSession, path: str) -> DataFrame:
-    """All events of a Parquet table run through the stream once, into a table that is returned."""
-    import tempfile
-
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='spark-stream-', dir='/tmp')}"
-    base = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """All events of a Parquet table run through the stream once, into a table that is returned. The run may meet events
+    in any order, so nothing counts as late; each batch writes the windows that it changed."""
+    base = new_path(spark, "stream")
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rpartition("/")
     stream = spark.readStream.schema(schema).option("pathGlobFilter", name if name.endswith(".parquet") else "*").parquet(folder)
-    out = windowed(stream)
+    out = windowed(stream, late="10000 days")
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+        # a batch that is run again replaces what it wrote before
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{base}/out/number={number}")
 
-    done = out.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    done = out.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     done.awaitTermination()
-    last = spark.read.parquet(f"{base}/out")
-    newest = last.agg(F.max("batch")).first()[0]
-    return last.filter(F.col("batch") == F.lit(newest)).drop("batch")
+    rows = spark.read.parquet(f"{base}/out")
+    # of a window that several batches updated, the last state
+    return rows.groupBy("started", "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("x")).select("started", "event_type", "x.n", "x.total")
 
 
 def on_changes(files: DataFrame, analyse: Callable[[DataFrame], DataFrame], sink: str, state: str, late: str = "1 day"):

@@ -26,10 +26,10 @@ SAMPLE = {
     "rust/order.rs": "pub struct Order {\n    pub id: u64,\n    total: f64,\n}\n\npub enum Status {\n    Pending,\n    Paid(u32),\n}\n\nimpl Order {\n    pub fn pay(&mut self, by: u32) -> bool {\n        true\n    }\n}\n\npub trait Payable {\n    fn due(&self) -> f64;\n}\n",
     "docker-compose.yml": "services:\n  web:\n    build: .\n    depends_on: [db, cache]\n  db:\n    image: postgres:16\n  cache:\n    image: redis\n  proxy:\n    image: nginx\n    links: ['web:app']\n",
     "note.ipynb": '{"cells": [{"cell_type": "code", "source": ["df = read_csv(\'in.csv\')\\n", "df.to_parquet(\'out.parquet\')"]}, {"cell_type": "markdown", "source": "x"}]}',
-    ".bck-nd/requirements/US-001.json": '{"story": {"id": "US-001", "title": "Log in", "role": "user", "want": "in", "benefit": "work", "status": "done"}, "business_rules": [{"id": "BR01", "description": "x"}], "acceptance_criteria": [{"id": "AC01", "given": "a", "when": "b", "then": "c"}], "open_questions": ["why"]}',
-    ".bck-nd/requirements/HU02.md": "# HU02 [IN_PROGRESS] - Pay\n\n- **Role**: buyer\n- **Want**: to pay\n\n## Business Rules\n\n- one\n- BR-9: two\n\n## Acceptance Criteria\n\n- Given a cart, When I pay, Then it ships\n",
-    ".bck-nd/product/p1.md": "---\nid: PRD-1\ntitle: Shop\nstatus: APPROVED\nowner: x\napplies_to: [src, ../out]\nrequirement_ids:\n  - US-001\n  - US-404\n---\n# Shop\n\n## Problem\n\nSlow.\n\n## Goals\n\nTBD\n\n## Open Questions\n\n- when\n",
-    ".bck-nd/product/p2.md": "---\nid: prd-1\ntitle: Again\nstatus: nowhere\n---\n## Problem\n\nx\n",
+    ".project/requirements/US-001.json": '{"story": {"id": "US-001", "title": "Log in", "role": "user", "want": "in", "benefit": "work", "status": "done"}, "business_rules": [{"id": "BR01", "description": "x"}], "acceptance_criteria": [{"id": "AC01", "given": "a", "when": "b", "then": "c"}], "open_questions": ["why"]}',
+    ".project/requirements/HU02.md": "# HU02 [IN_PROGRESS] - Pay\n\n- **Role**: buyer\n- **Want**: to pay\n\n## Business Rules\n\n- one\n- BR-9: two\n\n## Acceptance Criteria\n\n- Given a cart, When I pay, Then it ships\n",
+    ".project/product/p1.md": "---\nid: PRD-1\ntitle: Shop\nstatus: APPROVED\nowner: x\napplies_to: [src, ../out]\nrequirement_ids:\n  - US-001\n  - US-404\n---\n# Shop\n\n## Problem\n\nSlow.\n\n## Goals\n\nTBD\n\n## Open Questions\n\n- when\n",
+    ".project/product/p2.md": "---\nid: prd-1\ntitle: Again\nstatus: nowhere\n---\n## Problem\n\nx\n",
     "README.md": "# Sample\n",
     "tests/test_x.py": f"# {_T}: more\n",
 }

@@ -85,27 +85,36 @@ def test_requirements_and_products(engine, spark):
     assert specs["US-001"]["status"] == "DONE" and specs["HU02"]["acceptance_criteria"][0]["then"] == "it ships"
     assert [b["id"] for b in specs["HU02"]["business_rules"]] == ["BR01", "BR-9"]
     codes = rows(engine.product_diagnostics, "path", "code")
-    assert {(".bck-nd/product/p1.md", "EXTERNAL_PATH"), (".bck-nd/product/p1.md", "MISSING_REQUIREMENT"), (".bck-nd/product/p2.md", "DUPLICATE_PRODUCT_ID"), (".bck-nd/product/p2.md", "INVALID_STATUS"), (".bck-nd/requirements/HU02.md", "ORPHAN_REQUIREMENT")} <= codes
-    broken = Engine.of(spark, SAMPLE | {".bck-nd/requirements/bad.json": "[1]"})
+    assert {(".project/product/p1.md", "PRD_APPLIES_TO_INVALID"), (".project/product/p1.md", "PRD_REQUIREMENT_MISSING"), (".project/product/p2.md", "PRD_ID_DUPLICATE"), (".project/product/p2.md", "PRD_STATUS_INVALID"), (".project/requirements/HU02.md", "PRD_REQUIREMENT_ORPHAN")} <= codes
+    broken = Engine.of(spark, SAMPLE | {".project/requirements/bad.json": "[1]"})
     assert broken.requirements.isEmpty()
 
 
 def test_tree_and_context(engine):
     lines = [r["line"] for r in engine.analyses()["tree"]().collect()]
-    assert lines[0].endswith(".bck-nd/") and lines[-1].startswith("└── ")
+    assert lines[0].endswith(".project/") and lines[-1].startswith("└── ")
     text = engine.context()
     assert "hunter2" not in text and "erDiagram" in text and "classDiagram" in text and text == engine.context()
 
 
 def test_product_rules_that_decide_validity(spark):
     head = "---\nid: {}\ntitle: T\nstatus: {}\nowner: o\nschema_version: {}\napplies_to: [./src/, src/x/../a.py, src/none.py]\nrequirement_ids: [{}]\n---\n## Open Questions\n\n- when\n"
-    files = {"src/a.py": "x = 1\n", **{f".bck-nd/product/{n}.md": head.format(*v) for n, v in {"a": ("PRD-1", "APPROVED", 1, ""), "b": ("PRD 2", "DRAFT", 2, "US/1")}.items()}}
-    files[".bck-nd/product/c.md"] = "---\nid: PRD-3\ntitle: T\nstatus: DRAFT\n---\n## Problem\n\nx\n"
+    files = {"src/a.py": "x = 1\n", **{f".project/product/{n}.md": head.format(*v) for n, v in {"a": ("PRD-1", "APPROVED", 1, ""), "b": ("PRD 2", "DRAFT", 2, "US/1")}.items()}}
+    files[".project/product/c.md"] = "---\nid: PRD-3\ntitle: T\nstatus: DRAFT\n---\n## Problem\n\nx\n"
     e = Engine.of(spark, files)
-    got = {(r["path"][-4], r["code"], r["severity"], r["reference"]) for r in e.product_diagnostics.collect()}
+    got = {(r["path"][-4], r["code"].removeprefix("PRD_"), r["severity"], r["field"] if "METADATA" in r["code"] else r["reference"]) for r in e.product_diagnostics.collect()}
     late = {("a", "OPEN_QUESTIONS_BLOCKING", "ERROR", None), ("b", "OPEN_QUESTIONS_PRESENT", "WARNING", None), ("b", "ID_INVALID", "ERROR", "PRD 2"), ("b", "SCHEMA_UNSUPPORTED", "ERROR", "2")}
     late |= {("b", "REQUIREMENT_ID_INVALID", "ERROR", "<invalid-requirement-id>"), *((d, "APPLIES_TO_MISSING", "WARNING", "src/none.py") for d in "ab")}
-    late |= {("c", f"MISSING_{f}", "ERROR", None) for f in ("SCHEMA_VERSION", "APPLIES_TO", "REQUIREMENT_IDS")}
+    late |= {("c", "METADATA_MISSING", "ERROR", f) for f in ("schema_version", "applies_to", "requirement_ids")}
     names = {c for _, c, _, _ in late}
     assert {g for g in got if g[1] in names} == late
-    assert not any(r["valid"] for r in e.analyses()["product_report"]().collect())
+    # sections are required from the review on
+    assert {g[2] for g in got if g[:2] == ("a", "SECTION_MISSING")} == {"ERROR"} and {g[2] for g in got if g[:2] == ("b", "SECTION_MISSING")} == {"WARNING"}
+    rows = {r["path"][-4]: r for r in e.analyses()["product_report"]().collect()}
+    assert not any(r["valid"] for r in rows.values()) and rows["b"]["first_error"] == "PRD_ID_INVALID" and rows["c"]["first_error"] == "PRD_METADATA_MISSING"
+
+
+def test_requirement_fields_say_more_than_the_heading(spark):
+    text = "# Pay\n\n- **ID**: HU-7\n- **Estado**: done\n- **Title**: Pay now\n"
+    e = Engine.of(spark, {"docs/.specs/requirements/x.md": text, ".specs/requirements/y.md": "# US-1 [TODO] - X\n"}, home=".specs")
+    assert {(r["id"], r["status"], r["title"]) for r in e.requirements.collect()} == {("HU-7", "DONE", "Pay now"), ("US-1", "TODO", "X")}

@@ -3,8 +3,9 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
-from sediment.plans import tables
+from sediment.plans import rendered, tables  # noqa: F401 - rendered adds its queries to those of tables
 
 SF = os.environ.get("SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -19,8 +20,10 @@ def duck():
 
 
 def plain(frame):
-    cells = lambda row: tuple(None if x != x or x is None else str(float(x)) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x) for x in row)
-    return sorted((cells(r) for r in frame[sorted(frame.columns)].astype(object).values.tolist()), key=str)
+    def cell(x):
+        return None if pd.isna(x) else str(float(x)) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
+
+    return sorted((tuple(map(cell, r)) for r in frame[sorted(frame.columns)].astype(object).values.tolist()), key=str)
 
 
 @pytest.mark.parametrize("name", sorted(tables.QUERIES))
