@@ -2,15 +2,19 @@
 
 Entities are detected in every text and brought to a canonical form, so that two spellings of one number are one
 entity. A keyed hash of type and canonical form draws the surrogate, hence an entity has the same one wherever it
-occurs. All distinct entities are then checked against each other: of several with one surrogate only the first keeps
-it, and a surrogate that is itself an entity of the corpus goes too; the others draw again until all are distinct.
-Only entities that drew again travel to the documents; all other surrogates follow from the key.
+occurs. All distinct entities are then checked against each other, numbers of all kinds together and names too: of
+several with one surrogate only the first keeps it, and a surrogate that is itself an entity of the corpus goes too; the
+others draw again until all are distinct. A form that leaves little room grows after some draws, so that this ends: names
+by a syllable, mail addresses by letters, numbers by a digit. Domains are entities of their own, settled before the
+addresses. Entities are detected once, and written beside the texts; of the surrogates only those of entities that drew
+again travel to them, all others follow from the key.
 """
 
 from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -24,6 +28,10 @@ from sediment.llm.common import cut, slices
 #: Entities that drew again and may be sent to all tasks at once; more are joined to their documents.
 BROADCAST_REDRAWN = 100_000
 
+#: Draws in the entity's own form before it grows.
+DRAWS = 4
+#: Country codes of one and of two digits; all others have three.
+SHORT_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 #: Titles by gender, and name syllables by script.
 TITLES = {
     "F": ("Mrs", "Ms", "Miss", "Madam", "Frau", "Señora", "Señorita", "Sra", "Madame", "Mme", "Mlle", "Mademoiselle", "Госпожа", "Г-жа", "Κυρία"),
@@ -52,10 +60,11 @@ _FOUND = re.compile(
     r"(?P<email>(?<![\w.+-])[\w.+-]+@(?:[\w-]+\.)+[^\W\d_]{2,})"
     r"|(?P<secret>\b(?:token|secret|password|passwd|api[_-]?key)\b\s*[=:]\s*[\"']?(?P<value>[A-Za-z0-9+/_-]{16,})[\"']?)"
     r"|(?P<ip>(?<![\w.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\w]|\.\d))"
-    r"|(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}|\d{2,4}(?:[ .-]\d{2,4}){1,3})|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}-\d{3}-\d{4})(?!\w))"
+    r"|(?P<ip6>(?<![\w:.])(?:[0-9a-f]{1,4}:){2,7}(?::?[0-9a-f]{1,4}|:)(?::[0-9a-f]{1,4}){0,6}(?![\w:]))"
+    r"|(?P<phone>(?<![\w.])(?:\+[1-9]\d{7,14}|\+\d{1,3}[ .-]?(?:\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}|\d{2,4}(?:[ .-]\d{2,4}){1,3})|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}-\d{3}-\d{4})(?!\w))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<card>(?<![\w.])\d{4}(?:[ -]?\d{4}){3}(?!\w))"
-    rf"|(?P<person>\b(?P<titles>(?:{_TITLE})\.?[  ](?:(?:{_TITLE})\.?[  ])*)(?P<names>{_NAME}(?:[  ]{_NAME}){{0,2}}))",
+    rf"|(?P<person>\b(?P<titles>(?:{_TITLE})\.?[  ](?:(?:{_TITLE})\.?[  ])*)(?:[^\W\d_]\.[  ]?){{0,3}}(?P<names>{_NAME}(?:[  ]{_NAME}){{0,2}}))",
     re.IGNORECASE,
 )
 #: Texts without any of these, case folded, and without a digit or @, have no entity. A title is followed by one of three.
@@ -100,7 +109,9 @@ def detect(text: str | None) -> list[Span]:
     pos = 0
     while m := _FOUND.search(text, pos):
         pos = m.end()
-        kind = m.lastgroup if m.lastgroup in ("email", "ip", "phone", "ssn", "card") else "secret" if m["secret"] else "person"
+        kind = m.lastgroup if m.lastgroup in ("email", "ip", "ip6", "phone", "ssn", "card") else "secret" if m["secret"] else "person"
+        if kind == "ip6" and (address := _address(m["ip6"])) is None:
+            continue
         if kind == "person":
             titles = (_GENDER[t[0].casefold()] for t in _ONE_TITLE.finditer(_folded(m["titles"])))
             gender = next((g for g in titles if g != "U"), "U")
@@ -118,15 +129,24 @@ def detect(text: str | None) -> list[Span]:
             continue
         a, b = m.span("value") if kind == "secret" else m.span(kind)
         one = text[a:b]
-        canonical = one.lower() if kind == "email" else re.sub(r"\D", "", one) if kind in ("phone", "ssn", "card") else one
+        canonical = address if kind == "ip6" else one.lower() if kind == "email" else re.sub(r"\D", "", one) if kind in ("phone", "ssn", "card") else one
         if kind in ("phone", "card", "ssn"):
             kind += str(len(canonical))
-        if kind.startswith("phone") and (code := re.match(r"\+\d+", one)):
-            kind += f"c{len(code[0]) - 1}"  # the country code stays
+        if kind.startswith("phone") and one.startswith("+"):
+            kind += f"c{next((n for n in (1, 2) if canonical[:n] in SHORT_CODES), 3)}"  # the country code stays
         out.append(Span(a, b, kind, one, canonical))
     return _with_mentions(text, out)
 
 
+def _address(text: str) -> str | None:
+    """A version 6 address in full; None if it is none, or so short that it may be a name in a program."""
+    try:
+        found = ipaddress.IPv6Address(text)
+    except ValueError:
+        return None
+    return found.exploded if len(re.findall(r"\w+", text)) > 2 else None
+
+
 def _with_mentions(text: str, spans: list[Span]) -> list[Span]:
     """``spans`` and the other capitalised mentions of the words that are named in them, in order."""
     gendered: dict[str, str] = {}
@@ -200,96 +220,136 @@ def _luhn(digits: str) -> int:
     return total % 10
 
 
-def surrogate(key: bytes, kind: str, canonical: str, attempt: int = 0) -> str:
-    """The canonical form of the entity's surrogate at this attempt. Later attempts have a larger space where a form
-    leaves room: names grow by a syllable."""
-    draw = _Draw(key, kind, canonical, attempt)
+def surrogate(key: bytes, kind: str, canonical: str, attempt: int = 0, inner: int = 0) -> str:
+    """The canonical form of the entity's surrogate at this attempt; ``inner`` is the attempt of a mail address's domain.
+    Later attempts have a larger space: every DRAWS ones, the form grows."""
+    draw, more = _Draw(key, kind, canonical, attempt), attempt // DRAWS
+    digits = lambda n: "".join(str(draw.below(10)) for _ in range(n))
     if kind == "email":
         local, _, domain = canonical.partition("@")
-        host, _, _ = domain.rpartition(".")
-        # a domain has one surrogate in all addresses, under a name that is reserved for examples
-        return f"{_like(local, draw)}@{_like(host, _Draw(key, 'domain', domain, attempt // 4))}.example"
+        return f"{_like(local + 'x' * more, draw)}@{surrogate(key, 'domain', domain, inner)}"
+    if kind == "domain":  # under a name that is reserved for examples
+        return f"{_like(canonical.rpartition('.')[0] + 'x' * more, draw)}.example"
     if kind == "ip":
         first = 1 + draw.below(222)
         return ".".join(map(str, (first if first < 127 else first + 1, draw.below(256), draw.below(256), draw.below(256))))
+    if kind == "ip6":  # in the range that is reserved for documents
+        return ":".join(["2001", "0db8", *(f"{draw.below(65536):04x}" for _ in range(6))])
     if kind.startswith("card"):
-        body = "".join(str(draw.below(10)) for _ in canonical[1:-1])
-        digits = canonical[0] + body
-        check = next(d for d in "0123456789" if (_luhn(digits + d) == 0))
+        number = canonical[0] + digits(len(canonical) - 2 + more)
+        check = next(d for d in "0123456789" if (_luhn(number + d) == 0))
         if _luhn(canonical) != 0:  # one that was not valid stays so
             check = str((int(check) + 1 + draw.below(9)) % 10)
-        return digits + check
+        return number + check
     if kind.startswith(("phone", "ssn")):
         kept = int(kind.partition("c")[2] or 0)
-        return canonical[:kept] + "".join(str(draw.below(10)) for _ in canonical[kept:])
+        return canonical[:kept] + digits(len(canonical) - kept + more)
     if kind == "secret":
         hexadecimal = all(c in "0123456789abcdef" for c in canonical)
         return "".join("0123456789abcdef"[draw.below(16)] for _ in canonical) if hexadecimal else _like(canonical, draw)
     role, script = kind.rsplit("_", 1)
     syllables, gender = SYLLABLES[script], role[-1] if role.startswith("given") else "U"
-    return "".join(syllables[draw.below(len(syllables))] for _ in range(3 + attempt // 4)) + ENDINGS[script][gender]
+    return "".join(syllables[draw.below(len(syllables))] for _ in range(3 + more)) + ENDINGS[script][gender]
 
 
-def rendered(span: Span, form: str) -> str:
-    """A canonical surrogate in the format of the occurrence: its separators, its capitals."""
-    if span.kind.startswith(("phone", "card", "ssn")):
+def rendered(kind: str, text: str, form: str) -> str:
+    """A canonical surrogate in the format of the occurrence ``text``: its separators, its capitals. Digits that the form
+    has more come last."""
+    if kind.startswith(("phone", "card", "ssn")):
         digits = iter(form)
-        return "".join(next(digits) if c.isdigit() else c for c in span.text)
-    if span.kind == "email":
-        return form.upper() if span.text.isupper() else form
-    if span.kind in ("ip", "secret"):
+        return "".join(next(digits) if c.isdigit() else c for c in text) + "".join(digits)
+    if kind == "ip6":
+        short = ipaddress.IPv6Address(form).compressed
+        return short.upper() if text.isupper() else short
+    if kind == "email":
+        return form.upper() if text.isupper() else form
+    if kind in ("ip", "secret"):
         return form
-    return form.upper() if span.text.isupper() and len(span.text) > 1 else form[0].upper() + form[1:]
+    return form.upper() if text.isupper() and len(text) > 1 else form[0].upper() + form[1:]
+
+
+def _domain(kind: str, canonical: str) -> tuple[str, str]:
+    return ("domain", canonical.partition("@")[2]) if kind == "email" else ("", "")
+
+
+def with_forms(text: str | None, spans: list[tuple[int, int, str, str]], key: bytes, redrawn: dict[tuple[str, str], int]) -> str | None:
+    """The text with its spans (start, end, kind, canonical) replaced. ``redrawn`` has the attempts of entities that drew
+    again."""
+    out, at = [], 0
+    for start, end, kind, canonical in spans:
+        form = surrogate(key, kind, canonical, redrawn.get((kind, canonical), 0), redrawn.get(_domain(kind, canonical), 0))
+        out += [text[at:start], rendered(kind, text[start:end], form)]
+        at = end
+    return "".join(out) + text[at:] if spans else text
 
 
 def replaced(text: str | None, key: bytes, redrawn: dict[tuple[str, str], int]) -> tuple[str | None, list[Span]]:
-    """The text with all entities replaced, and its spans. ``redrawn`` has the attempts of entities that drew again."""
-    spans, out, at = detect(text), [], 0
-    for s in spans:
-        out += [text[at : s.start], rendered(s, surrogate(key, s.kind, s.canonical, redrawn.get((s.kind, s.canonical), 0)))]
-        at = s.end
-    return ("".join(out) + text[at:] if spans else text), spans
+    """The text with all entities replaced, and its spans."""
+    spans = detect(text)
+    return with_forms(text, [(s.start, s.end, s.kind, s.canonical) for s in spans], key, redrawn), spans
+
+
+_SPANS = "array<struct<start:int,end:int,kind:string,canonical:string>>"
+_ROW_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("canonical", pa.string())]))
 
 
-def entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, kind, canonical`` of the entities in every row's whole text, once a batch of rows."""
+def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, text, spans`` of every row: what its whole text names, by position (code points), kind and canonical
+    form. A null text has no spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-                rows = sorted({(d is None, d or 0, s.kind, s.canonical) for d, t in zip(ids, texts, strict=True) for s in detect(t)})
-                columns = [pa.array([None if r[0] else r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "kind", "canonical"])
+                spans = [[{"start": s.start, "end": s.end, "kind": s.kind, "canonical": s.canonical} for s in detect(t)] for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(spans, _ROW_SPANS)], ["doc_id", "text", "spans"])
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, kind string, canonical string")
+    return chosen.mapInArrow(run, f"doc_id long, text string, spans {_SPANS}")
+
+
+def entities(found: DataFrame) -> DataFrame:
+    """``doc_id, kind, canonical`` of the distinct entities of marked rows, the domains of mail addresses among them."""
+    each = found.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.kind", "s.canonical").distinct()
+    domains = each.filter("kind = 'email'").select("doc_id", F.lit("domain").alias("kind"), F.substring_index("canonical", "@", -1).alias("canonical"))
+    return each.unionByName(domains.distinct())
 
 
 def distinct_surrogates(found: DataFrame, key: bytes) -> DataFrame:
-    """``kind, canonical, attempt, form`` of every distinct entity of ``found``, with no form twice in a kind and none
-    that is an entity of its kind. Rounds end when all are settled; each writes its rows down."""
+    """``kind, canonical, attempt, form`` of every distinct entity of ``found``, with no form twice among the numbers, the
+    names, or another kind, and none that is an entity there. Each round's rows are written down; as forms grow, the
+    rounds end."""
+    schema = "kind string, canonical string, attempt int, inner int, form string"
 
     def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kinds, names, attempts = (b.column(k).to_pylist() for k in range(3))
-            forms = [surrogate(key, k, c, a) for k, c, a in zip(kinds, names, attempts, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(forms, pa.string())], ["kind", "canonical", "attempt", "form"])
+            forms = [surrogate(key, *row) for row in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), pa.array(forms, pa.string())], [c.split()[0] for c in schema.split(", ")])
+
+    kind = F.col("kind")
+    space = F.when(kind.rlike("^(phone|ssn|card)"), "number").when(kind.rlike("^(given|surname)_"), "name").otherwise(kind).alias("space")
+
+    def settled(entities: DataFrame) -> DataFrame:
+        """``entities``: kind, canonical, inner."""
+        state = cut(entities.select("kind", "canonical", F.lit(0).alias("attempt"), "inner").mapInArrow(drawn, schema), "drawn")
+        names = entities.select(space, F.col("canonical").alias("form"), F.lit(True).alias("real")).distinct()
+        while True:
+            placed = state.withColumn("space", space)
+            first = placed.groupBy("space", "form").agg(F.min(F.struct("attempt", "canonical", "kind")).alias("first"))
+            judged = placed.join(first, ["space", "form"]).join(names, ["space", "form"], "left")
+            lost = (F.col("first.canonical") != F.col("canonical")) | (F.col("first.kind") != kind) | F.coalesce("real", F.lit(False))
+            judged = cut(judged.select("kind", "canonical", "attempt", "inner", "form", lost.alias("lost")), "judged")
+            again = judged.filter("lost")
+            if again.isEmpty():
+                return judged.drop("lost")
+            again = again.select("kind", "canonical", (F.col("attempt") + 1).alias("attempt"), "inner").mapInArrow(drawn, schema)
+            state = cut(judged.filter("not lost").drop("lost").unionByName(again), "drawn")
 
-    schema = "kind string, canonical string, attempt int, form string"
     every = cut(found.select("kind", "canonical").distinct(), "entities")
-    state = cut(every.select("kind", "canonical", F.lit(0).alias("attempt")).mapInArrow(drawn, schema), "drawn")
-    names = every.select("kind", F.col("canonical").alias("form"), F.lit(True).alias("real"))
-    while True:
-        first = cut(state.groupBy("kind", "form").agg(F.min(F.struct("attempt", "canonical")).alias("first")), "first")
-        judged = state.join(first, ["kind", "form"]).join(names, ["kind", "form"], "left")
-        judged = judged.withColumn("lost", (F.col("first.canonical") != F.col("canonical")) | F.coalesce("real", F.lit(False)))
-        judged = cut(judged.select("kind", "canonical", "attempt", "form", "lost"), "judged")
-        lost = judged.filter("lost")
-        if lost.isEmpty():
-            return judged.drop("lost")
-        again = lost.select("kind", "canonical", (F.col("attempt") + 1).alias("attempt")).mapInArrow(drawn, schema)
-        state = cut(judged.filter("not lost").drop("lost").unionByName(again), "drawn")
+    others = settled(every.filter("kind <> 'email'").withColumn("inner", F.lit(0)))
+    inner = others.filter("kind = 'domain'").select(F.col("canonical").alias("_domain"), F.col("attempt").alias("inner"))
+    mails = every.filter("kind = 'email'").join(inner, F.substring_index("canonical", "@", -1) == F.col("_domain"), "left")
+    mails = settled(mails.select("kind", "canonical", F.coalesce("inner", F.lit(0)).alias("inner")))
+    return others.unionByName(mails).drop("inner")
 
 
 def with_surrogates(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -298,30 +358,29 @@ def with_surrogates(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_co
     entities; a null id keeps its row; repeated rows come out alike; other columns are ignored; an empty table gives an
     empty result."""
     spark = docs.sparkSession
-    occurrences = cut(entities(docs, id_col, text_col).distinct(), "occurrences")
+    rows = cut(marked(docs, id_col, text_col), "marked")
+    occurrences = entities(rows)
     redrawn = cut(distinct_surrogates(occurrences, key).filter("attempt > 0").select("kind", "canonical", "attempt"), "redrawn")
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     few: dict[tuple[str, str], int] = {}
     if redrawn.count() <= BROADCAST_REDRAWN:
         few = {(r["kind"], r["canonical"]): r["attempt"] for r in redrawn.collect()}
     else:
         own = occurrences.join(redrawn, ["kind", "canonical"]).groupBy("doc_id").agg(F.collect_list(F.struct("kind", "canonical", "attempt")).alias("own"))
         own = cut(own, "ownredrawn")
-        chosen = chosen.alias("d").join(own.alias("o"), F.col("d.doc_id").eqNullSafe(F.col("o.doc_id")), "left").select("d.doc_id", "d.text", "o.own")
+        rows = rows.alias("d").join(own.alias("o"), F.col("d.doc_id").eqNullSafe(F.col("o.doc_id")), "left").select("d.doc_id", "d.text", "d.spans", "o.own")
     shared = spark.sparkContext.broadcast(few)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                owns = part.column(2).to_pylist() if part.num_columns > 2 else [None] * part.num_rows
+                owns = part.column(3).to_pylist() if part.num_columns > 3 else [None] * part.num_rows
                 texts, counts, kinds = [], [], []
-                for text, own in zip(part.column(1).to_pylist(), owns, strict=True):
+                for text, spans, own in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), owns, strict=True):
                     attempts = {(o["kind"], o["canonical"]): o["attempt"] for o in own} if own else shared.value
-                    new, spans = replaced(text, key, attempts)
-                    texts.append(new)
+                    texts.append(with_forms(text, [(s["start"], s["end"], s["kind"], s["canonical"]) for s in spans], key, attempts))
                     counts.append(len(spans))
-                    kinds.append(sorted({re.sub(r"\d+(c\d+)?$", "", s.kind) for s in spans}))
+                    kinds.append(sorted({re.sub(r"(?<!ip)\d+(c\d+)?$", "", s["kind"]) for s in spans}))
                 columns = [part.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int32()), pa.array(kinds, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "n_entities", "kinds"])
 
-    return chosen.mapInArrow(run, "doc_id long, text string, n_entities int, kinds array<string>")
+    return rows.mapInArrow(run, "doc_id long, text string, n_entities int, kinds array<string>")

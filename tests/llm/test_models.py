@@ -67,13 +67,34 @@ def test_surrogates_keep_type_format_and_identity():
 
 
 def test_surrogates_stay_distinct(spark, monkeypatch):
-    """In a space of a thousand, 200 entities clash; all come out distinct, and none is an entity."""
-    names = [(f"{i:03d}",) for i in range(0, 1000, 5)]
+    """In a space of a thousand, 500 entities clash; all come out distinct, and none is an entity."""
+    names = [(f"{i:03d}",) for i in range(0, 1000, 2)]
     found = spark.createDataFrame(names, "canonical string").select(F.lit("ssn3").alias("kind"), "canonical")
     rows = pii.distinct_surrogates(found, b"k").collect()
     forms = [r["form"] for r in rows]
-    assert len(rows) == 200 and len(set(forms)) == 200 and not set(forms) & {n for (n,) in names}
-    assert any(r["attempt"] for r in rows)
+    assert len(rows) == 500 and len(set(forms)) == 500 and not set(forms) & {n for (n,) in names}
+    assert any(r["attempt"] for r in rows) and sum(len(f) == 3 for f in forms) > 250 and all(len(f) >= 3 for f in forms)
+
+
+def test_surrogates_stay_distinct_across_kinds_and_domains(spark):
+    numbers = [(k, f"{i:03d}") for k in ("ssn3", "phone3") for i in range(0, 300, 1 if k == "ssn3" else 7)]
+    mails = [("email", f"{a}@{d}.org") for d in "abcdefghijklmnopqrst" for a in "xyz"] + [("domain", f"{d}.org") for d in "abcdefghijklmnopqrst"]
+    rows = pii.distinct_surrogates(spark.createDataFrame(numbers + mails, "kind string, canonical string"), b"k").collect()
+    assert len(rows) == len(numbers) + len(mails)
+    forms = [r["form"] for r in rows if r["kind"] in ("ssn3", "phone3")]
+    assert len(set(forms)) == len(forms) and not set(forms) & {n for _, n in numbers}
+    domains = {r["canonical"]: r["form"] for r in rows if r["kind"] == "domain"}
+    assert len(set(domains.values())) == 20
+    assert all(r["form"].partition("@")[2] == domains[r["canonical"].partition("@")[2]] for r in rows if r["kind"] == "email")
+    assert len({r["form"] for r in rows if r["kind"] == "email"}) == 60
+
+
+def test_surrogates_of_compact_forms():
+    text = "Call +14155552671 or 2001:db8:85a3::8a2e:370:7334, fe80:0:0:0:0:0:0:1; a::b std::vector 12:30:45 Dr. J. R. Smith"
+    new, spans = pii.replaced(text, b"k", {})
+    assert [s.kind for s in spans] == ["phone11c1", "ip6", "ip6", "surname_latin"]
+    assert "+1" in new and new.count("2001:db8:") == 2 and "a::b std::vector 12:30:45 Dr. J. R. " in new and "4155552671" not in new
+    assert [s.kind for s in pii.detect("+447911123456, +380441234567")] == ["phone12c2", "phone12c3"]
 
 
 def test_surrogates_of_a_table(odd, nothing, docs, spark):
