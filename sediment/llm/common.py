@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,36 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Characters of text that one pass over an Arrow batch works on at most (a longer text forms a pass of its own).
-CHUNK_CHARS = 4_000_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Where it is unset, a local session gets a temporary folder of its own; a cluster session raises, as no
-    machine-local folder would do there.
-    """
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir") or getattr(spark.sparkContext, "_sediment_dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
-    spark.sparkContext._sediment_dir = "file://" + tempfile.mkdtemp(prefix="spark-sediment-", dir="/tmp")
-    return spark.sparkContext._sediment_dir
+from sediment.shared import cut, delete, new_path
 
+__all__ = ["BROADCAST_IDS", "CHUNK_CHARS", "Scratch", "bases", "cut", "delete", "kept_rows", "new_path", "shuffle_partitions", "slices"]
 
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/sediment-{uuid.uuid4().hex}/{tag}"
-
-
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again: its rows are fixed from then on, and a lost
-    executor costs no recomputation of what came before."""
-    path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Characters of text that one pass over an Arrow batch works on at most (a longer text forms a pass of its own).
+CHUNK_CHARS = 4_000_000
 
 
 class Scratch:
@@ -71,12 +45,6 @@ class Scratch:
         delete(self.spark, self.root)
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared file system, if it is there."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 #: Ids of dropped documents that are broadcast at most (8 bytes each); more are told apart by a shuffle join.
 BROADCAST_IDS = 2_000_000
 

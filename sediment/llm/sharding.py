@@ -57,9 +57,23 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id",
     )
 
 
-def write_shards(docs: DataFrame, path: str, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write ``docs`` as Parquet under ``path``, one folder a shard; ids must be unique. Returns the assignment."""
+def write_shards(docs: DataFrame, path: str, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text", shard_col: str = "shard") -> DataFrame:
+    """Write every row of ``docs`` as Parquet under ``path``, one folder a shard, and return the assignment.
+
+    Rows meet their shard by id (null or not), size and checksum; rows that share all three are counted off, so each is
+    written once. ``shard_col`` names the folders and must not be a column of ``docs``."""
+    if shard_col in docs.columns:
+        raise ValueError(f"docs has a column {shard_col}; name another one for the folders")
     found = cut(shard_documents(docs, n_shards, id_col, text_col), "shards")
-    keys = found.select(F.col("doc_id").alias(id_col), "shard")
-    docs.join(keys, id_col).write.partitionBy("shard").parquet(path)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    keys = ["_id", "_size", "_crc"]
+    alike = Window.partitionBy(*keys).orderBy("_size")
+    own = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.octet_length(text).cast("long").alias("_size"), F.crc32(text.cast("binary")).alias("_crc"))
+    own = own.withColumn("_n", F.row_number().over(alike)).alias("d")
+    placed = found.select(F.col("doc_id").alias("_id"), (F.col("size") - 8).alias("_size"), F.col("text_crc32").alias("_crc"), F.col("shard").alias("_shard"))
+    placed = placed.withColumn("_n", F.row_number().over(alike)).alias("s")
+    same = F.col("d._id").eqNullSafe(F.col("s._id"))
+    for c in ("_size", "_crc", "_n"):
+        same = same & (F.col(f"d.{c}") == F.col(f"s.{c}"))
+    own.join(placed, same).select("d._row.*", F.col("s._shard").alias(shard_col)).write.partitionBy(shard_col).parquet(path)
     return found

@@ -2,9 +2,12 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from sediment.llm import neardup
+from sediment.llm.common import cut
 from sediment.llm.components import connected_components
 from sediment.llm.exactdedup import MOST, boundaries, exact_groups
 from sediment.llm.fingerprint import WIDE, added, edited_fingerprints, fingerprints, lanes
@@ -74,6 +77,65 @@ def test_near_duplicates_in_chains_and_crowds(spark):
     assert got == near_brute(rows)
 
 
+def mutated(rng, n, size, most, first=0):
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    base, rows = [word() for _ in range(size)], []
+    for i in range(n):
+        own = list(base)
+        for _ in range(rng.randrange(most)):
+            own[rng.randrange(size)] = word()
+        rows.append((first + i, " ".join(own)))
+    return rows
+
+
+def test_near_duplicates_where_buckets_stay_open(spark, monkeypatch):
+    """Copies of one text with few to many changes: members just under and just over the bound share large buckets, which
+    are dealt into parts."""
+    rows = mutated(random.Random(7), 160, 90, 9) + mutated(random.Random(8), 60, 40, 5, 1000)
+    monkeypatch.setattr(neardup, "SALT", 7)
+    calls, real = [], neardup._likely_in_buckets
+    monkeypatch.setattr(neardup, "_likely_in_buckets", lambda *a: calls.append(1) or real(*a))
+    assert near(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == near_brute(rows)
+    assert calls
+
+
+def test_open_buckets_yield_each_likely_pair_once(spark, monkeypatch):
+    rows = mutated(random.Random(10), 80, 100, 9)
+    sets = {i: shingle_set(t) for i, t in rows}
+    alike = {(i, k): len(np.intersect1d(x, y)) / len(np.union1d(x, y)) for i, x in sets.items() for k, y in sets.items() if i < k}
+    features = spark.createDataFrame([(i, len(x), [100 + i % 2, 200]) for i, x in sets.items()], "id long, n_shingles long, bands array<long>")
+    frame = spark.createDataFrame([(i, x.tobytes()) for i, x in sets.items()], "id long, shingles binary")
+    members = [(100 + i % 2, 0, i, i // 2, 40) for i in sets] + [(200, 1, i, i // 2, 80) for i in sets]
+    monkeypatch.setattr(neardup, "SALT", 9)
+    found = neardup._likely_in_buckets(spark.createDataFrame(members, "bucket long, band int, id long, component long, size long"), features, frame, cut)
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got))
+    assert {p for p, s in alike.items() if s >= 0.75 and p[0] // 2 != p[1] // 2} <= set(got) <= {p for p, s in alike.items() if s > 0.5}
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    """Rows that share an id are one document with the links of all of them."""
+    a, b, c = ("one two three four five six seven", "red green blue white black grey pink", "x y z u v w")
+    rows = [(3, a), (7, a), (7, b), (9, b), (9, b), (11, c), (11, c), (12, None)]
+    got = sorted({(r["doc_id"], r["component_id"]) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()})
+    assert got == [(3, 3), (7, 3), (9, 3), (11, 11), (12, 12)]
+
+
+def test_recall_of_links_at_the_bound():
+    """Pairs with a similarity of 0.75 or a little more share a bucket and pass both signatures."""
+    rng, lost, n = random.Random(9), 0, 400
+    for _ in range(n):
+        union = [rng.getrandbits(64) for _ in range(rng.randrange(40, 200))]
+        both = -(-3 * len(union) // 4)
+        cutat = both + rng.randrange(len(union) - both + 1)
+        x, y = (np.unique(np.array(u, np.uint64)) for u in (union[:cutat], union[:both] + union[cutat:]))
+        m, k = neardup.minima(x), neardup.minima(y)
+        bits = np.bitwise_count(neardup.bit_signature(x).view(np.uint64) ^ neardup.bit_signature(y).view(np.uint64)).sum()
+        alike = (((m >> 24) ^ m) & 255 == ((k >> 24) ^ k) & 255).mean()
+        lost += not ((neardup.band_keys(m) == neardup.band_keys(k)).any() and alike >= neardup.SURE and neardup.BITS - bits >= neardup.EQUAL_BITS)
+    assert lost == 0
+
+
 def test_components_match_union_find(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(400, i) for i in range(401, 450)] + [(i, i + 1) for i in range(500, 560)]
@@ -145,6 +207,12 @@ def test_shards(odd, nothing, spark, sf, tmp_path):
     assert shard_documents(nothing).count() == 0
     write_shards(docs, f"file://{tmp_path}/s", 4)
     assert spark.read.parquet(f"file://{tmp_path}/s").count() == docs.count()
+    with pytest.raises(ValueError):
+        write_shards(odd, f"file://{tmp_path}/o", 3)
+    placed = write_shards(odd, f"file://{tmp_path}/o", 3, shard_col="part").groupBy("shard").count().collect()
+    back = spark.read.parquet(f"file://{tmp_path}/o")
+    assert sorted(map(str, back.select("doc_id", "text", "shard").collect())) == sorted(map(str, odd.select("doc_id", "text", "shard").collect()))
+    assert {(r["part"], r["count"]) for r in back.groupBy("part").count().collect()} == {(r["shard"], r["count"]) for r in placed}
 
 
 def test_fingerprints_are_multiset_hashes(spark, odd, nothing):
