@@ -39,7 +39,7 @@ WORTH = 64
 #: Members of an open bucket that one task compares with the others.
 SALT = 4096
 
-#: Bytes of the pivots' signatures or sets that are broadcast at most.
+#: Bytes of pairs of ids, or of the pivots' signatures or sets, that are broadcast at most.
 BROADCAST_BYTES = 16_000_000
 
 _rng = np.random.default_rng(20)
@@ -187,17 +187,22 @@ def _of_pivots(pairs: DataFrame, table: DataFrame, weight: str, cut) -> DataFram
     return F.broadcast(few) if size <= BROADCAST_BYTES else few
 
 
+def _pairs(pairs: DataFrame) -> DataFrame:
+    """Pairs of ids, broadcast if they are few, so that the signatures or sets they are joined with stay where they are."""
+    return F.broadcast(pairs) if 16 * pairs.count() <= BROADCAST_BYTES else pairs
+
+
 def _verified(pairs: DataFrame, features: DataFrame, cut) -> DataFrame:
     """The pairs (pivot a, member b) whose sizes and signatures allow a link."""
     sig = features.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("signature").alias("sb"))
     sig_a = features.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("signature").alias("sa"))
-    both = pairs.join(sig, "b").join(_of_pivots(pairs, sig_a, "sa", cut), "a").select("a", "b", "na", "nb", "sa", "sb")
+    both = sig.join(_pairs(pairs), "b").join(_of_pivots(pairs, sig_a, "sa", cut), "a").select("a", "b", "na", "nb", "sa", "sb")
     return cut(both.mapInArrow(_likely, "a long, b long"), "likely")
 
 
 def _links(likely: DataFrame, sets: DataFrame, percent: int, cut) -> DataFrame:
     """The pairs that are links, by their whole sets."""
-    whole = likely.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    whole = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")).join(_pairs(likely), "b")
     whole = whole.join(_of_pivots(likely, sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "x", cut), "a").select("a", "b", "x", "y")
     return cut(whole.mapInArrow(_confirmed(percent), "a long, b long"), "links")
 
