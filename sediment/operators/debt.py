@@ -45,17 +45,17 @@ def debt_markers(files: DataFrame) -> DataFrame:
 
 def marker_statistics(found: DataFrame, types: Sequence[str] = MARKERS, by: tuple[str, ...] = ()) -> DataFrame:
     """Counts by type and by type and scope, a row each (scope null: the type's total); every type has its total, 0 if
-    need be."""
+    need be, in each group that has any marker (without groups: always)."""
     spark = found.sparkSession
     sets = found.filter(F.col("type").isin(list(types))).select(*by, "type", "scope")
-    counts = sets.groupBy(*by, "type", "scope").count()
+    named = sets.filter("scope is not null").groupBy(*by, "type", "scope").count()
     totals = sets.groupBy(*by, "type").count()
-    named = counts.filter("scope is not null").select(*by, "type", "scope", "count")
-    every = spark.range(1).select(F.explode(F.array(*[F.lit(t) for t in types])).alias("type"))
-    if by:
-        return totals.select(*by, "type", F.lit(None).cast("string").alias("scope"), "count").unionByName(named)
-    filled = every.join(totals, "type", "left").select("type", F.lit(None).cast("string").alias("scope"), F.coalesce("count", F.lit(0)).alias("count"))
-    return filled.unionByName(named)
+    every = (sets.select(*by).distinct() if by else spark.range(1)).select(*by, F.explode(F.array(*[F.lit(t) for t in types])).alias("type"))
+    same = every["type"] == totals["type"]
+    for g in by:
+        same = same & every[g].eqNullSafe(totals[g])
+    filled = every.join(totals, same, "left").select(*[every[c] for c in (*by, "type")], F.lit(None).cast("string").alias("scope"), F.coalesce("count", F.lit(0)).alias("count"))
+    return filled.unionByName(named.select(*by, "type", "scope", "count"))
 
 
 def debt_level(count: Column) -> Column:

@@ -14,36 +14,58 @@ from sediment.functions.text import any_of
 PARTS = ("frontend", "backend", "client", "server", "apps/web", "apps/api", "packages/web", "packages/api", "web", "api")
 
 
-def _rules() -> list[tuple[str, str, Column]]:
+#: Packages that tell of a script framework in the order in which they count, and of a data layer.
+SCRIPT_FRAMEWORKS = (("@nestjs/core", "NestJS"), ("next", "Next.js"), ("fastify", "Fastify"), ("koa", "Koa"), ("express", "Express.js"))
+SCRIPT_STORES = ("prisma", "@prisma/client", "typeorm", "sequelize", "mongoose", "drizzle-orm", "knex")
+UNKNOWN = "Unknown"
+
+
+def packages() -> Column:
+    """What a package file or composer file depends on, as an array of names (null for text that is no JSON)."""
+    keys = [F.json_object_keys(F.get_json_object("content", f"$.{k}")) for k in ("dependencies", "devDependencies", "require", "require-dev")]
+    return F.concat(*[F.coalesce(k, F.array().cast("array<string>")) for k in keys])
+
+
+def rules() -> list[tuple[str, str, Column]]:
     """Frameworks in the order in which they are asked: name, language, condition on a file."""
-    name, text = F.col("name"), F.col("content")
-    low, path = F.lower(text), F.col("path")
-    python_deps = name.isin("requirements.txt", "pyproject.toml", "Pipfile", "setup.py")
+    name, text, ext = F.col("name"), F.col("content"), F.col("ext")
+    imports = lambda module: (ext == ".py") & text.rlike(rf"(?m)^\s*(?:from\s+{module}\b.*\bimport|import\s+{module}\b)")
+    package, gradle = name == "package.json", name.isin("build.gradle", "build.gradle.kts")
+    django = (name == "manage.py") & (F.lower(text).contains("django") | text.contains("DJANGO_SETTINGS_MODULE"))
+    django |= (name == "settings.py") & any_of(text, ("INSTALLED_APPS", "DJANGO_SETTINGS_MODULE"))
+    django |= name.isin("wsgi.py", "asgi.py") & F.lower(text).contains("django")
+    spring = (name == "pom.xml") & text.contains("spring-boot")
+    spring |= gradle & any_of(text, ("spring-boot", "org.springframework.boot"))
     return [
-        ("Laravel", "PHP", (name == "artisan") | ((name == "composer.json") & low.contains("laravel/framework"))),
-        ("FastAPI", "Python", (python_deps & low.contains("fastapi")) | ((F.col("ext") == ".py") & text.rlike(r"(?m)^\s*(from|import)\s+fastapi\b"))),
-        ("Django", "Python", (name == "manage.py") | (python_deps & low.contains("django"))),
-        ("Spring Boot", "Java", (name.isin("pom.xml", "build.gradle", "build.gradle.kts") & low.contains("spring-boot"))),
-        ("Entity Framework Core", "C#", (F.col("ext") == ".csproj") & low.contains("entityframeworkcore")),
-        ("Next.js", "JavaScript", (name == "package.json") & text.rlike(r'"next"\s*:')),
-        ("Node.js", "JavaScript", (name == "package.json") & path.isNotNull()),
-        ("Flask", "Python", (F.col("ext") == ".py") & text.rlike(r"(?m)^\s*(from|import)\s+flask\b")),
+        ("Laravel", "PHP", (name == "artisan") | ((name == "composer.json") & F.array_contains(packages(), "laravel/framework"))),
+        ("FastAPI", "Python", (name.isin("requirements.txt", "Pipfile", "pyproject.toml") & F.lower(text).contains("fastapi")) | imports("fastapi")),
+        ("Django", "Python", django),
+        ("Spring Boot", "Java", spring),
+        (".NET Core / C#", "C#", ext.isin(".csproj", ".sln")),
+        *[(shown, "JavaScript", package & F.array_contains(packages(), key)) for key, shown in SCRIPT_FRAMEWORKS],
+        ("Node.js", "JavaScript", package & F.arrays_overlap(packages(), F.array(*[F.lit(k) for k in SCRIPT_STORES]))),
+        ("Flask", "Python", imports("flask")),
+        ("Quart", "Python", imports("quart")),
+        ("Gin (Go)", "Go", (name == "go.mod") & text.contains("gin-gonic/gin")),
+        ("Fiber (Go)", "Go", (name == "go.mod") & text.contains("gofiber/fiber")),
         ("Go", "Go", name == "go.mod"),
+        ("Actix-web (Rust)", "Rust", (name == "Cargo.toml") & text.contains("actix-web")),
+        ("Rocket (Rust)", "Rust", (name == "Cargo.toml") & text.contains("rocket")),
         ("Rust", "Rust", name == "Cargo.toml"),
         ("PHP", "PHP", name == "composer.json"),
-        ("Java", "Java", name.isin("pom.xml", "build.gradle")),
-        (".NET", "C#", F.col("ext") == ".csproj"),
+        ("Java (Maven)", "Java", name == "pom.xml"),
+        ("Java (Gradle)", "Java", gradle),
     ]
 
 
-def frameworks(files: DataFrame, part: Column | None = None) -> DataFrame:
+def frameworks(files: DataFrame, part: Column | None = None, first: list[tuple[str, str, Column]] | None = None) -> DataFrame:
     """``part, framework, language``: for each part of the repository the first framework that a file tells of, else
-    Generic."""
-    rules = _rules()
-    hit = F.array_compact(F.array(*[F.when(cond, F.struct(F.lit(i).alias("i"), F.lit(n).alias("framework"), F.lit(lang).alias("language"))) for i, (n, lang, cond) in enumerate(rules)]))
+    Unknown. ``first`` are rules of the caller's own, which are asked before the others."""
+    every = [*(first or []), *rules()]
+    hit = F.array_compact(F.array(*[F.when(cond, F.struct(F.lit(i).alias("i"), F.lit(n).alias("framework"), F.lit(lang).alias("language"))) for i, (n, lang, cond) in enumerate(every)]))
     rows = files.withColumn("part", part if part is not None else F.lit("")).filter("part is not null")
     found = rows.select("part", F.array_min(hit).alias("h")).groupBy("part").agg(F.min("h").alias("h"))
-    return found.select("part", F.coalesce("h.framework", F.lit("Generic")).alias("framework"), F.coalesce("h.language", F.lit("Unknown")).alias("language"))
+    return found.select("part", F.coalesce("h.framework", F.lit(UNKNOWN)).alias("framework"), F.coalesce("h.language", F.lit(UNKNOWN)).alias("language"))
 
 
 def monorepo(files: DataFrame) -> DataFrame:
@@ -51,7 +73,7 @@ def monorepo(files: DataFrame) -> DataFrame:
     part = F.lit(None).cast("string")
     for p in PARTS:
         part = F.coalesce(part, F.when(F.col("path").startswith(f"{p}/"), F.lit(p)))
-    found = frameworks(files, part).filter("framework <> 'Generic'")
+    found = frameworks(files, part).filter(F.col("framework") != UNKNOWN)
     several = found.agg(F.count_distinct("framework").alias("n")).filter("n >= 2").select(F.lit(1).alias("_one"))
     return found.withColumn("_one", F.lit(1)).join(F.broadcast(several), "_one", "left_semi").drop("_one")
 

@@ -110,6 +110,25 @@ def story(specs: DataFrame, wanted: str) -> DataFrame:
     return specs.withColumn("_rank", rank).filter("_rank is not null").orderBy("_rank", "path").limit(1).drop("_rank")
 
 
+def with_status(files: DataFrame, path: str, status: str) -> DataFrame:
+    """``files`` with the status of the specification or product document at ``path`` replaced where it states one: in
+    its front matter, its status field, its heading, or its JSON. Nothing else of a text changes; statuses that neither
+    kind knows are refused."""
+    if status not in (*STORY_STATUS, *PRODUCT_STATUS):
+        raise ValueError(f"no status: {status}")
+    text = F.col("content")
+    forms = (
+        (r"(?s)\A(---\n(?:.*?\n)?status:[ \t]*)[^\n]*(?=\n.*?^?---)", "$1" + status),
+        (r"(?im)^(\s*[-*]?\s*\**(?:status|estado)\**\s*:\s*\**[ \t]*)\S.*$", "$1" + status),
+        (r"(?m)^(#\s+[\w-]+\s*\[)[^\]]*(?=\])", "$1" + status),
+        (r"(?s)(\"status\"\s*:\s*\")[^\"]*(?=\")", "$1" + status),
+    )
+    edited = text
+    for pattern, new in reversed(forms):
+        edited = F.when(text.rlike(pattern), F.regexp_replace(text, pattern, new)).otherwise(edited)
+    return files.withColumn("content", F.when(F.col("path") == path, edited).otherwise(text))
+
+
 def locations(found: DataFrame, depth: int = 6, most: int = 32, home: str = HOME) -> DataFrame:
     """``root, stories, ids, truncated`` of the collections in a repository, down to ``depth`` folders; the first
     ``most`` are listed."""

@@ -61,12 +61,25 @@ LANGUAGES: dict[str, dict] = {
 }
 
 
+#: Source as strings, comments and what lies between.
+_TOKENS = r"""(?s)"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|`[^`]*+`|/\*.*?(?:\*/|\z)|//[^\n]*+|[^"'`/]++|."""
+
+
+#: Members that stand among parameters: where (a header or a line within), the list, each member.
+PROMOTED = {
+    "java": ("header", r"\brecord\s+\w+(?:<[^{(]*>)?\s*\(([^)]*)\)", r"(?:@\w+\s+)*([\w<>\[\].]+\s+\w+)"),
+    "csharp": ("header", r"\b(?:class|struct|record)\s+\w+(?:<[^{(]*>)?\s*\(([^)]*)\)", r"([\w<>\[\].?]+\s+\w+)"),
+    "php": ("within", r"\b__construct\s*\(([^)]*)\)", r"(?:public|private|protected)\s+(?:readonly\s+)?([\w?|\\]+\s+\$\w+)"),
+    "script": ("within", r"\bconstructor\s*\(([^)]*)\)", r"(?:public|private|protected|readonly)\s+(?:readonly\s+)?(\w+\s*:\s*[\w<>\[\].]+)"),
+}
+
+
 def blanked(text: Column) -> Column:
-    """Source without comments and without what stands in strings; line ends stay, so lines keep their numbers."""
-    out = F.regexp_replace(text, r"""(?s)/\*[^\n]*?\*/""", " ")
-    out = F.regexp_replace(out, r"(?m)^\s*/?\*.*$", "")
-    out = F.regexp_replace(out, r"""(?m)(?<![:"'`\w])//.*$""", "")
-    return out
+    """Source without comments; their line ends stay, so lines keep their numbers. What looks like a comment in a string
+    is none."""
+    tokens = F.regexp_extract_all(text, F.lit(_TOKENS), F.lit(0))
+    bare = F.transform(tokens, lambda t: F.when(t.startswith("/*"), F.regexp_replace(t, r"[^\n]+", "")).when(t.startswith("//"), "").otherwise(t))
+    return F.array_join(bare, "")
 
 
 def members(files: DataFrame, language: str) -> DataFrame:
@@ -108,12 +121,20 @@ def brace_classes(files: DataFrame, language: str) -> DataFrame:
         bases = F.filter(F.split(F.regexp_replace(F.regexp_replace("rest", r"<[^>]*>", ""), r"\b(?:extends|implements|permits)\b|:", ","), r"[,\s]+"), lambda b: b.rlike(r"^[\w\\.]+$"))
     at = F.struct("line", F.lit(0).alias("_"))
     parts = rows.select("path", module.alias("module"), "name", F.when(F.col("is_header"), bases).alias("bases"), F.when(~F.col("is_header"), method).alias("method"), F.when(~F.col("is_header"), field).alias("field"), "kind", "line", "owner_line", at.alias("at"))
+    if language in PROMOTED:
+        # parameters that are members: of a record or primary constructor in its header, of a constructor by their modifier
+        where, listed, member = PROMOTED[language]
+        given = rows.filter(text.rlike(listed) & (F.col("is_header") == (where == "header")))
+        each = F.regexp_extract_all(F.regexp_extract(text, listed, 1), F.lit(member), F.lit(1))
+        none, strings = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
+        held = given.select("path", module.alias("module"), "name", "kind", "line", "owner_line", F.posexplode(each).alias("_at", "_field"))
+        parts = parts.unionByName(held.select("path", "module", "name", strings.alias("bases"), none.alias("method"), F.trim("_field").alias("field"), "kind", "line", "owner_line", F.struct("line", F.col("_at").alias("_")).alias("at")))
     if language == "go":
         receiver = r"^func\s+\(\s*\w*\s*\*?(\w+)[^)]*\)\s*(\w+)\s*(\([^)]*\).*?)\s*\{?\s*$"
         lines = explode_lines(files.filter(F.col("ext") == ".go").select("path", blanked(F.col("content")).alias("content"))).filter(F.col("text").rlike(receiver))
         got = lines.select("path", module.alias("module"), F.regexp_extract("text", receiver, 1).alias("name"), F.lit(None).cast("array<string>").alias("bases"), F.concat(F.regexp_extract("text", receiver, 2), F.regexp_extract("text", receiver, 3)).alias("method"), F.lit(None).cast("string").alias("field"), F.lit("struct").alias("kind"), "line", F.col("line").alias("owner_line"), F.struct("line", F.lit(0).alias("_")).alias("at"))
         parts = parts.unionByName(got)
-    ordered = lambda c: F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("line", F.col(c).alias("v"))))), lambda x: x["v"]))
+    ordered = lambda c: F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("at", F.col(c).alias("v"))))), lambda x: x["v"]))
     keys = ["module", "name"] if language in ("go", "rust") else ["path", "module", "name"]
     firsts = [] if "path" in keys else [F.min("path").alias("path")]
     out = parts.groupBy(*keys).agg(

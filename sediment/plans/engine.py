@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +17,14 @@ class Engine:
     """``Engine(spark, root)`` or ``Engine.of(spark, {path: content})``; each analysis is a DataFrame. ``home`` is the
     folder of requirements and product documents."""
 
+    #: Analyses that were registered, by name.
+    REGISTERED: dict[str, Callable[[Engine], DataFrame]] = {}
+
+    @classmethod
+    def register(cls, name: str, analysis: Callable[[Engine], DataFrame]) -> None:
+        """Add an analysis of one's own to those of all engines; a name that exists is replaced."""
+        cls.REGISTERED[name] = analysis
+
     def __init__(self, spark: SparkSession, root: str | None = None, max_depth: int | None = 10, files: DataFrame | None = None, home: str = documents.HOME):
         self.spark, self.home = spark, home
         self.files = (read_repo(spark, root, max_depth) if files is None else files).persist()
@@ -95,9 +103,18 @@ class Engine:
     def onboarding(self) -> DataFrame:
         return imports.reading_order(self.files, self.edges)
 
-    def delta(self, old: DataFrame) -> DataFrame:
-        """What changed since an older table of files (path, mtime, size, sha256)."""
-        return relational.snapshot_diff(old, self.files)
+    def save_snapshot(self, path: str) -> None:
+        """Write what ``delta`` compares; a snapshot under this path is replaced."""
+        self.files.select("path", "mtime", "size", "sha256").write.mode("overwrite").parquet(path)
+
+    def delta(self, old: DataFrame | str) -> DataFrame:
+        """What changed since an older table of files (path, mtime, size, sha256), or since a saved snapshot."""
+        return relational.snapshot_diff(self.spark.read.parquet(old) if isinstance(old, str) else old, self.files)
+
+    def save(self, name: str, path: str, form: str = "json") -> None:
+        """Write one analysis under ``path`` in a format of Spark's (json, csv with a header, parquet)."""
+        rows = self.analyses()[name]()
+        (rows.coalesce(1).write.option("header", True) if form == "csv" else rows.write).format(form).save(path)
 
     def context(self, n: int = 5) -> str:
         sections = {"classes": asg.mermaid_classes(*self.graph), "entities": asg.mermaid_entities(self.entities, self.resolved)}
@@ -136,7 +153,8 @@ class Engine:
             "product_diagnostics": lambda: self.product_diagnostics,
             "product_report": lambda: documents.report(self.products, self.product_diagnostics),
             "core_files": lambda: context.core_files(self.files, self.edges),
-        }
+            "mobile_core_files": lambda: context.mobile_core_files(self.files),
+        } | {name: partial(f, self) for name, f in self.REGISTERED.items()}
 
     def scan(self, *names: str) -> str:
         """Analyses as JSON: one alone as its bare rows, several under their names."""

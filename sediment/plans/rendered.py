@@ -209,7 +209,26 @@ def core_file_eligibility(spark, sf_dir):
     return context.eligible(supplier_files(spark, sf_dir, paths, "x = 1\n")).select("path")
 
 
-@query(f"""WITH {_S}, e AS (SELECT count(*) AS n, sum(length('x = ' || k || chr(10))) AS b FROM s WHERE k % 2 = 0) SELECT 'd' || f || '/m' || k || (CASE WHEN k % 2 = 0 THEN '.py' ELSE '.md' END) AS path, CAST(length('x = ' || k || chr(10)) AS BIGINT) AS size,
+_MOBILE = ("src/api/a%1$d.ts", "src/config/c%1$d.ts", "hooks/h%1$d.tsx", "src/utils/u%1$d.ts", "src/other/o%1$d.ts")
+
+
+@query(f"""WITH {_S}, p AS (SELECT (['src/api/a', 'src/config/c', 'hooks/h', 'src/utils/u', 'src/other/o'])[1 + k % 5] || k || CASE WHEN k % 5 = 2 THEN '.tsx' ELSE '.ts' END AS path, k % 5 AS place FROM s WHERE k % 5 < 4)
+SELECT CAST(row_number() OVER (ORDER BY place, path) AS INTEGER) AS ord, path FROM p QUALIFY ord <= 25""")
+def mobile_core_files(spark, sf_dir):
+    """The files that tell most of a mobile project: calls, settings, hooks, helpers."""
+    return context.mobile_core_files(supplier_files(spark, sf_dir, "|".join(_MOBILE), "export const x = 1;\n"), 25).select("ord", "path")
+
+
+@query(f"""WITH {_S}, c AS (SELECT CASE WHEN k % 5 = 0 THEN 'd' || k || '/main.py' WHEN k % 5 = 1 THEN 'd' || k || '/urls.py' ELSE 'd' || k || '/x.md' END AS path, k FROM s),
+r AS (SELECT path, CASE WHEN k % 5 = 0 THEN 0 ELSE 1 END AS b FROM c WHERE k % 5 = 0 OR path = (SELECT min(path) FROM c WHERE k % 5 = 1))
+SELECT CAST(row_number() OVER (ORDER BY b, path) AS INTEGER) AS ord, path FROM r QUALIFY ord <= 250""")
+def core_file_ranking(spark, sf_dir):
+    """Entry points first, then one of each well-known name."""
+    files = supplier_files(spark, sf_dir, "d%1$d/main.py|d%1$d/urls.py|d%1$d/x.md|d%1$d/x.md|d%1$d/x.md", "x = 1\n")
+    return context.core_files(files, imports.import_edges(files), 250).select("ord", "path")
+
+
+@query(f"""WITH {_S} SELECT 'd' || f || '/m' || k || (CASE WHEN k % 2 = 0 THEN '.py' ELSE '.md' END) AS path, CAST(length('x = ' || k || chr(10)) AS BIGINT) AS size,
   sha256('x = ' || k || chr(10)) AS sha256, (CASE WHEN k % 2 = 0 THEN '.py' ELSE '.md' END) AS ext, 'm' || k AS stem, 1 AS depth FROM s""")
 def file_index(spark, sf_dir):
     """Files with their sizes, digests and names."""
@@ -668,15 +687,25 @@ def graph_edges(spark, sf_dir):
 
 _PARTS = (
     ("artisan", "x", "Laravel", "PHP"),
-    ("requirements.txt", "fastapi==1", "FastAPI", "Python"),
-    ("manage.py", "x", "Django", "Python"),
+    ("composer.json", '{"require": {"laravel/framework": "1"}}', "Laravel", "PHP"),
+    ("requirements.txt", "FastAPI==1", "FastAPI", "Python"),
+    ("manage.py", "import django", "Django", "Python"),
     ("pom.xml", "spring-boot", "Spring Boot", "Java"),
-    ("a.csproj", "EntityFrameworkCore", "Entity Framework Core", "C#"),
-    ("package.json", '{"dependencies": {"next": "1"}}', "Next.js", "JavaScript"),
+    ("a.csproj", "x", ".NET Core / C#", "C#"),
+    ("package.json", '{"dependencies": {"express": "1", "@nestjs/core": "1"}}', "NestJS", "JavaScript"),
+    ("package.json", '{"devDependencies": {"next": "1"}}', "Next.js", "JavaScript"),
+    ("package.json", '{"dependencies": {"koa": "1"}}', "Koa", "JavaScript"),
+    ("package.json", '{"dependencies": {"express": "1"}}', "Express.js", "JavaScript"),
+    ("package.json", '{"dependencies": {"knex": "1"}}', "Node.js", "JavaScript"),
+    ("package.json", '{"dependencies": {"left": "1"}}', "Unknown", "Unknown"),
     ("app.py", "from flask import Flask", "Flask", "Python"),
+    ("app.py", "from quart import Quart", "Quart", "Python"),
     ("go.mod", "module x", "Go", "Go"),
+    ("go.mod", "require github.com/gin-gonic/gin", "Gin (Go)", "Go"),
     ("Cargo.toml", "x", "Rust", "Rust"),
-    ("notes.txt", "x", "Generic", "Unknown"),
+    ("Cargo.toml", "actix-web", "Actix-web (Rust)", "Rust"),
+    ("build.gradle", "x", "Java (Gradle)", "Java"),
+    ("notes.txt", "x", "Unknown", "Unknown"),
 )
 
 

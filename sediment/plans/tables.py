@@ -60,9 +60,10 @@ def debt_document_markers(spark, sf_dir):
     return document_lines(spark, sf_dir).withColumn("hit", hit).filter("hit is not null").select("doc_id", F.col("line").cast("long").alias("line"), "hit.type", "hit.message")
 
 
-@query(f"""WITH {_LINES}, m AS (SELECT lang, {_MARKED} AS type FROM lines)
-SELECT lang, type, count(*) AS n, CASE WHEN count(*) = 0 THEN 'EXCELLENT' WHEN count(*) <= 5 THEN 'LOW' WHEN count(*) <= 15 THEN 'MODERATE' WHEN count(*) <= 30 THEN 'HIGH' ELSE 'CRITICAL' END AS level
-FROM m WHERE type IS NOT NULL GROUP BY lang, type""")
+@query(f"""WITH {_LINES}, m AS (SELECT lang, {_MARKED} AS type FROM lines), c AS (SELECT lang, type, count(*) AS n FROM m WHERE type IS NOT NULL GROUP BY lang, type),
+t AS (SELECT l.lang, k.type FROM (SELECT DISTINCT lang FROM c) l, (SELECT unnest(['{"', '".join(DOCUMENT_MARKERS)}']) AS type) k)
+SELECT t.lang, t.type, coalesce(n, 0) AS n, CASE WHEN coalesce(n, 0) = 0 THEN 'EXCELLENT' WHEN n <= 5 THEN 'LOW' WHEN n <= 15 THEN 'MODERATE' WHEN n <= 30 THEN 'HIGH' ELSE 'CRITICAL' END AS level
+FROM t LEFT JOIN c ON c.lang IS NOT DISTINCT FROM t.lang AND c.type = t.type""")
 def debt_statistics(spark, sf_dir):
     """Markers by language and type, with the level of their number."""
     hit = debt.first_marker(F.trim("text"), DOCUMENT_MARKERS)

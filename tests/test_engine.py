@@ -1,4 +1,6 @@
 import pytest
+from pyspark.sql import functions as F
+from sediment.operators import detect, documents
 from sediment.plans.engine import Engine
 
 from tests.sample import SAMPLE
@@ -118,3 +120,44 @@ def test_requirement_fields_say_more_than_the_heading(spark):
     text = "# Pay\n\n- **ID**: HU-7\n- **Estado**: done\n- **Title**: Pay now\n"
     e = Engine.of(spark, {"docs/.specs/requirements/x.md": text, ".specs/requirements/y.md": "# US-1 [TODO] - X\n"}, home=".specs")
     assert {(r["id"], r["status"], r["title"]) for r in e.requirements.collect()} == {("HU-7", "DONE", "Pay now"), ("US-1", "TODO", "X")}
+
+
+def test_status_edit_touches_nothing_else(spark):
+    texts = {"a.md": "# US-1 [TODO] - Pay\n\ntext [TODO]\n", "b.md": "# US-2 - X\n\n- **Status**: todo\n- **Want**: x\n", "c.json": '{"story": {"id": "U", "status": "done"}}', "d.md": "---\nid: P\nstatus: DRAFT\nowner: o\n---\n# P\n"}
+    e = Engine.of(spark, texts)
+    want = {"a.md": texts["a.md"].replace("# US-1 [TODO]", "# US-1 [REVIEW]"), "b.md": texts["b.md"].replace(": todo", ": REVIEW"), "c.json": texts["c.json"].replace("done", "REVIEW"), "d.md": texts["d.md"].replace("DRAFT", "REVIEW")}
+    for path in texts:
+        got = {r["path"]: r["content"] for r in documents.with_status(e.files, path, "REVIEW").collect()}
+        assert got == texts | {path: want[path]}
+    with pytest.raises(ValueError):
+        documents.with_status(e.files, "a.md", "LATER")
+
+
+def test_snapshots_and_registered_analyses(spark, tmp_path):
+    old, new = Engine.of(spark, {"a.py": "1", "b.py": "2", "c.py": "3"}), Engine.of(spark, {"a.py": "1", "b.py": "22", "d.py": "4"})
+    old.save_snapshot(f"file://{tmp_path}/s")
+    assert rows(new.delta(f"file://{tmp_path}/s"), "path", "state") == {("a.py", "unmodified"), ("b.py", "modified"), ("c.py", "deleted"), ("d.py", "new")}
+    Engine.register("count", lambda e: e.files.groupBy("ext").count())
+    try:
+        assert rows(new.analyses()["count"](), "ext", "count") == {(".py", 3)}
+        new.save("count", f"file://{tmp_path}/c", "csv")
+        assert spark.read.option("header", True).csv(f"file://{tmp_path}/c").collect()[0]["count"] == "3"
+    finally:
+        Engine.REGISTERED.clear()
+
+
+def test_members_among_parameters_and_masked_comments(spark):
+    files = {
+        "a/P.java": "/* class Old {\n int gone;\n} */\npublic record P(int x, String y) {\n  // int z;\n  String url = \"http://a /* b */\";\n}\n",
+        "a/Q.cs": "public class Q(int a, string b) : Base\n{\n}\n",
+        "a/R.php": "<?php\nclass R\n{\n    public function __construct(private string $name, int $n) {\n    }\n}\n",
+        "a/S.ts": "export class S {\n  constructor(private x: number, y: string) {\n  }\n}\n",
+    }
+    named = {r["name"]: r["attributes"] for r in Engine.of(spark, files).classes.collect()}
+    assert named == {"P": ["int x", "String y", "String url"], "Q": ["int a", "string b"], "R": ["string $name"], "S": ["x: number"]}
+
+
+def test_own_framework_rules_come_first(spark):
+    files = Engine.of(spark, {"requirements.txt": "fastapi", "x.own": "1"}).files
+    own = [("Own", "Own", F.col("ext") == ".own")]
+    assert rows(detect.frameworks(files, first=own), "framework") == {"Own"} and rows(detect.frameworks(files), "framework") == {"FastAPI"}
