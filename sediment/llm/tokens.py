@@ -93,9 +93,9 @@ class UnitEncoder:
             self.words = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|{letter}+|{digit}|(?:{rest})+")
         else:
             self.words = None  # another pipeline: units go through all of it
-        self.pieces = _Known(self._piece, memory * 3 // 8)
+        self.pieces = _Known(self._piece, memory * 5 // 16)
         self.first = _Known(self._unit, memory // 16)
-        self.inner = _Known(lambda unit: self._unit(" " + unit), memory * 9 // 16)
+        self.inner = _Known(lambda unit: self._unit(" " + unit), memory * 5 // 8)
 
     def _piece(self, word: str) -> bytes:
         mapped = word if word.isascii() and word.isalpha() else word.encode().decode("latin-1").translate(_LETTERS)
@@ -112,7 +112,9 @@ class UnitEncoder:
         # a superscript two is a number to the tokenizers but no digit to re
         if not plain and (not _LATIN.fullmatch(text) or any(c.isnumeric() and not c.isdecimal() for c in text)):
             return self._whole(unit)
-        return b"".join(map(self.pieces.__getitem__, self.words.findall(text)))
+        words = self.words.findall(text)
+        # a unit of one word is remembered as a unit alone
+        return self._piece(words[0]) if len(words) == 1 else b"".join(map(self.pieces.__getitem__, words))
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         first, inner, out = self.first, self.inner, []
