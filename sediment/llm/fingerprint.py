@@ -127,7 +127,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     told = [F.struct(F.lit(p).alias("part"), F.lit(i).cast("long").alias("least")) for p, i in guests]
     names = spark.range(len(told) and 1).select(F.inline(F.array(*told) if told else F.lit(None).cast("array<struct<part:int,least:bigint>>")))
     heads = rows.join(F.broadcast(names), F.coalesce("doc_id", F.lit(-(2**63))) == F.col("least")).select("part", F.lit(True).alias("guest"), "doc_id", "text")
-    dealt = rows.select(part.alias("part"), F.lit(False).alias("guest"), "doc_id", "text").unionByName(heads).repartition(n, "part")
+    dealt = rows.select(part.alias("part"), F.lit(False).alias("guest"), "doc_id", "text").unionByName(heads).repartitionById(n, "part")  # a range a task
     dealt = dealt.withColumn("lanes", lanes(F.col("text")))
     order = Window.partitionBy("part").orderBy("guest", "doc_id", F.xxhash64("text"), "text")
     found = dealt.select(
