@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from sediment.llm import langid, pii, toxicity
+from sediment.llm import common, langid, pii, toxicity
 from sediment.llm.mixing import fit_rates, mix
 
 from tests.llm.conftest import ROWS
@@ -130,6 +130,53 @@ def test_mixture_meets_its_targets(docs, labels, odd, nothing):
     assert mix(docs, labels, {"1": 0.7, "0": 0.3}, budget=900_000.0).count() > docs.count()
 
 
+def test_mixture_against_plain_steps(docs, labels, spark):
+    """The rates are those of projected gradient steps in numpy over the same posteriors, and the posteriors those of
+    naive Bayes over the same counts; a table of sources serves as labels, too."""
+    for table, column, weights in ((labels, "quality", {"1": 0.8, "0": 0.2}), (docs.select("doc_id", "source"), "source", None)):
+        weights = weights or {r["source"]: 1.0 for r in docs.select("source").distinct().collect()}
+        m = fit_rates(docs, table, weights, label_col=column)
+        rows = m.rows.collect()
+        n, p = np.array([r["n_tokens"] for r in rows], float), np.array([r["posteriors"] for r in rows])
+        assert np.allclose(p.sum(axis=1), 1) and [r["n_tokens"] for r in rows] == [len((t or "").split()) for t in (x["text"] for x in sorted(docs.collect(), key=lambda x: [r["doc_id"] for r in rows].index(x["doc_id"])))]
+        target, mass, rate = np.array([m.targets[d] for d in sorted(weights)]), n @ p, np.ones(len(n))
+        for _ in range(m.steps):
+            rate = np.maximum(0, rate - p @ (((n * rate) @ p - target) / mass))
+        assert np.allclose(rate, [r["rate"] for r in rows]) and m.converged == bool((abs((n * rate) @ p - target) <= 1e-4 * np.maximum(target, 1)).all())
+    with pytest.raises(ValueError):
+        fit_rates(docs.withColumn("rate", F.lit(1)), labels, {"1": 1, "0": 1}, keep=("rate",))
+
+
+def test_pipeline_stages_on_odd_rows(odd, nothing, spark):
+    """Nulls, blank and long texts, repeated rows, clashing columns, no rows: all stages keep the columns, and what each
+    drops is told by the texts."""
+    import corpus_pipeline
+
+    sf, stages = "/root/testdata/sf0.001", dict(corpus_pipeline.STAGES)
+    for name, stage in stages.items():
+        assert stage(spark, nothing, sf).count() == 0
+        if name != "packing":
+            assert stage(spark, odd, sf).columns == odd.columns
+    told = lambda name: sorted(str((r["doc_id"], r["text"])) for r in stages[name](spark, odd, sf).collect())
+    rows = [str(r) for r in ROWS]
+    assert set(told("language")) <= {str((d, t)) for d, t in ROWS if t and any(c.isalpha() for c in t)}
+    # 2 and 5 are 1 and 4 with other white space, 3 is as empty as 4; rows that share an id stay together
+    blank = "(5, ' \\t\\n')"
+    gone = {str(ROWS[1]), str(ROWS[3])}
+    assert blank in rows and told("exact_dedup") == sorted(x for x in rows if x not in gone)
+    assert told("near_dedup") == sorted(x for x in rows if x not in {str(ROWS[1]), str(ROWS[5])})
+    assert set(told("mixing")) <= set(rows)
+    assert {r["doc_id"] for r in stages["packing"](spark, odd, sf).collect()} == {d for d, _ in ROWS}
+
+
+def test_kept_rows_by_broadcast_and_by_join(odd, spark, monkeypatch):
+    decided = spark.createDataFrame([(1, True), (2, False), (7, False), (7, True), (None, False)], "doc_id long, kept boolean")
+    want = sorted(str(r) for r in ROWS if r[0] not in (2, None))
+    for most in (common.BROADCAST_IDS, -1):
+        monkeypatch.setattr(common, "BROADCAST_IDS", most)
+        assert sorted(str((r["doc_id"], r["text"])) for r in common.kept_rows(odd, decided).collect()) == want
+
+
 def test_pipeline_stages_apply(spark):
     pytest.importorskip("corpus_pipeline")
     import corpus_pipeline
