@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sediment.functions.text import identifier
-from sediment.operators.graph import EDGE_KINDS, KINDS, distinct_edges, merged_vertices
+from sediment.operators.graph import EDGE_KINDS, KINDS, distinct_edges, merged_vertices, numbered
 
 _ATTRIBUTES = "array<struct<name:string,type:string,is_primary_key:boolean>>"
 _METHODS = "array<struct<name:string,parameters:string,visibility:string>>"
@@ -118,8 +118,8 @@ def mermaid_entities(entities: DataFrame, resolved: DataFrame) -> str:
 
 def mermaid_routes(routes: DataFrame) -> str:
     """A call and a response for each route; files are participants by order of their paths."""
-    rows = routes.orderBy("path", "line", "method").select("path", "method", "route").collect()
-    names = {p: f"P{i}" for i, p in enumerate(sorted({r["path"] for r in rows}))}
+    rows = numbered(routes, ["path"], "P").orderBy("path", "line", "method").select("path", "method", "route", "alias").collect()
+    names = {r["path"]: r["alias"] for r in rows}
     out = ["sequenceDiagram", "    participant Client", *[f"    participant {a} as {p}" for p, a in names.items()]]
     for r in rows:
         out += [f"    Client->>{names[r['path']]}: {r['method']} {r['route']}", f"    {names[r['path']]}-->>Client: response"]

@@ -111,6 +111,15 @@ def budgeted_lines(lines: DataFrame, budget: int, longest: int = 192) -> str:
     return "\n".join(kept + ["[... truncated]"] * (not rows.filter(F.col("used") > budget).isEmpty()))
 
 
+def story_lines(specs: DataFrame) -> DataFrame:
+    """``rank, text`` of stories by id: what each wants, then its criteria, then its rules."""
+    line = lambda rank, text, rows=specs: rows.select(F.struct(F.lit(rank).alias("k"), F.lower("id").alias("id")).alias("rank"), text.alias("text"))
+    head = line(0, F.concat("id", F.lit(" ["), "status", F.lit("] "), F.coalesce("title", F.lit("")), F.lit(": "), F.coalesce("want", F.lit(""))))
+    wanted = line(1, F.concat("id", F.lit(" given "), "c.given", F.lit(" when "), "c.when", F.lit(" then "), "c.then"), specs.withColumn("c", F.explode("acceptance_criteria")))
+    ruled = line(2, F.concat("id", F.lit(" "), "r.id", F.lit(": "), "r.description"), specs.withColumn("r", F.explode("business_rules")))
+    return head.unionByName(wanted).unionByName(ruled)
+
+
 def escaped(text: str) -> str:
     return text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tomllib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -99,14 +100,29 @@ def features(files: DataFrame) -> DataFrame:
     return seen.select(F.array_sort(F.array_compact(F.array(*[F.when(F.col(f"`{n}`"), F.lit(n)) for n in tests]))).alias("features"))
 
 
-def architecture(files: DataFrame) -> DataFrame:
-    """One row ``architecture``."""
+#: Names of the folders that an architecture is read from.
+FOLDERS = {"controllers": ("controllers", "controller"), "models": ("models", "model", "entities"), "services": ("services", "service"), "routes": ("routes", "routers", "router")}
+
+
+def settings(files: DataFrame, section: str) -> dict[str, list[str]]:
+    """The lists of names under ``[tool.<section>]`` of the project file at the root; none if it is missing or broken."""
+    found = files.filter(F.col("path") == "pyproject.toml").select("content").limit(1).collect()  # one file
+    try:
+        table = tomllib.loads(found[0]["content"]).get("tool", {}).get(section, {}) if found else {}
+    except tomllib.TOMLDecodeError:
+        return {}
+    return {k: [str(x) for x in v] for k, v in table.items() if isinstance(v, list)}
+
+
+def architecture(files: DataFrame, names: dict[str, list[str]] | None = None) -> DataFrame:
+    """One row ``architecture``. ``names`` replaces folder names (see FOLDERS)."""
+    known = {k: [x.lower() for x in v] for k, v in {**FOLDERS, **(names or {})}.items()}
     folder = lambda *names: F.coalesce(F.bool_or(F.exists("folders", lambda f: F.lower(f).isin(*names))), F.lit(False))
     at = lambda *names: F.coalesce(F.bool_or(F.col("path").isin(*names)), F.lit(False))
     services = F.max(F.when(F.col("path") == "docker-compose.yml", F.size(F.regexp_extract_all("content", F.lit(r"(image:|build:)"), F.lit(1)))).otherwise(0))
     facts = files.filter(F.size("folders") >= 0).agg(
         F.coalesce(F.bool_or((F.col("name") == "package.json") & F.col("content").rlike(r'"next"\s*:')), F.lit(False)).alias("next"),
-        folder("controllers", "controller").alias("c"), folder("models", "model", "entities").alias("m"), folder("services", "service").alias("s"), folder("routes", "routers", "router").alias("r"),
+        folder(*known["controllers"]).alias("c"), folder(*known["models"]).alias("m"), folder(*known["services"]).alias("s"), folder(*known["routes"]).alias("r"),
         at("docker-compose.yml", "docker-compose.yaml", "Dockerfile").alias("d"), services.alias("n"),
         F.coalesce(F.bool_or(F.col("path").startswith("app/") | F.col("path").startswith("src/app/")), F.lit(False)).alias("app"),
         F.coalesce(F.bool_or(F.col("path").startswith("pages/") | F.col("path").startswith("src/pages/")), F.lit(False)).alias("pages"),

@@ -64,5 +64,6 @@ def distinct_edges(edges: DataFrame) -> DataFrame:
 
 
 def numbered(rows: DataFrame, order: list, prefix: str = "", name: str = "alias") -> DataFrame:
-    """Aliases in order, for diagrams, from 0 (diagram tables are small: one window over all rows)."""
-    return rows.withColumn(name, F.concat(F.lit(prefix), (F.row_number().over(Window.orderBy(*order)) - 1).cast("string")))
+    """Aliases in order, for diagrams, from 0; rows that are equal in ``order`` share one (diagram tables are small: one
+    window over all rows)."""
+    return rows.withColumn(name, F.concat(F.lit(prefix), (F.dense_rank().over(Window.orderBy(*order)) - 1).cast("string")))

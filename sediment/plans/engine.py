@@ -15,7 +15,8 @@ from sediment.sources.repo import IGNORED, from_rows, read_repo
 
 class Engine:
     """``Engine(spark, root)`` or ``Engine.of(spark, {path: content})``; each analysis is a DataFrame. ``home`` is the
-    folder of requirements and product documents."""
+    folder of requirements and product documents, ``[tool.<section>]`` of pyproject.toml may name folders of an
+    architecture."""
 
     #: Analyses that were registered, by name.
     REGISTERED: dict[str, Callable[[Engine], DataFrame]] = {}
@@ -25,8 +26,8 @@ class Engine:
         """Add an analysis of one's own to those of all engines; a name that exists is replaced."""
         cls.REGISTERED[name] = analysis
 
-    def __init__(self, spark: SparkSession, root: str | None = None, max_depth: int | None = 10, files: DataFrame | None = None, home: str = documents.HOME):
-        self.spark, self.home = spark, home
+    def __init__(self, spark: SparkSession, root: str | None = None, max_depth: int | None = 10, files: DataFrame | None = None, home: str = documents.HOME, section: str = "sediment"):
+        self.spark, self.home, self.section = spark, home, section
         self.files = (read_repo(spark, root, max_depth) if files is None else files).persist()
 
     @classmethod
@@ -143,7 +144,7 @@ class Engine:
             "framework": lambda: detect.frameworks(self.files),
             "monorepo": lambda: detect.monorepo(self.files),
             "features": lambda: detect.features(self.files),
-            "architecture": lambda: detect.architecture(self.files),
+            "architecture": lambda: detect.architecture(self.files, detect.settings(self.files, self.section)),
             "asg_nodes": lambda: self.graph[0],
             "asg_edges": lambda: self.graph[1],
             "requirements": lambda: self.requirements,
@@ -156,6 +157,23 @@ class Engine:
             "mobile_core_files": lambda: context.mobile_core_files(self.files),
         } | {name: partial(f, self) for name, f in self.REGISTERED.items()}
 
+    def diagram(self, name: str) -> str:
+        """A diagram as text: classes, entities, routes, imports, or infra."""
+        if name == "infra":
+            edges = detect.service_edges(detect.services(self.files))
+            return asg.mermaid_graph(edges, {r["dst"] for r in edges.filter("database").collect()})
+        return {
+            "classes": lambda: asg.mermaid_classes(*self.graph),
+            "entities": lambda: asg.mermaid_entities(self.entities, self.resolved),
+            "routes": lambda: asg.mermaid_routes(self.routes),
+            "imports": lambda: asg.mermaid_graph(self.edges),
+        }[name]()
+
+    def stories(self, budget: int = 8000) -> str:
+        """The stories of the requirements within a budget of characters, what matters first; credentials as marks."""
+        lines = context.story_lines(self.requirements)
+        return context.budgeted_lines(lines.withColumn("text", secrets.redacted(F.col("text"))), budget)
+
     def scan(self, *names: str) -> str:
         """Analyses as JSON: one alone as its bare rows, several under their names."""
         known = self.analyses()

@@ -19,6 +19,9 @@ from sediment.sources.repo import named
 _S = "s AS (SELECT s_suppkey AS k, s_nationkey AS n, s_suppkey // 2 AS q, s_suppkey % 7 AS f, (s_suppkey // 2) % 7 AS g FROM supplier)"
 
 
+_STATES_SQL = "(['TODO', 'IN_PROGRESS', 'TESTING', 'DONE', 'BLOCKED'])[1 + k % 5]"
+
+
 def as_files(rows: DataFrame) -> DataFrame:
     """Rows (path, content) as the files of a repository."""
     size, sha = F.octet_length("content").cast("long"), F.sha2("content", 256)
@@ -683,6 +686,21 @@ def graph_edges(spark, sf_dir):
     return merged_graph(spark, sf_dir)[1].select("src", "dst", "kind")
 
 
+@query(f"""WITH {_S} SELECT 'src/pkg' || f || '/m' || k || '.py' AS path, 'P' || (dense_rank() OVER (ORDER BY f) - 1) AS alias FROM s""")
+def folder_aliases(spark, sf_dir):
+    """Aliases of folders for diagrams."""
+    files = modules(spark, sf_dir).withColumn("folder", F.element_at("folders", -1))
+    return graph.numbered(files, ["folder"], "P").select("path", "alias")
+
+
+@query(f"""WITH {_S}, l AS (SELECT 0 AS r, 'us-' || k AS id, 'US-' || k || ' [' || {_STATES_SQL} || '] Story of ' || k || ': to pay' AS text FROM s
+  UNION ALL SELECT 1, 'us-' || k, 'US-' || k || ' given a cart when I pay then it ships ' || k FROM s UNION ALL SELECT 2, 'us-' || k, 'US-' || k || unnest([' BR01: one', ' BR-9: two']) FROM s)
+SELECT r AS rank, text FROM l""")
+def story_lines(spark, sf_dir):
+    """Stories as lines for a reader, what matters first."""
+    return context.story_lines(stories(spark, sf_dir)).select("rank.k", "text").withColumnRenamed("k", "rank")
+
+
 # Detection ------------------------------------------------------------------------------------------------------------
 
 _PARTS = (
@@ -734,7 +752,6 @@ def notebook_files(spark, sf_dir):
 
 # Requirements and product documents -----------------------------------------------------------------------------------
 
-_STATES = "(['TODO', 'IN_PROGRESS', 'TESTING', 'DONE', 'BLOCKED'])[1 + k % 5]"
 _STORY = """# US-%1$d [{}] - Story of %1$d
 
 - **Role**: buyer %2$d
@@ -759,7 +776,7 @@ def stories(spark, sf_dir) -> DataFrame:
     return documents.requirements(supplier_files(spark, sf_dir, f"r%1$d/{documents.HOME}/requirements/US-%1$d.md", *[_STORY.format(s) for s in documents.STORY_STATUS]))
 
 
-@query(f"""WITH {_S} SELECT 'US-' || k AS id, 'Story of ' || k AS title, 'buyer ' || n AS role, 'to pay' AS want, {_STATES} AS status, 'BR01 one|BR-9 two' AS rules, 'AC01 a cart/I pay/it ships ' || k AS criteria, 'why' AS open_questions FROM s""")
+@query(f"""WITH {_S} SELECT 'US-' || k AS id, 'Story of ' || k AS title, 'buyer ' || n AS role, 'to pay' AS want, {_STATES_SQL} AS status, 'BR01 one|BR-9 two' AS rules, 'AC01 a cart/I pay/it ships ' || k AS criteria, 'why' AS open_questions FROM s""")
 def requirement_stories(spark, sf_dir):
     """Stories from Markdown."""
     rule = lambda x: F.concat_ws(" ", x["id"], x["description"])
@@ -781,7 +798,7 @@ def requirement_totals(spark, sf_dir):
     return documents.requirement_totals(documents.collection(stories(spark, sf_dir)))
 
 
-@query(f"""WITH {_S}, t AS (SELECT {_STATES} AS status FROM s), k AS (SELECT unnest(['TODO', 'IN_PROGRESS', 'TESTING', 'DONE', 'BLOCKED', 'OTHER']) AS status) SELECT k.status, count(t.status) AS n FROM k LEFT JOIN t USING (status) GROUP BY k.status""")
+@query(f"""WITH {_S}, t AS (SELECT {_STATES_SQL} AS status FROM s), k AS (SELECT unnest(['TODO', 'IN_PROGRESS', 'TESTING', 'DONE', 'BLOCKED', 'OTHER']) AS status) SELECT k.status, count(t.status) AS n FROM k LEFT JOIN t USING (status) GROUP BY k.status""")
 def requirement_status(spark, sf_dir):
     """Stories by status."""
     return documents.story_status_counts(documents.collection(stories(spark, sf_dir)))

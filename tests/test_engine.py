@@ -161,3 +161,18 @@ def test_own_framework_rules_come_first(spark):
     files = Engine.of(spark, {"requirements.txt": "fastapi", "x.own": "1"}).files
     own = [("Own", "Own", F.col("ext") == ".own")]
     assert rows(detect.frameworks(files, first=own), "framework") == {"Own"} and rows(detect.frameworks(files), "framework") == {"FastAPI"}
+
+
+def test_diagrams_and_stories(engine):
+    assert 'N0["web"]' in engine.diagram("infra") or '["web"]' in engine.diagram("infra")
+    assert '[("db")]' in engine.diagram("infra") and "-->" in engine.diagram("imports")
+    assert engine.diagram("routes").startswith("sequenceDiagram") and "participant P0 as main.py" in engine.diagram("routes")
+    text = engine.stories()
+    assert "US-001 [DONE] Log in: in" in text and text.index("[DONE]") < text.index("given a when b then c") < text.index("BR01: x")
+    assert engine.stories(40).endswith("[... truncated]")
+
+
+def test_settings_name_folders(spark):
+    files = {"src/handlers/a.py": "1", "src/tables/b.py": "1", "pyproject.toml": '[tool.sediment]\ncontrollers = ["handlers"]\nmodels = ["tables"]\n'}
+    assert rows(Engine.of(spark, files).analyses()["architecture"](), "architecture") == {"MVC Pattern"}
+    assert rows(Engine.of(spark, files | {"pyproject.toml": "broken ["}).analyses()["architecture"](), "architecture") == {"Monolithic Application"}
