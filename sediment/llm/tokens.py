@@ -11,9 +11,9 @@ from __future__ import annotations
 import json
 import os
 import re
-import struct
 import sys
 import unicodedata
+from array import array
 
 #: A unit boundary: a space before a visible character.
 _CUT = re.compile(r" (?=\S)")
@@ -38,7 +38,10 @@ _LETTERS = _byte_letters()
 
 
 def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
 
 
 class _Known(dict):
@@ -73,11 +76,12 @@ class UnitEncoder:
     bytes of the remembered units.
     """
 
-    def __init__(self, path: str, memory: int = 128_000_000):
+    def __init__(self, path: str, memory: int = 48_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as f:
             parts = json.load(f)
         added = [(t["content"], t.get("normalized", False)) for t in parts.get("added_tokens", [])]
@@ -99,7 +103,7 @@ class UnitEncoder:
 
     def _piece(self, word: str) -> bytes:
         mapped = word if word.isascii() and word.isalpha() else word.encode().decode("latin-1").translate(_LETTERS)
-        return _packed([t.id for t in self.tokenizer.model.tokenize(mapped)])
+        return _packed([t.id for t in self.model.tokenize(mapped)])
 
     def _whole(self, text: str) -> bytes:
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -107,6 +111,10 @@ class UnitEncoder:
     def _unit(self, unit: str) -> bytes:
         if self.words is None:
             return self._whole(unit)
+        word = unit[1:] if unit.startswith(" ") else unit
+        if word.isascii() and word.isalpha():  # most units
+            mapped = word.lower() if self.lower else word if word is unit else _LETTERS[32] + word
+            return _packed([t.id for t in self.model.tokenize(mapped)])
         plain = unit.isascii() and unit.isprintable()
         text = unit if not self.lower else unit.lower() if plain else unicodedata.normalize("NFC", unit).lower()
         # a superscript two is a number to the tokenizers but no digit to re
