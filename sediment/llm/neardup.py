@@ -39,7 +39,7 @@ WORTH = 64
 #: Members of an open bucket that one task compares with the others.
 SALT = 4096
 
-#: Bytes of pairs of ids, or of the pivots' signatures or sets, that are broadcast at most.
+#: Bytes of tables of ids, or of the pivots' signatures or sets, that are broadcast at most.
 BROADCAST_BYTES = 16_000_000
 
 _rng = np.random.default_rng(20)
@@ -187,22 +187,22 @@ def _of_pivots(pairs: DataFrame, table: DataFrame, weight: str, cut) -> DataFram
     return F.broadcast(few) if size <= BROADCAST_BYTES else few
 
 
-def _pairs(pairs: DataFrame) -> DataFrame:
-    """Pairs of ids, broadcast if they are few, so that the signatures or sets they are joined with stay where they are."""
-    return F.broadcast(pairs) if 16 * pairs.count() <= BROADCAST_BYTES else pairs
+def _small(table: DataFrame) -> DataFrame:
+    """A written table of two or three longs a row, broadcast if it is small, so that what it is joined with stays in place."""
+    return F.broadcast(table) if 16 * table.count() <= BROADCAST_BYTES else table
 
 
 def _verified(pairs: DataFrame, features: DataFrame, cut) -> DataFrame:
     """The pairs (pivot a, member b) whose sizes and signatures allow a link."""
     sig = features.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("signature").alias("sb"))
     sig_a = features.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("signature").alias("sa"))
-    both = sig.join(_pairs(pairs), "b").join(_of_pivots(pairs, sig_a, "sa", cut), "a").select("a", "b", "na", "nb", "sa", "sb")
+    both = sig.join(_small(pairs), "b").join(_of_pivots(pairs, sig_a, "sa", cut), "a").select("a", "b", "na", "nb", "sa", "sb")
     return cut(both.mapInArrow(_likely, "a long, b long"), "likely")
 
 
 def _links(likely: DataFrame, sets: DataFrame, percent: int, cut) -> DataFrame:
     """The pairs that are links, by their whole sets."""
-    whole = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")).join(_pairs(likely), "b")
+    whole = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")).join(_small(likely), "b")
     whole = whole.join(_of_pivots(likely, sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "x", cut), "a").select("a", "b", "x", "y")
     return cut(whole.mapInArrow(_confirmed(percent), "a long, b long"), "links")
 
@@ -228,11 +228,11 @@ _MEMBER = ["bucket", "band", "id", "weight"]
 def _open(members: DataFrame, labels: DataFrame, cut) -> DataFrame:
     """The members of buckets with several components, with their ``component``, the bucket's ``size`` and whether they
     are an ``outlier``: not in its largest component."""
-    named = cut(members.join(labels, "id", "left").select(*_MEMBER, F.coalesce("component", "id").alias("component")), "named")
+    named = cut(members.join(_small(labels), "id", "left").select(*_MEMBER, F.coalesce("component", "id").alias("component")), "named")
     parts = named.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     several = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("top"))
     several = several.filter("k > 1").select("bucket", "size", F.col("top.component").alias("largest"))
-    found = named.join(several, "bucket").withColumn("outlier", F.col("component") != F.col("largest"))
+    found = named.join(_small(cut(several, "several")), "bucket").withColumn("outlier", F.col("component") != F.col("largest"))
     return cut(found.drop("largest"), "open")
 
 
@@ -294,18 +294,19 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
         shared = cut(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
         sized = cut(buckets.join(F.broadcast(shared) if shared.count() <= BROADCAST_IDS else shared, "bucket"), "sized")
         weights = cut(sized.groupBy("id").agg(F.sum("n").alias("weight")), "weights")
-        members = cut(sized.join(weights, "id").select(*_MEMBER), "members")
+        members = cut(sized.join(_small(weights), "id").select(*_MEMBER), "members")
         scratch.drop(sized)
         sets = cut(_texts(chosen, weights).mapInArrow(_sets, "id long, shingles binary"), "sets")
 
         labels, pivots = None, _central(members, cut)
-        met = members.join(pivots, "bucket").filter("id != a")
+        met = members.join(_small(pivots), "bucket").filter("id != a")
         while True:
             pairs = cut(met.select("a", F.col("id").alias("b")).distinct(), "pairs")
             links = _links(_verified(pairs, features, cut), sets, percent, cut)
             labels = _merged(labels, links if labels is not None else links.unionByName(owners), cut)
             # a pivot has met all others of its bucket and is done with it
-            rest = _open(members.join(pivots.select("bucket", F.col("a").alias("id")), ["bucket", "id"], "left_anti"), labels, cut)
+            done = pivots.select("bucket", F.col("a").alias("id"))
+            rest = _open(members.join(_small(done), ["bucket", "id"], "left_anti"), labels, cut)
             if rest.isEmpty() or WORTH * links.count() < pairs.count():
                 break
             members = rest.select(*_MEMBER)
