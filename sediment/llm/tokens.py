@@ -22,8 +22,9 @@ _RUN = re.compile(r" \s| $")
 #: Letters, digits and white space here are the same to Python and to the tokenizers.
 _LATIN = re.compile(r"[\x00-\x1b\x20-\x7e\xa1-\xac\xae-ɏ]*")
 
-#: Bytes that a dictionary takes for an entry beside key and value; characters of a unit that is remembered at most.
-ENTRY, LONGEST = 104, 64
+#: Bytes that a dictionary takes for an entry beside key and value; characters of a unit that is remembered at most; missing
+#: units for each remembered one after which a full table starts anew.
+ENTRY, LONGEST, PATIENCE = 104, 64, 16
 
 
 def _byte_letters() -> dict[int, str]:
@@ -63,7 +64,7 @@ class _Known(dict):
             self.held += size
         else:
             self.missed += 1
-            if self.missed > 4 * len(self):
+            if self.missed > PATIENCE * len(self):
                 self.clear()
                 self.held = self.missed = 0
         return found
