@@ -182,7 +182,7 @@ def _confirmed(percent: int):
 def _of_pivots(pairs: DataFrame, table: DataFrame, weight: str, cut) -> DataFrame:
     """The rows of ``table`` for the pivots ``a`` of the pairs: broadcast if their column ``weight`` is small in all, so
     that no pair carries a copy of it through a shuffle; joined by a shuffle if not."""
-    few = cut(table.join(pairs.select("a").distinct(), "a", "left_semi"), "pivotrows")
+    few = cut(table.join(_small(cut(pairs.select("a").distinct(), "pivotids")), "a", "left_semi"), "pivotrows")
     size = few.agg(F.sum(F.octet_length(weight))).first()[0] or 0
     return F.broadcast(few) if size <= BROADCAST_BYTES else few
 
