@@ -87,7 +87,25 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, fit_on(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_shards, op2_packing, op3_near_duplicates, op4_surrogates, op5_toxicity, op6_exact_dedup, op7_fingerprints, op8_token_files, op9_mixing, op10_language)}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sediment.llm.collocations import collocations
+
+    return collocations(_read(spark, sf_dir, "documents"), 2000)
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sediment.llm.spelling import spelling_forms
+
+    return spelling_forms(_read(spark, sf_dir, "documents"), 31)
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sediment.llm.simhash import simhash_groups
+
+    return simhash_groups(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_shards, op2_packing, op3_near_duplicates, op4_surrogates, op5_toxicity, op6_exact_dedup, op7_fingerprints, op8_token_files, op9_mixing, op10_language, op11_collocations, op12_spelling, op13_simhash)}
 
 SQL: dict[str, str] = {
     "op3_near_duplicates": r"""
@@ -113,5 +131,31 @@ FROM sets JOIN least USING (doc_id)
 WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
 FROM t WINDOW w AS (PARTITION BY text_sha256)
+""",
+    "op11_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), ws AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase
+  FROM ws, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE len(w) >= m
+), totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM ws GROUP BY lang),
+f AS (SELECT lang, m, phrase, count(*) AS f, string_split(phrase, ' ') AS w FROM grams GROUP BY lang, m, phrase HAVING count(*) >= 30),
+cuts AS (
+  SELECT lang, phrase, f AS a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:m], ' ') AS tail
+  FROM f, (SELECT unnest([1, 2, 3]) AS k) WHERE k < m
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, c.k, h.f AS l, t.f AS r, CAST((CAST(2000000 AS HUGEINT) * c.a) // (CAST(h.f AS HUGEINT) + t.f) AS BIGINT) AS score
+  FROM cuts c JOIN f h ON h.lang = c.lang AND h.phrase = c.head JOIN f t ON t.lang = c.lang AND t.phrase = c.tail
+), best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+subs AS (
+  SELECT lang, f AS longer, unnest(flatten(list_transform(range(2, m), lambda x: list_transform(range(1, m - x + 2), lambda i: array_to_string(w[i:i + x - 1], ' '))))) AS phrase
+  FROM f WHERE m > 2
+), covers AS (SELECT lang, phrase, max(longer) AS longer FROM subs GROUP BY lang, phrase)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best LEFT JOIN covers USING (lang, phrase) JOIN totals USING (lang)
+WHERE longer IS NULL OR 100 * CAST(longer AS HUGEINT) < 80 * a
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
 """,
 }
