@@ -2,11 +2,12 @@
 
 A text is the mean of the embeddings of its subwords (character n-grams of lower-cased letters that see word ends); a
 linear softmax reads the language off this mean. Both are trained together by stochastic gradient descent in numpy
-on a bounded sample of labelled rows. A temperature fitted on rows kept aside makes the score a probability, and texts
-are rejected whose score is lower than nearly all right ones of about their length had among those rows, whole or in
-stretches: a short text is held to what a stretch tells, so that of a few words in a language that was not learned many
-pass. A model of one language scores each text 1 and rejects none that has a letter. As the mean is linear, prediction adds
-up one small vector a subword.
+on a bounded sample of labelled rows. A temperature fitted on rows kept aside makes the score a probability. Texts are
+rejected by the margin between their first two languages before the softmax, which does not round to one where languages
+are told apart without error: it has to reach nearly what the right ones of about their length had among the rows kept
+aside, whole or in stretches. A short text is held to what a stretch tells, so that of a few words in a language that was
+not learned many pass. A model of one language scores each text 1 and rejects none that has a letter. As the mean is
+linear, prediction adds up one small vector a subword.
 """
 
 from __future__ import annotations
@@ -18,16 +19,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sediment.llm.common import slices
 from sediment.llm.ngrams import buckets, chunks, joined
 
 #: n-gram orders, hash bits, embedding width.
 ORDERS, BITS, WIDTH = (1, 2, 3, 4), 15, 16
-#: Labelled rows of each language that the model is fitted on at most, and languages at most.
-ROWS_PER_LANGUAGE, LANGUAGES = 600, 200
-#: Share of right predictions on the rows kept aside that may be rejected.
-REJECTED = 0.001
+#: Labelled rows of each language that the model is fitted on at most, and of all; many languages have fewer each, but
+#: one at least.
+ROWS_PER_LANGUAGE, ROWS = 600, 60_000
+#: Share of right predictions on the rows kept aside that may be rejected, and how much of the margin that they reach is
+#: asked of other texts.
+REJECTED, LENIENT = 0.001, 0.9
+#: Temperatures to choose from: rows that are told apart without error would choose ever lower ones.
+TEMPERATURES = 2.0 ** np.arange(-1, 3.1, 0.25)
 UNDETERMINED = "und"
 #: Lengths in code points that texts are held to one threshold below; stretches to train and to calibrate on.
 LENGTHS, STRETCHES, CALIBRATED = (20, 50, 150, 600), (12, 30, 80), (12, 30, 80, 300)
@@ -39,20 +45,25 @@ class Model:
     scores: np.ndarray  # bucket x language: embedding times softmax weights
     bias: np.ndarray
     temperature: float
-    thresholds: np.ndarray  # one for each range of lengths
+    thresholds: np.ndarray  # least margin for each range of lengths
+
+
+#: Blanks behind a text, of which only the first begins n-grams: none reaches into the next text.
+_GAP = max(ORDERS)
 
 
 def _means(texts: list[str], table: np.ndarray) -> np.ndarray:
     """Mean row of ``table`` over each text's n-grams."""
     out = np.zeros((len(texts), table.shape[1]), np.float64)
     for a, b in chunks(texts, 400_000):
-        data, starts = joined(texts[a:b], max(ORDERS))
+        data, starts = joined(texts[a:b], _GAP)
+        ends = starts[1:] - (_GAP - 1)
+        edges = np.stack([starts[:-1], ends], axis=1).ravel()
         for order in ORDERS:
             at = buckets(data, order, BITS)
-            # n-grams that begin in a text's own bytes; its trailing gap keeps it apart from the next text
             for k in range(table.shape[1]):
-                out[a:b, k] += np.add.reduceat(table[:, k][at], starts[:-1], dtype=np.float64)
-        out[a:b] /= np.diff(starts)[:, None] * len(ORDERS)
+                out[a:b, k] += np.add.reduceat(np.append(table[:, k][at], np.float32(0)), edges, dtype=np.float64)[::2]
+        out[a:b] /= (ends - starts[:-1])[:, None] * len(ORDERS)
     return out
 
 
@@ -90,8 +101,8 @@ def fit(texts: list[str], languages: list[str], epochs: int = 4, seed: int = 1)
     weight = (len(label) / len(names) / counts).clip(0, 10).astype(np.float32)
     docs = []
     for t in x:
-        data, _ = joined([t], max(ORDERS))
-        ids = np.concatenate([buckets(data, o, BITS)[: len(data)] for o in ORDERS])
+        data, _ = joined([t], _GAP)
+        ids = np.concatenate([buckets(data, o, BITS)[: len(data) - _GAP + 1] for o in ORDERS])
         docs.append(np.unique(ids, return_counts=True))
     steps, total = 0, epochs * len(docs)
     for _ in range(epochs):
@@ -112,17 +123,24 @@ def fit(texts: list[str], languages: list[str], epochs: int = 4, seed: int = 1)
     model = Model(names, (table @ w).astype(np.float32), b, 1.0, np.zeros(len(LENGTHS) + 1))
     held, right = _pieces([texts[i] for i in aside], y[aside], rng, CALIBRATED)
     z = _logits(held, model)
-    fits = [(-np.log(_softmax(z / t)[np.arange(len(right)), right] + 1e-12).mean(), t) for t in 2.0 ** np.arange(-5, 3.1, 0.25)]
+    fits = [(-np.log(_softmax(z / t)[np.arange(len(right)), right] + 1e-12).mean(), t) for t in TEMPERATURES]
     model.temperature = float(min(fits)[1])
-    p = _softmax(z / model.temperature)
-    right_ones, at = p.argmax(axis=1) == right, _lengths(held)
+    margin, right_ones, at = _margins(z), z.argmax(axis=1) == right, _lengths(held)
     for k in range(len(LENGTHS) + 1 if len(names) > 1 else 0):
-        good = p.max(axis=1)[right_ones & (at == k)]
+        good = margin[right_ones & (at == k)]
         # no row of this length: as strict as for the next shorter
-        model.thresholds[k] = np.quantile(good, REJECTED) if len(good) else model.thresholds[k - 1] if k else 0.0
+        model.thresholds[k] = LENIENT * np.quantile(good, REJECTED) if len(good) else model.thresholds[k - 1] if k else 0.0
     return model
 
 
+def _margins(z: np.ndarray) -> np.ndarray:
+    """How far the first language is ahead of the second (of one language alone: without end)."""
+    if z.shape[1] < 2:
+        return np.full(len(z), np.inf)
+    two = np.partition(z, -2, axis=1)
+    return two[:, -1] - two[:, -2]
+
+
 def _lengths(texts: list[str | None]) -> np.ndarray:
     """The range of lengths that each text is in."""
     return np.searchsorted(LENGTHS, [len(t or "") for t in texts], side="right")
@@ -132,15 +150,18 @@ def _logits(texts: list[str], model: Model) -> np.ndarray:
     return _means(texts, model.scores) + model.bias
 
 
-def labelled_sample(rows: DataFrame, label: str, per_label: int, labels: int) -> DataFrame:
-    """At most about ``per_label`` rows of each value of ``label``, chosen by a hash of doc_id, so that neither one
-    label nor a partition counts more than others; ``labels`` values at most, the most frequent ones."""
-    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), label).limit(labels).collect()
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r[label], min(1.0, per_label / r["n"]))]) if counts else None
-    if share is None:
+def labelled_sample(rows: DataFrame, label: str, per_label: int, most: int) -> DataFrame:
+    """At most ``per_label`` rows of each value of ``label``, and at most about ``most`` of all (one of each value at
+    least), chosen by a hash of doc_id, so that neither one label nor a partition counts more than others."""
+    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()  # a row a label
+    if not counts:
         return rows.limit(0)
-    chance = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return rows.filter(chance < F.coalesce(share[F.col(label)], F.lit(0.0))).limit(2 * per_label * len(counts))
+    each = max(1, min(per_label, most // len(counts)))
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r[label], min(1.0, (2 * each + 50) / r["n"]))])
+    lot = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30))
+    few = rows.withColumn("_lot", lot).filter(F.col("_lot") / F.lit(float(1 << 30)) < share[F.col(label)])
+    first = F.row_number().over(Window.partitionBy(label).orderBy("_lot", "doc_id"))
+    return few.withColumn("_first", first).filter(F.col("_first") <= each).drop("_lot", "_first")
 
 
 def fold(id_: Column, parts: int) -> Column:
@@ -149,10 +170,12 @@ def fold(id_: Column, parts: int) -> Column:
 
 
 def fit_on(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """Fit on the rows of ``docs`` that have a text and a language and are not held out (remainder 1 of 3)."""
+    """Fit on the rows of ``docs`` that have a text and a language and are not held out (remainder 1 of 3): a sample of
+    at most ``per_language`` rows of each language. Rows without an id are left out, rows that share one count each; a table
+    without labelled rows gives None."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), 3) != 1))
-    found = sorted(labelled_sample(rows, "lang", per_language, LANGUAGES).select("doc_id", "lang", "text").collect())
+    found = sorted(labelled_sample(rows, "lang", per_language, ROWS).select("doc_id", "lang", "text").collect())
     return fit([r["text"] for r in found], [r["lang"] for r in found])
 
 
@@ -160,19 +183,20 @@ def predictions(texts: list[str | None], model: Model | None) -> tuple[list[str]
     """Language, score and whether the text is rejected, for each text."""
     if model is None or not texts:
         return [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-    p = _softmax(_logits(texts, model) / model.temperature)
+    z = _logits(texts, model)
+    p = _softmax(z / model.temperature)
     blank = np.array([not t or not any(c.isalpha() for c in t) for t in texts], bool)
     score = np.where(blank, 0.0, p.max(axis=1))
     names = [UNDETERMINED if x else model.languages[k] for x, k in zip(blank.tolist(), p.argmax(axis=1).tolist(), strict=True)]
-    return names, score, blank | (score < model.thresholds[_lengths(texts)])
+    return names, score, blank | (_margins(z) < model.thresholds[_lengths(texts)])
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, lang_pred, score, rejected`` for every row of ``docs``, from its whole text alone.
 
     A null text or one without a letter is ``und``, scored 0 and rejected, and so is every text without a model (no
-    labelled row to learn from); a text whose score is below the threshold calibrated for its length keeps its prediction and is
-    marked as rejected. Repeated rows are predicted each for itself, a null id is never held out, other columns are
+    labelled row to learn from); a text whose margin is below the threshold calibrated for its length keeps its prediction
+    and is marked as rejected. Repeated rows are predicted each for itself, a null id is never held out, other columns are
     ignored, an empty table gives an empty result.
     """
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(fold(F.col(id_col), 3) == 1, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
@@ -190,7 +214,8 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 
 
 def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that the model doesn't reject."""
+    """The rows of ``docs``, with all their columns, that the model doesn't reject. Null texts and those without a letter
+    are rejected, all texts where there is no model; repeated rows are judged each for itself."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

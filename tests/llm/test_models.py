@@ -219,13 +219,21 @@ def test_surrogate_hints_cover_the_pattern():
     assert all(pii._folded(chr(c)) in {pii._folded(x) for x in letters} for c in range(0x110000) if same.match(chr(c)))
 
 
-def test_language_rejects_what_was_not_learned(docs):
+@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("unknown", ["de", "es", "fr", "en"])
+def test_language_rejects_what_was_not_learned(docs, unknown, seed):
     """Whole texts of a language left out of the fit and random letters are rejected, held-out rows are not."""
     rows = [(r["text"], r["lang"], zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in docs.collect() if r["text"] and len(r["text"]) >= 150]
-    seen = [(t, x) for t, x, held in rows if x != "de" and not held]
-    model = langid.fit(*map(list, zip(*seen, strict=True)))
+    seen = [(t, x) for t, x, held in rows if x != unknown and not held]
+    model = langid.fit(*map(list, zip(*seen, strict=True)), seed=seed)
     rng = np.random.default_rng(3)
     junk = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz     "), n)) for n in (200, 800, 3000) for _ in range(30)]
     share = lambda texts: langid.predictions(texts, model)[2].mean()
-    assert share([t for t, x, held in rows if x != "de" and held]) <= 0.02
-    assert share([t for t, x, _ in rows if x == "de"]) > 0.9 and share(junk) > 0.9
+    assert share([t for t, x, held in rows if x != unknown and held]) <= 0.03
+    assert share([t for t, x, _ in rows if x == unknown]) > 0.9 and share(junk) > 0.9
+
+
+def test_labelled_sample_is_bounded_and_takes_every_label(spark):
+    rows = spark.createDataFrame([(i, f"l{i % 40}") for i in range(4000)] + [(i, "hot") for i in range(9000, 12000)], "doc_id long, lang string")
+    found = langid.labelled_sample(rows, "lang", 20, 410).groupBy("lang").count().collect()
+    assert len(found) == 41 and all(1 <= r["count"] <= 10 for r in found)
