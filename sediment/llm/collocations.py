@@ -11,11 +11,12 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,8 +31,9 @@ WORDS, SEEN, COVERED = 4, 30, 80
 RANKED = 200_000
 #: Occurrences of a pivot that one part has at most.
 PART = 200_000
-#: Characters that are split at once, tokens that are handled at once, and counts that a task keeps before it emits them.
-CHARS, TOKENS, KEPT = 1_000_000, 200_000, 200_000
+#: Characters that are split at once, tokens that are handled at once, counts that a task keeps before it emits them, and
+#: fragments that are mined at once (those of one pivot's part always are).
+CHARS, TOKENS, KEPT, MINED = 1_000_000, 200_000, 200_000, 100_000
 _TOKEN, _BOUND = re.compile(r"[.,;:!?\x0A-\x0D]|[^\x20\x09.,;:!?\x0A-\x0D]+"), re.compile(r"[\x20\x09.,;:!?\x0A-\x0D]")
 _ENDS = frozenset(".,;:!?\n\x0b\x0c\r")
 #: The rank of what no phrase goes across.
@@ -55,14 +57,15 @@ def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes | None]]]:
     yield from texts.items()
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str, Counter] = {}
+def _emitted(held: dict[str, Counter], *names: str) -> Iterator[pa.RecordBatch]:
+    """What is held, by language, which is empty from then on."""
+    for lang, counts in held.items():
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["lang", *names])
+    held.clear()
 
-    def emit() -> Iterator[pa.RecordBatch]:
-        for lang, words in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["lang", "phrase", "f"])
-        held.clear()
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[str, Counter] = {}
     for batch in batches:
         for part in slices(batch):
             for lang, texts in _by_lang(part):
@@ -73,8 +76,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for end in _ENDS:
                     words.pop(end, None)
             if sum(map(len, held.values())) > KEPT:
-                yield from emit()
-    yield from emit()
+                yield from _emitted(held, "phrase", "f")
+    yield from _emitted(held, "phrase", "f")
 
 
 def _windows(texts: list[bytes | None]) -> Iterator[tuple[list[str], int, int]]:
@@ -110,32 +113,13 @@ def _around(ranks: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.nd
     return at, left[at], right[at]
 
 
-_FRAGMENT = "lang string, pivot string, part int, parts int, before int, words string, n long"
-
-
-def _fragments(order: dict[str, dict[str, int]], whole: bool, parts: list[int], rest: int):
-    """Tasks that rewrite texts into fragments. ``order``: by language, the ranks of words; ``whole``: no other word is
-    frequent; ``parts``: by rank, the parts of the first pivots; ``rest``: of those without a rank."""
+def _fragments(order: dict[str, dict[str, int]], whole: bool):
+    """Tasks that rewrite texts into fragments, as ``lang, key, n``: the key is the number of words before the pivot and
+    the words. ``order``: by language, the ranks of words; ``whole``: no other word is frequent."""
     digits = [str(k) for k in range(WORDS)]
-    names = [c.split()[0] for c in _FRAGMENT.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = {}
-
-        def emit() -> Iterator[pa.RecordBatch]:
-            for lang, found in held.items():
-                ranks, rows = order.get(lang, {}), []
-                for key, n in found.items():
-                    before, words = int(key[0]), key[1:]
-                    pivot = words.split(" ")[before]
-                    rank = ranks.get(pivot)
-                    split = rest if rank is None else parts[rank] if rank < len(parts) else 1
-                    rows.append((lang, pivot, zlib.crc32(words.encode()) % split if split > 1 else 0, split, before, words, n))
-                if rows:
-                    kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-            held.clear()
-
         for batch in batches:
             for part in slices(batch):
                 for lang, texts in _by_lang(part):
@@ -148,45 +132,106 @@ def _fragments(order: dict[str, dict[str, int]], whole: bool, parts: list[int],
                         at, left, right = _around(np.array(placed, np.int64), first, last)
                         found.update([digits[b] + " ".join(tokens[i - b : i + a + 1]) for i, b, a in zip(at.tolist(), left.tolist(), right.tolist(), strict=True)])
                 if sum(map(len, held.values())) > KEPT:
-                    yield from emit()
-        yield from emit()
+                    yield from _emitted(held, "key", "n")
+        yield from _emitted(held, "key", "n")
 
     return run
 
 
-def _mined(seen: int):
-    """Tasks that count the n-grams of several words which contain the pivot, for each pivot and part in order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, split, found = None, 1, Counter()
+def _pairs(flat: list[str], sizes: list[int], before: list[int], n: list[int]) -> tuple[dict[str, int], list, list]:
+    """Counts of the two-word phrases with the pivot, and those of each fragment to its left and right (None: none)."""
+    counts: dict[str, int] = defaultdict(int)
+    lefts, rights, at = [], [], 0
+    for size, b, k in zip(sizes, before, n, strict=True):
+        p = at + b
+        left = flat[p - 1] + " " + flat[p] if b else None
+        right = flat[p] + " " + flat[p + 1] if b + 1 < size else None
+        if left:
+            counts[left] += k
+        if right:
+            counts[right] += k
+        lefts.append(left)
+        rights.append(right)
+        at += size
+    return counts, lefts, rights
+
+
+def _mine(words: list[str], before: list[int], n: list[int], least: int) -> dict[str, int]:
+    """Counts of the phrases with the pivot that occur ``least`` times or more in the fragments. A phrase is looked for
+    only where the shorter ones with the pivot inside it do."""
+    flat, sizes = " ".join(words).split(" "), [w.count(" ") + 1 for w in words]
+    two, lefts, rights = _pairs(flat, sizes, before, n)
+    three: dict[str, int] = defaultdict(int)
+    open_, at = [], 0
+    for size, b, k, left, right in zip(sizes, before, n, lefts, rights, strict=True):
+        p, end = at + b, at + size
+        has_left, has_right = left is not None and two[left] >= least, right is not None and two[right] >= least
+        if has_left or has_right:
+            ll = flat[p - 2] + " " + left if has_left and b > 1 else None
+            lr = left + " " + flat[p + 1] if has_left and has_right else None
+            rr = right + " " + flat[p + 2] if has_right and p + 2 < end else None
+            for phrase in (ll, lr, rr):
+                if phrase:
+                    three[phrase] += k
+            if ll or lr or rr:
+                open_.append((p, end, b, k, ll, lr, rr))
+        at = end
+    four: dict[str, int] = defaultdict(int)
+    for p, end, b, k, ll, lr, rr in open_:
+        ll, lr, rr = (x if x and three[x] >= least else None for x in (ll, lr, rr))
+        if ll and b > 2:
+            four[flat[p - 3] + " " + ll] += k
+        if ll and lr:
+            four[ll + " " + flat[p + 1]] += k
+        if lr and rr:
+            four[lr + " " + flat[p + 2]] += k
+        if rr and p + 3 < end:
+            four[rr + " " + flat[p + 3]] += k
+    return {p: k for counts in (two, three, four) for p, k in counts.items() if k >= least}
 
-        def emit() -> list[tuple[str, str, int]]:
-            return [(now[0], p, n) for p, n in found.items() if split > 1 or n >= seen]
 
-        def packed(rows: list[tuple[str, str, int]]) -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], ["lang", "phrase", "f"])
+def _mined(seen: int):
+    """Tasks that count the phrases of several words which contain the pivot. Fragments come in the order of their pivots;
+    those of several pivots are counted at once, those of one never apart, but for the parts of a large one (``split``),
+    whose counts are all given on."""
+
+    def counted(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        lang = table.column("lang")
+        edges = [0, *_changes(lang), table.num_rows]
+        for a, b in zip(edges, edges[1:], strict=False):
+            name, found = lang[a].as_py(), {}
+            for split, least in ((False, seen), (True, 1)):
+                own = table.slice(a, b - a).filter(pc.equal(table.column("split").slice(a, b - a), split))
+                if own.num_rows:
+                    found |= _mine(*(own.column(c).to_pylist() for c in ("words", "before", "n")), least)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "phrase", "f"])
 
-        out: list[tuple[str, str, int]] = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
         for batch in batches:
-            for lang, pivot, part, parts, before, fragment, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (lang, pivot, part) != now:
-                    out += emit() if now else []
-                    now, split, found = (lang, pivot, part), parts, Counter()
-                words = fragment.split(" ")
-                for a in range(max(0, before - WORDS + 1), before + 1):
-                    for b in range(max(before, a + 1) + 1, min(len(words), a + WORDS) + 1):
-                        found[" ".join(words[a:b])] += n
-            if len(out) > KEPT:
-                yield packed(out)
-                out = []
-        out += emit() if now else []
-        if out:
-            yield packed(out)
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= MINED:
+                table = pa.Table.from_batches(held)
+                ends = _changes(table.column("pivot"))
+                if ends:
+                    yield from counted(table.slice(0, ends[-1]))
+                    held = table.slice(ends[-1]).to_batches()
+                    rows = table.num_rows - ends[-1]
+        if rows:
+            yield from counted(pa.Table.from_batches(held))
 
     return run
 
 
+def _changes(column: pa.ChunkedArray) -> list[int]:
+    """Places whose value is another than the one before."""
+    if len(column) < 2:
+        return []
+    return [i + 1 for i in np.flatnonzero(pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy()).tolist()]
+
+
 def frequent_phrases(docs: DataFrame, seen: int = SEEN, ranked: int = RANKED, part: int = PART, lang_col: str = "lang", text_col: str = "text", cut=written) -> tuple[DataFrame, DataFrame]:
     """``lang, phrase, f`` of all phrases of one to WORDS words with ``seen`` occurrences or more, and ``lang, n``: the
     occurrences of all words. A null language is ``und``, a null text empty."""
@@ -202,10 +247,14 @@ def frequent_phrases(docs: DataFrame, seen: int = SEEN, ranked: int = RANKED, pa
         order.setdefault(row["lang"], {})[row["phrase"]] = rank
     every = words.agg(F.sum("f")).first()[0] or 0
     share = max(1, min(part, every // (8 * shuffle_partitions(spark))))
-    parts = [-(-row["f"] // share) for row in top if row["f"] > share]
-    rest = 1 if whole or not top else -(-top[-1]["f"] // share)
-    found = chosen.mapInArrow(_fragments(order, whole, parts, rest), _FRAGMENT)
-    dealt = found.repartition("lang", "pivot", "part").sortWithinPartitions("lang", "pivot", "part")
+    # every word with more occurrences than a part: at most 8 a shuffle partition, or one for ``part`` occurrences
+    large = single.filter(F.col("f") > share).select("lang", F.col("phrase").alias("pivot"), F.ceil(F.col("f") / F.lit(share)).cast("int").alias("parts"))
+    before, text = F.substring("key", 1, 1).cast("int"), F.expr("substring(key, 2)")
+    found = chosen.mapInArrow(_fragments(order, whole), "lang string, key string, n long").select("lang", before.alias("before"), text.alias("words"), "n")
+    found = found.withColumn("pivot", F.expr("substring_index(substring_index(words, ' ', before + 1), ' ', -1)"))
+    found = found.join(F.broadcast(large) if large.count() <= 16 * shuffle_partitions(spark) else large, ["lang", "pivot"], "left")
+    found = found.withColumn("part", F.coalesce(F.pmod(F.xxhash64("words"), F.col("parts")), F.lit(0))).withColumn("split", F.col("parts").isNotNull())
+    dealt = found.repartition("lang", "pivot", "part").sortWithinPartitions("lang", "pivot").select("lang", "pivot", "split", "before", "words", "n")
     several = dealt.mapInArrow(_mined(seen), "lang string, phrase string, f long")
     several = several.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= seen)
     return cut(single.select("lang", "phrase", "f").unionByName(several), "phrases"), totals
