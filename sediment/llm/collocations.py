@@ -13,6 +13,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -34,19 +35,20 @@ PART = 200_000
 #: Characters that are split at once, tokens that are handled at once, counts that a task keeps before it emits them, and
 #: fragments that are mined at once (those of one pivot's part always are).
 CHARS, TOKENS, KEPT, MINED = 1_000_000, 200_000, 200_000, 100_000
+_ONLY_WORDS = re.compile(r"[^\x20\x09.,;:!?\x0A-\x0D]+")
 _TOKEN, _BOUND = re.compile(r"[.,;:!?\x0A-\x0D]|[^\x20\x09.,;:!?\x0A-\x0D]+"), re.compile(r"[\x20\x09.,;:!?\x0A-\x0D]")
 _ENDS = frozenset(".,;:!?\n\x0b\x0c\r")
 #: The rank of what no phrase goes across.
 _STOP = np.int64(2**62)
 
 
-def _tokens(data: bytes | None) -> Iterator[list[str]]:
-    """A text's words and the ends of its pieces, in lists of about CHARS characters, A-Z as a-z."""
+def _tokens(data: bytes | None, kind: re.Pattern = _TOKEN) -> Iterator[list[str]]:
+    """A text's words and the ends of its pieces (or words alone), in lists of about CHARS characters, A-Z as a-z."""
     text, at = (data or b"").lower().decode("utf-8", "replace"), 0
     while at < len(text):
         end = _BOUND.search(text, min(len(text), at + CHARS))
         stop = end.start() if end else len(text)
-        yield _TOKEN.findall(text, at, stop)
+        yield kind.findall(text, at, stop)
         at = stop
 
 
@@ -71,10 +73,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for lang, texts in _by_lang(part):
                 words = held.setdefault(lang, Counter())
                 for text in texts:
-                    for tokens in _tokens(text):
+                    for tokens in _tokens(text, _ONLY_WORDS):
                         words.update(tokens)
-                for end in _ENDS:
-                    words.pop(end, None)
             if sum(map(len, held.values())) > KEPT:
                 yield from _emitted(held, "phrase", "f")
     yield from _emitted(held, "phrase", "f")
@@ -138,44 +138,38 @@ def _fragments(order: dict[str, dict[str, int]], whole: bool):
     return run
 
 
-def _pairs(flat: list[str], sizes: list[int], before: list[int], n: list[int]) -> tuple[dict[str, int], list, list]:
-    """Counts of the two-word phrases with the pivot, and those of each fragment to its left and right (None: none)."""
-    counts: dict[str, int] = defaultdict(int)
-    lefts, rights, at = [], [], 0
-    for size, b, k in zip(sizes, before, n, strict=True):
-        p = at + b
-        left = flat[p - 1] + " " + flat[p] if b else None
-        right = flat[p] + " " + flat[p + 1] if b + 1 < size else None
-        if left:
-            counts[left] += k
-        if right:
-            counts[right] += k
-        lefts.append(left)
-        rights.append(right)
-        at += size
-    return counts, lefts, rights
+def _weighed(keys: list[str | None], n: list[int]) -> Counter:
+    """Sums of ``n`` by key; most are 1."""
+    found = Counter(keys)
+    for key, k in zip(keys, n, strict=True):
+        if k > 1:
+            found[key] += k - 1
+    del found[None]
+    return found
 
 
 def _mine(words: list[str], before: list[int], n: list[int], least: int) -> dict[str, int]:
     """Counts of the phrases with the pivot that occur ``least`` times or more in the fragments. A phrase is looked for
     only where the shorter ones with the pivot inside it do."""
     flat, sizes = " ".join(words).split(" "), [w.count(" ") + 1 for w in words]
-    two, lefts, rights = _pairs(flat, sizes, before, n)
+    ends = list(accumulate(sizes))
+    places = [e - s + b for e, s, b in zip(ends, sizes, before, strict=True)]
+    lefts = [flat[p - 1] + " " + flat[p] if b else None for p, b in zip(places, before, strict=True)]
+    rights = [flat[p] + " " + flat[p + 1] if p + 1 < e else None for p, e in zip(places, ends, strict=True)]
+    two = {p: k for side in (lefts, rights) for p, k in _weighed(side, n).items() if k >= least}  # a pair has its pivot on one side
     three: dict[str, int] = defaultdict(int)
-    open_, at = [], 0
-    for size, b, k, left, right in zip(sizes, before, n, lefts, rights, strict=True):
-        p, end = at + b, at + size
-        has_left, has_right = left is not None and two[left] >= least, right is not None and two[right] >= least
-        if has_left or has_right:
-            ll = flat[p - 2] + " " + left if has_left and b > 1 else None
-            lr = left + " " + flat[p + 1] if has_left and has_right else None
-            rr = right + " " + flat[p + 2] if has_right and p + 2 < end else None
-            for phrase in (ll, lr, rr):
-                if phrase:
-                    three[phrase] += k
-            if ll or lr or rr:
-                open_.append((p, end, b, k, ll, lr, rr))
-        at = end
+    open_ = []
+    for i in [i for i, (x, y) in enumerate(zip(lefts, rights, strict=True)) if x in two or y in two]:
+        p, end, b, k, left, right = places[i], ends[i], before[i], n[i], lefts[i], rights[i]
+        left, right = left if left in two else None, right if right in two else None
+        ll = flat[p - 2] + " " + left if left and b > 1 else None
+        lr = left + " " + flat[p + 1] if left and right else None
+        rr = right + " " + flat[p + 2] if right and p + 2 < end else None
+        for phrase in (ll, lr, rr):
+            if phrase:
+                three[phrase] += k
+        if ll or lr or rr:
+            open_.append((p, end, b, k, ll, lr, rr))
     four: dict[str, int] = defaultdict(int)
     for p, end, b, k, ll, lr, rr in open_:
         ll, lr, rr = (x if x and three[x] >= least else None for x in (ll, lr, rr))
@@ -187,7 +181,7 @@ def _mine(words: list[str], before: list[int], n: list[int], least: int) -> dict
             four[lr + " " + flat[p + 2]] += k
         if rr and p + 3 < end:
             four[rr + " " + flat[p + 3]] += k
-    return {p: k for counts in (two, three, four) for p, k in counts.items() if k >= least}
+    return two | {p: k for counts in (three, four) for p, k in counts.items() if k >= least}
 
 
 def _mined(seen: int):
@@ -196,15 +190,13 @@ def _mined(seen: int):
     whose counts are all given on."""
 
     def counted(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        lang = table.column("lang")
-        edges = [0, *_changes(lang), table.num_rows]
-        for a, b in zip(edges, edges[1:], strict=False):
-            name, found = lang[a].as_py(), {}
+        for lang in table.column("lang").unique():
+            of_lang, found = table.filter(pc.equal(table.column("lang"), lang)), {}
             for split, least in ((False, seen), (True, 1)):
-                own = table.slice(a, b - a).filter(pc.equal(table.column("split").slice(a, b - a), split))
+                own = of_lang.filter(pc.equal(of_lang.column("split"), split))
                 if own.num_rows:
                     found |= _mine(*(own.column(c).to_pylist() for c in ("words", "before", "n")), least)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "phrase", "f"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()] * len(found), pa.string()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "phrase", "f"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -254,7 +246,7 @@ def frequent_phrases(docs: DataFrame, seen: int = SEEN, ranked: int = RANKED, pa
     found = found.withColumn("pivot", F.expr("substring_index(substring_index(words, ' ', before + 1), ' ', -1)"))
     found = found.join(F.broadcast(large) if large.count() <= 16 * shuffle_partitions(spark) else large, ["lang", "pivot"], "left")
     found = found.withColumn("part", F.coalesce(F.pmod(F.xxhash64("words"), F.col("parts")), F.lit(0))).withColumn("split", F.col("parts").isNotNull())
-    dealt = found.repartition("lang", "pivot", "part").sortWithinPartitions("lang", "pivot").select("lang", "pivot", "split", "before", "words", "n")
+    dealt = found.repartition("lang", "pivot", "part").sortWithinPartitions("pivot", "lang").select("lang", "pivot", "split", "before", "words", "n")
     several = dealt.mapInArrow(_mined(seen), "lang string, phrase string, f long")
     several = several.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= seen)
     return cut(single.select("lang", "phrase", "f").unionByName(several), "phrases"), totals
