@@ -1,151 +1,397 @@
-"""Classes and their members in brace languages, from lines and their depth.
+"""Classes and their members: of brace languages from their statements (``tokens``), of Python by its own parser.
 
-A line's depth is the running balance of braces above it; it belongs to the last header one level up. Strings and
-comments are blanked first. Python is read by its own parser.
+A declaration is one statement, whatever lines it takes. Its tokens outside angle brackets, joined by blanks, are its flat
+form, in which generics of any depth are gone and a pair of brackets holds nothing; small patterns on it tell what is
+declared. The members of a class are the statements of its body's block. Types and parameters are cut from the source
+without comments.
 """
 
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
+import re
+from collections.abc import Iterator, Sequence
+from functools import cached_property, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from sediment.functions.text import group
-from sediment.operators.lines import explode_lines
+from sediment.operators.tokens import masked_files, nested, parts_of, statements, tokens
+from sediment.shared import delete, new_path
 
 SCHEMA = "path string, language string, module string, name string, bases array<string>, attributes array<string>, methods array<string>, is_interface boolean, line int"
-_MODIFIERS = r"(?:public|private|protected|internal|static|final|abstract|sealed|partial|readonly|async|override|virtual|export|default|declare|non-sealed|strictfp|pub(?:\([^)]*\))?|const|var|unsafe)"
-#: By language: extensions, header (kind, name, bases), method (name, parameters), field (name or type, type or name).
-LANGUAGES: dict[str, dict] = {
-    "java": {
-        "ext": (".java",),
-        "header": rf"^\s*(?:@\w+(?:\([^)]*\))?\s*)*(?:{_MODIFIERS}\s+)*(class|interface|enum|record)\s+(\w+)(?:<[^{{]*?>)?\s*(?:\([^)]*\))?\s*([^{{]*)",
-        "method": rf"^\s*(?:{_MODIFIERS}\s+)*(?:<[^>]+>\s*)?[\w<>\[\],.? ]+\s(\w+)\s*\(([^)]*)\)\s*(?:throws [^{{;]+)?[{{;]",
-        "field": rf"^\s*(?:{_MODIFIERS}\s+)*([\w<>\[\],.?]+(?: *<[^=;]*>)?)\s+(\w+)\s*(?:=.*)?;",
-    },
-    "csharp": {
-        "ext": (".cs",),
-        "header": rf"^\s*(?:\[[^\]]*\]\s*)*(?:{_MODIFIERS}\s+)*(class|interface|enum|record(?:\s+struct)?|struct)\s+(\w+)(?:<[^{{]*?>)?\s*(?:\([^)]*\))?\s*([^{{]*)",
-        "method": rf"^\s*(?:{_MODIFIERS}\s+)*[\w<>\[\],.? ]+\s(\w+)\s*\(([^)]*)\)\s*(?:[{{;]|=>|$)",
-        "field": rf"^\s*(?:{_MODIFIERS}\s+)*([\w<>\[\],.?]+)\s+(\w+)\s*(?:\{{\s*get|=|;)",
-    },
-    "php": {
-        "ext": (".php",),
-        "header": rf"^\s*(?:{_MODIFIERS}\s+)*(class|interface|trait|enum)\s+(\w+)\s*([^{{]*)",
-        "method": rf"^\s*(?:{_MODIFIERS}\s+)*function\s+(\w+)\s*\(([^)]*)\)",
-        "field": rf"^\s*(?:{_MODIFIERS}\s+)+([\w?|&\\()]+)\s+(\$\w+)",
-    },
-    "script": {
-        "ext": (".js", ".jsx", ".ts", ".tsx", ".mjs"),
-        "header": rf"^\s*(?:@\w+\([^)]*\)\s*)*(?:{_MODIFIERS}\s+)*(class|interface|enum)\s+(\w+)(?:<[^{{]*?>)?\s*([^{{]*)",
-        "method": rf"^\s*(?:@\w+\([^)]*\)\s*)*(?:{_MODIFIERS}\s+)*(?!if|for|while|switch|return|catch|function)(\w+)\s*\(([^)]*)\)\s*(?::\s*[^{{;]+)?[{{;]",
-        "field": rf"^\s*(?:@\w+\([^)]*\)\s*)*(?:{_MODIFIERS}\s+)*(\w+)[?!]?\s*:\s*([^=;,]+)",
-    },
-    "go": {
-        "ext": (".go",),
-        "header": r"^\s*type\s+\w+\s+(struct|interface)()()\s*\{",
-        "named": r"^\s*type\s+(\w+)\s+(?:struct|interface)",
-        "method": r"^\s*(\w+)\(([^)]*)\)",
-        "field": r"^\s*(\w+)\s+([\w*\[\].]+)",
-    },
-    "rust": {
-        "ext": (".rs",),
-        "header": r"^\s*(?:pub(?:\([^)]*\))?\s+)?(struct|enum|trait|impl)(?:<[^>]*>)?\s+(?:[\w:<>, ]+\s+for\s+)?(\w+)()",
-        "method": r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|const\s+|unsafe\s+)*fn\s+(\w+)(?:<[^>]*>)?\s*\(([^)]*)\)",
-        "field": r"^\s*(?:pub(?:\([^)]*\))?\s+)?(\w+)\s*:\s*([^,]+),?",
-    },
+LANGUAGES = ("java", "csharp", "php", "script", "go", "rust")
+#: Words before a declaration that are no part of it.
+MODIFIERS = (
+    "public private protected internal static final abstract sealed partial readonly async override virtual export default declare non-sealed strictfp const var let unsafe"
+    " transient volatile synchronized native required extern new ref file accessor get set pub crate"
+).split()
+_MOD = "|".join(MODIFIERS)
+_LEAD = rf"^(?:@\S+(?: \( \))? |# \[ \] |\[ \] |non - sealed |(?:{_MOD}) (?:\( \) )?)*"
+#: By language: a class's head in its flat form: kind, name and what follows.
+_HEADS = {
+    "java": rf"{_LEAD}(class|interface|enum|record) (\w+)(?: \( \))?(.*)$",
+    "csharp": rf"{_LEAD}(class|interface|enum|record(?: struct| class)?|struct) (\w+)(?: \( \))?(.*)$",
+    "php": rf"{_LEAD}(class|interface|trait|enum) (\w+)(?: : \??\w+)?(.*)$",
+    "script": rf"{_LEAD}(class|interface|enum|type) (\w+)(.*)$",
+    "go": r"^(?:type )?(\w+)(?: \[ \])? (struct|interface)()$",
+    "rust": rf"{_LEAD}(struct|enum|trait|union) (\w+)(?: \( \))?(.*)$",
 }
+_IMPL = r"^(?:# \[ \] )*(?:unsafe )?impl (?:.* for )?(?:\w+ :: )*(\w+)(?: where .*)?$"
+_HANDLERS = ("GET", "POST", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS")
+#: Script functions that stand as classes: components by their capital, handlers by their name.
+_FUNCTION = r"^(?:(?:export|default|async) )*function (?:\* )?([A-Z]\w*) \( \)"
+_ARROW = r"^(?:(?:export|default) )*(?:const|let|var) ([A-Z]\w*)(?: : .*?)? = (?:async )?(?:\( \)(?: : .*?)? =>|\w+ =>|function (?:\w+ )?\( \))"
 
 
-#: Source as strings, comments and what lies between.
-_TOKENS = r"""(?s)"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|`[^`]*+`|/\*.*?(?:\*/|\z)|//[^\n]*+|[^"'`/]++|."""
+def _texts(t: Column) -> Column:
+    return F.array_join(F.transform(F.filter(t, lambda x: (x["angle"] == 0) & ~((x["kind"] == "sign") & x["text"].isin("<", ">"))), lambda x: F.when(x["kind"] == "string", F.lit('""')).otherwise(x["text"])), " ")
 
 
-#: Members that stand among parameters: where (a header or a line within), the list, each member.
-PROMOTED = {
-    "java": ("header", r"\brecord\s+\w+(?:<[^{(]*>)?\s*\(([^)]*)\)", r"(?:@\w+\s+)*([\w<>\[\].]+\s+\w+)"),
-    "csharp": ("header", r"\b(?:class|struct|record)\s+\w+(?:<[^{(]*>)?\s*\(([^)]*)\)", r"([\w<>\[\].?]+\s+\w+)"),
-    "php": ("within", r"\b__construct\s*\(([^)]*)\)", r"(?:public|private|protected)\s+(?:readonly\s+)?([\w?|\\]+\s+\$\w+)"),
-    "script": ("within", r"\bconstructor\s*\(([^)]*)\)", r"(?:public|private|protected|readonly)\s+(?:readonly\s+)?(\w+\s*:\s*[\w<>\[\].]+)"),
-}
+def _first(t: Column, found) -> Column:
+    """Place (from 1) of the first token that ``found`` is true of, 0 if there is none."""
+    return F.array_position(F.transform(t, lambda x: F.coalesce(found(x), F.lit(False))), True).cast("int")
+
+
+def _is(x: Column, *signs: str) -> Column:
+    return (x["kind"] == "sign") & (x["angle"] == 0) & x["text"].isin(*signs)
+
+
+def declarations(files: DataFrame) -> DataFrame:
+    """The statements of all files in brace languages with ``flat``, the form before the first brace, semicolon or, of a
+    member, its value; ``body``, the brace block that they open (null: none)."""
+    rows = statements(nested(tokens(files)))
+    t = F.col("t")
+    brace = _first(t, lambda x: _is(x, "{"))
+    stop = _first(t, lambda x: _is(x, "{", ";"))
+    rows = rows.withColumn("stop", F.when(stop > 0, stop).otherwise(F.size(t) + 1)).withColumn("brace", brace)
+    return rows.withColumn("flat", _texts(F.slice(t, F.lit(1), F.col("stop") - 1))).withColumn("body", F.when(brace > 0, F.element_at(t, brace)["i"]))
+
+
+class Parsed:
+    """What the operators on brace languages share: the files, their statements and declared types, their bytes without
+    comments, and the annotated members of classes. Each is written to the shared folder at its first use, so that the many
+    plans that read it begin there."""
+
+    def __init__(self, files: DataFrame):
+        self.files, self.root = files, new_path(files.sparkSession, "parsed")
+
+    def _written(self, name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{self.root}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        return self._written("rows", declarations(self.files))
+
+    @cached_property
+    def source(self) -> DataFrame:
+        plain = masked_files(self.files, literals=False)
+        return self._written("source", plain.select("path", "language", F.col("content").cast("binary").alias("source")))
+
+    @cached_property
+    def heads(self) -> DataFrame:
+        return self._written("heads", _heads(self.rows))
+
+    @cached_property
+    def members(self) -> DataFrame:
+        return self._written("members", annotated_members(self.rows, self.heads, self.source.select("path", "source")))
+
+    def delete(self) -> None:
+        """Delete what was written; nothing that was made of it can be computed again."""
+        delete(self.files.sparkSession, self.root)
+
+
+def parsed(files: DataFrame | Parsed) -> Parsed:
+    """The files as they are parsed; what is parsed stays as it is."""
+    return files if isinstance(files, Parsed) else Parsed(files)
+
+
+def _one_of(text: Column, words: Sequence[str]) -> Column:
+    return text.rlike("^(?:" + "|".join(map(re.escape, words)) + ")$")
+
+
+def _module(path: Column) -> Column:
+    """The folder that a file lies in."""
+    folders = F.split(path, "/")
+    return F.coalesce(F.get(folders, F.size(folders) - 2), F.lit("Root"))
+
+
+def _cut(source: Column, a: Column, b: Column) -> Column:
+    """The source between two places in its bytes, in one line."""
+    return F.trim(F.regexp_replace(F.substring(source, a + 1, b - a).cast("string"), r"\s+", " "))
+
+
+def _heads(rows: DataFrame) -> DataFrame:
+    """``path, language, name, kind, rest, line, body, listed``: declared types; ``listed`` is the block of the parameters
+    in the head."""
+    flat, language = F.col("flat"), F.col("language")
+    which = lambda k: reduce(lambda out, x: F.when(language == x, F.regexp_extract(flat, _HEADS[x], k)).otherwise(out), LANGUAGES, F.lit(""))
+    go = language == "go"
+    # types of a Go group stand without their word in the group's block
+    groups = rows.filter(go & (flat == "type ( )")).select("path", F.element_at("t", 2)["i"].alias("block"), F.lit(True).alias("_grouped"))
+    found = rows.join(groups, ["path", "block"], "left").filter(~go | flat.startswith("type ") | F.col("_grouped"))
+    kind, name = F.when(go, which(2)).otherwise(which(1)), F.when(go, which(1)).otherwise(which(2))
+    paren = _first(F.col("t"), lambda x: _is(x, "("))
+    named = _first(F.col("t"), lambda x: (x["text"] == F.col("name")) & (x["kind"] == "word"))
+    # the first list behind the name and its generics
+    behind = F.slice("t", F.col("at_name") + 1, F.size("t"))
+    listed = F.filter(F.transform(behind, lambda x: F.when(_is(x, "("), x["i"])), lambda i: i.isNotNull())
+    found = found.withColumns({"name": name, "kind": kind, "rest": which(3)}).filter("name <> ''").withColumn("at_name", named)
+    typed = (F.col("kind") == "type") & ~F.col("rest").rlike("^ =")
+    found = found.filter(~typed & (F.col("body").isNotNull() | F.col("kind").isin("record", "record struct", "record class", "type") | language.isin("rust", "csharp")))
+    head_list = F.when((F.col("kind") != "type") & F.col("flat").contains(" ( )") & (paren > 0) & (language != "php"), F.get(listed, F.lit(0)))
+    # the list must stand in the head, not in the body's statement
+    return found.select("path", "language", "name", "kind", "rest", F.element_at("t", F.greatest("at_name", F.lit(1)))["line"].alias("line"), "body", F.when(F.col("flat").rlike(r"\w \( \)"), head_list).alias("listed"))
+
+
+def _bases(rest: Column) -> Column:
+    """The names that a head extends, implements or lists behind a colon, without generics, arguments and conditions."""
+    plain = F.regexp_replace(F.regexp_replace(rest, r" (?:where|permits|throws) .*$|^ = ?.*$", ""), r" ?\( \)", "")
+    names = F.split(F.regexp_replace(plain, r"\b(?:extends|implements|with)\b|(?<!:):(?!:)", ","), ",")
+    return F.filter(F.transform(names, lambda b: F.regexp_replace(b, " ", "")), lambda b: b.rlike(r"^[\w\\.]+$"))
+
+
+def brace_classes(files: DataFrame | Parsed, language: str | None = None) -> DataFrame:
+    """Classes (see SCHEMA) of the brace languages, or of one; Rust's impl blocks and Go's receivers join their types.
 
+    The module is the folder (``Root`` without one), or the namespace that a C# or PHP file declares for all it holds.
+    Fields are written ``type name`` (``name: type`` in scripts and Rust), methods ``name(parameters)``, in Go and Rust
+    with what they return. A C# class lists its properties, a script's class also members without a type; components and
+    handlers of scripts stand as classes of one method.
+    """
+    of = parsed(files)
+    chosen = F.col("language").isin(*([language] if language else LANGUAGES))
+    rows, heads, source = of.rows.filter(chosen), of.heads.filter(chosen), of.source.select("path", "source")
+    spaces = rows.filter((F.col("block") == -1) & F.col("flat").rlike(r"^namespace ") & (F.col("language").isin("php") | (F.col("language") == "csharp") & F.col("body").isNull()))
+    spaces = spaces.groupBy("path").agg(F.first(F.regexp_replace(F.regexp_replace("flat", "^namespace ", ""), r" ?\. ?", ".")).alias("space"))
 
-def blanked(text: Column) -> Column:
-    """Source without comments; their line ends stay, so lines keep their numbers. What looks like a comment in a string
-    is none."""
-    tokens = F.regexp_extract_all(text, F.lit(_TOKENS), F.lit(0))
-    bare = F.transform(tokens, lambda t: F.when(t.startswith("/*"), F.regexp_replace(t, r"[^\n]+", "")).when(t.startswith("//"), "").otherwise(t))
-    return F.array_join(bare, "")
-
-
-def members(files: DataFrame, language: str) -> DataFrame:
-    """``path, line, text, kind, name, rest, owner_line``: headers (kind not null) and, below each, the lines one level
-    in, named after it; ``before`` is the line above. A file is one window, as it is one row of the source."""
-    spec = LANGUAGES[language]
-    rows = files.filter(F.col("ext").isin(*spec["ext"])).select("path", blanked(F.col("content")).alias("content"))
-    lines = explode_lines(rows).withColumn("bare", F.regexp_replace("text", r"""\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|`[^`]*`""", '""'))
-    opened = F.length(F.regexp_replace("bare", r"[^{]", "")) - F.length(F.regexp_replace("bare", r"[^}]", ""))
-    order = Window.partitionBy("path").orderBy("line")
-    lines = lines.withColumns({"depth": F.coalesce(F.sum(opened).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "before": F.lag("text").over(order)})
-    named = spec.get("named")
-    name = group(F.col("bare"), named, 1) if named else group(F.col("bare"), spec["header"], 2)
-    header = F.when(F.col("bare").rlike(spec["header"]), F.struct(F.regexp_extract("bare", spec["header"], 1).alias("kind"), name.alias("name"), F.regexp_extract("bare", spec["header"], 3).alias("rest"), F.col("line").alias("at")))
-    lines = lines.withColumn("header", header)
-    # headers stand at the level of their members, so that both meet in one window a level
-    heads = lines.filter("header is not null").select("path", (F.col("depth") + 1).alias("level"), "line", "text", "before", "header", F.lit(True).alias("is_header"))
-    inner = lines.select("path", F.col("depth").alias("level"), "line", "text", "before", F.lit(None).cast(heads.schema["header"].dataType).alias("header"), F.lit(False).alias("is_header"))
-    level = Window.partitionBy("path", "level").orderBy("line", F.desc("is_header"))
-    owned = heads.unionByName(inner).withColumn("owner", F.last("header", ignorenulls=True).over(level))
-    return owned.filter("owner is not null").select("path", "line", "text", "before", "is_header", "owner.kind", "owner.name", "owner.rest", F.col("owner.at").alias("owner_line"))
-
-
-def brace_classes(files: DataFrame, language: str) -> DataFrame:
-    """Classes (see SCHEMA) of one brace language; Rust's impl blocks and Go's receivers join their types."""
-    spec = LANGUAGES[language]
-    rows = members(files, language)
-    module = F.coalesce(F.nullif(F.element_at(F.split("path", "/"), -2), F.lit("")), F.lit("Root"))
-    text = F.col("text")
-    method = F.when(text.rlike(spec["method"]), F.concat(F.regexp_extract(text, spec["method"], 1), F.lit("("), F.regexp_extract(text, spec["method"], 2), F.lit(")")))
-    first, second = F.regexp_extract(text, spec["field"], 1), F.trim(F.regexp_extract(text, spec["field"], 2))
-    joined = F.concat(first, F.lit(": "), second) if language in ("script", "rust") else F.concat(second, F.lit(" "), first) if language == "go" else F.concat(first, F.lit(" "), second)
-    field = F.when(method.isNull() & text.rlike(spec["field"]) & ~first.isin("return", "package", "import", "throw", "case", "using", "else"), joined)
-    if language == "rust":
-        variant = group(text, r"^\s*([A-Z]\w*)\s*(?:[({].*)?,?\s*$", 1)
-        field = F.when(F.col("kind") == "enum", F.concat(F.lit("variant "), variant)).otherwise(field)
-    bases = F.filter(F.split(F.regexp_replace("rest", r"\b(extends|implements|permits|where.*)\b|[:<][^,>]*>?", ","), r"[,\s:]+"), lambda b: b.rlike(r"^[\w\\.]+$"))
-    if language in ("java", "csharp", "php", "script"):
-        bases = F.filter(F.split(F.regexp_replace(F.regexp_replace("rest", r"<[^>]*>", ""), r"\b(?:extends|implements|permits)\b|:", ","), r"[,\s]+"), lambda b: b.rlike(r"^[\w\\.]+$"))
-    at = F.struct("line", F.lit(0).alias("_"))
-    parts = rows.select("path", module.alias("module"), "name", F.when(F.col("is_header"), bases).alias("bases"), F.when(~F.col("is_header"), method).alias("method"), F.when(~F.col("is_header"), field).alias("field"), "kind", "line", "owner_line", at.alias("at"))
-    if language in PROMOTED:
-        # parameters that are members: of a record or primary constructor in its header, of a constructor by their modifier
-        where, listed, member = PROMOTED[language]
-        given = rows.filter(text.rlike(listed) & (F.col("is_header") == (where == "header")))
-        each = F.regexp_extract_all(F.regexp_extract(text, listed, 1), F.lit(member), F.lit(1))
-        none, strings = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
-        held = given.select("path", module.alias("module"), "name", "kind", "line", "owner_line", F.posexplode(each).alias("_at", "_field"))
-        parts = parts.unionByName(held.select("path", "module", "name", strings.alias("bases"), none.alias("method"), F.trim("_field").alias("field"), "kind", "line", "owner_line", F.struct("line", F.col("_at").alias("_")).alias("at")))
-    if language == "go":
-        receiver = r"^func\s+\(\s*\w*\s*\*?(\w+)[^)]*\)\s*(\w+)\s*(\([^)]*\).*?)\s*\{?\s*$"
-        lines = explode_lines(files.filter(F.col("ext") == ".go").select("path", blanked(F.col("content")).alias("content"))).filter(F.col("text").rlike(receiver))
-        got = lines.select("path", module.alias("module"), F.regexp_extract("text", receiver, 1).alias("name"), F.lit(None).cast("array<string>").alias("bases"), F.concat(F.regexp_extract("text", receiver, 2), F.regexp_extract("text", receiver, 3)).alias("method"), F.lit(None).cast("string").alias("field"), F.lit("struct").alias("kind"), "line", F.col("line").alias("owner_line"), F.struct("line", F.lit(0).alias("_")).alias("at"))
-        parts = parts.unionByName(got)
-    ordered = lambda c: F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("at", F.col(c).alias("v"))))), lambda x: x["v"]))
-    keys = ["module", "name"] if language in ("go", "rust") else ["path", "module", "name"]
-    firsts = [] if "path" in keys else [F.min("path").alias("path")]
-    out = parts.groupBy(*keys).agg(
-        *firsts,
+    owners = heads.filter("body is not null").select("path", "name", "kind", F.col("line").alias("owner_line"), F.col("body").alias("block"))
+    impls = rows.filter((F.col("language") == "rust") & F.col("flat").rlike(_IMPL)).select("path", F.regexp_extract("flat", _IMPL, 1).alias("name"), F.lit("impl").alias("kind"), F.element_at("t", 1)["line"].alias("owner_line"), F.col("body").alias("block"))
+    inner = rows.join(owners.unionByName(impls), ["path", "block"]).filter(~_declares())
+    members = inner.join(source, "path")
+    parts = _methods(members).unionByName(_fields(members)).unionByName(_listed(heads, rows, source)).unionByName(_receivers(rows, source)).unionByName(_functions(rows, source))
+    none, strings = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
+    found = heads.select("path", "language", "name", "kind", "line", _bases(F.col("rest")).alias("bases"), none.alias("field"), none.alias("method"), F.lit(-1).alias("at"))
+    found = found.unionByName(impls.select("path", F.lit("rust").alias("language"), "name", "kind", F.col("owner_line").alias("line"), strings.alias("bases"), none.alias("field"), none.alias("method"), F.lit(-1).alias("at")))
+    found = found.unionByName(parts.select("path", "language", "name", "kind", "line", strings.alias("bases"), "field", "method", "at"))
+    found = found.join(spaces, "path", "left").withColumn("module", F.coalesce("space", _module(F.col("path"))))
+    # one package's files make up a Go or Rust type together, other classes are their file's
+    own = F.when(~F.col("language").isin("go", "rust"), F.col("path"))
+    ordered = lambda c: F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("path", "at", F.col(c).alias("v"))))), lambda x: x["v"]))
+    out = found.groupBy("language", own.alias("own"), "module", "name").agg(
+        F.min("path").alias("path"),
         F.array_distinct(F.flatten(F.collect_list("bases"))).alias("bases"),
         ordered("field").alias("attributes"),
         ordered("method").alias("methods"),
         F.max(F.col("kind").isin("interface", "trait")).alias("is_interface"),
-        F.min("owner_line").alias("line"),
+        F.min("line").alias("line"),
     )
-    return out.select("path", F.lit(language).alias("language"), "module", "name", "bases", "attributes", "methods", "is_interface", "line")
+    return out.select("path", "language", "module", "name", "bases", "attributes", "methods", "is_interface", "line")
+
+
+def _declares() -> Column:
+    """Whether a statement declares a type of its own."""
+    flat, language = F.col("flat"), F.col("language")
+    return reduce(lambda out, x: out | (language == x) & flat.rlike(_HEADS[x]), [x for x in LANGUAGES if x != "go"], F.lit(False))
+
+
+def _signature(t: Column, at: Column, name: Column, suffix: Column) -> Column:
+    """``name(parameters)suffix`` of the list that opens at place ``at``."""
+    return F.concat(name, F.lit("("), _cut(F.col("source"), F.element_at(t, at)["until"], F.element_at(t, at + 1)["at"]), F.lit(")"), suffix)
+
+
+def _methods(members: DataFrame) -> DataFrame:
+    """The functions among the statements of a body: a list right behind a word or the generics of one, before any value."""
+    t, language = F.col("t"), F.col("language")
+    value = _first(t, lambda x: _is(x, "=", "=>", "{", ";"))
+    head = F.slice(t, F.lit(1), F.when(value > 0, value - 1).otherwise(F.size(t)))
+    called = lambda x, y: _is(x, "(") & ((y["kind"] == "word") & ~y["text"].startswith("@") & ~_one_of(y["text"], (*MODIFIERS, "if", "for", "while", "switch", "return", "catch", "case")) | (y["kind"] == "sign") & (y["text"] == ">") | (y["text"] == "?"))
+    # a list of an accessor word's own name (get(), set()) is a method of that name
+    own = lambda x, y, n: _is(x, "(") & y["text"].isin("get", "set", "new", "default", "file", "ref") & (n == 1) & language.isin("script", "go", "rust")
+    hits = F.transform(head, lambda x, n: F.when((n > 0) & F.coalesce(called(x, F.get(head, n - 1)) | own(x, F.get(head, n - 1), n), F.lit(False)), n + 1))
+    place = F.get(F.filter(hits, lambda n: n.isNotNull()), F.lit(0))
+    rows = members.withColumn("paren", place.cast("int")).filter("paren is not null")
+    words = F.filter(F.slice(t, F.lit(1), F.col("paren") - 1), lambda x: (x["angle"] == 0) & (x["kind"] == "word"))
+    rows = rows.withColumn("method_name", F.element_at(words, -1)["text"])
+    constructor = language.isin("java", "csharp") & (F.col("method_name") == F.col("name"))
+    callable_ = ~language.isin("php") | F.col("flat").rlike(r"\bfunction\b")
+    rows = rows.filter(~constructor & callable_ & ~F.col("flat").rlike(r"^(?:[\w@]+ )*(?:delegate|event|case) ") & ((language != "rust") | F.col("flat").rlike(r"\bfn ")))
+    # constants of an enumeration may have arguments
+    rows = rows.filter(~((F.col("kind") == "enum") & language.isin("java", "csharp") & (F.col("part") == 0)))
+    stop = F.when(F.col("stop") <= F.size(t), F.element_at(t, F.least(F.col("stop"), F.size(t)))["at"]).otherwise(F.element_at(t, -1)["until"])
+    after = _cut(F.col("source"), F.element_at(t, F.col("paren") + 1)["until"], stop)
+    shown = language.isin("go", "rust") | (language == "script") & F.col("kind").isin("interface", "type")
+    suffix = F.when(shown & (after != ""), F.concat(F.when(after.startswith(":"), F.lit("")).otherwise(F.lit(" ")), F.regexp_replace(after, "[,;]$", ""))).otherwise(F.lit(""))
+    return rows.select("path", "language", "name", "kind", F.col("owner_line").alias("line"), F.lit(None).cast("string").alias("field"), _signature(t, F.col("paren"), F.col("method_name"), suffix).alias("method"), F.element_at(t, 1)["i"].alias("at"))
+
+
+def _lead(t: Column, language: Column) -> Column:
+    """Place of the first token that is no modifier, annotation or attribute (from 1)."""
+    listed = lambda x: (x["kind"] == "sign") & x["text"].isin("(", ")")
+    attribute = lambda x: (x["kind"] == "sign") & x["text"].isin("[", "]", "#")
+    skipped = lambda x: (x["kind"] == "word") & x["text"].rlike(rf"^(?:(?:{_MOD})$|@)") | ((language != "php") & listed(x)) | (language.isin("csharp", "php", "rust") & attribute(x))
+    return _first(t, lambda x: ~skipped(x))
+
+
+def _fields(members: DataFrame) -> DataFrame:
+    """What a class holds, by its language."""
+    language, source = F.col("language"), F.col("source")
+    # members of scripts' types, of enumerations and of Rust structs may be parted by commas
+    commas = (language == "rust") & F.col("kind").isin("struct", "union", "enum") | (language == "script") & F.col("kind").isin("interface", "type")
+    each = members.filter(F.col("kind") != "impl").select("path", "language", "name", "kind", "owner_line", "source", "stop", "brace", F.explode(F.when(commas, parts_of(F.col("t"))).otherwise(F.array("t"))).alias("t"))
+    t = F.col("t")
+    end = _first(t, lambda x: _is(x, "=", "{", ";", "=>") | _is(x, ",") & ~(language == "go"))
+    rows = each.withColumn("end", F.when(end > 0, end).otherwise(F.size(t) + 1)).withColumn("lead", _lead(t, language)).filter("lead > 0")
+    rows = rows.withColumn("head", F.slice(t, F.lit(1), F.col("end") - 1)).withColumn("h", _texts(F.col("head")))
+    words = F.filter(F.slice("head", F.col("lead"), F.size("head")), lambda x: (x["angle"] == 0) & (x["kind"] == "word"))
+    place = lambda x: _first(F.col("head"), lambda y: y["i"] == x["i"])
+    text = lambda a, b: _cut(source, F.element_at(t, a)["at"], F.element_at(t, b)["until"])
+    out = rows.select("*", F.element_at(t, 1)["i"].alias("at"))
+
+    final = out.withColumn("last", F.when(F.size(words) > 0, F.element_at(words, -1)))
+    final = final.withColumn("n", F.when(F.col("last").isNotNull(), place(F.col("last"))))
+    called = F.col("h").rlike(r"\w \( \)") & ((language == "csharp") | F.col("h").rlike(r"\w \( \)(?! \w)"))
+    plain = (F.col("kind") != "enum") & ~called & ~F.col("h").rlike(r"^(?:[\w@]+ )*(?:delegate|event|this|return|package|import|using|throw) ") & (F.col("n") > F.col("lead"))
+    ended = F.get(t, F.col("end") - 1)["text"]
+    typed = final.filter(language.isin("java") & plain & ended.isin(";", "=", ",")).withColumn("field", F.concat(text(F.col("lead"), F.col("n") - 1), F.lit(" "), F.col("last.text")))
+    property_ = final.filter((language == "csharp") & plain & ended.isin("{", "=>")).withColumn("field", F.concat(text(F.col("lead"), F.col("n") - 1), F.lit(" "), F.col("last.text")))
+
+    dollar = _first(F.col("head"), lambda x: (x["kind"] == "word") & x["text"].startswith("$"))
+    php = out.filter((language == "php") & ~F.col("h").rlike(r"\bfunction\b|^case ")).withColumn("n", dollar).filter(F.col("n") > 0)
+    php = php.withColumn("type", F.when(F.col("n") > F.col("lead"), F.concat(text(F.col("lead"), F.col("n") - 1), F.lit(" "))).otherwise(F.lit("")))
+    several = F.transform(parts_of(t), lambda p: F.get(F.filter(p, lambda x: (x["kind"] == "word") & x["text"].startswith("$")), F.lit(0)))
+    php = php.select("*", F.explode(F.array_compact(several)).alias("v")).withColumn("at", F.col("v.i")).withColumn("field", F.concat("type", "v.text"))
+
+    first = F.element_at("head", F.col("lead"))
+    named = out.filter((language == "script") & (F.col("kind") != "enum") & (F.col("lead") <= F.size("head"))).withColumn("x", first)
+    callable_ = F.col("h").rlike(rf"{_LEAD}[\w$#]+(?: \?)? \( \)")
+    named = named.filter((F.col("x.kind") == "word") & ~callable_ & ~F.col("x.text").isin("static", "constructor"))
+    colon = _first(F.col("head"), lambda x: _is(x, ":"))
+    # a type that is an object literal ends the head at its brace
+    kind = F.when(colon == F.size("head"), F.lit("object")).when(colon > 0, text(colon + 1, F.size("head")))
+    named = named.withColumn("field", F.concat(F.col("x.text"), F.coalesce(F.concat(F.lit(": "), kind), F.lit(""))))
+
+    go = out.filter((language == "go") & (F.col("kind") == "struct"))
+    bare = F.filter(t, lambda x: (x["kind"] != "string") & ~_is(x, ";"))
+    go = go.withColumn("b", bare).withColumn("g", _texts(F.col("b"))).filter("size(b) > 0")
+    names = F.regexp_extract("g", r"^(\w+(?: , \w+)*) [^.]", 1)
+    count = F.when(names == "", 0).otherwise(2 * F.size(F.split(names, " , ")) - 1)
+    go = go.withColumn("skip", count).withColumn("type", _cut(source, F.element_at("b", F.col("skip") + 1)["at"], F.element_at("b", -1)["until"]))
+    each = F.when(names == "", F.array("type")).otherwise(F.transform(F.split(names, " , "), lambda v: F.concat(F.col("type"), F.lit(" "), v)))
+    go = go.select("*", F.posexplode(each).alias("k", "field")).withColumn("at", F.col("at") + F.col("k"))
+    embedded = out.filter((language == "go") & (F.col("kind") == "interface") & ~F.col("h").contains("( )")).withColumn("method", text(F.lit(1), F.col("end") - 1))
+
+    rust = out.filter(language == "rust")
+    variants = rust.filter((F.col("kind") == "enum") & (first["kind"] == "word")).withColumn("field", F.concat(F.lit("variant "), first["text"]))
+    colon = F.col("lead") + 1
+    fields = rust.filter(F.col("kind").isin("struct", "union") & (F.col("lead") + 2 <= F.size("head")) & _is(F.element_at("head", F.least(colon, F.size("head"))), ":"))
+    fields = fields.withColumn("field", F.concat(first["text"], F.lit(": "), text(colon + 1, F.size("head"))))
+
+    none = F.lit(None).cast("string")
+    keep = lambda df, m=None: df.select("path", "language", "name", "kind", F.col("owner_line").alias("line"), (none if m else F.col("field")).alias("field"), (F.col(m) if m else none).alias("method"), "at")
+    return reduce(DataFrame.unionByName, [keep(typed), keep(property_), keep(php), keep(named), keep(go), keep(embedded, "method"), keep(variants), keep(fields)])
+
+
+def annotated_members(rows: DataFrame, heads: DataFrame, source: DataFrame) -> DataFrame:
+    """``path, language, owner, owner_notes, at, notes, type, name``: the fields of Java classes, the properties of C# classes
+    or the typed members of scripts' classes, and what their records list, with the annotations, attributes or decorators
+    before them and before their class."""
+    annotated = F.col("language").isin("java", "csharp", "script")
+    rows, heads, t = rows.filter(annotated), heads.filter(annotated), F.col("t")
+    place = F.greatest(_first(t, lambda x: (x["line"] == F.col("line")) & (x["text"] == F.col("name"))), F.lit(1))
+    told = heads.join(rows.select("path", "t", F.explode(F.transform("t", lambda x: x["i"])).alias("i")), [heads["path"] == rows["path"], F.coalesce("body", "listed") == F.col("i")]).drop(rows["path"]).join(source, "path")
+    told = told.select("path", "name", "kind", "body", "listed", _cut(F.col("source"), F.element_at(t, 1)["at"], F.element_at(t, place)["at"]).alias("owner_notes"))
+    blocks = told.select("path", F.col("name").alias("owner"), "owner_notes", F.explode(F.array_compact(F.array("body", "listed"))).alias("block"), "listed", "kind")
+    inner = rows.join(blocks.filter("kind != 'enum'"), ["path", "block"]).filter(~_declares() | (F.col("block") == F.col("listed"))).join(source, "path")
+    listed = F.coalesce(F.col("block") == F.col("listed"), F.lit(False))
+    each = inner.select("path", "language", "owner", "owner_notes", "source", listed.alias("listed"), F.explode(F.when(listed, parts_of(t)).otherwise(F.array("t"))).alias("t"))
+    language = F.col("language")
+    end = _first(t, lambda x: _is(x, "=", "{", ";", "=>", ","))
+    each = each.withColumn("end", F.when(end > 0, end).otherwise(F.size(t) + 1)).withColumn("lead", _lead(t, language)).filter("lead > 0 and lead < end")
+    each = each.withColumn("head", F.slice("t", F.lit(1), F.col("end") - 1)).withColumn("h", _texts(F.slice("t", F.col("lead"), F.col("end") - F.col("lead"))))
+    text = lambda a, b: _cut(F.col("source"), F.element_at(t, a)["at"], F.element_at(t, b)["until"])
+    ended = F.get(t, F.col("end") - 1)["text"]
+    last = F.element_at(F.filter("head", lambda x: (x["angle"] == 0) & (x["kind"] == "word")), -1)
+    n = _first(F.col("head"), lambda x: x["i"] == last["i"])
+    typed = (n > F.col("lead")) & ~F.col("h").rlike(r"\( \)|^(?:delegate|event|return|package|import|using|throw) ")
+    fits = F.col("listed") | (language == "java") & ended.isin(";", "=", ",") | (language == "csharp") & ended.isin("{", "=>")
+    colon = _first(F.col("head"), lambda x: _is(x, ":"))
+    script = (language == "script") & (colon > F.col("lead")) & F.col("h").rlike(r"^[\w$#]+(?: [?!])? :")
+    notes = F.when(F.col("lead") > 1, text(F.lit(1), F.col("lead") - 1)).otherwise(F.lit(""))
+    out = each.filter(F.when(language == "script", script & (colon < F.size("head"))).otherwise(typed & fits))
+    kind = F.when(language == "script", text(colon + 1, F.size("head"))).otherwise(text(F.col("lead"), n - 1))
+    name = F.when(language == "script", F.element_at("head", F.col("lead"))["text"]).otherwise(last["text"])
+    return out.select("path", "language", "owner", "owner_notes", F.element_at(t, 1)["i"].alias("at"), notes.alias("notes"), kind.alias("type"), name.alias("name"))
+
+
+def entries(rows: DataFrame, opened: DataFrame, source: DataFrame, angles: bool = False) -> DataFrame:
+    """The comma-parted entries of blocks: ``opened`` has ``path, block`` and what else is known of a block; ``text`` is an
+    entry's source in one line, ``at`` its place, ``t`` its tokens."""
+    inner = rows.select("path", "block", "t").join(opened, ["path", "block"])
+    each = inner.select(*opened.columns, F.explode(parts_of(F.col("t"), angles=angles)).alias("t")).join(source, "path")
+    t = F.col("t")
+    return each.select(*opened.columns, F.element_at(t, 1)["i"].alias("at"), _cut(F.col("source"), F.element_at(t, 1)["at"], F.element_at(t, -1)["until"]).alias("text"), "t", "source")
+
+
+def _listed(heads: DataFrame, rows: DataFrame, source: DataFrame) -> DataFrame:
+    """Members among parameters: those of a record or primary constructor, of a tuple struct by their place, and those of a
+    constructor with a modifier."""
+    primary = heads.filter("listed is not null").filter(F.col("language").isin("java", "csharp", "rust")).select("path", "name", "kind", F.col("line").alias("owner_line"), F.col("listed").alias("block"), F.lit(True).alias("primary"))
+    owners = heads.filter("body is not null").filter(F.col("language").isin("php", "script")).select("path", "name", "kind", F.col("line").alias("owner_line"), F.col("body").alias("block"))
+    calls = rows.join(owners, ["path", "block"]).filter(F.col("flat").rlike(r"\b(?:__construct|constructor) \( \)"))
+    paren = _first(F.col("t"), lambda x: _is(x, "("))
+    inner = calls.select("path", "name", "kind", "owner_line", F.element_at("t", paren)["i"].alias("block"), F.lit(False).alias("primary"))
+    given = rows.join(primary.unionByName(inner), ["path", "block"]).join(source, "path")
+    each = given.select("path", "language", "name", "kind", "owner_line", "source", "primary", F.posexplode(parts_of(F.col("t"))).alias("n", "t"))
+    t, language = F.col("t"), F.col("language")
+    promoted = F.exists(t, lambda x: (x["kind"] == "word") & x["text"].isin("public", "private", "protected", "readonly"))
+    value = _first(t, lambda x: _is(x, "="))
+    each = each.filter(F.col("primary") | promoted).withColumn("lead", _lead(t, language)).withColumn("end", F.when(value > 0, value - 1).otherwise(F.size(t))).filter("lead > 0")
+    head = F.slice("t", F.lit(1), F.col("end"))
+    words = F.filter(head, lambda x: (x["angle"] == 0) & (x["kind"] == "word"))
+    last = F.element_at(words, -1)
+    n = _first(t, lambda x: x["i"] == last["i"])
+    text = lambda a, b: _cut(F.col("source"), F.element_at(t, a)["at"], F.element_at(t, b)["until"])
+    typed = F.when(n > F.col("lead"), F.concat(text(F.col("lead"), n - 1), F.lit(" "), last["text"])).otherwise(last["text"])
+    colon = _first(t, lambda x: _is(x, ":"))
+    named = F.element_at(t, F.col("lead"))["text"]
+    script = F.when(colon > 0, F.concat(named, F.lit(": "), text(colon + 1, F.col("end")))).otherwise(named)
+    field = F.when(language == "rust", F.concat(F.col("n").cast("string"), F.lit(": "), text(F.col("lead"), F.col("end")))).when(language == "script", script).otherwise(typed)
+    return each.select("path", "language", "name", "kind", F.col("owner_line").alias("line"), field.alias("field"), F.lit(None).cast("string").alias("method"), F.element_at(t, 1)["i"].alias("at"))
+
+
+def _receivers(rows: DataFrame, source: DataFrame) -> DataFrame:
+    """Go's functions of a receiver, as methods of its type."""
+    shape = r"^func \( \) (\w+) \( \)"
+    t = F.col("t")
+    called = rows.filter((F.col("language") == "go") & F.col("flat").rlike(shape)).select("path", "language", "t", "stop", "flat", F.element_at("t", 2)["i"].alias("block"), F.element_at("t", 1)["line"].alias("line"))
+    types = rows.filter("language = 'go'").select("path", "block", F.element_at(F.filter("t", lambda x: x["kind"] == "word"), -1)["text"].alias("name"))
+    found = called.join(types, ["path", "block"]).join(source, "path")
+    stop = F.when(F.col("stop") <= F.size(t), F.element_at(t, F.least(F.col("stop"), F.size(t)))["at"]).otherwise(F.element_at(t, -1)["until"])
+    after = _cut(F.col("source"), F.element_at(t, 6)["until"], stop)
+    suffix = F.when(after != "", F.concat(F.lit(" "), after)).otherwise(F.lit(""))
+    method = _signature(t, F.lit(5), F.regexp_extract("flat", shape, 1), suffix)
+    return found.select("path", "language", "name", F.lit("struct").alias("kind"), "line", F.lit(None).cast("string").alias("field"), method.alias("method"), F.element_at(t, 1)["i"].alias("at"))
+
+
+def _functions(rows: DataFrame, source: DataFrame) -> DataFrame:
+    """Components and handlers of scripts at the top of their file: what they take, as one method."""
+    flat = F.col("flat")
+    tops = rows.filter((F.col("language") == "script") & (F.col("block") == -1) & flat.rlike(f"{_FUNCTION}|{_ARROW}")).join(source, "path")
+    function = flat.rlike(_FUNCTION)
+    name = F.when(function, F.regexp_extract(flat, _FUNCTION, 1)).otherwise(F.regexp_extract(flat, _ARROW, 1))
+    t = F.col("t")
+    equals = _first(t, lambda x: _is(x, "="))
+    after = F.when(function, F.lit(0)).otherwise(equals)
+    lists = F.filter(F.transform(t, lambda x, n: F.when(_is(x, "(") & (n >= after), n + 1)), lambda n: n.isNotNull())
+    found = tops.withColumns({"name": name, "paren": F.get(lists, F.lit(0)).cast("int")})
+    bare = F.concat(F.lit("("), F.get(F.filter(t, lambda x: (x["kind"] == "word") & (x["i"] > F.element_at(t, F.greatest(equals, F.lit(1)))["i"]) & (x["text"] != "async")), F.lit(0))["text"], F.lit(")"))
+    arrow = _first(t, lambda x: _is(x, "=>"))
+    told = F.when(F.col("name").isin(*_HANDLERS), F.lit("handler")).otherwise(F.lit("render"))
+    method = F.when((F.col("paren").isNull()) | ~function & (arrow > 0) & (F.col("paren") > arrow), F.concat(told, bare)).otherwise(_signature(t, F.greatest(F.coalesce("paren", F.lit(1)), F.lit(1)), told, F.lit("")))
+    return found.select("path", "language", "name", F.lit("function").alias("kind"), F.element_at(t, 1)["line"].alias("line"), F.lit(None).cast("string").alias("field"), method.alias("method"), F.element_at(t, 1)["i"].alias("at"))
 
 
 def _python_classes(source: str) -> Iterator[tuple]:
@@ -175,12 +421,10 @@ def python_classes(files: DataFrame) -> DataFrame:
     return files.filter(F.col("ext") == ".py").select("path", "content").mapInPandas(run, SCHEMA)
 
 
-def classes(files: DataFrame) -> DataFrame:
+def classes(files: DataFrame | Parsed) -> DataFrame:
     """Classes of all languages."""
-    out = python_classes(files)
-    for language in LANGUAGES:
-        out = out.unionByName(brace_classes(files, language))
-    return out
+    of = parsed(files)
+    return python_classes(of.files).unionByName(brace_classes(of))
 
 
 def class_edges(found: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sediment.operators import asg, context, debt, detect, documents, entities, graph, imports, relational, routes, secrets, structure
+from sediment.shared import cut
 from sediment.sources.repo import IGNORED, from_rows, read_repo
 
 
@@ -38,13 +39,17 @@ class Engine:
     def edges(self) -> DataFrame:
         return imports.import_edges(self.files).persist()
 
+    @cached_property
+    def parsed(self) -> structure.Parsed:
+        return structure.parsed(self.files)
+
     @cached_property
     def classes(self) -> DataFrame:
-        return structure.classes(self.files).persist()
+        return cut(structure.classes(self.parsed), "classes")
 
     @cached_property
     def entities(self) -> DataFrame:
-        return entities.merged(entities.declared(self.files)).persist()
+        return cut(entities.merged(cut(entities.declared(self.parsed), "declared")), "entities")
 
     @cached_property
     def resolved(self) -> DataFrame:

@@ -370,7 +370,7 @@ def java_class_members(spark, sf_dir):
     return members_of(spark, sf_dir, "java", "java/J%1$d.java", "package a;\n\npublic class J%1$d extends Base%2$d implements Pet, Toy {\n    private Long id;\n    protected String name%2$d;\n\n    public String bark%1$d(int times) {\n        return name;\n    }\n}\n")
 
 
-@query(f"WITH {_S} " + _members_sql("'cs/C' || k || '.cs'", "'cs'", "'C' || k", "'Base' || n || '|IPet'", "'int Id|string Name' || n", "'Run' || k || '(int x)'", line=3))
+@query(f"WITH {_S} " + _members_sql("'cs/C' || k || '.cs'", "'Shop'", "'C' || k", "'Base' || n || '|IPet'", "'int Id|string Name' || n", "'Run' || k || '(int x)'", line=3))
 def csharp_class_members(spark, sf_dir):
     """Classes of C#."""
     return members_of(spark, sf_dir, "csharp", "cs/C%1$d.cs", "namespace Shop;\n\npublic class C%1$d : Base%2$d, IPet\n{\n    public int Id { get; set; }\n    public string Name%2$d { get; set; }\n\n    public void Run%1$d(int x) { }\n}\n")
@@ -394,7 +394,7 @@ def go_struct_members(spark, sf_dir):
     return members_of(spark, sf_dir, "go", "go/u%1$d.go", "package user\n\ntype Store%1$d struct {\n\tdb DB\n\tcache%2$d *Cache\n}\n\nfunc (s *Store%1$d) Get%1$d(id int) (User, error) {\n\treturn s.db.Get(id)\n}\n")
 
 
-@query(f"WITH {_S} " + _members_sql("'rust/o' || k || '.rs'", "'rust'", "'O' || k", "''", "'id: u64|total' || n || ': f64'", "'pay' || k || '(&mut self, by: u32)'"))
+@query(f"WITH {_S} " + _members_sql("'rust/o' || k || '.rs'", "'rust'", "'O' || k", "''", "'id: u64|total' || n || ': f64'", "'pay' || k || '(&mut self, by: u32) -> bool'"))
 def rust_struct_members(spark, sf_dir):
     """Structs of Rust with their impl blocks."""
     return members_of(spark, sf_dir, "rust", "rust/o%1$d.rs", "pub struct O%1$d {\n    pub id: u64,\n    total%2$d: f64,\n}\n\nimpl O%1$d {\n    pub fn pay%1$d(&mut self, by: u32) -> bool {\n        true\n    }\n}\n")

@@ -57,7 +57,7 @@ def test_entities(engine):
 def test_classes(engine):
     named = {(r["language"], r["name"]): r for r in engine.classes.collect()}
     assert named["go", "UserStore"]["methods"] == ["GetUser(id int) (User, error)"] and named["go", "Repo"]["is_interface"]
-    assert named["rust", "Order"]["methods"] == ["pay(&mut self, by: u32)"] and named["rust", "Payable"]["is_interface"]
+    assert named["rust", "Order"]["methods"] == ["pay(&mut self, by: u32) -> bool"] and named["rust", "Payable"]["is_interface"]
     assert named["java", "Dog"]["bases"] == ["Animal", "Pet"] and named["csharp", "Blog"]["attributes"][0] == "int Id"
 
 
