@@ -70,9 +70,9 @@ def mobile_core_files(files: DataFrame, n: int = 5) -> DataFrame:
     return top.select(F.row_number().over(Window.orderBy("_place", "path")).alias("ord"), "path", redacted(F.left("content", F.lit(SHOWN))).alias("text"))  # n rows
 
 
-def documentation(files: DataFrame) -> DataFrame:
-    """Leading part of the documents at the root and in ``docs``."""
-    place = (F.size("folders") == 0) | (F.element_at("folders", 1).isin("docs", "mis_apuntes"))
+def documentation(files: DataFrame, places: tuple[str, ...] = ("docs",)) -> DataFrame:
+    """Leading part of the documents at the root and in the folders ``places``."""
+    place = (F.size("folders") == 0) | F.get("folders", F.lit(0)).isin(*places)
     return files.filter(place & F.lower("name").isin(*DOCS)).select("path", F.left("content", F.lit(DOC_CHARS)).alias("text"))
 
 

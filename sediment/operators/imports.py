@@ -96,10 +96,14 @@ def tier(path: Column, in_degree: Column, out_degree: Column) -> Column:
     )
 
 
+#: Folders of environments, in any case.
+ENVIRONMENTS = (".venv", "env", "venv", "__pycache__")
+
+
 def reading_order(files: DataFrame, edges: DataFrame) -> DataFrame:
     """``ord, path, tier, role, in_degree, out_degree``: files by tier, then by how many import them, then by path. Tier
     4 is left out unless there is nothing else; then its first 15 are shown."""
-    hidden = F.exists(F.split("path", "/"), lambda p: p.isin(*sorted(IGNORED)) | F.lower(p).isin("cuarentena_env", ".venv", "env", "venv", "__pycache__") | p.startswith("."))
+    hidden = F.exists(F.split("path", "/"), lambda p: p.isin(*sorted(IGNORED)) | F.lower(p).isin(*ENVIRONMENTS) | p.startswith("."))
     code = files.filter(~F.col("ext").isin(*NO_CODE) & ~hidden & ~any_of(F.lower("path"), NOISE)).select("path")
     rows = degrees(code, edges).withColumn("tier", tier(F.col("path"), F.col("in_degree"), F.col("out_degree")))
     order = Window.partitionBy("tier").orderBy(F.desc("in_degree"), "path")

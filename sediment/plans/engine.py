@@ -79,7 +79,7 @@ class Engine:
     @cached_property
     def health(self) -> DataFrame:
         folders = F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1)
-        tests = F.exists(folders, lambda f: f.isin("tests", "test_project", *sorted(IGNORED))) | F.element_at(F.split("path", "/"), -1).startswith("test_")
+        tests = F.exists(folders, lambda f: f.isin("tests", *sorted(IGNORED))) | F.element_at(F.split("path", "/"), -1).startswith("test_")
         return secrets.health(self.todos, self.risks, tests)
 
     @cached_property

@@ -400,6 +400,99 @@ def rust_struct_members(spark, sf_dir):
     return members_of(spark, sf_dir, "rust", "rust/o%1$d.rs", "pub struct O%1$d {\n    pub id: u64,\n    total%2$d: f64,\n}\n\nimpl O%1$d {\n    pub fn pay%1$d(&mut self, by: u32) -> bool {\n        true\n    }\n}\n")
 
 
+# Shapes that one line and one level of brackets don't show: files at the root, several classes a file, declarations over
+# several lines, nested generics, bodies on one line, literals and comments that hold brackets.
+
+
+def _shapes_sql(*classes: str) -> str:
+    return f"WITH {_S} " + " UNION ALL ".join(classes)
+
+
+@query(_shapes_sql(
+    _members_sql("'J' || k || '.java'", "'Root'", "'J' || k", "'Base' || n || '|Pet|Toy'", "'Map<String, List<Integer>> m' || n || '|int a'", "'load(int a, Map<String, J' || q || '> b)'", line=2),
+    _members_sql("'J' || k || '.java'", "'Root'", "'In' || k", "''", "'int z' || n", "''", line=9),
+    _members_sql("'J' || k || '.java'", "'Root'", "'P' || k", "''", "'int a|Map<String, List<J' || q || '>> m'", "''", line=11),
+))
+def java_class_shapes(spark, sf_dir):
+    """Java at the root: sealed and generic classes, records, nested classes, members over several lines."""
+    text = (
+        "// class No { {\npublic sealed class J%1$d<T extends Map<String, List<T>>> extends Base%2$d<Foo<T>>\n    implements Pet<A, B>, Toy permits X {\n  /* } */ private Map<String,\n    List<Integer>> m%2$d = null; int a, b = 3;\n"
+        "  public J%1$d(int x) { }\n  public <T> List<T> load(int a,\n    Map<String, J%3$d> b) throws E { return \"}\"; }\n  static class In%1$d { int z%2$d; }\n}\nrecord P%1$d(int a, Map<String, List<J%3$d>> m) {}\n"
+    )
+    return members_of(spark, sf_dir, "java", "J%1$d.java", text)
+
+
+@query(_shapes_sql(
+    _members_sql("'S' || k || '.cs'", "'Uni.N' || n", "'S' || k", "'Base|IThing'", "'int a|int Id|List<List<S' || q || '>> Xs'", "'Load' || n || '(int a)'", line=2),
+    _members_sql("'S' || k || '.cs'", "'Uni.N' || n", "'ITree' || k", "'IBase'", "'int Count'", "'Get(int at' || n || ')'", "true", line=7),
+    _members_sql("'S' || k || '.cs'", "'Uni.N' || n", "'Node' || k", "''", "'int Id|string? N' || n", "''", line=8),
+))
+def csharp_class_shapes(spark, sf_dir):
+    """C# at the root: namespaces of a file, conditions on types, primary constructors, properties without a block."""
+    text = (
+        "namespace Uni.N%2$d;\n[Table(\"t{\")] public class S%1$d<T>(int a) : Base<Foo<int>>,\n  IThing where T : class {\n  [Key] public int Id { get; set; } = 5; public List<List<S%3$d>> Xs => new();\n  private string s = @\"a\"\"}\";\n"
+        "  public T Load%2$d<T>(int a) where T : class => default; }\npublic interface ITree%1$d<T> : IBase<T> { int Count { get; } T Get(int at%2$d); }\npublic record Node%1$d(int Id, string? N%2$d = null);\n"
+    )
+    return members_of(spark, sf_dir, "csharp", "S%1$d.cs", text)
+
+
+@query(_shapes_sql(
+    _members_sql("'p' || k || '.php'", "'App\\N' || n", "'A' || k", "'\\Foo\\Bar|I|J'", "'?int $x|(B&C)|null $y|string $n' || n || '|string $m'", "'__construct(private readonly ?int $x, protected (B&C)|null $y = null, $z = 1)'", line=5),
+    _members_sql("'p' || k || '.php'", "'App\\N' || n", "'Suit' || k", "'HasL'", "''", "'label' || n || '()'", line=9),
+).replace("\\\\", "\\"))
+def php_class_shapes(spark, sf_dir):
+    """PHP at the root: comments with brackets, union types, promoted members, backed enumerations, texts that choose their end."""
+    text = (
+        "<?php\nnamespace App\\N%2$d;\n# comment {\n#[Attr(1)]\nfinal class A%1$d extends \\Foo\\Bar implements I, J {\n  public function __construct(private readonly ?int $x, protected (B&C)|null $y = null, $z = 1) { }\n"
+        "  private string $n%2$d, $m = 'x{';\n}\nenum Suit%1$d: string implements HasL { case H = 'h'; public function label%2$d(): string { return <<<X\n } class Z {\nX; } }\n"
+    )
+    return members_of(spark, sf_dir, "php", "p%1$d.php", text)
+
+
+@query(_shapes_sql(
+    _members_sql("'t' || k || '.ts'", "'Root'", "'T' || k", "'Base|A'", "'x' || n || ': Map<string, number>|y: string|z|handle'", "'name()|load(a: T' || q || ', b = {c: 1})'"),
+    _members_sql("'t' || k || '.ts'", "'Root'", "'Props' || k", "''", "'a' || n || ': string|b: number|d: object'", "'c(x: number): void'", "true", line=9),
+    _members_sql("'t' || k || '.ts'", "'Root'", "'Card' || k", "''", "''", "'render({ a, b }: Props' || k || ')'", line=11),
+    _members_sql("'t' || k || '.ts'", "'Root'", "'Panel' || k", "''", "''", "'render({ a' || n || ' })'", line=12),
+))
+def script_class_shapes(spark, sf_dir):
+    """TypeScript at the root: generic types, decorators, accessors, members without a type, templates, components."""
+    text = (
+        "export class T%1$d<X> extends Base<X> implements A {\n  private x%2$d: Map<string, number> = new Map()\n  @Input() y?: string\n  z = 1;\n  get name(): string { return `a ${ {b: `}`} } }`; }\n  handle = async (e: Event) => { return e }\n"
+        "  async load<T>(a: T%3$d,\n    b = {c: 1}): Promise<T[]> { return [] } }\ninterface Props%1$d { a%2$d: string, b?: number; c(x: number): void\n  d: { e: string } }\nexport default function Card%1$d({ a, b }: Props%1$d) { return null }\n"
+        "export const Panel%1$d: React.FC<Props> = ({ a%2$d }) => { return a }\nconst lower = () => 1\n"
+    )
+    return members_of(spark, sf_dir, "script", "t%1$d.ts", text)
+
+
+@query(_shapes_sql(
+    _members_sql("'g/g' || k || '.go'", "'g'", "'A' || k", "''", "'int B' || n || '|int C|*pkg.Base|map[string]*A' || q || ' m'", "''", line=4),
+    _members_sql("'g/g' || k || '.go'", "'g'", "'R' || k", "''", "''", "'Get(id string) (*A' || q || ', error)|Other'", "true", line=9),
+    _members_sql("'g/g' || k || '.go'", "'g'", "'G' || k", "''", "'T v' || n", "'Do(a int, b string) (T, error)'", line=11),
+))
+def go_type_shapes(spark, sf_dir):
+    """Go: types in a group, embedded ones, several names a field, generic receivers."""
+    text = (
+        "package g\n// type Fake struct { x int }\ntype (\n  A%1$d struct {\n    B%2$d, C int `json:\"b{\"`\n    *pkg.Base\n    m map[string]*A%3$d\n  }\n  R%1$d interface { Get(id string) (*A%3$d, error); Other }\n)\n"
+        "type G%1$d[T any] struct { v%2$d T }\nfunc (g *G%1$d[T]) Do(a int,\n  b string) (T, error) { return \"}\" }\n"
+    )
+    return members_of(spark, sf_dir, "go", "g/g%1$d.go", text)
+
+
+@query(_shapes_sql(
+    _members_sql("'r/r' || k || '.rs'", "'r'", "'Q' || k", "''", "'a: u8|b' || n || ': HashMap<String, Vec<Q' || q || '>>'", "'go(&self, x: T) -> Result<(), E>'", line=2),
+    _members_sql("'r/r' || k || '.rs'", "'r'", "'W' || k", "''", "'0: u8|1: S' || n", "''", line=3),
+    _members_sql("'r/r' || k || '.rs'", "'r'", "'E' || k", "''", "'variant X|variant Y' || n || '|variant Z'", "''", line=4),
+))
+def rust_type_shapes(spark, sf_dir):
+    """Rust: structs on one line and of a tuple, enumerations with data, comments in comments, raw texts."""
+    text = (
+        "#[derive(Debug)]\npub struct Q%1$d { a: u8, pub(crate) b%2$d: HashMap<String, Vec<Q%3$d>> }\npub struct W%1$d(pub u8, S%2$d);\nenum E%1$d { X, Y%2$d(u32), Z { a: u8 } }\n"
+        "impl Q%1$d { pub async fn go<T>(&self, x: T) -> Result<(), E> { /* } /* } */ */ r#\"}\"# } }\n"
+    )
+    return members_of(spark, sf_dir, "rust", "r/r%1$d.rs", text)
+
+
 # Entities -------------------------------------------------------------------------------------------------------------
 
 
@@ -446,6 +539,30 @@ def ddl_entities(spark, sf_dir):
     return declared_rows(entities.ddl(ddl_files(spark, sf_dir), 2))
 
 
+_U = ("'t' || k || '.sql'", "'my P' || k")
+
+
+@query(_union(_column_sql(*_U, "'id'", "'INT'", "true"), _column_sql(*_U, "'b' || n", "'DECIMAL(10, 2)'", "true"), _column_sql(*_U, "'c'", "'INT'"), _relation_sql(*_U, "'other' || n", "}o--||", "'c'"), _relation_sql(*_U, "'my P' || q", "}o--||", "'b' || n")))
+def ddl_shapes(spark, sf_dir):
+    """Tables of SQL at the root: quoted names with a schema, values in brackets of many levels, keys of several columns."""
+    deep = "f(" * 30 + "1" + ")" * 30
+    text = f'CREATE TABLE IF NOT EXISTS public."my P%1$d" (\n id INT, b%2$d DECIMAL(10, 2) DEFAULT ({deep}) NOT NULL, -- x, y (\n c INT REFERENCES other%2$d(id) CHECK (a < (b)),\n CONSTRAINT pk PRIMARY KEY (id, b%2$d),\n FOREIGN KEY (b%2$d) REFERENCES s."my P%3$d"(x))'
+    return declared_rows(entities.ddl(supplier_files(spark, sf_dir, "t%1$d.sql", text), 2))
+
+
+_V = ("'a' || k || '_model.py'", "'A' || k")
+
+
+@query(_union(_column_sql(*_V, "'id'", "'int'", "true"), _column_sql(*_V, "'name' || n", "'String'"), _column_sql(*_V, "'owner_id'", "'Integer'"), _relation_sql(*_V, "'users' || n", "}o--||", "'owner_id'"), _relation_sql(*_V, "'A' || q", "||--o{", "'post'")))
+def python_model_shapes(spark, sf_dir):
+    """Models at the root whose calls take several lines, with names from imports and type aliases."""
+    text = (
+        "import sqlalchemy as sa\nfrom sqlalchemy import Column as C, ForeignKey\ntype Id = int\nclass A%1$d:\n    id: Mapped[Id] = mapped_column(primary_key=True)\n    name%2$d = C(\n        sa.String(20),\n        nullable=False,\n    )\n"
+        "    owner_id = sa.Column(sa.Integer, ForeignKey(\n        'public.users%2$d.id'))\n    post: Mapped[list['A%3$d']] = relationship(\n        back_populates='a')\n"
+    )
+    return declared_rows(entities.python_models(supplier_files(spark, sf_dir, "a%1$d_model.py", text), 0))
+
+
 _A = ("'models/a' || k || '.py'", "'A' || k")
 
 

@@ -16,11 +16,13 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from sediment.functions.text import extension, file_name, folders, stem
 
 #: Folders that are never read.
-IGNORED = frozenset(
-    ".git .github .idea .vscode .vs venv_subida tmp temp logs .DS_Store node_modules dist build out .next .nuxt bower_components "
-    "bin obj Properties TestResults packages venv .venv env __pycache__ .mypy_cache .pytest_cache .ruff_cache .tox coverage .coverage "
-    "htmlcov site-packages target .gradle .mvn vendor storage bootstrap public .phpunit.cache pkg .bundle".split()
-)
+IGNORED = frozenset((
+    ".git", ".github", ".idea", ".vscode", ".vs", "venv_subida", "tmp", "temp", "logs", ".DS_Store", "node_modules",
+    "dist", "build", "out", ".next", ".nuxt", "bower_components", "bin", "obj", "Properties", "TestResults",
+    "packages", "venv", ".venv", "env", "__pycache__", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".tox",
+    "coverage", ".coverage", "htmlcov", "site-packages", "target", ".gradle", ".mvn", "vendor", "storage",
+    "bootstrap", "public", ".phpunit.cache", "pkg", ".bundle",
+))
 #: File categories by extension or name.
 CATEGORIES = {
     "python": (".py",),
