@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,12 +13,29 @@ from pyspark.sql.window import Window
 
 from sediment.shared import cut, delete, new_path
 
-__all__ = ["BROADCAST_IDS", "CHUNK_CHARS", "Scratch", "bases", "cut", "delete", "kept_rows", "new_path", "shuffle_partitions", "slices"]
+__all__ = ["BROADCAST_IDS", "CHUNK_CHARS", "Scratch", "bases", "cut", "delete", "kept_rows", "new_path", "shuffle_partitions", "slices", "small_batches"]
 
 #: Characters of text that one pass over an Arrow batch works on at most (a longer text forms a pass of its own).
 CHUNK_CHARS = 4_000_000
 
 
+#: Bytes of the Arrow batches of steps whose rows hold whole documents or their sets.
+BATCH_BYTES = 8_000_000
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> Iterator[None]:
+    """Within the block, batches for Python are of about ``size`` bytes at most: a worker holds some copies of each. Only
+    what is planned within the block is held to it; the session has its own setting again afterwards."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(key, None)
+    spark.conf.set(key, str(min(size, int(own)) if own and own.isdigit() and int(own) > 0 else size))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, own) if own else spark.conf.unset(key)
+
+
 class Scratch:
     """Tables that cut lineage as ``cut`` does and are deleted at the end of the ``with`` block, or earlier by ``drop``.
     What is used after the block must be written elsewhere before it ends."""

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sediment.llm.common import BROADCAST_IDS, Scratch, slices
+from sediment.llm.common import BROADCAST_IDS, Scratch, slices, small_batches
 from sediment.llm.common import cut as written
 from sediment.llm.components import connected_components
 
@@ -276,7 +276,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     if percent < 75:
         raise ValueError("the bands are laid out for similarities of 75 percent or more")
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    with Scratch(docs.sparkSession) as scratch:
+    with small_batches(docs.sparkSession), Scratch(docs.sparkSession) as scratch:
         cut = scratch.cut
         rows = cut(chosen.withColumn("tag", F.monotonically_increasing_id()).mapInArrow(_features, _FEATURES), "features")
         linked = rows.filter("doc_id is not null and set_key is not null")
