@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -110,3 +112,26 @@ def sessions(events: DataFrame, who: str, when: str, gap_minutes: int) -> DataFr
     """``who, started, ended, n`` of runs of events with gaps of less than ``gap_minutes``."""
     w = F.session_window(when, f"{gap_minutes} minutes")
     return events.groupBy(who, w.alias("w")).agg(F.count(F.lit(1)).alias("n"), F.max(when).alias("ended")).select(who, F.col("w.start").alias("started"), "ended", "n")
+
+
+def fair_cut(rows: DataFrame, budget: int, length: str, *groups: str) -> DataFrame:
+    """``groups, n, cut``: the largest length that the rows of a group may have each, so that together they take ``budget``
+    at most; null where all fit as they are, 0 where not even one of each does. Null lengths count as 0; without groups
+    there is one row, and none of an empty table.
+
+    With the k shortest rows whole, the others share what is left: (budget - their sum) / (number of the others). Every k
+    gives a cut that fits, and the best of them is the answer, so it is one maximum over prefix sums. These run over how
+    often each length occurs, not over the rows.
+    """
+    keys = ("_one", *groups)
+    sizes = rows.select(F.lit(1).alias("_one"), *groups, F.coalesce(F.col(length), F.lit(0)).cast("long").alias("_size"))
+    counts = sizes.groupBy(*keys, "_size").agg(F.count(F.lit(1)).alias("_n"))
+    order = Window.partitionBy(*keys).orderBy("_size").rowsBetween(Window.unboundedPreceding, -1)
+    below = lambda c: F.coalesce(F.sum(c).over(order), F.lit(0))
+    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("n"), F.sum(F.col("_n") * F.col("_size")).alias("_all"))
+    steps = counts.withColumns({"_k": below("_n"), "_whole": below(F.col("_n") * F.col("_size"))})
+    same = reduce(lambda a, g: a & steps[g].eqNullSafe(totals[g]), groups, steps["_one"] == totals["_one"])
+    each = F.floor((F.lit(budget) - F.col("_whole")) / (F.col("n") - F.col("_k"))).cast("long")
+    found = steps.join(totals, same).select(*[steps[g].alias(g) for g in groups], "n", "_all", each.alias("_each"))
+    found = found.groupBy(*groups, "n", "_all").agg(F.max("_each").alias("_cut"))
+    return found.select(*groups, "n", F.when(F.col("_all") > budget, F.greatest("_cut", F.lit(0))).alias("cut"))

@@ -408,3 +408,12 @@ def table_columns(spark, sf_dir):
     """Columns of all tables."""
     rows = [(t, f.name) for t in TABLES for f in read(spark, sf_dir, t).schema.fields]
     return spark.createDataFrame(rows, "`table` string, name string")
+
+
+@query("""WITH l AS (SELECT source, length(text) AS size FROM documents), t AS (SELECT source, count(*) AS n, sum(size) AS total FROM l GROUP BY source),
+c AS (SELECT t.source, t.n, t.total, x.c FROM t, (SELECT unnest(range(0, 20001)) AS c) x), s AS (SELECT c.source, c.n, c.total, c.c, sum(least(l.size, c.c)) AS used FROM c JOIN l USING (source) GROUP BY ALL)
+SELECT source, n, CASE WHEN max(total) > 20000 THEN max(CASE WHEN used <= 20000 THEN c END) END AS cut FROM s GROUP BY source, n""")
+def fair_share_per_source(spark, sf_dir):
+    """How much of each document of a source fits where they share 20000 characters fairly."""
+    rows = read(spark, sf_dir, "documents").select("source", F.length("text").alias("size"))
+    return relational.fair_cut(rows, 20_000, "size", "source")

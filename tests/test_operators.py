@@ -113,3 +113,19 @@ def test_ignore_rules_as_git_has_them(tmp_path, rules):
     said = subprocess.run(["git", "-C", str(tmp_path), "ls-files", "-o", "--exclude-standard", "-z"], capture_output=True, text=True).stdout.split("\0")
     hidden = {p for p in said if p.startswith(("build/", "lib/build/"))}  # folders that are never read
     assert set(walk(str(tmp_path))) == {p for p in said if p} - hidden
+
+
+def test_fair_cut_is_the_largest_that_fits(spark):
+    import random
+
+    rng = random.Random(2)
+    lengths = {g: [rng.choice([0, 1, 5, 5, 9, 40, 1000]) for _ in range(rng.randint(1, 30))] for g in ("a", "b", "c", None)}
+    rows = spark.createDataFrame([(g, n) for g, found in lengths.items() for n in found] + [("d", None), ("e", 5000)], "g string, size long")
+    lengths |= {"d": [0], "e": [5000]}
+    for budget in (0, 7, 60, 300, 100_000):
+        want = {g: None if sum(x) <= budget else max(c for c in range(5001) if sum(min(n, c) for n in x) <= budget) for g, x in lengths.items()}
+        assert {r["g"]: r["cut"] for r in relational.fair_cut(rows, budget, "size", "g").collect()} == want
+    together = [n for x in lengths.values() for n in x]
+    best = max(c for c in range(5001) if sum(min(n, c) for n in together) <= 300)
+    assert [tuple(r) for r in relational.fair_cut(rows, 300, "size").collect()] == [(len(together), best)]
+    assert relational.fair_cut(rows.limit(0), 300, "size", "g").isEmpty()
