@@ -7,13 +7,16 @@ nation ``n``, ``q`` (half the key), and ``f`` and ``g`` (folders of k and of q).
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sediment.operators import asg, context, debt, detect, documents, entities, graph, imports, routes, secrets, structure
 from sediment.operators.lines import explode_lines
 from sediment.plans.tables import query, read
-from sediment.sources.repo import named
+from sediment.shared import new_path
+from sediment.sources.repo import named, read_problems, read_repo
 
 #: The numbers of a supplier in SQL, named as in the templates.
 _S = "s AS (SELECT s_suppkey AS k, s_nationkey AS n, s_suppkey // 2 AS q, s_suppkey % 7 AS f, (s_suppkey // 2) % 7 AS g FROM supplier)"
@@ -238,6 +241,48 @@ def file_index(spark, sf_dir):
     return supplier_files(spark, sf_dir, "d%4$d/m%1$d.py|d%4$d/m%1$d.md", "x = %1$d\n").select("path", "size", "sha256", "ext", "stem", "depth")
 
 
+def on_disk(files: DataFrame) -> str:
+    """A folder of the shared file system that the files' tasks have written them to."""
+    root = new_path(files.sparkSession, "repository").removeprefix("file://")
+
+    def write(frames):
+        for frame in frames:
+            for path, content in zip(frame["path"], frame["content"], strict=True):
+                at = os.path.join(root, path)
+                os.makedirs(os.path.dirname(at), exist_ok=True)
+                with open(at, "w", encoding="utf-8", newline="") as f:
+                    f.write(content)
+            yield frame[["path"]]
+
+    files.select("path", "content").mapInPandas(write, "path string").count()
+    return root
+
+
+#: Rules of the folders d0 to d6 and of the root: what is ignored, and what is wanted again.
+_IGNORES = {".gitignore": "*.log\nbuild/\n", "d1/.gitignore": "*.md\n!keep*.md\n", "d2/.gitignore": "/x*.py\n", "d3/.gitignore": "[" + "a" * 5000 + "\n"}
+
+
+def walked(spark, sf_dir) -> str:
+    rules = as_files(spark.createDataFrame(sorted(_IGNORES.items()), "path string, content string"))
+    paths = "d%4$d/m%1$d.py|d%4$d/x%1$d.py|d%4$d/x%1$d.md|d%4$d/keep%1$d.md|d%4$d/e%1$d.log|d%4$d/deep/x%1$d.py|d%4$d/node_modules/n%1$d.py|d%4$d/build/b%1$d.py"
+    return on_disk(supplier_files(spark, sf_dir, paths, "x = %1$d\r\n").unionByName(rules))
+
+
+@query(f"""WITH {_S}, p AS (SELECT *, 'd' || f || '/' || (['m', 'x', 'x', 'keep', 'e', 'deep/x', 'node_modules/n', 'build/b'])[1 + k % 8] || k || (['.py', '.py', '.md', '.md', '.log', '.py', '.py', '.py'])[1 + k % 8] AS path FROM s),
+c AS (SELECT path, 'x = ' || k || chr(13) || chr(10) AS content FROM p WHERE k % 8 NOT IN (4, 6, 7) AND f <> 3 AND NOT (f = 1 AND k % 8 = 2) AND NOT (f = 2 AND k % 8 = 1)
+  UNION ALL SELECT '.gitignore', '*.log' || chr(10) || 'build/' || chr(10) UNION ALL SELECT 'd1/.gitignore', '*.md' || chr(10) || '!keep*.md' || chr(10) UNION ALL SELECT 'd2/.gitignore', '/x*.py' || chr(10))
+SELECT path, CAST(strlen(content) AS BIGINT) AS size, sha256(content) AS sha256, replace(content, chr(13) || chr(10), chr(10)) AS content FROM c""")
+def walked_files(spark, sf_dir):
+    """Files of a folder as the repository source reads them, under the rules of nested ignore files."""
+    return read_repo(spark, walked(spark, sf_dir)).select("path", "size", "sha256", "content")
+
+
+@query("SELECT 'd3' AS path, 'ignore file not followed: the ignore file exceeds a limit' AS problem FROM (SELECT DISTINCT s_suppkey % 7 AS f FROM supplier) WHERE f = 3")
+def walk_problems(spark, sf_dir):
+    """Folders that are not read, and why."""
+    return read_problems(spark, walked(spark, sf_dir))
+
+
 # Credentials ----------------------------------------------------------------------------------------------------------
 
 #: By the key's remainder: a line before and after its secret, the secret's format (null: none), and what it is.

@@ -36,7 +36,8 @@ CATEGORIES = {
 }
 #: Limits of an ignore file; one that exceeds them hides its whole folder.
 IGNORE_BYTES, IGNORE_RULES, IGNORE_LENGTH = 1 << 20, 10_000, 4096
-#: Files that one task reads.
+#: Bytes and files that one task reads (a larger file has a task of its own).
+BYTES_PER_TASK = 64_000_000
 FILES_PER_TASK = 256
 
 SCHEMA = "path string, size long, mtime timestamp, sha256 string, content string"
@@ -102,20 +103,31 @@ class IgnoreRules:
 def walk(root: str, max_depth: int | None = 10) -> Iterator[str]:
     """The files of a repository, in the order of their path components: no links, no ignored or hidden folders, no
     files that an ignore file names. An unreadable ignore file hides its folder."""
+    return (path for path, _, problem in listed(root, max_depth) if problem is None)
+
+
+def listed(root: str, max_depth: int | None = 10) -> Iterator[tuple[str, int, str | None]]:
+    """Path and size of what ``walk`` finds, and a row with a problem for each folder that can't be listed or whose ignore
+    file can't be followed: nothing below it is read."""
     stack: list[tuple[str, int, tuple]] = [("", 0, ())]
     while stack:
         folder, depth, rules = stack.pop()
         at = os.path.join(root, folder)
         try:
             entries = sorted(os.scandir(at), key=lambda e: e.name)
-            ignore = next((e for e in entries if e.name == ".gitignore"), None)
-            if ignore is not None:
+        except OSError as e:
+            yield folder, 0, f"folder not listed: {e.strerror}"
+            continue
+        ignore = next((e for e in entries if e.name == ".gitignore"), None)
+        if ignore is not None:
+            try:
                 if ignore.is_symlink():
-                    raise ValueError("the ignore file is a link")
+                    raise ValueError("it is a link")
                 with open(ignore.path, "rb") as f:
                     rules = (*rules, (folder, IgnoreRules(f.read(IGNORE_BYTES + 1))))
-        except (OSError, ValueError):
-            continue
+            except (OSError, ValueError) as e:
+                yield folder, 0, f"ignore file not followed: {getattr(e, 'strerror', None) or e}"
+                continue
         below = []
         for e in entries:
             path = f"{folder}/{e.name}" if folder else e.name
@@ -131,13 +143,27 @@ def walk(root: str, max_depth: int | None = 10) -> Iterator[str]:
                 if not hidden and (max_depth is None or depth + 1 <= max_depth):
                     below.append((path, depth + 1, rules))
             elif e.is_file(follow_symlinks=False):
-                yield path
+                try:
+                    yield path, e.stat(follow_symlinks=False).st_size, None
+                except OSError:
+                    yield path, 0, None  # gone; its task says so
         stack += reversed(below)
 
 
 class _Files(InputPartition):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+    def __init__(self, paths: list[str], problems: list[tuple[str, str]]):
+        self.paths, self.problems = paths, problems
+
+
+def _verified(full: str) -> tuple[bytes, os.stat_result]:
+    """A file's bytes and state, which is the same before and after they were read; raises if it isn't twice."""
+    for _ in range(2):
+        with os.fdopen(os.open(full, os.O_RDONLY | os.O_NOFOLLOW), "rb") as f:
+            before, data, after = os.fstat(f.fileno()), f.read(), os.stat(full, follow_symlinks=False)
+        state = lambda x: (x.st_ino, x.st_size, x.st_mtime_ns)
+        if state(before) == state(after) and len(data) == after.st_size:
+            return data, after
+    raise ValueError("changed while it was read")
 
 
 class _Reader(DataSourceReader):
@@ -147,35 +173,45 @@ class _Reader(DataSourceReader):
         self.depth = None if depth == "none" else int(depth)
 
     def partitions(self):
-        paths = list(walk(self.root, self.depth))
-        return [_Files(paths[i : i + FILES_PER_TASK]) for i in range(0, len(paths), FILES_PER_TASK)] or [_Files([])]
+        """Files in tasks of about BYTES_PER_TASK, FILES_PER_TASK at most."""
+        tasks, paths, held, problems = [], [], 0, []
+        for path, size, problem in listed(self.root, self.depth):
+            if problem is not None:
+                problems.append((path, problem))
+                continue
+            if paths and (held + size > BYTES_PER_TASK or len(paths) >= FILES_PER_TASK):
+                tasks.append(_Files(paths, []))
+                paths, held = [], 0
+            paths.append(path)
+            held += size
+        return [*tasks, _Files(paths, problems)]
 
     def read(self, partition):
         from datetime import UTC, datetime
 
+        for path, problem in partition.problems:
+            yield path, None, None, None, None, problem
         for path in partition.paths:
-            full = os.path.join(self.root, path)
             try:
-                fd = os.open(full, os.O_RDONLY | os.O_NOFOLLOW)
-                with os.fdopen(fd, "rb") as f:
-                    data = f.read()
-                    state = os.fstat(f.fileno())
-            except OSError:
-                continue  # gone, or a link by now
+                data, state = _verified(os.path.join(self.root, path))
+            except (OSError, ValueError) as e:
+                yield path, None, None, None, None, f"file not read: {getattr(e, 'strerror', None) or e}"
+                continue
             text = data.decode("utf-8", "ignore").replace("\r\n", "\n").replace("\r", "\n")
-            yield path, state.st_size, datetime.fromtimestamp(state.st_mtime, UTC), hashlib.sha256(data).hexdigest(), text
+            yield path, state.st_size, datetime.fromtimestamp(state.st_mtime, UTC), hashlib.sha256(data).hexdigest(), text, None
 
 
 class RepoFiles(DataSource):
     """``spark.read.format("repo_files").option("maxDepth", "10").load(root)``; Spark's own text sources skip names that
-    begin with ``_`` or ``.``, which this one needs. ``root`` is a folder that driver and executors see."""
+    begin with ``_`` or ``.``, which this one needs. ``root`` is a folder that driver and executors see. A row is a file, or
+    has the ``problem`` for which a file or folder was not read."""
 
     @classmethod
     def name(cls) -> str:
         return "repo_files"
 
     def schema(self) -> str:
-        return SCHEMA
+        return f"{SCHEMA}, problem string"
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)
@@ -189,10 +225,20 @@ def named(files: DataFrame) -> DataFrame:
     return rows.withColumns({"depth": F.size("folders"), "categories": F.array_compact(F.array(*kinds))})
 
 
-def read_repo(spark: SparkSession, root: str, max_depth: int | None = 10) -> DataFrame:
+def _loaded(spark: SparkSession, root: str, max_depth: int | None) -> DataFrame:
     spark.dataSource.register(RepoFiles)
-    depth = "none" if max_depth is None else str(max_depth)
-    return named(spark.read.format("repo_files").option("maxDepth", depth).load(root))
+    return spark.read.format("repo_files").option("maxDepth", "none" if max_depth is None else str(max_depth)).load(root)
+
+
+def read_repo(spark: SparkSession, root: str, max_depth: int | None = 10) -> DataFrame:
+    """The files of a repository (see ``named``) that could be read whole."""
+    return named(_loaded(spark, root, max_depth).filter("problem is null").drop("problem"))
+
+
+def read_problems(spark: SparkSession, root: str, max_depth: int | None = 10) -> DataFrame:
+    """``path, problem`` of files and folders of a repository that are not read: gone, changed meanwhile, unreadable, or
+    under an ignore file that can't be followed."""
+    return _loaded(spark, root, max_depth).filter("problem is not null").select("path", "problem")
 
 
 def from_rows(spark: SparkSession, rows: dict[str, str]) -> DataFrame:

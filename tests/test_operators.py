@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from sediment.functions import text as T
 from sediment.operators import graph, relational, secrets
 from sediment.operators.imports import candidates
-from sediment.sources.repo import read_repo, walk
+from sediment.sources import repo
+from sediment.sources.repo import read_problems, read_repo, walk
 
 
 def one(spark, column):
@@ -129,3 +130,26 @@ def test_fair_cut_is_the_largest_that_fits(spark):
     best = max(c for c in range(5001) if sum(min(n, c) for n in together) <= 300)
     assert [tuple(r) for r in relational.fair_cut(rows, 300, "size").collect()] == [(len(together), best)]
     assert relational.fair_cut(rows.limit(0), 300, "size", "g").isEmpty()
+
+
+def test_repository_reads_are_verified(spark, tmp_path, monkeypatch):
+    """Tasks by bytes, files that go or change meanwhile, ignore files that can't be followed."""
+    for name in ("a.py", "b/c.py", "bad/x.py", "big.py"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("x" * (500 if name == "big.py" else 10))
+    (tmp_path / "bad/.gitignore").write_bytes(b"\xff\xfe")
+    reader = repo._Reader({"path": str(tmp_path)})
+    monkeypatch.setattr(repo, "BYTES_PER_TASK", 100)
+    tasks = reader.partitions()
+    assert [t.paths for t in tasks] == [["a.py"], ["big.py"], ["b/c.py"]] and [p for p, _ in tasks[-1].problems] == ["bad"]
+    (tmp_path / "a.py").unlink()
+    (row,) = reader.read(tasks[0])
+    assert row[0] == "a.py" and row[4] is None and row[5] == "file not read: No such file or directory"
+    stat = repo.os.stat
+    monkeypatch.setattr(repo.os, "stat", lambda p, **k: stat(tmp_path / "b/c.py") if str(p).endswith("big.py") else stat(p, **k))
+    (row,) = reader.read(tasks[1])
+    assert row[0] == "big.py" and row[5] == "file not read: changed while it was read"
+    monkeypatch.undo()
+    assert {r["path"] for r in read_repo(spark, str(tmp_path)).collect()} == {"b/c.py", "big.py"}
+    (found,) = read_problems(spark, str(tmp_path)).collect()
+    assert found["path"] == "bad" and found["problem"].startswith("ignore file not followed: ")
