@@ -31,6 +31,17 @@ class Engine:
         self.spark, self.home, self.section = spark, home, section
         self.files = (read_repo(spark, root, max_depth) if files is None else files).persist()
 
+    def close(self) -> None:
+        """Give back what the engine keeps: tables in memory and parsed sources in the shared folder. What was made of these
+        must not be read any more."""
+        for name, kept in list(vars(self).items()):
+            for one in kept if isinstance(kept, tuple) else (kept,):
+                if isinstance(one, DataFrame):
+                    one.unpersist()
+                elif isinstance(one, structure.Parsed):
+                    one.delete()
+                    del self.__dict__[name]
+
     @classmethod
     def of(cls, spark: SparkSession, rows: dict[str, str], home: str = documents.HOME) -> Engine:
         return cls(spark, files=from_rows(spark, rows), home=home)

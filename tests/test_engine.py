@@ -176,3 +176,14 @@ def test_settings_name_folders(spark):
     files = {"src/handlers/a.py": "1", "src/tables/b.py": "1", "pyproject.toml": '[tool.sediment]\ncontrollers = ["handlers"]\nmodels = ["tables"]\n'}
     assert rows(Engine.of(spark, files).analyses()["architecture"](), "architecture") == {"MVC Pattern"}
     assert rows(Engine.of(spark, files | {"pyproject.toml": "broken ["}).analyses()["architecture"](), "architecture") == {"Monolithic Application"}
+
+
+def test_close_deletes_what_was_parsed(spark):
+    import os
+
+    e = Engine.of(spark, {"A.java": "class A { int x; }"})
+    assert rows(e.classes, "name") == {"A"}
+    root = e.parsed.root.removeprefix("file://")
+    assert os.path.isdir(f"{root}/rows") and not e.files.storageLevel == e.files.unpersist().storageLevel
+    e.close()
+    assert not os.path.exists(root) and "parsed" not in vars(e)
