@@ -9,7 +9,7 @@ from functools import cached_property, partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.operators import asg, context, debt, detect, documents, entities, graph, imports, relational, routes, secrets, structure
+from sediment.operators import asg, context, debt, detect, documents, entities, graph, imports, relational, routes, secrets, snapshots, structure
 from sediment.shared import cut
 from sediment.sources.repo import IGNORED, from_rows, read_repo
 
@@ -120,13 +120,15 @@ class Engine:
     def onboarding(self) -> DataFrame:
         return imports.reading_order(self.files, self.edges)
 
-    def save_snapshot(self, path: str) -> None:
-        """Write what ``delta`` compares; a snapshot under this path is replaced."""
-        self.files.select("path", "mtime", "size", "sha256").write.mode("overwrite").parquet(path)
+    def save_snapshot(self, path: str, expected: int | None = None) -> int:
+        """Keep what ``delta`` compares as the version after ``expected`` (null: the last one) and give its number; refused
+        if another version was saved since."""
+        return snapshots.save(self.files, path, expected)
 
     def delta(self, old: DataFrame | str) -> DataFrame:
-        """What changed since an older table of files (path, mtime, size, sha256), or since a saved snapshot."""
-        return relational.snapshot_diff(self.spark.read.parquet(old) if isinstance(old, str) else old, self.files)
+        """What changed since an older table of files (path, mtime, size, sha256), or since the last version of saved
+        snapshots, which must be as it was saved."""
+        return relational.snapshot_diff(snapshots.load(self.spark, old)[0] if isinstance(old, str) else old, self.files)
 
     def save(self, name: str, path: str, form: str = "json") -> None:
         """Write one analysis under ``path`` in a format of Spark's (json, csv with a header, parquet)."""

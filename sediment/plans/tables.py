@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from sediment.functions.text import any_of, estimated_tokens, file_name, groups, plurals
 from sediment.operators import debt, graph, imports, relational, secrets
 from sediment.operators.lines import explode_lines
+from sediment.shared import new_path
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -392,6 +393,52 @@ def near_balances(spark, sf_dir):
     return a.join(b, ["s_nationkey", "band"]).filter(near).select("left_key", "right_key")
 
 
+#: Turns as versions of a file: every third one has the text of the turn before, every sixth its time too; a fifth are deletions.
+_TURNS_SQL = """v AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN lag(text) OVER (PARTITION BY conv_id ORDER BY turn) ELSE text END AS content,
+  turn - CASE WHEN turn % 6 = 2 THEN 1 ELSE 0 END AS stamp, (conv_id + turn) % 5 = 4 AS gone, least(turn // 2, 2) AS batch FROM conversations),
+b AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY conv_id, batch ORDER BY turn DESC) = 1),
+l AS (SELECT *, lag(gone) OVER w AS was_gone, lag(content) OVER w AS was, lag(stamp) OVER w AS was_stamp FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY batch)),
+t AS (SELECT conv_id, turn, batch, content, CASE WHEN gone AND coalesce(was_gone, true) THEN NULL WHEN gone THEN 'deleted' WHEN coalesce(was_gone, true) THEN 'new'
+  WHEN was <> content THEN 'modified' WHEN was_stamp = stamp THEN 'unmodified' ELSE 'touched' END AS state FROM l),
+c AS (SELECT *, max(CASE WHEN state IN ('new', 'modified') THEN turn END) OVER (PARTITION BY conv_id ORDER BY batch) AS version FROM t WHERE state IS NOT NULL)"""
+
+
+def _analysed_turns(spark: SparkSession, sf_dir: str) -> str:
+    """Conversations as files whose turns are versions, streamed in three runs of which each starts where the one before
+    ended. The last one meets turns of the second again, which are late. Gives the folder of what was kept."""
+    from sediment.streaming import changes
+
+    text = F.when(F.col("turn") % 3 == 2, F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).otherwise(F.col("text"))
+    at = F.timestamp_seconds(F.col("turn") - F.when(F.col("turn") % 6 == 2, 1).otherwise(0))
+    rows = read(spark, sf_dir, "conversations").withColumn("text", text)
+    path = F.concat(F.lit("c"), "conv_id", F.lit(".md")).alias("path")
+    rows = rows.select(path, F.col("turn").alias("seq"), at.alias("mtime"), F.sha2("text", 256).alias("sha256"), ((F.col("conv_id") + F.col("turn")) % 5 == 4).alias("gone"), F.col("text").alias("content"))
+    base = new_path(spark, "versions")
+    of = lambda n: F.least(F.floor(F.col("seq") / 2), F.lit(2)) == n
+    words = lambda batch: batch.select("path", F.size(F.filter(F.split("content", r"\s+"), lambda w: w != "")).alias("words"))
+    for n in range(3):
+        rows.filter(of(n) | (of(1) if n == 2 else F.lit(False))).write.parquet(f"{base}/in/{n}")
+        stream = spark.readStream.schema(changes.VERSION).option("recursiveFileLookup", "true").parquet(f"{base}/in")
+        changes.keep_analysed(stream, words, f"{base}/out").awaitTermination()
+    return f"{base}/out"
+
+
+@query(f"WITH {_TURNS_SQL} SELECT 'c' || conv_id || '.md' AS path, turn AS seq, state, version FROM c")
+def version_states(spark, sf_dir):
+    """A stream of file versions: what each batch made of a path, with deletions, late versions and restarts."""
+    return spark.read.parquet(f"{_analysed_turns(spark, sf_dir)}/versions").select("path", "seq", "state", "version")
+
+
+@query(f"""WITH {_TURNS_SQL}, z AS (SELECT conv_id, version, state FROM c QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1)
+SELECT 'c' || conv_id || '.md' AS path, version, len(regexp_extract_all(v.content, '[^ \\n]+')) AS words
+FROM z JOIN v USING (conv_id) WHERE state <> 'deleted' AND v.turn = version""")
+def version_findings(spark, sf_dir):
+    """Findings of the file versions that are in force, where only what is new or modified was analysed."""
+    from sediment.streaming import changes
+
+    return changes.analysed(spark, _analysed_turns(spark, sf_dir)).select("path", "version", "words")
+
+
 @query(SQL["hourly_events"])
 def event_stream(spark, sf_dir):
     """Events as a stream: windowed sums with a watermark."""

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from sediment.shared import new_path
 
@@ -39,12 +41,101 @@ def windowed_batch(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("started", "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("x")).select("started", "event_type", "x.n", "x.total")
 
 
-def on_changes(files: DataFrame, analyse: Callable[[DataFrame], DataFrame], sink: str, state: str, late: str = "1 day"):
-    """A streaming query that analyses each file version (path, sha256, mtime, content) once: versions seen before are
-    dropped, the others of a batch go through ``analyse`` and are added to the Parquet table ``sink``."""
-    fresh = files.withWatermark("mtime", late).dropDuplicatesWithinWatermark(["path", "sha256"])
+#: Columns of a file version as it arrives; ``gone`` says that the file was deleted.
+VERSION = "path string, seq long, mtime timestamp, sha256 string, gone boolean, content string"
+#: What a version that changed nothing, and a path without a file, are called.
+CHANGED = ("new", "modified")
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Signatures(StatefulProcessor):
+    """The signature of each path. A deleted path leaves a tombstone, so that a version that arrives late does not bring
+    it back."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.live = handle.getValueState("live", "seq long, mtime timestamp, sha256 string, version long")
+        self.tomb = handle.getValueState("tomb", "seq long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        newest = None
+        for frame in rows:  # one row is kept at a time, whatever the number of versions
+            row = frame.loc[[frame["seq"].idxmax()]]
+            newest = row if newest is None or row["seq"].iloc[0] > newest["seq"].iloc[0] else newest
+        old = self.live.get() if self.live.exists() else None
+        last = old[0] if old else self.tomb.get()[0] if self.tomb.exists() else None
+        seq, gone, sha, mtime = int(newest["seq"].iloc[0]), bool(newest["gone"].iloc[0]), newest["sha256"].iloc[0], newest["mtime"].iloc[0]
+        mtime = None if pd.isna(mtime) else mtime.to_pydatetime()
+        if last is not None and seq <= last:
+            return
+        version = old[3] if old else None
+        if gone:
+            self.live.clear()
+            self.tomb.update((seq,))
+            if old is None:
+                return
+            state = "deleted"
+        else:
+            state = "new" if old is None else "modified" if old[2] != sha else "unmodified" if old[1] == mtime else "touched"
+            version = seq if state in CHANGED else version
+            self.live.update((seq, mtime, sha, version))
+            self.tomb.clear()
+        # what is not analysed again needs no text
+        yield newest.assign(state=state, version=version, content=newest["content"] if state in CHANGED else None)
+
+    def close(self) -> None:
+        pass
+
+
+def changed_versions(versions: DataFrame) -> DataFrame:
+    """``path, seq, mtime, sha256, gone, content, state, version`` of a stream of file versions (VERSION): in each batch,
+    the newest version of a path against the last one that the stream saw - new, modified, touched (another time, the same
+    content), unmodified or deleted. ``version`` is the ``seq`` of the content that is now in force (of a deleted file: that
+    was). A version that is not newer than the last one, and the deletion of what isn't there, give no row.
+
+    The state is a signature a path (of a deleted one its ``seq``), in RocksDB; nothing in it expires, as a run that has
+    something to expire would not end. Rows without a path or a ``seq`` are left out; of several rows with the same path
+    and ``seq`` one counts.
+    """
+    names = [c.split()[0] for c in VERSION.split(", ")]
+    rows = versions.select(*names).filter("path is not null and seq is not null").withColumn("gone", F.coalesce("gone", F.lit(False)))
+    return rows.groupBy("path").transformWithStateInPandas(_Signatures(), VERSION + ", state string, version long", "append", "none")
+
+
+def keep_analysed(versions: DataFrame, analyse: Callable[[DataFrame], DataFrame], sink: str) -> StreamingQuery:
+    """Analyse what is new or modified in a stream of file versions, and nothing else: runs over what there is, and goes
+    on from there when it is called again.
+
+    ``analyse`` maps rows of ``changed_versions`` to findings with ``path``. Each batch adds findings with the version of
+    their file, and the versions with their states, under ``sink``; a batch that is run again replaces its own. What an old
+    version gave is never sought and deleted: ``analysed`` joins findings to the versions in force.
+    """
+    spark = versions.sparkSession
 
     def run(batch: DataFrame, number: int) -> None:
-        analyse(batch).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        batch = batch.persist()
+        try:
+            batch.select("path", "seq", "version", "state").write.mode("overwrite").parquet(f"{sink}/versions/batch={number}")
+            fresh = batch.filter(F.col("state").isin(*CHANGED))
+            analyse(fresh).join(fresh.select("path", "version"), "path").write.mode("overwrite").parquet(f"{sink}/findings/batch={number}")
+        finally:
+            batch.unpersist()
+
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, _ROCKS)  # a query takes the settings of its start
+    try:
+        return changed_versions(versions).writeStream.outputMode("append").foreachBatch(run).option("checkpointLocation", f"{sink}/state").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(key, before)
+
+
+def versions_in_force(spark: SparkSession, sink: str) -> DataFrame:
+    """``path, seq, version, state``: the last word on each path that is there."""
+    rows = spark.read.parquet(f"{sink}/versions")
+    last = rows.groupBy("path").agg(F.max_by(F.struct("seq", "version", "state"), "seq").alias("x")).select("path", "x.*")
+    return last.filter("state != 'deleted'")
+
 
-    return fresh.writeStream.foreachBatch(run).option("checkpointLocation", state)
+def analysed(spark: SparkSession, sink: str) -> DataFrame:
+    """The findings of the versions in force, of the whole table that ``keep_analysed`` keeps."""
+    return spark.read.parquet(f"{sink}/findings").drop("batch").join(versions_in_force(spark, sink).select("path", "version"), ["path", "version"], "left_semi")
