@@ -28,13 +28,12 @@ def _python_routes(source: str) -> Iterator[tuple]:
     for f in ast.walk(tree):
         if not isinstance(f, (ast.FunctionDef, ast.AsyncFunctionDef)):
             continue
-        calls = set()
-        for c in ast.walk(f):
-            if isinstance(c, ast.Call):
-                what = c.func
-                name = what.id if isinstance(what, ast.Name) else what.value.id if isinstance(what, ast.Attribute) and isinstance(what.value, ast.Name) else getattr(what, "attr", "")
-                if name in imported or any(w in name.lower() for w in LAYERS):
-                    calls.add(name)
+        calls: dict[str, None] = {}  # in the order of the text
+        for c in sorted((c for s in f.body for c in ast.walk(s) if isinstance(c, ast.Call)), key=lambda c: (c.func.lineno, c.func.col_offset)):
+            what = c.func
+            name = what.id if isinstance(what, ast.Name) else what.value.id if isinstance(what, ast.Attribute) and isinstance(what.value, ast.Name) else getattr(what, "attr", "")
+            if name in imported or any(w in name.lower() for w in LAYERS):
+                calls[name] = None
         for d in f.decorator_list:
             if not (isinstance(d, ast.Call) and isinstance(d.func, ast.Attribute)):
                 continue
@@ -45,7 +44,7 @@ def _python_routes(source: str) -> Iterator[tuple]:
             else:
                 methods = [verb.upper()] if verb in VERBS else []
             for m in methods:
-                yield m, route, f.name, f.lineno, isinstance(f, ast.AsyncFunctionDef), sorted(calls)
+                yield m, route, f.name, f.lineno, isinstance(f, ast.AsyncFunctionDef), list(calls)
 
 
 def python_routes(files: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from functools import cached_property, partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.operators import asg, context, debt, detect, documents, entities, graph, imports, relational, routes, secrets, snapshots, structure
+from sediment.operators import asg, context, debt, detect, documents, entities, graph, imports, relational, routes, secrets, snapshots, structure, symbols
 from sediment.shared import cut
 from sediment.sources.repo import IGNORED, from_rows, read_repo
 
@@ -74,6 +74,10 @@ class Engine:
     def contracts(self) -> DataFrame:
         return routes.contracts(self.routes, self.entities.select("ord", F.col("name").alias("entity"))).persist()
 
+    @cached_property
+    def calls(self) -> DataFrame:
+        return cut(symbols.resolved_calls(self.files), "calls")
+
     @cached_property
     def todos(self) -> DataFrame:
         return debt.debt_markers(self.files)
@@ -150,6 +154,8 @@ class Engine:
             "routes": lambda: self.routes,
             "contract": lambda: self.contracts,
             "trace": lambda: routes.traces(self.routes),
+            "calls": lambda: self.calls,
+            "reach": lambda: symbols.route_reach(self.routes, self.calls, self.edges),
             "infra": lambda: detect.service_edges(detect.services(self.files)),
             "notebooks": lambda: detect.notebook_lineage(self.files),
             "todo": lambda: self.todos,

@@ -12,7 +12,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.operators import asg, context, debt, detect, documents, entities, graph, imports, routes, secrets, structure
+from sediment.operators import asg, context, debt, detect, documents, entities, graph, imports, routes, secrets, structure, symbols
 from sediment.operators.lines import explode_lines
 from sediment.plans.tables import query, read
 from sediment.shared import new_path
@@ -825,6 +825,89 @@ def routes_after_change(spark, sf_dir):
     return imports.affected_routes(found, graph.blast_radius(imports.import_edges(files), "src/pkg1/m1.py"), "src/pkg1/m1.py")
 
 
+# Calls and what they mean ---------------------------------------------------------------------------------------------
+
+#: By the key's remainder: how the parent is imported, how an object of the class comes about, who defines ``top``.
+_CALLERS = (
+    """from src.pkg%5$d.m%3$d import S%3$d
+
+
+class S%1$d(S%3$d):
+    def own(self):
+        return self.top()
+
+    def top(self):
+        return leaf%1$d()
+
+
+def leaf%1$d():
+    return len('')
+
+
+@app.get('/m%1$d')
+def h%1$d(made: S%1$d):
+    return made.own()
+""",
+    """from src.pkg%5$d.m%3$d import (
+    S%3$d as Base,
+)
+
+
+class S%1$d(Base):
+    def own(self):
+        return self.top()
+
+
+@app.get('/m%1$d')
+def h%1$d():
+    made = S%1$d()
+    return made.own()
+""",
+    """import src.pkg%5$d.m%3$d as parent
+
+
+class S%1$d(parent.S%3$d):
+    def own(self):
+        return super().top()
+
+
+@app.get('/m%1$d')
+def h%1$d():
+    return S%1$d().own()
+""",
+)
+_CALLS = f"""{_S}, up AS (SELECT k, k AS a, 0 AS d FROM s UNION ALL SELECT up.k, p.q, up.d + 1 FROM up JOIN s p ON p.k = up.a JOIN s z ON z.k = p.q WHERE p.q <> p.k),
+top AS (SELECT k, arg_min(a, d) AS a FROM up WHERE a % 3 = 0 GROUP BY k),
+p AS (SELECT s.*, 'src/pkg' || f || '/m' || k || '.py' AS path, 'src/pkg' || f || '/m' || k || '.py#' AS m, 'S' || k AS c, 'src/pkg' || a % 7 || '/m' || a || '.py#S' || a || '.top' AS above FROM s LEFT JOIN top USING (k)),
+e AS (SELECT m || c || '.own' AS src, c || '.top' AS call, coalesce(above, m || c) AS dst, CASE WHEN above IS NULL THEN 'class' ELSE 'method' END AS kind FROM p WHERE k % 3 < 2
+  UNION ALL SELECT m || c || '.own', 'super.top', above, CASE WHEN above IS NULL THEN NULL ELSE 'method' END FROM p WHERE k % 3 = 2
+  UNION ALL SELECT m || c || '.own', 'super', NULL, NULL FROM p WHERE k % 3 = 2
+  UNION ALL SELECT m || c || '.top', 'leaf' || k, m || 'leaf' || k, 'function' FROM p WHERE k % 3 = 0
+  UNION ALL SELECT m || 'leaf' || k, 'len', NULL, NULL FROM p WHERE k % 3 = 0
+  UNION ALL SELECT m || 'h' || k, c || '.own', m || c || '.own', 'method' FROM p
+  UNION ALL SELECT m || 'h' || k, c, m || c, 'class' FROM p WHERE k % 3 > 0)"""
+
+
+def callers(spark, sf_dir) -> DataFrame:
+    return supplier_files(spark, sf_dir, _MODULE, *_CALLERS)
+
+
+@query(f"WITH RECURSIVE {_CALLS} SELECT src, call, dst, kind FROM e")
+def call_targets(spark, sf_dir):
+    """The definitions that calls mean: through aliases, imported modules, types of names and any number of base classes."""
+    return symbols.resolved_calls(callers(spark, sf_dir)).select("src", "call", "dst", "kind")
+
+
+@query(f"""WITH RECURSIVE {_CALLS}, r AS (SELECT k, m || 'h' || k AS vertex, 0 AS depth FROM p UNION SELECT r.k, e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.vertex WHERE e.dst IS NOT NULL),
+n AS (SELECT q AS k, count(*) AS n FROM s WHERE q <> k GROUP BY q)
+SELECT 'GET' AS method, '/m' || r.k AS route, vertex, min(depth) AS depth, max(CASE WHEN n > 5 THEN 'CORE' WHEN n >= 2 THEN 'SHARED' ELSE 'PERIPHERAL' END) AS risk
+FROM r LEFT JOIN n ON n.k = regexp_extract(vertex, '/m([0-9]+)', 1)::BIGINT WHERE depth > 0 GROUP BY ALL""")
+def route_reach(spark, sf_dir):
+    """Every definition that the handlers of routes get to, over any number of calls, and how shared its file is."""
+    files = callers(spark, sf_dir)
+    return symbols.route_reach(routes.routes(files), symbols.resolved_calls(files), imports.import_edges(files)).select("method", "route", "vertex", "depth", "risk")
+
+
 # The merged graph -----------------------------------------------------------------------------------------------------
 
 
