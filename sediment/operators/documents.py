@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sediment.functions.bounded import json_problem, shape_problem
 from sediment.functions.text import group
 from sediment.operators import relational
 
@@ -46,6 +47,33 @@ def _numbered(items: Column, prefix: str) -> Column:
     return F.transform(items, lambda x, i: F.struct(F.coalesce(group(x, own, 1), F.format_string(f"{prefix}%02d", i + 1)).alias("id"), F.coalesce(group(x, own, 2), x).alias("description")))
 
 
+#: Words in the headings of sections, in the order in which they are tried.
+_HEADINGS = {"business_rules": "business rule|regla", "acceptance_criteria": "acceptance|aceptaci|criterio", "required_data": "data|dato", "validations": "validation|validaci", "exceptions": "exception|excepci"}
+#: Names of what stands before and behind the colon in a line of a section, and what counts if there is none.
+_PAIRS = {"required_data": ("field", "type", "string"), "validations": ("field", "rule", "custom"), "exceptions": ("code", "description", "EXCEPTION")}
+_MAPS = "array<map<string,string>>"
+
+
+def _pairs(text: Column, section: str) -> Column:
+    """The lines ``name: value`` of all sections of a kind as maps. A line of another form is a name of its own; in
+    exceptions, a description."""
+    names = list(_HEADINGS)
+    before = "|".join(_HEADINGS[n] for n in names[: names.index(section)])
+    title = rf"(?![^\n]*(?:{before}))[^\n]*(?:{_HEADINGS[section]})[^\n]*"
+    plain = F.regexp_replace(text, r"\r\n?", "\n")
+    bodies = F.regexp_extract_all(plain, F.lit(rf"(?ims)^##[ \t]{title}$\n(.*?)(?=^##?\s|\z)"), F.lit(1))
+    lines = F.transform(F.split(F.array_join(bodies, "\n"), r"\R"), lambda x: F.regexp_replace(F.trim(x), r"^[-*\s]+", ""))
+    name, value, rest = _PAIRS[section]
+    form = r"^`?([A-Za-z0-9_$]+)`?\s*[-:]\s*(\S.*)$"
+
+    def pair(x: Column) -> Column:
+        alone = (F.lit(rest), x) if section == "exceptions" else (x, F.lit(rest))
+        a, b = (F.when(x.rlike(form), F.trim(F.regexp_extract(x, form, k))).otherwise(alone[k - 1]) for k in (1, 2))
+        return F.create_map(F.lit(name), a, F.lit(value), b)
+
+    return F.transform(F.filter(lines, lambda x: x != ""), pair)
+
+
 def _within(files: DataFrame, home: str, part: str, kinds: str) -> DataFrame:
     return files.filter(F.col("path").rlike(rf"(^|/)\Q{home}\E/{part}/[^/]+\.({kinds})$"))
 
@@ -59,17 +87,19 @@ def _limited(rows: DataFrame, root: Column, most: int) -> DataFrame:
 
 
 def requirements(files: DataFrame, home: str = HOME) -> DataFrame:
-    """``path, id, title, role, want, benefit, status, business_rules, acceptance_criteria, open_questions, problem`` of
-    the specifications under ``home``/requirements (JSON, or Markdown in English or Spanish); ``problem`` says why one
+    """``path, id, title, role, want, benefit, status, business_rules, acceptance_criteria, required_data, validations,
+    exceptions, open_questions, problem`` of the specifications under ``home``/requirements (JSON, or Markdown in English or Spanish); ``problem`` says why one
     can't be read, or that its collection exceeds a limit."""
     within = _within(files, home, "requirements", "json|md|markdown")
     within = _limited(within, F.regexp_extract("path", r"^(.*)/[^/]+$", 1), FILES)
     js = within.filter(F.col("ext") == ".json").withColumn("x", F.from_json("content", SPEC, {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"}))
     one = lambda c: F.coalesce(F.col(f"x.story.{c}"), F.col(f"x.{c}"))
-    bad = F.when(F.col("x").isNull() | F.col("x._corrupt").isNotNull() | F.trim("content").startswith("["), "INVALID_JSON").when(one("id").isNull(), "MISSING_ID").when(F.octet_length("content") > FILE_BYTES, "TOO_LARGE").when(F.col("_over"), "COLLECTION_LIMIT")
+    shape = shape_problem(F.col("content"), ("story",), ("business_rules", "acceptance_criteria", *_PAIRS), ("open_questions",))
+    bound = F.when(F.octet_length("content") <= FILE_BYTES, F.coalesce(json_problem(F.col("content")), shape))  # larger ones are not looked into
+    bad = F.when(bound.isNotNull(), bound).when(F.col("x").isNull() | F.col("x._corrupt").isNotNull() | F.trim("content").startswith("["), "INVALID_JSON").when(one("id").isNull(), "MISSING_ID").when(F.octet_length("content") > FILE_BYTES, "TOO_LARGE").when(F.col("_over"), "COLLECTION_LIMIT")
     criteria = "array<struct<id:string,given:string,when:string,then:string>>"
     rules = "array<struct<id:string,description:string>>"
-    out = js.select("path", *[one(c).alias(c) for c in ("id", "title", "role", "want", "benefit")], _status(one("status")).alias("status"), F.coalesce("x.business_rules", F.array().cast(rules)).alias("business_rules"), F.coalesce("x.acceptance_criteria", F.array().cast(criteria)).alias("acceptance_criteria"), F.coalesce("x.open_questions", F.array().cast("array<string>")).alias("open_questions"), bad.alias("problem"))
+    out = js.select("path", *[one(c).alias(c) for c in ("id", "title", "role", "want", "benefit")], _status(one("status")).alias("status"), F.coalesce("x.business_rules", F.array().cast(rules)).alias("business_rules"), F.coalesce("x.acceptance_criteria", F.array().cast(criteria)).alias("acceptance_criteria"), *[F.coalesce(f"x.{c}", F.array().cast(_MAPS)).alias(c) for c in _PAIRS], F.coalesce("x.open_questions", F.array().cast("array<string>")).alias("open_questions"), bad.alias("problem"))
     md = within.filter(F.col("ext") != ".json")
     text, head = F.col("content"), r"(?m)^#\s+([\w-]+)\s*(?:\[([^\]]*)\])?\s*[-:–]?\s*(.*)$"
     field = lambda names: group(text, rf"(?im)^\s*[-*]?\s*\**(?:{names})\**\s*:\s*\**\s*(.+)$", 1)
@@ -79,7 +109,7 @@ def requirements(files: DataFrame, home: str = HOME) -> DataFrame:
     own, title = F.trim(F.coalesce(field("ID|Story ID|Identificador"), group(text, head, 1))), F.trim(F.coalesce(field("Title|T[ií]tulo"), F.regexp_extract(text, head, 3)))
     parsed = md.select(
         "path", own.alias("id"), title.alias("title"), field("Role|As a|Como").alias("role"), field("Want|I want|Quiero|Deseo").alias("want"), field("Benefit|So that|Para|Para que").alias("benefit"),
-        _status(F.coalesce(field("Status|Estado"), F.regexp_extract(text, head, 2))).alias("status"), _numbered(_items(_section(text, "Business Rules|Reglas de Negocio")), "BR").cast(rules).alias("business_rules"), accepted.cast(criteria).alias("acceptance_criteria"),
+        _status(F.coalesce(field("Status|Estado"), F.regexp_extract(text, head, 2))).alias("status"), _numbered(_items(_section(text, "Business Rules|Reglas de Negocio")), "BR").cast(rules).alias("business_rules"), accepted.cast(criteria).alias("acceptance_criteria"), *[_pairs(text, c).cast(_MAPS).alias(c) for c in _PAIRS],
         _items(_section(text, "Open Questions|Preguntas Abiertas")).alias("open_questions"), F.when(own.isNull(), "MISSING_ID").when(F.octet_length(text) > FILE_BYTES, "TOO_LARGE").when(F.col("_over"), "COLLECTION_LIMIT").alias("problem"),
     )
     return out.unionByName(parsed)

@@ -1037,6 +1037,61 @@ def requirement_json(spark, sf_dir):
     return documents.requirements(files).select("id", "title", "status", F.array_join(F.transform("acceptance_criteria", lambda x: x["id"]), "|").alias("criteria"))
 
 
+#: JSON by the key's remainder, with what is wrong with it: ``#`` stands for brackets, ``@`` for zeros, by the nation.
+_ODD_JSON = (
+    ('{"id": "US-%1$d", "x": #}', "CASE WHEN n > 12 THEN 'JSON_DEPTH' END"),
+    ('{"id": "US-%1$d", "x": [@]}', "CASE WHEN n > 12 THEN 'JSON_NODES' END"),
+    ('{"id": "US-%1$d", "x": {"b": 1, "\\u0062": 2}}', "'JSON_DUPLICATE_KEY'"),
+    ('{"id": "US-%1$d", "x": "[[{{ \\" ]"}', "NULL"),
+    ('{"id": "US-%1$d", "x": NaN}', "'INVALID_JSON'"),
+    ('{"id": "US-%1$d"} {"id": 2}', "'INVALID_JSON'"),
+    ('{"id": "US-%1$d", "story": null}', "'SCHEMA_INVALID'"),
+    ('{"id": "US-%1$d", "validations": [{"field": "a"}, 1]}', "'SCHEMA_INVALID'"),
+    ('{"id": "US-%1$d", "open_questions": ["why", 2]}', "'SCHEMA_INVALID'"),
+    ('[{"id": "US-%1$d"}]', "'SCHEMA_INVALID'"),
+    ('{"id": "US-%1$d", "exceptions": []}', "NULL"),
+)
+
+
+@query(f"""WITH {_S} SELECT 'r' || k || '/{documents.HOME}/requirements/US.json' AS path, CASE k % {len(_ODD_JSON)} {' '.join(f'WHEN {i} THEN {p}' for i, (_, p) in enumerate(_ODD_JSON))} END AS problem FROM s""")
+def requirement_json_problems(spark, sf_dir):
+    """JSON stories that are too deep, too large, broken, ambiguous or of the wrong shape."""
+    deep = F.concat(F.repeat(F.lit("["), (F.col("n") + 51).cast("int")), F.repeat(F.lit("]"), (F.col("n") + 51).cast("int")))
+    zeros = F.concat(F.repeat(F.lit("0,"), (F.col("n") + 9982).cast("int")), F.lit("0"))
+    rows = suppliers(spark, sf_dir)
+    text = F.element_at(F.array(*[F.format_string(t, "k") for t, _ in _ODD_JSON]), (F.col("k") % len(_ODD_JSON) + 1).cast("int"))
+    files = as_files(rows.select(F.format_string(f"r%d/{documents.HOME}/requirements/US.json", "k").alias("path"), F.replace(F.replace(text, F.lit("#"), deep), F.lit("@"), zeros).alias("content")))
+    return documents.requirements(files).select("path", "problem")
+
+
+_DETAILS = """# US-%1$d - Pay
+
+## Required %2$d Data
+
+- `amount_%1$d`: number %2$d
+free text %2$d
+
+## Validaciones
+
+* amount - at least %1$d
+
+## Exceptions
+
+- E%1$d: too much
+- nothing else
+"""
+
+
+@query(f"""WITH {_S} SELECT 'US-' || k AS id, 'field=amount_' || k || ',type=number ' || n || '|field=free text ' || n || ',type=string' AS required_data,
+'field=amount,rule=at least ' || k AS validations, 'code=E' || k || ',description=too much|code=EXCEPTION,description=nothing else' AS exceptions FROM s WHERE k % 2 = 0
+UNION ALL SELECT 'US-' || k, 'field=a' || n || ',type=int', '', 'code=E' || k FROM s WHERE k % 2 = 1""")
+def requirement_details(spark, sf_dir):
+    """Data, validations and exceptions of stories, from Markdown and JSON."""
+    rows = supplier_files(spark, sf_dir, f"r%1$d/{documents.HOME}/requirements/US.md|r%1$d/{documents.HOME}/requirements/US.json", _DETAILS, '{"id": "US-%1$d", "required_data": [{"field": "a%2$d", "type": "int"}], "exceptions": [{"code": "E%1$d"}]}')
+    pairs = lambda c: F.array_join(F.transform(c, lambda m: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")), "|")
+    return documents.requirements(rows).select("id", *[pairs(c).alias(c) for c in ("required_data", "validations", "exceptions")])
+
+
 @query(f"WITH {_S} SELECT count(*) AS stories, count(*) AS criteria, 2 * count(*) AS rules, count(*) AS questions FROM s")
 def requirement_totals(spark, sf_dir):
     """How much the stories hold."""
