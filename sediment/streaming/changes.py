@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -53,34 +52,32 @@ class _Signatures(StatefulProcessor):
     it back."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.live = handle.getValueState("live", "seq long, mtime timestamp, sha256 string, version long")
+        self.live = handle.getValueState("live", "seq long, at long, sha256 string, version long")
         self.tomb = handle.getValueState("tomb", "seq long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        newest = None
-        for frame in rows:  # one row is kept at a time, whatever the number of versions
-            row = frame.loc[[frame["seq"].idxmax()]]
-            newest = row if newest is None or row["seq"].iloc[0] > newest["seq"].iloc[0] else newest
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        newest = max(rows, key=lambda r: r["seq"])  # one row is kept at a time, whatever the number of versions
         old = self.live.get() if self.live.exists() else None
         last = old[0] if old else self.tomb.get()[0] if self.tomb.exists() else None
-        seq, gone, sha, mtime = int(newest["seq"].iloc[0]), bool(newest["gone"].iloc[0]), newest["sha256"].iloc[0], newest["mtime"].iloc[0]
-        mtime = None if pd.isna(mtime) else mtime.to_pydatetime()
+        seq, at, sha = newest["seq"], newest["_at"], newest["sha256"]
         if last is not None and seq <= last:
             return
         version = old[3] if old else None
-        if gone:
+        if newest["gone"]:
             self.live.clear()
             self.tomb.update((seq,))
             if old is None:
                 return
             state = "deleted"
         else:
-            state = "new" if old is None else "modified" if old[2] != sha else "unmodified" if old[1] == mtime else "touched"
+            state = "new" if old is None else "modified" if old[2] != sha else "unmodified" if old[1] == at else "touched"
             version = seq if state in CHANGED else version
-            self.live.update((seq, mtime, sha, version))
-            self.tomb.clear()
+            self.live.update((seq, at, sha, version))
+            if old is None and last is not None:
+                self.tomb.clear()
         # what is not analysed again needs no text
-        yield newest.assign(state=state, version=version, content=newest["content"] if state in CHANGED else None)
+        text = newest["content"] if state in CHANGED else None
+        yield Row(path=newest["path"], seq=seq, _at=at, sha256=sha, gone=newest["gone"], content=text, state=state, version=version)
 
     def close(self) -> None:
         pass
@@ -97,8 +94,11 @@ def changed_versions(versions: DataFrame) -> DataFrame:
     and ``seq`` one counts.
     """
     names = [c.split()[0] for c in VERSION.split(", ")]
-    rows = versions.select(*names).filter("path is not null and seq is not null").withColumn("gone", F.coalesce("gone", F.lit(False)))
-    return rows.groupBy("path").transformWithStateInPandas(_Signatures(), VERSION + ", state string, version long", "append", "none")
+    rows = versions.select(*names).filter("path is not null and seq is not null")
+    rows = rows.withColumn("gone", F.coalesce("gone", F.lit(False))).withColumn("_at", F.unix_micros("mtime")).drop("mtime")
+    out = VERSION.replace("mtime timestamp", "_at long") + ", state string, version long"
+    found = rows.groupBy("path").transformWithState(_Signatures(), out, "append", "none")
+    return found.select(*[F.timestamp_micros("_at").alias("mtime") if n == "mtime" else n for n in names], "state", "version")
 
 
 def keep_analysed(versions: DataFrame, analyse: Callable[[DataFrame], DataFrame], sink: str) -> StreamingQuery:
