@@ -17,8 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sediment.operators.tokens import masked_files, nested, parts_of, statements, tokens
-from sediment.shared import delete, new_path
+from sediment.operators.tokens import masked_files, nested, parts_of, scanned_size, statements, tokens
+from sediment.shared import dealt, delete, joined, new_path
 
 SCHEMA = "path string, language string, module string, name string, bases array<string>, attributes array<string>, methods array<string>, is_interface boolean, line int"
 LANGUAGES = ("java", "csharp", "php", "script", "go", "rust")
@@ -58,10 +58,10 @@ def _is(x: Column, *signs: str) -> Column:
     return (x["kind"] == "sign") & (x["angle"] == 0) & x["text"].isin(*signs)
 
 
-def declarations(files: DataFrame) -> DataFrame:
+def declarations(files: DataFrame, parts: int | None = None) -> DataFrame:
     """The statements of all files in brace languages with ``flat``, the form before the first brace, semicolon or, of a
     member, its value; ``body``, the brace block that they open (null: none)."""
-    rows = statements(nested(tokens(files)))
+    rows = statements(nested(tokens(files, parts)))
     t = F.col("t")
     brace = _first(t, lambda x: _is(x, "{"))
     stop = _first(t, lambda x: _is(x, "{", ";"))
@@ -81,9 +81,14 @@ class Parsed:
         df.write.parquet(f"{self.root}/{name}")
         return df.sparkSession.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
+    @cached_property
+    def parts(self) -> int:
+        """The number of tasks for a table of tokens, by the bytes of the files."""
+        return dealt(scanned_size(self.files), self.files.sparkSession.sparkContext.defaultParallelism)
+
     @cached_property
     def rows(self) -> DataFrame:
-        return self._written("rows", declarations(self.files))
+        return self._written("rows", declarations(self.files, self.parts))
 
     @cached_property
     def source(self) -> DataFrame:
@@ -92,11 +97,11 @@ class Parsed:
 
     @cached_property
     def heads(self) -> DataFrame:
-        return self._written("heads", _heads(self.rows))
+        return self._written("heads", _heads(self.rows, self.parts))
 
     @cached_property
     def members(self) -> DataFrame:
-        return self._written("members", annotated_members(self.rows, self.heads, self.source.select("path", "source")))
+        return self._written("members", annotated_members(self.rows, self.heads, self.source.select("path", "source"), self.parts))
 
     def delete(self) -> None:
         """Delete what was written; nothing that was made of it can be computed again."""
@@ -123,7 +128,7 @@ def _cut(source: Column, a: Column, b: Column) -> Column:
     return F.trim(F.regexp_replace(F.substring(source, a + 1, b - a).cast("string"), r"\s+", " "))
 
 
-def _heads(rows: DataFrame) -> DataFrame:
+def _heads(rows: DataFrame, parts: int | None = None) -> DataFrame:
     """``path, language, name, kind, rest, line, body, listed``: declared types; ``listed`` is the block of the parameters
     in the head."""
     flat, language = F.col("flat"), F.col("language")
@@ -131,7 +136,7 @@ def _heads(rows: DataFrame) -> DataFrame:
     go = language == "go"
     # types of a Go group stand without their word in the group's block
     groups = rows.filter(go & (flat == "type ( )")).select("path", F.element_at("t", 2)["i"].alias("block"), F.lit(True).alias("_grouped"))
-    found = rows.join(groups, ["path", "block"], "left").filter(~go | flat.startswith("type ") | F.col("_grouped"))
+    found = joined(rows, groups, ["path", "block"], "left", parts).filter(~go | flat.startswith("type ") | F.col("_grouped"))
     kind, name = F.when(go, which(2)).otherwise(which(1)), F.when(go, which(1)).otherwise(which(2))
     paren = _first(F.col("t"), lambda x: _is(x, "("))
     named = _first(F.col("t"), lambda x: (x["text"] == F.col("name")) & (x["kind"] == "word"))
@@ -169,14 +174,14 @@ def brace_classes(files: DataFrame | Parsed, language: str | None = None) -> Dat
 
     owners = heads.filter("body is not null").select("path", "name", "kind", F.col("line").alias("owner_line"), F.col("body").alias("block"))
     impls = rows.filter((F.col("language") == "rust") & F.col("flat").rlike(_IMPL)).select("path", F.regexp_extract("flat", _IMPL, 1).alias("name"), F.lit("impl").alias("kind"), F.element_at("t", 1)["line"].alias("owner_line"), F.col("body").alias("block"))
-    inner = rows.join(owners.unionByName(impls), ["path", "block"]).filter(~_declares())
-    members = inner.join(source, "path")
-    parts = _methods(members).unionByName(_fields(members)).unionByName(_listed(heads, rows, source)).unionByName(_receivers(rows, source)).unionByName(_functions(rows, source))
+    inner = joined(rows, owners.unionByName(impls), ["path", "block"], parts=of.parts).filter(~_declares())
+    members = joined(inner, source, ["path"], parts=of.parts)
+    parts = _methods(members).unionByName(_fields(members)).unionByName(_listed(heads, rows, source, of.parts)).unionByName(_receivers(rows, source, of.parts)).unionByName(_functions(rows, source, of.parts))
     none, strings = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
     found = heads.select("path", "language", "name", "kind", "line", _bases(F.col("rest")).alias("bases"), none.alias("field"), none.alias("method"), F.lit(-1).alias("at"))
     found = found.unionByName(impls.select("path", F.lit("rust").alias("language"), "name", "kind", F.col("owner_line").alias("line"), strings.alias("bases"), none.alias("field"), none.alias("method"), F.lit(-1).alias("at")))
     found = found.unionByName(parts.select("path", "language", "name", "kind", "line", strings.alias("bases"), "field", "method", "at"))
-    found = found.join(spaces, "path", "left").withColumn("module", F.coalesce("space", _module(F.col("path"))))
+    found = joined(found, spaces, ["path"], "left", of.parts).withColumn("module", F.coalesce("space", _module(F.col("path"))))
     # one package's files make up a Go or Rust type together, other classes are their file's
     own = F.when(~F.col("language").isin("go", "rust"), F.col("path"))
     ordered = lambda c: F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("path", "at", F.col(c).alias("v"))))), lambda x: x["v"]))
@@ -294,17 +299,19 @@ def _fields(members: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [keep(typed), keep(property_), keep(php), keep(named), keep(go), keep(embedded, "method"), keep(variants), keep(fields)])
 
 
-def annotated_members(rows: DataFrame, heads: DataFrame, source: DataFrame) -> DataFrame:
+def annotated_members(rows: DataFrame, heads: DataFrame, source: DataFrame, parts: int | None = None) -> DataFrame:
     """``path, language, owner, owner_notes, at, notes, type, name``: the fields of Java classes, the properties of C# classes
     or the typed members of scripts' classes, and what their records list, with the annotations, attributes or decorators
     before them and before their class."""
     annotated = F.col("language").isin("java", "csharp", "script")
     rows, heads, t = rows.filter(annotated), heads.filter(annotated), F.col("t")
     place = F.greatest(_first(t, lambda x: (x["line"] == F.col("line")) & (x["text"] == F.col("name"))), F.lit(1))
-    told = heads.join(rows.select("path", "t", F.explode(F.transform("t", lambda x: x["i"])).alias("i")), [heads["path"] == rows["path"], F.coalesce("body", "listed") == F.col("i")]).drop(rows["path"]).join(source, "path")
+    told = joined(heads.withColumn("i", F.coalesce("body", "listed")), rows.select("path", "t", F.explode(F.transform("t", lambda x: x["i"])).alias("i")), ["path", "i"], parts=parts)
+    told = joined(told, source, ["path"], parts=parts)
     told = told.select("path", "name", "kind", "body", "listed", _cut(F.col("source"), F.element_at(t, 1)["at"], F.element_at(t, place)["at"]).alias("owner_notes"))
     blocks = told.select("path", F.col("name").alias("owner"), "owner_notes", F.explode(F.array_compact(F.array("body", "listed"))).alias("block"), "listed", "kind")
-    inner = rows.join(blocks.filter("kind != 'enum'"), ["path", "block"]).filter(~_declares() | (F.col("block") == F.col("listed"))).join(source, "path")
+    inner = joined(rows, blocks.filter("kind != 'enum'"), ["path", "block"], parts=parts).filter(~_declares() | (F.col("block") == F.col("listed")))
+    inner = joined(inner, source, ["path"], parts=parts)
     listed = F.coalesce(F.col("block") == F.col("listed"), F.lit(False))
     each = inner.select("path", "language", "owner", "owner_notes", "source", listed.alias("listed"), F.explode(F.when(listed, parts_of(t)).otherwise(F.array("t"))).alias("t"))
     language = F.col("language")
@@ -326,24 +333,24 @@ def annotated_members(rows: DataFrame, heads: DataFrame, source: DataFrame) -> D
     return out.select("path", "language", "owner", "owner_notes", F.element_at(t, 1)["i"].alias("at"), notes.alias("notes"), kind.alias("type"), name.alias("name"))
 
 
-def entries(rows: DataFrame, opened: DataFrame, source: DataFrame, angles: bool = False) -> DataFrame:
+def entries(rows: DataFrame, opened: DataFrame, source: DataFrame, angles: bool = False, parts: int | None = None) -> DataFrame:
     """The comma-parted entries of blocks: ``opened`` has ``path, block`` and what else is known of a block; ``text`` is an
     entry's source in one line, ``at`` its place, ``t`` its tokens."""
-    inner = rows.select("path", "block", "t").join(opened, ["path", "block"])
-    each = inner.select(*opened.columns, F.explode(parts_of(F.col("t"), angles=angles)).alias("t")).join(source, "path")
+    inner = joined(rows.select("path", "block", "t"), opened, ["path", "block"], parts=parts)
+    each = joined(inner.select(*opened.columns, F.explode(parts_of(F.col("t"), angles=angles)).alias("t")), source, ["path"], parts=parts)
     t = F.col("t")
     return each.select(*opened.columns, F.element_at(t, 1)["i"].alias("at"), _cut(F.col("source"), F.element_at(t, 1)["at"], F.element_at(t, -1)["until"]).alias("text"), "t", "source")
 
 
-def _listed(heads: DataFrame, rows: DataFrame, source: DataFrame) -> DataFrame:
+def _listed(heads: DataFrame, rows: DataFrame, source: DataFrame, parts: int) -> DataFrame:
     """Members among parameters: those of a record or primary constructor, of a tuple struct by their place, and those of a
     constructor with a modifier."""
     primary = heads.filter("listed is not null").filter(F.col("language").isin("java", "csharp", "rust")).select("path", "name", "kind", F.col("line").alias("owner_line"), F.col("listed").alias("block"), F.lit(True).alias("primary"))
     owners = heads.filter("body is not null").filter(F.col("language").isin("php", "script")).select("path", "name", "kind", F.col("line").alias("owner_line"), F.col("body").alias("block"))
-    calls = rows.join(owners, ["path", "block"]).filter(F.col("flat").rlike(r"\b(?:__construct|constructor) \( \)"))
+    calls = joined(rows, owners, ["path", "block"], parts=parts).filter(F.col("flat").rlike(r"\b(?:__construct|constructor) \( \)"))
     paren = _first(F.col("t"), lambda x: _is(x, "("))
     inner = calls.select("path", "name", "kind", "owner_line", F.element_at("t", paren)["i"].alias("block"), F.lit(False).alias("primary"))
-    given = rows.join(primary.unionByName(inner), ["path", "block"]).join(source, "path")
+    given = joined(joined(rows, primary.unionByName(inner), ["path", "block"], parts=parts), source, ["path"], parts=parts)
     each = given.select("path", "language", "name", "kind", "owner_line", "source", "primary", F.posexplode(parts_of(F.col("t"))).alias("n", "t"))
     t, language = F.col("t"), F.col("language")
     promoted = F.exists(t, lambda x: (x["kind"] == "word") & x["text"].isin("public", "private", "protected", "readonly"))
@@ -362,13 +369,13 @@ def _listed(heads: DataFrame, rows: DataFrame, source: DataFrame) -> DataFrame:
     return each.select("path", "language", "name", "kind", F.col("owner_line").alias("line"), field.alias("field"), F.lit(None).cast("string").alias("method"), F.element_at(t, 1)["i"].alias("at"))
 
 
-def _receivers(rows: DataFrame, source: DataFrame) -> DataFrame:
+def _receivers(rows: DataFrame, source: DataFrame, parts: int) -> DataFrame:
     """Go's functions of a receiver, as methods of its type."""
     shape = r"^func \( \) (\w+) \( \)"
     t = F.col("t")
     called = rows.filter((F.col("language") == "go") & F.col("flat").rlike(shape)).select("path", "language", "t", "stop", "flat", F.element_at("t", 2)["i"].alias("block"), F.element_at("t", 1)["line"].alias("line"))
     types = rows.filter("language = 'go'").select("path", "block", F.element_at(F.filter("t", lambda x: x["kind"] == "word"), -1)["text"].alias("name"))
-    found = called.join(types, ["path", "block"]).join(source, "path")
+    found = joined(joined(called, types, ["path", "block"], parts=parts), source, ["path"], parts=parts)
     stop = F.when(F.col("stop") <= F.size(t), F.element_at(t, F.least(F.col("stop"), F.size(t)))["at"]).otherwise(F.element_at(t, -1)["until"])
     after = _cut(F.col("source"), F.element_at(t, 6)["until"], stop)
     suffix = F.when(after != "", F.concat(F.lit(" "), after)).otherwise(F.lit(""))
@@ -376,10 +383,11 @@ def _receivers(rows: DataFrame, source: DataFrame) -> DataFrame:
     return found.select("path", "language", "name", F.lit("struct").alias("kind"), "line", F.lit(None).cast("string").alias("field"), method.alias("method"), F.element_at(t, 1)["i"].alias("at"))
 
 
-def _functions(rows: DataFrame, source: DataFrame) -> DataFrame:
+def _functions(rows: DataFrame, source: DataFrame, parts: int) -> DataFrame:
     """Components and handlers of scripts at the top of their file: what they take, as one method."""
     flat = F.col("flat")
-    tops = rows.filter((F.col("language") == "script") & (F.col("block") == -1) & flat.rlike(f"{_FUNCTION}|{_ARROW}")).join(source, "path")
+    tops = rows.filter((F.col("language") == "script") & (F.col("block") == -1) & flat.rlike(f"{_FUNCTION}|{_ARROW}"))
+    tops = joined(tops, source, ["path"], parts=parts)
     function = flat.rlike(_FUNCTION)
     name = F.when(function, F.regexp_extract(flat, _FUNCTION, 1)).otherwise(F.regexp_extract(flat, _ARROW, 1))
     t = F.col("t")

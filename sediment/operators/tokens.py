@@ -156,10 +156,17 @@ _TOKEN = "path string, language string, i int, line int, at int, until int, kind
 _HELD = 50_000
 
 
-def tokens(files: DataFrame) -> DataFrame:
+def tokens(files: DataFrame, parts: int | None = None) -> DataFrame:
     """``path, language, i, line, at, until, kind, text``: the tokens of the files in a known language without comments;
-    ``i`` counts them, ``at`` and ``until`` are places in the UTF-8 bytes. Files without a content have none."""
-    return _scanned_files(files).mapInArrow(_tokenize, _TOKEN)
+    ``i`` counts them, ``at`` and ``until`` are places in the UTF-8 bytes. Files without a content have none. With ``parts``
+    they are dealt by path to as many tasks; tokens compress so well that by their size in a shuffle few tasks got all."""
+    found = _scanned_files(files).mapInArrow(_tokenize, _TOKEN)
+    return found.repartition(parts, "path") if parts else found
+
+
+def scanned_size(files: DataFrame) -> int:
+    """The bytes of all files in a known language."""
+    return _scanned_files(files).agg(F.sum(F.octet_length("content"))).first()[0] or 0
 
 
 def _tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,11 +201,10 @@ def nested(found: DataFrame) -> DataFrame:
     open_ = F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(order)
     deep = found.withColumn("depth", (open_ - opens.cast("int")).cast("int")).withColumn("opens", opens)
     # an opening bracket stands once more at the level of what it holds, before it
-    kept = found.columns
-    heads = deep.filter("opens").select(*kept, (F.col("depth") + 1).alias("depth"), F.col("i").alias("head"))
-    inner = deep.select(*kept, "depth", F.lit(None).cast("int").alias("head"))
+    own = F.struct("depth", F.lit(None).cast("int").alias("head"))
+    places = F.when(F.col("opens"), F.array(F.struct((F.col("depth") + 1).alias("depth"), F.col("i").alias("head")), own)).otherwise(F.array(own))
     level = Window.partitionBy("path", "depth").orderBy("i", F.col("head").isNull())
-    held = heads.unionByName(inner).withColumn("block", F.coalesce(F.last("head", ignorenulls=True).over(level), F.lit(-1)))
+    held = deep.select(*found.columns, F.inline(places)).withColumn("block", F.coalesce(F.last("head", ignorenulls=True).over(level), F.lit(-1)))
     return held.filter("head is null").drop("head")
 
 

@@ -36,6 +36,20 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(size: int, cores: int) -> int:
+    """The number of tasks for source texts of ``size`` bytes in all: no task holds what comes of more than half a megabyte
+    (a token takes some hundred bytes), and small ones still go to all cores."""
+    return max(1, -(-size // (1 << 19)), min(cores, -(-size // (1 << 16))))
+
+
+def joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", parts: int | None = None) -> DataFrame:
+    """A join for tables that compress well. Their size on disk or in a shuffle says little of what they take in memory, so
+    nothing is broadcast by it, and with ``parts`` both sides go to as many tasks, which aren't merged by it."""
+    if parts:
+        left, right = left.repartition(parts, *on), right.repartition(parts, *on)
+    return left.join(right.hint("merge"), on, how)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared file system, if it is there."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

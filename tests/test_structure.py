@@ -240,3 +240,17 @@ def test_masked(language, source, code):
     assert len(plain) == len(source) and plain.count("\n") == source.count("\n")
     assert [plain[a:b] for kind, a, b in scanned(source, language) if kind not in ("comment", "string")] == code
     assert all(not plain[a:b].strip() for kind, a, b in scanned(source, language) if kind in ("comment", "string"))
+
+
+def test_parsed_tables_are_dealt_by_bytes_and_not_broadcast(spark):
+    """Tokens compress so well that by their size in a file or a shuffle they were broadcast, and few tasks got all."""
+    from sediment.shared import dealt
+
+    files = from_rows(spark, {f"a/C{k}.cs": f"public class C{k} : B {{ public int Id {{ get; set; }} public void Run(int x) {{ }} }}\n" for k in range(40)})
+    of = structure.Parsed(files)
+    of.rows, of.heads, of.source  # noqa: B018 - written before the plan that reads them
+    found = structure.brace_classes(of, "csharp")
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 40
+    assert structure.tokens(files, 7).rdd.getNumPartitions() == 7
+    assert dealt(0, 8) == 1 and dealt(1 << 18, 8) == 4 and dealt(60 << 20, 8) == 120 and dealt(360 << 20, 8) == 720
