@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
-def lines_of(text: Column) -> Column:
-    """The lines of a text as an array, without an empty last one."""
-    parts = F.split(text, LINE_END)
+def lines_of(text: Column, end: str = LINE_END) -> Column:
+    """The lines of a text as an array, without an empty last one; ``end`` is a pattern of what ends a line."""
+    parts = F.split(text, end)
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 

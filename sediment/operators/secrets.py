@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -52,11 +54,11 @@ EXPOSING = (".py", ".js", ".ts", ".cs", ".java", ".php", ".rb")
 WEIGHTS = {"CRITICAL": 20, "HIGH": 10, "WARNING": 3}
 
 
-def guarded(text: Column, longest: int = 500) -> Column:
+def guarded(text: Column, longest: int = 500, reads: Sequence[str] = ENV_READS) -> Column:
     """Whether a line is worth scanning: not too long, no comment, no read of an environment variable, no sample."""
     bare = F.trim(text)
     plain = (F.length(text) <= longest) & ~bare.startswith("#") & ~bare.startswith("//")
-    return plain & ~any_of(text, ENV_READS) & ~any_of(F.upper(text), ("EXAMPLE", "TEMPLATE"))
+    return plain & ~any_of(text, reads) & ~any_of(F.upper(text), ("EXAMPLE", "TEMPLATE"))
 
 
 def real_value(value: Column, key: Column, quoted: Column, config: Column) -> Column:
@@ -111,11 +113,19 @@ def findings_of(text: Column, config: Column | None = None) -> Column:
     return F.when(guarded(text) & text.rlike(HINT), every)
 
 
-def line_findings(lines: DataFrame, keys: tuple[str, ...] = ("path",), config: Column | None = None) -> DataFrame:
+def chosen_findings(text: Column, rules: Sequence[tuple[str, str, str, str]], hint: Column, worth: Column) -> Column:
+    """What ``findings_of`` gives, for rules of one's own: (type, severity, category, pattern), of which group 1 is the value.
+    Only lines for which ``hint`` and then ``worth`` hold are looked at; local addresses are none."""
+    found = [_each(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lit(kind), F.lit(severity), category) for kind, severity, category, pattern in rules]
+    local = lambda f: (f["type"] == "Hardcoded IP") & (f["_value"].startswith("127.") | (f["_value"] == "0.0.0.0"))
+    return F.when(hint & worth, F.filter(F.array_distinct(F.concat(*found)), lambda f: ~local(f)))
+
+
+def line_findings(lines: DataFrame, keys: tuple[str, ...] = ("path",), config: Column | None = None, found: Column | None = None) -> DataFrame:
     """The key columns, ``line, type, severity, category, message`` of the credentials and addresses in lines (``line``,
-    ``text``). All rules look at a line in one projection; equal findings of one line count once. Values never come
-    out."""
-    rows = lines.select(*keys, "line", F.explode(findings_of(F.col("text"), config)).alias("f"))
+    ``text``): those of all rules, or ``found``. All rules look at a line in one projection; equal findings of one line count
+    once. Values never come out."""
+    rows = lines.select(*keys, "line", F.explode(findings_of(F.col("text"), config) if found is None else found).alias("f"))
     return rows.select(*keys, "line", "f.type", "f.severity", "f.category", F.lit(f"Match: {MARK}").alias("message"))
 
 
