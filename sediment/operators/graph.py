@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sediment.shared import cut
+from sediment.shared import cut, joined
 
 KINDS = ("CLASS", "INTERFACE", "ENTITY", "ENDPOINT", "MODULE", "PACKAGE", "SERVICE")
 EDGE_KINDS = ("INHERITS", "IMPLEMENTS", "HAS_ONE", "HAS_MANY", "BELONGS_TO", "MANY_TO_MANY", "DEPENDS_ON", "CALLS", "ROUTES_TO")
@@ -15,14 +15,15 @@ EDGE_KINDS = ("INHERITS", "IMPLEMENTS", "HAS_ONE", "HAS_MANY", "BELONGS_TO", "MA
 def reach(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
     """``start, vertex, depth`` of what follows ``edges`` (src, dst) from ``starts`` (start), the start itself left out,
     at the least depth. A frontier moves on by joins until it finds nothing new, or for ``max_depth`` steps; each step
-    is written down, so a lost executor costs no earlier step."""
+    is written down, so a lost executor costs no earlier step. No step is broadcast: edges compress well, and what is small
+    on disk need not be small on the driver."""
     links = cut(edges.select("src", "dst").distinct(), "links")
     frontier = cut(starts.select("start", F.col("start").alias("vertex"), F.lit(0).alias("depth")).distinct(), "starts")
     seen, depth = frontier, 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        found = frontier.join(links, frontier["vertex"] == links["src"]).select("start", F.col("dst").alias("vertex")).distinct()
-        frontier = cut(found.join(seen, ["start", "vertex"], "left_anti").withColumn("depth", F.lit(depth)), f"hop{depth}")
+        found = joined(frontier.withColumnRenamed("vertex", "src"), links, ["src"]).select("start", F.col("dst").alias("vertex")).distinct()
+        frontier = cut(joined(found, seen, ["start", "vertex"], "left_anti").withColumn("depth", F.lit(depth)), f"hop{depth}")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)

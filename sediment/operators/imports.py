@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sediment.functions.text import any_of, folders, groups, normalized_path
+from sediment.shared import joined
 from sediment.sources.repo import IGNORED
 
 #: What may follow a module's path, in the order in which it is tried.
@@ -49,7 +50,7 @@ def first_candidate(rows: DataFrame, keys: list[str], options: Column, targets:
     ``target``: the keys and that column. Rows without any are left out. An equi-join on the options; the least
     position is aggregated, so no row's options are gathered."""
     tried = rows.select(*keys, F.posexplode(options).alias("_at", target)).filter(F.col(target).isNotNull())
-    hits = tried.join(targets.select(target).distinct(), target)
+    hits = joined(tried, targets.select(target).distinct(), [target])
     return hits.groupBy(*keys).agg(F.min(F.struct("_at", target)).alias("_first")).select(*keys, f"_first.{target}")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sediment.operators.graph import reach
 from sediment.operators.imports import candidates, first_candidate, heat_class
-from sediment.shared import cut
+from sediment.shared import cut, joined
 
 #: A row is a definition (``name`` in full, ``head`` its kind), a base of a class, an import (``name`` is the alias,
 #: ``head`` the module, ``tail`` what is taken from it) or a call of ``head`` or of its member ``tail``, by ``scope``.
@@ -169,7 +169,7 @@ def _meant(wanted: DataFrame, links: DataFrame, known: DataFrame) -> DataFrame:
     definition goes before a module."""
     wanted = cut(wanted.distinct(), "wanted")
     every = wanted.select("start", F.col("start").alias("vertex"), F.lit(0).alias("depth")).unionByName(reach(links, wanted))
-    hits = every.join(known.select(F.col("id").alias("vertex"), "kind"), "vertex")
+    hits = joined(every, known.select(F.col("id").alias("vertex"), "kind"), ["vertex"])
     order = F.struct((F.col("kind") == "module").alias("m"), "depth", "vertex")
     return hits.groupBy("start").agg(F.min(order).alias("x")).select("start", "x.vertex")
 
@@ -192,29 +192,30 @@ def resolved_calls(files: DataFrame, rows: DataFrame | None = None) -> DataFrame
     cuts = F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.struct(F.array_join(F.slice(words, 1, i), ".").alias("own"), F.array_join(F.slice(words, i + 1, F.size(words)), ".").alias("rest")))
     parts = calls.select("path", "ord", F.explode(cuts).alias("c")).select("path", "ord", key(F.col("path"), F.col("c.own")).alias("start"), F.length("c.own").alias("_n"), "c.rest")
     own = cut(_meant(parts.select("start"), links, known), "heads")
-    first = parts.join(own, "start").groupBy("path", "ord").agg(F.max_by(F.struct("vertex", "rest"), "_n").alias("x")).select("path", "ord", "x.*")
+    first = joined(parts, own, ["start"]).groupBy("path", "ord").agg(F.max_by(F.struct("vertex", "rest"), "_n").alias("x")).select("path", "ord", "x.*")
     # members: of a module by its own names and aliases, of a class by its methods and those of its bases
-    first = cut(first.join(known.select(F.col("id").alias("vertex"), "kind"), "vertex"), "first")
+    first = cut(joined(first, known.select(F.col("id").alias("vertex"), "kind"), ["vertex"]), "first")
     inner = first.filter("kind = 'module' and rest != ''").withColumn("_rest", F.split("rest", r"\."))
     depth = F.transform(F.sequence(F.lit(1), F.size("_rest")), lambda i: F.struct(F.array_join(F.slice("_rest", 1, i), ".").alias("own"), F.array_join(F.slice("_rest", i + 1, F.size("_rest")), ".").alias("rest")))
     inner = inner.select("path", "ord", "vertex", F.explode(depth).alias("c")).select("path", "ord", F.concat("vertex", "c.own").alias("start"), F.length("c.own").alias("_n"), "c.rest")
-    within = inner.join(_meant(inner.select("start"), links, known), "start").groupBy("path", "ord").agg(F.max_by(F.struct("vertex", "rest"), "_n").alias("x")).select("path", "ord", "x.*")
-    within = within.join(known.select(F.col("id").alias("vertex"), "kind"), "vertex")
+    within = joined(inner, _meant(inner.select("start"), links, known), ["start"]).groupBy("path", "ord").agg(F.max_by(F.struct("vertex", "rest"), "_n").alias("x")).select("path", "ord", "x.*")
+    within = joined(within, known.select(F.col("id").alias("vertex"), "kind"), ["vertex"])
     found = cut(first.filter("kind != 'module'").unionByName(within, allowMissingColumns=True).filter("kind != 'module'"), "found")
     places = calls.select("path", "ord", "what", "name", "_up", "tail")
-    bases = found.join(places.filter("what = 'base'"), ["path", "ord"]).filter("kind = 'class' and rest = ''")
+    bases = joined(found, places.filter("what = 'base'"), ["path", "ord"]).filter("kind = 'class' and rest = ''")
     bases = cut(bases.select(key(F.col("path"), F.col("name")).alias("src"), F.col("vertex").alias("dst")), "bases")
-    members = found.join(places.filter("what = 'call'"), ["path", "ord"]).filter("kind = 'class'")
+    members = joined(found, places.filter("what = 'call'"), ["path", "ord"]).filter("kind = 'class'")
     member = F.when(F.col("_up"), F.col("tail")).otherwise(F.when(F.col("rest").rlike(r"^[^.]+$"), F.col("rest")))
     members = cut(members.select("path", "ord", "vertex", "_up", member.alias("member")), "members")
     asked = members.filter("member is not null")
     above = reach(bases, asked.select(F.col("vertex").alias("start")))
     line = above.select("start", F.col("vertex").alias("owner"), "depth").unionByName(asked.filter("not _up").select(F.col("vertex").alias("start"), F.col("vertex").alias("owner"), F.lit(0).alias("depth")).distinct())
-    hits = asked.join(line, asked["vertex"] == line["start"]).filter("depth > 0 or not _up").select("path", "ord", "depth", F.concat("owner", F.lit("."), "member").alias("id")).join(known, "id")
+    hits = joined(asked.withColumnRenamed("vertex", "start"), line, ["start"]).filter("depth > 0 or not _up").select("path", "ord", "depth", F.concat("owner", F.lit("."), "member").alias("id"))
+    hits = joined(hits, known, ["id"])
     methods = hits.groupBy("path", "ord").agg(F.min(F.struct("depth", "id", "kind")).alias("x")).select("path", "ord", F.col("x.id").alias("_method"), F.col("x.kind").alias("_kind"))
     # what a function gives has no known members
     plain = found.filter("kind = 'class' or rest = ''").withColumnRenamed("vertex", "_first").withColumnRenamed("kind", "_first_kind").drop("rest")
-    out = calls.filter("what = 'call'").join(plain, ["path", "ord"], "left").join(methods, ["path", "ord"], "left")
+    out = joined(joined(calls.filter("what = 'call'"), plain, ["path", "ord"], "left"), methods, ["path", "ord"], "left")
     up = F.col("_up") & F.col("_method").isNull()  # what no base in the repository has
     return out.select(
         key(F.col("path"), F.when(F.col("scope") != "", F.col("scope"))).alias("src"),

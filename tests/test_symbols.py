@@ -3,6 +3,7 @@
 import pytest
 from sediment.operators import imports, routes, symbols
 from sediment.plans.engine import Engine
+from sediment.sources.repo import from_rows
 
 FILES = {
     "app/__init__.py": "",
@@ -119,3 +120,12 @@ def test_calls_keep_their_order(engine):
 def test_no_files(spark):
     files = Engine.of(spark, {"a.txt": "x", "b.py": "def ("}).files
     assert symbols.resolved_calls(files).count() == 0
+
+
+def test_calls_and_reach_are_not_broadcast(spark):
+    """Symbols compress well: what is small on disk was broadcast, and went through the driver at every step."""
+    files = from_rows(spark, {f"a{k}.py": f"class A{k}:\n    def f(self):\n        return self.g()\n\n    def g(self):\n        return 1\n" for k in range(5)})
+    calls = symbols.resolved_calls(files)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan(calls)
+    assert calls.filter("dst is not null").count() == 5
