@@ -235,6 +235,6 @@ def route_reach(found: DataFrame, calls: DataFrame, edges: DataFrame) -> DataFra
     starts = found.filter("handler is not null").select("method", "route", key(F.col("path"), F.col("handler")).alias("start"))
     got = reach(links, starts.select("start"))
     degree = edges.groupBy(F.col("dst").alias("_file")).agg(F.count(F.lit(1)).alias("_n"))
-    got = got.withColumn("_file", F.substring_index("vertex", "#", 1)).join(degree, "_file", "left")
+    got = joined(got.withColumn("_file", F.substring_index("vertex", "#", 1)), degree, ["_file"], "left")
     got = got.select("start", "vertex", "depth", heat_class(F.coalesce("_n", F.lit(0))).alias("risk"))
-    return starts.distinct().join(got, "start").select("method", "route", "start", "vertex", "depth", "risk")
+    return joined(starts.distinct(), got, ["start"]).select("method", "route", "start", "vertex", "depth", "risk")

@@ -129,3 +129,6 @@ def test_calls_and_reach_are_not_broadcast(spark):
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan(calls)
     assert calls.filter("dst is not null").count() == 5
+    reached = symbols.route_reach(spark.createDataFrame([("GET", "/", "a1.py", "A1.f")], "method string, route string, path string, handler string"), calls, spark.createDataFrame([("a2.py", "a1.py")], "src string, dst string"))
+    assert "Broadcast" not in plan(reached)
+    assert [r["vertex"] for r in reached.collect()] == ["a1.py#A1.g"]
