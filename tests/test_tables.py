@@ -62,3 +62,20 @@ def test_all_rules_over_documents(spark, tmp_path):
     spark.createDataFrame([(0, ODD[0])], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     kinds = {r["type"] for r in tables.QUERIES["document_credentials"](spark, str(tmp_path)).collect()}
     assert kinds == {"Access Token", "AWS Access Key", "Database Password", "API Key"}
+
+
+@pytest.mark.parametrize("name", ["debt_statistics", "health_by_language"])
+def test_documents_are_read_once(spark, name):
+    plan = tables.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+
+
+def test_hints_hold_wherever_a_marker_matches(spark):
+    from pyspark.sql import functions as F
+    from sediment.operators import debt
+
+    texts = ["LICENSED under x", "LiCence", "copyRIGHT 1", 'token = "a"', "a@b.c", "1.2.3.4", "a @ b", "tokens", "none"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(
+        debt.first_marker(F.col("text"), tables.DOCUMENT_MARKERS).alias("plain"), tables.document_marker(F.col("text")).alias("hinted")
+    )
+    assert all(r["plain"] == r["hinted"] for r in rows.collect())
