@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sediment.llm.common import cut, slices
+from sediment.llm.common import cut, lean, slices
 
 #: Bytes that a boundary depends on; least, mean (a power of two, above the least) and most bytes of a chunk.
 WINDOW, LEAST, MEAN, MOST = 16, 512, 4096, 65536
@@ -93,8 +93,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     share one, their bytes tell them apart. Other columns are ignored; an empty table gives an empty result.
     """
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalized(F.col(text_col)).alias("text"))
-    recipes = cut(chosen.mapInArrow(_recipes(hash_bytes), "doc_id long, text_sha256 string, recipe binary"), "recipes")
-    chunks = chosen.select("text").mapInArrow(_chunks(hash_bytes), "hash binary, chunk binary")
+    recipes = cut(chosen.mapInArrow(lean(_recipes(hash_bytes)), "doc_id long, text_sha256 string, recipe binary"), "recipes")
+    chunks = chosen.select("text").mapInArrow(lean(_chunks(hash_bytes)), "hash binary, chunk binary")
     # equal bytes under one hash: its identifier is verified
     clashes = cut(chunks.groupBy("hash").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high")).filter("low != high").select("hash"), "clashes")
     if clashes.isEmpty():
@@ -125,7 +125,7 @@ def _numbered(chosen: DataFrame, recipes: DataFrame, clashes: DataFrame, hash_by
 
     # the digest serves as a row key here; the bytes of the chunks decide
     texts = chosen.select(F.sha2("text", 256).alias("text_sha256"), "text")
-    placed = cut(texts.mapInArrow(at, "text_sha256 string, position int, hash binary, chunk binary").join(clashes, "hash", "left_semi").distinct(), "clashing")
+    placed = cut(texts.mapInArrow(lean(at), "text_sha256 string, position int, hash binary, chunk binary").join(clashes, "hash", "left_semi").distinct(), "clashing")
     numbers = placed.select("hash", "chunk").distinct().withColumn("number", F.row_number().over(Window.partitionBy("hash").orderBy("chunk")))
     lists = placed.join(numbers, ["hash", "chunk"]).groupBy("text_sha256").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "number"))), lambda x: x["number"].cast("string")), ",").alias("numbers")

@@ -25,11 +25,13 @@ def statistics(text: Column) -> dict[str, Column]:
     """Bin numbers (0 to BINS - 1) of a text's statistics: shares of symbols, capitals and digits among its
     characters, of distinct words among its words, and the mean length of a word."""
     size = F.greatest(F.length(text), F.lit(1))
+    # to count a pattern's matches, Spark lists them all
+    left_without = lambda pattern: F.length(F.regexp_replace(text, pattern, ""))
     words = F.split(text, " ")
     values = {
-        "symbols": F.regexp_count(text, F.lit(r"[^\p{L}\p{N}\s.,]")) / size * 40,
-        "capitals": F.regexp_count(text, F.lit(r"\p{Lu}")) / size * 40,
-        "digits": F.regexp_count(text, F.lit(r"[0-9]")) / size * 40,
+        "symbols": left_without(r"[\p{L}\p{N}\s.,]+") / size * 40,
+        "capitals": left_without(r"\P{Lu}+") / size * 40,
+        "digits": left_without(r"[^0-9]+") / size * 40,
         "distinct": F.size(F.array_distinct(words)) / F.size(words) * 24,
         "length": size / F.size(words) * 2,
     }

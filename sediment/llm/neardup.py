@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sediment.llm.common import BROADCAST_IDS, Scratch, slices, small_batches
+from sediment.llm.common import BROADCAST_IDS, Scratch, lean, slices, small_batches
 from sediment.llm.common import cut as written
 from sediment.llm.components import connected_components
 
@@ -197,14 +197,14 @@ def _verified(pairs: DataFrame, features: DataFrame, cut) -> DataFrame:
     sig = features.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("signature").alias("sb"))
     sig_a = features.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("signature").alias("sa"))
     both = sig.join(_small(pairs), "b").join(_of_pivots(pairs, sig_a, "sa", cut), "a").select("a", "b", "na", "nb", "sa", "sb")
-    return cut(both.mapInArrow(_likely, "a long, b long"), "likely")
+    return cut(both.mapInArrow(lean(_likely), "a long, b long"), "likely")
 
 
 def _links(likely: DataFrame, sets: DataFrame, percent: int, cut) -> DataFrame:
     """The pairs that are links, by their whole sets."""
     whole = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")).join(_small(likely), "b")
     whole = whole.join(_of_pivots(likely, sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "x", cut), "a").select("a", "b", "x", "y")
-    return cut(whole.mapInArrow(_confirmed(percent), "a long, b long"), "links")
+    return cut(whole.mapInArrow(lean(_confirmed(percent)), "a long, b long"), "links")
 
 
 def _merged(labels: DataFrame | None, links: DataFrame, cut) -> DataFrame:
@@ -246,7 +246,7 @@ def _likely_in_buckets(members: DataFrame, features: DataFrame, sets: DataFrame,
     """The pairs of open buckets' members in different components whose sizes and bit signatures allow a link, each
     once. The members of a large bucket are dealt into parts, each of which meets the whole bucket in a task."""
     own = members.groupBy("id").agg(F.collect_list(F.struct("band", "bucket")).alias("own"))  # BANDS at most
-    bits = sets.join(own.select("id"), "id", "left_semi").mapInArrow(_bits, "id long, " + ", ".join(f"{c} long" for c in _BIT_COLUMNS))
+    bits = sets.join(own.select("id"), "id", "left_semi").mapInArrow(lean(_bits), "id long, " + ", ".join(f"{c} long" for c in _BIT_COLUMNS))
     profile = cut(features.select("id", "n_shingles").join(bits, "id").join(own, "id"), "profiles")
     parts = F.ceil(F.col("size") / F.lit(SALT)).cast("int")
     earlier = F.transform(F.filter("own", lambda o: o["band"] < F.col("band")), lambda o: o["bucket"])
@@ -278,7 +278,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     with small_batches(docs.sparkSession), Scratch(docs.sparkSession) as scratch:
         cut = scratch.cut
-        rows = cut(chosen.withColumn("tag", F.monotonically_increasing_id()).mapInArrow(_features, _FEATURES), "features")
+        rows = cut(chosen.withColumn("tag", F.monotonically_increasing_id()).mapInArrow(lean(_features), _FEATURES), "features")
         linked = rows.filter("doc_id is not null and set_key is not null")
         first = F.min(F.struct(F.col("doc_id").alias("id"), "tag")).alias("f")
         classes = cut(linked.groupBy("set_key").agg(first).select("set_key", "f.id", F.col("f.tag").alias("first")), "classes")
@@ -296,7 +296,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
         weights = cut(sized.groupBy("id").agg(F.sum("n").alias("weight")), "weights")
         members = cut(sized.join(_small(weights), "id").select(*_MEMBER), "members")
         scratch.drop(sized)
-        sets = cut(_texts(chosen, weights).mapInArrow(_sets, "id long, shingles binary"), "sets")
+        sets = cut(_texts(chosen, weights).mapInArrow(lean(_sets), "id long, shingles binary"), "sets")
 
         labels, pivots = None, _central(members, cut)
         met = members.join(_small(pivots), "bucket").filter("id != a")

@@ -143,6 +143,11 @@ class UnitEncoder:
 _encoders: dict[str, UnitEncoder] = {}
 
 
+def forget() -> None:
+    """Drop the encoder that this Python worker keeps."""
+    _encoders.clear()
+
+
 def encoder(path: str) -> UnitEncoder:
     """The encoder of a Python worker, which keeps what it remembers from task to task; one tokenizer at a time."""
     if path not in _encoders:

@@ -237,3 +237,27 @@ def test_labelled_sample_is_bounded_and_takes_every_label(spark):
     rows = spark.createDataFrame([(i, f"l{i % 40}") for i in range(4000)] + [(i, "hot") for i in range(9000, 12000)], "doc_id long, lang string")
     found = langid.labelled_sample(rows, "lang", 20, 410).groupBy("lang").count().collect()
     assert len(found) == 41 and all(1 <= r["count"] <= 10 for r in found)
+
+
+def test_statistics_count_without_lists(spark, odd):
+    """What patterns count is the same, without a list of all their matches."""
+    from pyspark.sql import functions as F
+
+    from sediment.llm.mixing import BINS, statistics
+
+    text, size = F.coalesce("text", F.lit("")), F.greatest(F.length(F.coalesce("text", F.lit(""))), F.lit(1))
+    more = odd.select("text").unionByName(spark.createDataFrame([("ÀÉx! 😀𝔸 ٣9 ²½\n #",), ("A1$" * 500,), ("\u0000퟿",)], "text string"))
+    found = statistics(text)
+    for name, pattern in (("symbols", r"[^\p{L}\p{N}\s.,]"), ("capitals", r"\p{Lu}"), ("digits", "[0-9]")):
+        listed = F.least(F.floor(F.regexp_count(text, F.lit(pattern)) / size * 40), F.lit(BINS - 1)).cast("int")
+        assert more.filter(~listed.eqNullSafe(found[name])).count() == 0, name
+    plan = more.select(*found.values())._jdf.queryExecution().analyzed().toString()
+    assert "regexp_count" not in plan and "regexp_extract_all" not in plan
+
+
+def test_lean_steps_drop_what_tokenizers_keep():
+    from sediment.llm import tokens
+    from sediment.llm.common import lean
+
+    tokens._encoders["a file"] = None
+    assert list(lean(lambda batches: (b for b in batches))(iter([1, 2]))) == [1, 2] and not tokens._encoders
