@@ -39,7 +39,7 @@ WORTH = 64
 #: Members of an open bucket that one task compares with the others.
 SALT = 4096
 
-#: Bytes of tables of ids, or of the pivots' signatures or sets, that are broadcast at most.
+#: Bytes of tables of ids, or of the pivots' signatures or texts, that are broadcast at most.
 BROADCAST_BYTES = 16_000_000
 
 _rng = np.random.default_rng(20)
@@ -164,15 +164,20 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirmed(percent: int):
+    """Pairs ``a, b`` whose texts ``x, y`` have sets that are alike enough."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            keep, last, x = np.zeros(batch.num_rows, bool), (), None
+            for k in np.argsort(batch.column(0).to_numpy(), kind="stable").tolist():
+                text = batch.column(2)[k].as_py()
+                if last != (text,):  # a pivot's set is made once for its pairs
+                    last, x = (text,), shingle_set(text)
+                y = shingle_set(batch.column(3)[k].as_py())
                 both = np.concatenate([x, y])
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+                keep[k] = 100 * common >= percent * (len(x) + len(y) - common)
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
@@ -200,10 +205,11 @@ def _verified(pairs: DataFrame, features: DataFrame, cut) -> DataFrame:
     return cut(both.mapInArrow(lean(_likely), "a long, b long"), "likely")
 
 
-def _links(likely: DataFrame, sets: DataFrame, percent: int, cut) -> DataFrame:
-    """The pairs that are links, by their whole sets."""
-    whole = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")).join(_small(likely), "b")
-    whole = whole.join(_of_pivots(likely, sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "x", cut), "a").select("a", "b", "x", "y")
+def _links(likely: DataFrame, texts: DataFrame, percent: int, cut) -> DataFrame:
+    """The pairs that are links, by their whole sets. Texts are moved, as they compress and hashes of shingles don't; the
+    sets are made where they meet."""
+    whole = texts.select(F.col("id").alias("b"), F.col("text").alias("y")).join(_small(likely), "b")
+    whole = whole.join(_of_pivots(likely, texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "x", cut), "a").select("a", "b", "x", "y")
     return cut(whole.mapInArrow(lean(_confirmed(percent)), "a long, b long"), "links")
 
 
@@ -296,13 +302,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
         weights = cut(sized.groupBy("id").agg(F.sum("n").alias("weight")), "weights")
         members = cut(sized.join(_small(weights), "id").select(*_MEMBER), "members")
         scratch.drop(sized)
-        sets = cut(_texts(chosen, weights).mapInArrow(lean(_sets), "id long, shingles binary"), "sets")
+        texts = cut(_texts(chosen, weights).select(F.col("doc_id").alias("id"), "text"), "texts")
 
         labels, pivots = None, _central(members, cut)
         met = members.join(_small(pivots), "bucket").filter("id != a")
         while True:
             pairs = cut(met.select("a", F.col("id").alias("b")).distinct(), "pairs")
-            links = _links(_verified(pairs, features, cut), sets, percent, cut)
+            links = _links(_verified(pairs, features, cut), texts, percent, cut)
             labels = _merged(labels, links if labels is not None else links.unionByName(owners), cut)
             # a pivot has met all others of its bucket and is done with it
             done = pivots.select("bucket", F.col("a").alias("id"))
@@ -314,7 +320,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
             named = rest.select("bucket", F.col("id").alias("a"), F.col("component").alias("ca")).join(pivots, ["bucket", "a"])
             met = rest.join(named, "bucket").filter("component != ca")
         if not rest.isEmpty():
-            labels = _merged(labels, _links(_likely_in_buckets(rest, features, sets, cut), sets, percent, cut), cut)
+            still = texts.join(_small(cut(rest.select("id").distinct(), "openids")), "id", "left_semi")
+            sets = still.mapInArrow(lean(_sets), "id long, shingles binary")
+            labels = _merged(labels, _links(_likely_in_buckets(rest, features, sets, cut), texts, percent, cut), cut)
 
         named = cut(classes.join(labels, "id", "left").select("set_key", F.coalesce("component", "id").alias("component")), "named")
         own = F.coalesce("component", "doc_id")

@@ -261,3 +261,16 @@ def test_fingerprints_measure_texts_without_line_breaks(spark):
     x, y = ("one two three four", "one two three five")
     a, b, c, d = spark.range(1).select(lanes(F.lit(f"{x}\n{y}")), added(lanes(F.lit(x)), lanes(F.lit(y))), lanes(F.lit(x)), added(lanes(F.lit(f"{x}\n{y}")), lanes(F.lit(y)), -1)).first()
     assert a == b and c == d and sum(v if v < 2**15 else v - 2**16 for v in c[WIDE:]) % 2 == 0 and any(c[WIDE:])
+
+
+def test_links_are_confirmed_where_texts_meet(spark):
+    """Texts go through the join, not hashes of shingles, which don't compress; the sets decide."""
+    from sediment.llm.common import Scratch
+    from sediment.llm.neardup import _links
+
+    words = [f"w{k}" for k in range(40)]
+    texts = [(1, " ".join(words)), (2, " ".join(words[:37])), (3, " ".join(words[:20])), (4, " ".join(words).upper())]
+    likely = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (1, 4), (2, 4)], "a long, b long")
+    with Scratch(spark) as scratch:
+        found = _links(likely, spark.createDataFrame(texts, "id long, text string"), 75, scratch.cut)
+        assert sorted(map(tuple, found.collect())) == [(1, 2), (1, 4), (2, 4)]
