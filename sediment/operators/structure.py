@@ -185,7 +185,8 @@ def brace_classes(files: DataFrame | Parsed, language: str | None = None) -> Dat
     # one package's files make up a Go or Rust type together, other classes are their file's
     own = F.when(~F.col("language").isin("go", "rust"), F.col("path"))
     ordered = lambda c: F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("path", "at", F.col(c).alias("v"))))), lambda x: x["v"]))
-    out = found.groupBy("language", own.alias("own"), "module", "name").agg(
+    # lists of members are gathered in as many tasks as the source asks for, not as their compressed bytes do
+    out = found.withColumn("own", own).repartition(of.parts, "language", "own", "module", "name").groupBy("language", "own", "module", "name").agg(
         F.min("path").alias("path"),
         F.array_distinct(F.flatten(F.collect_list("bases"))).alias("bases"),
         ordered("field").alias("attributes"),

@@ -254,3 +254,13 @@ def test_parsed_tables_are_dealt_by_bytes_and_not_broadcast(spark):
     assert found.count() == 40
     assert structure.tokens(files, 7).rdd.getNumPartitions() == 7
     assert dealt(0, 8) == 1 and dealt(1 << 18, 8) == 4 and dealt(60 << 20, 8) == 120 and dealt(360 << 20, 8) == 720
+
+
+def test_members_are_gathered_in_dealt_tasks(spark):
+    """The lists of members go to as many tasks as the source asks for: compressed bytes would merge them into few."""
+    files = from_rows(spark, {f"a/J{k}.java": f"class J{k} extends B {{ int a{k}; void run(int x) {{ }} }}\n" for k in range(40)})
+    of = structure.Parsed(files)
+    of.__dict__["parts"] = 7
+    found = structure.brace_classes(of, "java")
+    assert found.rdd.getNumPartitions() == 7
+    assert sorted((r["name"], r["attributes"], r["methods"]) for r in found.collect()) == sorted((f"J{k}", [f"int a{k}"], ["run(int x)"]) for k in range(40))
