@@ -38,8 +38,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 4096 tokens."""
-    return pack_documents(docs, tokenizer_path("word_bpe_49k.json"), 4096, 1)
+    """Sequences of 4096 tokens. Earlier stages leave more Python workers than there are cores, so none keeps a tokenizer."""
+    return pack_documents(docs, tokenizer_path("word_bpe_49k.json"), 4096, 1, keep=False)
 
 
 STAGES = [

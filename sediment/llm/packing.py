@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sediment.llm.common import cut, slices
+from sediment.llm.common import cut, lean, slices
 from sediment.llm.tokens import encoder
 
 #: Pieces that a partition packs at a time, and open bins that one task of a later round takes.
@@ -170,17 +170,18 @@ def _mergeable(open_bins: DataFrame, capacity: int) -> DataFrame | None:
     return open_bins.filter(F.col("held") + F.lit(least) <= capacity)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
     """Pack the token ids of every row's whole text, followed by ``end_id``, into sequences of ``capacity`` tokens.
 
     ``tokenizer`` is the path of a tokenizers file that every executor has. Only documents of more than ``capacity``
     tokens are cut, into full pieces and a last shorter one. Returns, a row a piece, ``doc_id, piece, start, length,
     ids_crc32, sequence_id, offset``. A null or empty text is one piece with the end id alone; repeated rows are
     packed each for itself; a null id stays null; other columns are ignored; an empty table gives no rows.
+    Python workers ``keep`` the tokenizer and its memory of words for later tasks, or load it anew for each.
     """
     spark = docs.sparkSession
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pieces = cut(chosen.mapInArrow(_packer(tokenizer, end_id, capacity), _PIECES), "pieces")
+    pieces = cut(chosen.mapInArrow(lean(_packer(tokenizer, end_id, capacity), before=False, after=not keep), _PIECES), "pieces")
     open_bins = pieces.filter((F.col("offset") == 0) & (F.col("held") < capacity)).select("bin", "held")
     placed: DataFrame | None = None
     level, last = 1, None

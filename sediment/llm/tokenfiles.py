@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.llm.common import bases, cut, new_path, shuffle_partitions, slices
+from sediment.llm.common import bases, cut, lean, new_path, shuffle_partitions, slices
 from sediment.llm.tokens import encoder
 
 #: Fixed values of the zstandard and seekable formats, and of this format's two frames.
@@ -163,7 +163,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     """
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ordered = chosen.repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    return cut(ordered.mapInArrow(_writer(folder, tokenizer, end_id, width), "part int, uri string, first_id long, last_id long, docs long, tokens long"), "manifest")
+    return cut(ordered.mapInArrow(lean(_writer(folder, tokenizer, end_id, width), before=False), "part int, uri string, first_id long, last_id long, docs long, tokens long"), "manifest")
 
 
 def _reader(wanted: Sequence[int] | None):
@@ -195,7 +195,7 @@ def read_token_files(manifest: DataFrame, doc_ids: Sequence[int] | None = None)
     """``part, doc_id, start, n_tokens, ids`` (binary) of the documents in the manifest's files, or of ``doc_ids``
     alone, for which only the files are opened whose range of ids has one; ``start`` counts the ids of all documents before, over all files."""
     files = manifest.select("part", "uri", "first_id", "last_id").repartition(max(1, min(manifest.count(), 4 * shuffle_partitions(manifest.sparkSession))), "part")
-    rows = files.mapInArrow(_reader(doc_ids), "part int, doc_id long, local long, n_tokens long, ids binary")
+    rows = files.mapInArrow(lean(_reader(doc_ids)), "part int, doc_id long, local long, n_tokens long, ids binary")
     # a row a file
     return rows.join(F.broadcast(bases(manifest, "part", "tokens")), "part").select(
         "part", "doc_id", (F.col("local") + F.col("tokens_base")).alias("start"), "n_tokens", "ids"
@@ -211,7 +211,7 @@ def token_file_digest(manifest: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), sums], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     rows = read_token_files(manifest).select("doc_id", "start", "n_tokens", "ids")
-    return rows.mapInArrow(crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.mapInArrow(lean(crc), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def shared_folder(spark: SparkSession) -> str:
