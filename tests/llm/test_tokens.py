@@ -1,11 +1,15 @@
+import gc
+import weakref
 import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from sediment.llm import packing
+from sediment.llm import packing, tokens
+from sediment.llm.common import lean
 from sediment.llm.packing import best_fit, best_fit_classes, pack_documents
 from sediment.llm.tokenfiles import TokenFile, TokenFileWriter, read_token_files, token_file_digest, write_token_files
 from sediment.llm.tokens import UnitEncoder
@@ -39,6 +43,56 @@ def test_units_encode_as_the_whole_text(name, text):
     assert ENCODERS[name].ids([text])[0] == np.array(WHOLE[name].encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+@pytest.mark.parametrize("name", FILES)
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(st.sampled_from("abZ'sÉéİKª.,!?\n\t 12²½_漢ẞ<|>̌"), max_size=30)), max_size=8))
+def test_texts_of_a_batch_encode_each_for_itself(name, texts):
+    assert ENCODERS[name].ids(texts) == [np.array(WHOLE[name].encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_a_dropped_encoder_is_freed_at_once():
+    gc.disable()
+    try:
+        held = weakref.ref(tokens.encoder(P.path(FILES[0])))
+        tokens.forget()
+        assert held() is None
+    finally:
+        gc.enable()
+
+
+def test_a_packing_that_keeps_no_tokenizer_drops_it_after_each_task():
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2], pa.int64()), "text": ["one two three", None]})
+    kept, dropped = (lean(packing._packer(P.path(FILES[0]), 1, 64), before=False, after=after) for after in (False, True))
+    want = list(kept(iter([batch])))
+    assert tokens._encoders and list(dropped(iter([batch]))) == want and not tokens._encoders
+
+
+class Asked:
+    def __init__(self, model):
+        self.model, self.words = model, []
+
+    def tokenize(self, word):
+        self.words.append(word.strip("Ġ"))
+        return self.model.tokenize(word)
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_a_word_with_whatever_marks_is_encoded_once(name):
+    encoder = UnitEncoder(P.path(name))
+    encoder.model = asked = Asked(encoder.model)
+    texts = ["so oddword, oddword. oddword; oddword? oddword! oddword: oddword", "so oddword... oddword, " * 3]
+    assert encoder.ids(texts) == [np.array(i, "<u4").tobytes() for i in whole(name, texts)]
+    assert asked.words.count("oddword") == 1
+
+
+def test_words_that_come_again_are_remembered_before_those_that_came_once():
+    room = tokens._Room(100_000)
+    known = tokens._Known(str.encode, room)
+    for k in range(2000):  # far more than there is room for
+        known[f"once{k}"], known["a" * (max(0, k - 600) % 50 + 1)]
+    assert all("a" * k in known for k in range(1, 51)) and room.held <= 65_000
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 64), max_size=200))
 def test_best_fit_fills_bins_without_gaps(sizes):
