@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sediment.llm.common import BROADCAST_IDS, Scratch, lean, slices, small_batches
+from sediment.llm.common import BROADCAST_IDS, Scratch, Step, lean, slices, small_batches
 from sediment.llm.common import cut as written
 from sediment.llm.components import connected_components
 
@@ -152,6 +152,12 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c) for c in np.ascontiguousarray(found.T)]], ["id", *_BIT_COLUMNS])
 
 
+def _bits_of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``id, text`` with the bit signature in place of the text. Two steps in a row would each have a Python worker of its
+    own in every task, which Spark keeps, and would send the sets through the JVM."""
+    return _bits(_sets(batches))
+
+
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose set sizes and signatures allow the similarity."""
     for batch in batches:
@@ -248,11 +254,12 @@ def _central(members: DataFrame, cut) -> DataFrame:
     return cut(best.select("bucket", F.col("m.id").alias("a")), "pivots")
 
 
-def _likely_in_buckets(members: DataFrame, features: DataFrame, sets: DataFrame, cut) -> DataFrame:
+def _likely_in_buckets(members: DataFrame, features: DataFrame, sets: DataFrame, cut, step: Step = _bits) -> DataFrame:
     """The pairs of open buckets' members in different components whose sizes and bit signatures allow a link, each
-    once. The members of a large bucket are dealt into parts, each of which meets the whole bucket in a task."""
+    once; ``step`` makes signatures of the members' ``sets``. The members of a large bucket are dealt into parts, each of
+    which meets the whole bucket in a task."""
     own = members.groupBy("id").agg(F.collect_list(F.struct("band", "bucket")).alias("own"))  # BANDS at most
-    bits = sets.join(own.select("id"), "id", "left_semi").mapInArrow(lean(_bits), "id long, " + ", ".join(f"{c} long" for c in _BIT_COLUMNS))
+    bits = sets.mapInArrow(lean(step), "id long, " + ", ".join(f"{c} long" for c in _BIT_COLUMNS))
     profile = cut(features.select("id", "n_shingles").join(bits, "id").join(own, "id"), "profiles")
     parts = F.ceil(F.col("size") / F.lit(SALT)).cast("int")
     earlier = F.transform(F.filter("own", lambda o: o["band"] < F.col("band")), lambda o: o["bucket"])
@@ -321,8 +328,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
             met = rest.join(named, "bucket").filter("component != ca")
         if not rest.isEmpty():
             still = texts.join(_small(cut(rest.select("id").distinct(), "openids")), "id", "left_semi")
-            sets = still.mapInArrow(lean(_sets), "id long, shingles binary")
-            labels = _merged(labels, _links(_likely_in_buckets(rest, features, sets, cut), texts, percent, cut), cut)
+            labels = _merged(labels, _links(_likely_in_buckets(rest, features, still, cut, _bits_of_texts), texts, percent, cut), cut)
 
         named = cut(classes.join(labels, "id", "left").select("set_key", F.coalesce("component", "id").alias("component")), "named")
         own = F.coalesce("component", "doc_id")

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from contextlib import nullcontext
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sediment.llm.common import cut, lean, slices
+from sediment.llm.common import cut, lean, slices, small_batches
 from sediment.llm.tokens import encoder
 
 #: Pieces that a partition packs at a time, and open bins that one task of a later round takes.
 BLOCK, ITEMS_PER_TASK = 200_000, 50_000
+#: Bytes of a batch of texts where memory is scarce: both the JVM and the encoder hold some times as much.
+SMALL = 2_000_000
 #: Share of the bins that a round over several tasks may leave for another one to follow; then the root packs the rest.
 WORTH = 0.98
 
@@ -177,11 +180,13 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id
     tokens are cut, into full pieces and a last shorter one. Returns, a row a piece, ``doc_id, piece, start, length,
     ids_crc32, sequence_id, offset``. A null or empty text is one piece with the end id alone; repeated rows are
     packed each for itself; a null id stays null; other columns are ignored; an empty table gives no rows.
-    Python workers ``keep`` the tokenizer and its memory of words for later tasks, or load it anew for each.
+    Python workers ``keep`` the tokenizer and its memory of words for later tasks, or load it anew for each and get texts in
+    small batches, for executors whose memory earlier steps have filled.
     """
     spark = docs.sparkSession
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pieces = cut(chosen.mapInArrow(lean(_packer(tokenizer, end_id, capacity), before=False, after=not keep), _PIECES), "pieces")
+    with nullcontext() if keep else small_batches(spark, SMALL):
+        pieces = cut(chosen.mapInArrow(lean(_packer(tokenizer, end_id, capacity), before=False, after=not keep), _PIECES), "pieces")
     open_bins = pieces.filter((F.col("offset") == 0) & (F.col("held") < capacity)).select("bin", "held")
     placed: DataFrame | None = None
     level, last = 1, None

@@ -99,6 +99,20 @@ def test_near_duplicates_where_buckets_stay_open(spark, monkeypatch):
     assert calls
 
 
+def test_no_task_of_near_duplicates_has_two_python_steps(spark, monkeypatch):
+    plans, real, maps = [], neardup._likely_in_buckets, type(spark.range(1)).mapInArrow
+
+    def mapped(self, *a, **b):
+        plans.append(self._jdf.queryExecution().analyzed().toString())
+        return maps(self, *a, **b)
+
+    calls = []
+    monkeypatch.setattr(neardup, "_likely_in_buckets", lambda *a: calls.append(1) or real(*a))
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", mapped)
+    near_duplicates(spark.createDataFrame(mutated(random.Random(7), 160, 90, 9), "doc_id long, text string"))
+    assert calls and len(plans) > 3 and not any("MapInArrow" in p for p in plans)
+
+
 def test_open_buckets_yield_each_likely_pair_once(spark, monkeypatch):
     rows = mutated(random.Random(10), 80, 100, 9)
     sets = {i: shingle_set(t) for i, t in rows}

@@ -67,6 +67,28 @@ def test_a_packing_that_keeps_no_tokenizer_drops_it_after_each_task():
     assert tokens._encoders and list(dropped(iter([batch]))) == want and not tokens._encoders
 
 
+def test_a_packing_that_keeps_no_tokenizer_gets_small_batches(spark, monkeypatch):
+    real = packing._packer
+
+    def bounded(*given):
+        def pack(batches):
+            def seen():
+                for b in batches:
+                    assert b.nbytes < 1.5 * packing.SMALL, b.nbytes
+                    yield b
+
+            return real(*given)(seen())
+
+        return pack
+
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id as doc_id", "repeat('some words ', 300) as text")
+    rows = packing.pack_documents(docs, P.path(FILES[0]), keep=True).count()
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(key)
+    monkeypatch.setattr(packing, "_packer", bounded)
+    assert packing.pack_documents(docs, P.path(FILES[0]), keep=False).count() == rows == 3000 and spark.conf.get(key) == own
+
+
 class Asked:
     def __init__(self, model):
         self.model, self.words = model, []
