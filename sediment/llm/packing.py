@@ -22,12 +22,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sediment.llm.common import cut, lean, slices, small_batches
-from sediment.llm.tokens import encoder
+from sediment.llm.tokens import MEMORY, encoder
 
 #: Pieces that a partition packs at a time, and open bins that one task of a later round takes.
 BLOCK, ITEMS_PER_TASK = 200_000, 50_000
-#: Bytes of a batch of texts where memory is scarce: both the JVM and the encoder hold some times as much.
-SMALL = 2_000_000
+#: Where memory is scarce: bytes of a batch of texts, as both the JVM and the encoder hold some times as much, and of remembered units.
+SMALL, FEW = 1_000_000, 20_000_000
 #: Share of the bins that a round over several tasks may leave for another one to follow; then the root packs the rest.
 WORTH = 0.98
 
@@ -63,9 +63,9 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin
 _OPEN = "bin long, parent long, base long, held long"
 
 
-def _packer(path: str, end_id: int, capacity: int):
+def _packer(path: str, end_id: int, capacity: int, memory: int = MEMORY):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, end = encoder(path), np.array([end_id], "<u4").tobytes()
+        known, end = encoder(path, memory), np.array([end_id], "<u4").tobytes()
         task = TaskContext.get().partitionId() if TaskContext.get() else 0
         made, rows = 0, []
 
@@ -186,7 +186,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id
     spark = docs.sparkSession
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     with nullcontext() if keep else small_batches(spark, SMALL):
-        pieces = cut(chosen.mapInArrow(lean(_packer(tokenizer, end_id, capacity), before=False, after=not keep), _PIECES), "pieces")
+        pieces = cut(chosen.mapInArrow(lean(_packer(tokenizer, end_id, capacity, MEMORY if keep else FEW), before=False, after=not keep), _PIECES), "pieces")
     open_bins = pieces.filter((F.col("offset") == 0) & (F.col("held") < capacity)).select("bin", "held")
     placed: DataFrame | None = None
     level, last = 1, None

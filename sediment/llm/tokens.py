@@ -35,6 +35,8 @@ _MARKS = ".,;:!?"
 #: Bytes that a dictionary takes for an entry beside key and value; characters of a unit that is remembered at most; missing
 #: units for each remembered one after which a full table starts anew; places for the hashes of what was seen once.
 ENTRY, LONGEST, PATIENCE, ONCE = 104, 64, 16, 1 << 20
+#: Bytes of remembered units.
+MEMORY = 40_000_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -108,7 +110,7 @@ class UnitEncoder:
     bytes of the remembered units.
     """
 
-    def __init__(self, path: str, memory: int = 40_000_000):
+    def __init__(self, path: str, memory: int = MEMORY):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -213,9 +215,9 @@ def forget() -> None:
         gc.collect()
 
 
-def encoder(path: str) -> UnitEncoder:
+def encoder(path: str, memory: int = MEMORY) -> UnitEncoder:
     """The encoder of a Python worker, which keeps what it remembers from task to task; one tokenizer at a time."""
     if path not in _encoders:
         forget()
-        _encoders[path] = UnitEncoder(path)
+        _encoders[path] = UnitEncoder(path, memory)
     return _encoders[path]
